@@ -235,13 +235,15 @@ def resolve_variant(t, choices: DataFrame) -> DataFrame:
     Output: one row per choice with ``variant_id`` (NULL unless exactly one
     match) and ``match_count``."""
     v = t["product_variants"].select(
-        F.col("id").alias("vid"), F.col("product_id").alias("vpid"), "finish",
-        "gemstones_colour", "length_size")
-    c = choices.alias("c")
-    cond = ((F.col("c.product_id") == F.col("vpid"))
-            & (F.col("c.finish").isNull() | (F.col("c.finish") == F.col("finish")))
-            & (F.col("c.gemstone").isNull() | (F.col("c.gemstone") == F.col("gemstones_colour")))
-            & (F.col("c.size").isNull() | (F.col("c.size") == F.col("length_size"))))
+        F.col("id").alias("vid"), F.col("product_id").alias("vpid"), F.col("finish").alias("v_finish"),
+        F.col("gemstones_colour").alias("v_gem"), F.col("length_size").alias("v_size"))
+    c = choices.select("choice_id", "product_id", "finish", "gemstone", "size")
+    # Equi join on the product (a product has few variants), then the
+    # null-tolerant option predicates.
+    cond = ((c["product_id"] == v["vpid"])
+            & (c["finish"].isNull() | (c["finish"] == v["v_finish"]))
+            & (c["gemstone"].isNull() | (c["gemstone"] == v["v_gem"]))
+            & (c["size"].isNull() | (c["size"] == v["v_size"])))
     m = c.join(v, cond, "left")
     return (m.groupBy("choice_id").agg(F.count("vid").alias("match_count"),
                                       F.min("vid").alias("_vid"))

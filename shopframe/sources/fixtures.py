@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 # Five coupons and three coupon usages; the NULL coupon_id in the usages is the
 # row that tells NOT IN apart from NOT EXISTS.
 COUPON_ROWS_SQL = """
-    (1, 'SAVE10',  'percent', CAST(10 AS DECIMAL(10,2)),  CAST(1000 AS DECIMAL(10,2)), CAST(20000 AS DECIMAL(10,2)), 1,
+    (1, 'SAVE10',  'percent', CAST(10 AS DECIMAL(10,2)),  CAST(100000 AS DECIMAL(10,2)), CAST(20000 AS DECIMAL(10,2)), 1,
         CAST('1995-01-01 00:00:00' AS TIMESTAMP), CAST('2002-12-31 23:59:59' AS TIMESTAMP), CAST(NULL AS INT), 0),
     (2, 'FLAT500', 'flat',    CAST(500 AS DECIMAL(10,2)), CAST(NULL AS DECIMAL(10,2)), CAST(NULL AS DECIMAL(10,2)), 1,
         CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP), 100, 3),
@@ -30,7 +30,7 @@ COUPON_ROWS_SQL = """
         CAST('1995-01-01 00:00:00' AS TIMESTAMP), CAST('1997-12-31 23:59:59' AS TIMESTAMP), CAST(NULL AS INT), 0),
     (4, 'OFF',     'percent', CAST(5 AS DECIMAL(10,2)),   CAST(0 AS DECIMAL(10,2)),    CAST(NULL AS DECIMAL(10,2)), 0,
         CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP), CAST(NULL AS INT), 0),
-    (5, 'FULL',    'flat',    CAST(100 AS DECIMAL(10,2)), CAST(200 AS DECIMAL(10,2)),  CAST(50 AS DECIMAL(10,2)), 1,
+    (5, 'FULL',    'flat',    CAST(100 AS DECIMAL(10,2)), CAST(200000 AS DECIMAL(10,2)),  CAST(50 AS DECIMAL(10,2)), 1,
         CAST('1995-01-01 00:00:00' AS TIMESTAMP), CAST(NULL AS TIMESTAMP), 10, 10)
 """
 COUPON_COLUMNS = ["id", "code", "type", "value", "min_order", "max_discount", "active",
@@ -113,6 +113,9 @@ SHOP_ORDERS = ("orders", [
                        "WHEN '3' THEN 'unpaid' WHEN '4' THEN 'failed' WHEN '5' THEN 'refunded' END"),
     ("payment_method", "CASE WHEN o_orderkey % 2 = 0 THEN 'cod' ELSE 'razorpay' END"),
     ("coupon_id", "CASE o_orderkey % 7 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 9 END"),
+    ("coupon_code", "CASE o_orderkey % 7 WHEN 0 THEN 'SAVE10' WHEN 1 THEN 'FLAT500' WHEN 2 THEN 'GONE' END"),
+    ("subtotal", "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(12,2)) END"),
+    ("discount", "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(0 AS DECIMAL(12,2)) END"),
     ("grand_total", "CAST(o_totalprice AS DECIMAL(12,2))"),
     ("created_at", "o_orderdate"),
 ])
@@ -156,6 +159,7 @@ STATUS_HISTORY_FIRST = [
     ("order_id", "o_orderkey"),
     ("status", "'pending'"),
     ("changed_by", "'system'"),
+    ("comment", "'Order placed'"),
     ("created_at", "o_orderdate"),
 ]
 STATUS_HISTORY_SECOND = [
@@ -163,6 +167,7 @@ STATUS_HISTORY_SECOND = [
     ("order_id", "o_orderkey"),
     ("status", "CASE WHEN o_orderkey % 10 = 0 THEN 'cancelled' ELSE 'confirmed' END"),
     ("changed_by", "'admin'"),
+    ("comment", "CASE WHEN o_orderkey % 8 = 1 THEN NULL ELSE 'Updated by admin' END"),
     ("created_at", "o_orderdate + INTERVAL '2' DAY"),
 ]
 
@@ -176,6 +181,44 @@ REVIEWS = [
     ("created_at", "ts"),
 ]
 
+# Coupon quote requests: one per order, the typed code and the cart subtotal.
+COUPON_REQUESTS = ("orders", [
+    ("request_id", "o_orderkey"),
+    ("user_id", "o_custkey"),
+    ("code", "CASE o_orderkey % 6 WHEN 0 THEN 'save10' WHEN 1 THEN ' FLAT500' WHEN 2 THEN 'OLD20' "
+             "WHEN 3 THEN 'off' WHEN 4 THEN 'FULL' END"),
+    ("subtotal", "CAST(o_totalprice AS DECIMAL(12,2))"),
+    ("ts", "o_orderdate"),
+])
+
+# Profile edits: every fifth user asks for the next user's e-mail (taken).
+PROFILE_UPDATES = ("customer", [
+    ("user_id", "c_custkey"),
+    ("first_name", "CASE WHEN c_custkey % 7 = 0 THEN '  ' ELSE split_part(c_name, '#', 1) END"),
+    ("last_name", "'L' || CAST(c_custkey AS STRING)"),
+    ("email", "CASE WHEN c_custkey % 5 = 0 THEN 'CUSTOMER.' || lpad(CAST(c_custkey + 1 AS STRING), 9, '0') "
+              "|| '@example.com' ELSE 'new' || CAST(c_custkey AS STRING) || '@example.com' END"),
+])
+
+# Review edit/delete requests: every fourth names another user's review.
+REVIEW_EDIT_REQUESTS = ("events", "event_type = 'purchase'", [
+    ("review_id", "event_id"),
+    ("user_id", "CASE WHEN event_id % 4 = 0 THEN user_id + 1 ELSE user_id END"),
+    ("op", "CASE WHEN event_id % 3 = 0 THEN 'delete' ELSE 'update' END"),
+    ("rating", "CAST(1 + event_id % 5 AS INT)"),
+    ("title", "'Edited ' || CAST(event_id AS STRING)"),
+    ("comment", "CASE WHEN event_id % 2 = 0 THEN 'Edited comment' END"),
+])
+
+# Option choices on product pages (NULL = option not chosen).
+VARIANT_CHOICES = ("events", "event_type = 'view'", [
+    ("choice_id", "event_id"),
+    ("product_id", "event_id % 200"),
+    ("finish", "CASE event_id % 3 WHEN 0 THEN 'gold' WHEN 1 THEN 'Rose Gold' END"),
+    ("gemstone", "CASE WHEN event_id % 5 = 0 THEN 'Red' END"),
+    ("size", "CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 50 AS STRING) END"),
+])
+
 NEWSLETTER = ("events", "event_type = 'signup'", [
     ("id", "event_id"),
     ("email", "'user' || CAST(user_id AS STRING) || '@example.com'"),
@@ -238,8 +281,11 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     t["order_status_history"] = o.selectExpr(*_sel(STATUS_HISTORY_FIRST)).unionByName(
         o.where("o_orderkey % 4 <> 0").selectExpr(*_sel(STATUS_HISTORY_SECOND)))
 
-    t["coupons"] = spark.sql(
+    # Wall-clock (NTZ) dates like every other storefront timestamp.
+    t["coupons"] = (spark.sql(
         f"SELECT * FROM VALUES {COUPON_ROWS_SQL} AS c({', '.join(COUPON_COLUMNS)})")
+        .withColumn("start_date", F.col("start_date").cast("timestamp_ntz"))
+        .withColumn("end_date", F.col("end_date").cast("timestamp_ntz")))
     t["coupon_usages"] = spark.sql(
         f"SELECT * FROM VALUES {COUPON_USAGE_ROWS_SQL} AS u({', '.join(COUPON_USAGE_COLUMNS)})")
 
@@ -247,6 +293,10 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     docs = r("documents").select("doc_id", "text")
     t["reviews"] = (purchases.join(docs, F.expr("event_id % 200") == F.col("doc_id"), "left")
                     .selectExpr(*_sel(REVIEWS)))
+    t["profile_updates"] = r("customer").selectExpr(*_sel(PROFILE_UPDATES[1]))
+    t["review_edit_requests"] = ev.where(REVIEW_EDIT_REQUESTS[1]).selectExpr(*_sel(REVIEW_EDIT_REQUESTS[2]))
+    t["variant_choices"] = ev.where(VARIANT_CHOICES[1]).selectExpr(*_sel(VARIANT_CHOICES[2]))
+    t["coupon_requests"] = r("orders").selectExpr(*_sel(COUPON_REQUESTS[1]))
     t["newsletter_subscribers"] = ev.where(NEWSLETTER[1]).selectExpr(*_sel(NEWSLETTER[2]))
     t["contact_messages"] = (r("conversations").where(CONTACT_MESSAGES[1])
                              .selectExpr(*_sel(CONTACT_MESSAGES[2])))
@@ -281,6 +331,11 @@ def duckdb_ctes() -> dict[str, str]:
                           f"AS u({', '.join(COUPON_USAGE_COLUMNS)})")
     c["reviews"] = (f"SELECT {s(REVIEWS)} FROM (SELECT event_id, user_id, ts FROM events "
                     "WHERE event_type = 'purchase') e LEFT JOIN documents ON event_id % 200 = doc_id")
+    c["profile_updates"] = f"SELECT {s(PROFILE_UPDATES[1])} FROM customer"
+    c["review_edit_requests"] = (f"SELECT {s(REVIEW_EDIT_REQUESTS[2])} FROM events "
+                                 f"WHERE {REVIEW_EDIT_REQUESTS[1]}")
+    c["variant_choices"] = f"SELECT {s(VARIANT_CHOICES[2])} FROM events WHERE {VARIANT_CHOICES[1]}"
+    c["coupon_requests"] = f"SELECT {s(COUPON_REQUESTS[1])} FROM orders"
     c["newsletter_subscribers"] = f"SELECT {s(NEWSLETTER[2])} FROM events WHERE {NEWSLETTER[1]}"
     c["contact_messages"] = (f"SELECT {s(CONTACT_MESSAGES[2])} FROM conversations "
                              f"WHERE {CONTACT_MESSAGES[1]}")
