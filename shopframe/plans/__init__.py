@@ -2,4 +2,4 @@
 oracle SQL for each. Importing this package registers every query module."""
 
 from .registry import REGISTRY, oracle_sql, queries  # noqa: F401
-from . import catalog_queries, store_queries  # noqa: F401,E402
+from . import catalog_queries, order_queries, store_queries  # noqa: F401,E402
