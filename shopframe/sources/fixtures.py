@@ -219,6 +219,117 @@ VARIANT_CHOICES = ("events", "event_type = 'view'", [
     ("size", "CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 50 AS STRING) END"),
 ])
 
+# ---- request batches for the change operators (one row per request) ----
+CHECKOUT_REQUESTS = [
+    ("seq", "c_custkey"),
+    ("user_id", "c_custkey"),
+    ("billing_name", "CASE WHEN c_custkey % 9 = 0 THEN '' ELSE c_name END"),
+    ("billing_phone", "CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE '98' || lpad(CAST(c_custkey AS STRING), 8, '0') END"),
+    ("billing_city", "'City ' || CAST(c_nationkey AS STRING)"),
+    ("billing_state", "'State'"),
+    ("billing_pincode", "lpad(CAST(c_custkey % 1000000 AS STRING), 6, '0')"),
+    ("coupon_code", "CASE c_custkey % 4 WHEN 0 THEN 'SAVE10' WHEN 1 THEN 'full' WHEN 2 THEN '' END"),
+]
+PAYMENT_CONFIRMATIONS = [
+    ("order_id", "o_orderkey"),
+    ("user_id", "o_custkey"),
+    ("payment_id", "'pay_' || CAST(o_orderkey AS STRING)"),
+]
+CANCEL_REQUESTS = [
+    ("seq", "o_orderkey"),
+    ("order_id", "o_orderkey"),
+    ("user_id", "CASE WHEN o_orderkey % 13 = 0 THEN o_custkey + 1 ELSE o_custkey END"),
+]
+STATUS_REQUESTS = [
+    ("seq", "o_orderkey"),
+    ("order_id", "o_orderkey"),
+    ("status", "CASE WHEN o_orderkey % 8 = 0 THEN 'cancelled' ELSE 'shipped' END"),
+    ("comment", "CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'note ' || CAST(o_orderkey AS STRING) END"),
+]
+PAYMENT_REQUESTS = [
+    ("seq", "o_orderkey"),
+    ("order_id", "o_orderkey"),
+    ("payment_status", "CASE WHEN o_orderkey % 12 = 1 THEN 'paid' ELSE 'refunded' END"),
+    ("comment", "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'checked' END"),
+]
+ORDER_REQUESTS = [
+    ("seq", "o_orderkey"),
+    ("user_id", "o_custkey"),
+    ("coupon_code", "CASE o_orderkey % 4 WHEN 0 THEN 'SAVE10' WHEN 1 THEN 'flat500' WHEN 2 THEN 'OLD20' END"),
+    ("ship_name", "'Ship ' || CAST(o_custkey AS STRING)"),
+    ("ship_phone", "CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE '97' || lpad(CAST(o_custkey AS STRING), 8, '0') END"),
+    ("ship_pincode", "'560001'"),
+    ("bill_name", "'Bill ' || CAST(o_custkey AS STRING)"),
+    ("bill_phone", "'96' || lpad(CAST(o_custkey AS STRING), 8, '0')"),
+    ("bill_pincode", "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE '400001' END"),
+]
+ORDER_REQUEST_ITEMS = [
+    ("seq", "l_orderkey"),
+    ("product_id", "l_partkey"),
+    ("variant_id", "l_partkey * 10 + l_linenumber % 4"),
+    ("price", "CAST(l_extendedprice AS DECIMAL(12,2))"),
+    ("quantity", "CASE WHEN l_linenumber = 7 THEN 0 ELSE CAST(l_quantity AS INT) END"),
+]
+NEWSLETTER_REQUESTS = [
+    ("seq", "c_custkey"),
+    ("email", "CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'user' || CAST(c_custkey % 150 AS STRING) || "
+              "'@example.com' ELSE 'fan' || CAST(c_custkey % 700 AS STRING) || '@Example.com' END"),
+]
+REGISTRATIONS = [
+    ("seq", "c_custkey"),
+    ("first_name", "CASE WHEN c_custkey % 7 = 0 THEN '  ' ELSE 'F' || CAST(c_custkey AS STRING) END"),
+    ("last_name", "'L' || CAST(c_custkey AS STRING)"),
+    ("email", "CASE WHEN c_custkey % 3 = 0 THEN upper(lower(replace(c_name, '#', '.')) || '@example.com') "
+              "ELSE 'member' || CAST(c_custkey % 400 AS STRING) || '@example.com' END"),
+]
+REVIEW_SUBMISSIONS = [
+    ("seq", "event_id"),
+    ("user_id", "user_id"),
+    ("product_id", "(event_id * 3) % 200"),
+    ("title", "'T' || CAST(event_id AS STRING)"),
+    ("rating", "CAST(1 + event_id % 5 AS INT)"),
+    ("comment", "'C' || CAST(event_id AS STRING)"),
+]
+PRODUCT_REQUESTS = [
+    ("seq", "p_partkey"),
+    ("id", "CASE WHEN p_partkey % 18 = 0 THEN NULL ELSE p_partkey END"),
+    ("name", "'New ' || p_name"),
+    ("description", "CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 'Edited' END"),
+    ("category", "'Women'"),
+    ("sub_category", "lower(p_type)"),
+    ("collection_name", "NULL"),
+    ("metal", "'gold'"),
+    ("is_gifting", "1"),
+    ("gifting_category", "'for-her'"),
+    ("image1", "CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 'n' || CAST(p_partkey AS STRING) || '.jpg' END"),
+    ("image2", "NULL"),
+    ("image3", "CASE WHEN p_partkey % 5 = 0 THEN 'x.jpg' END"),
+    ("image4", "NULL"),
+]
+VARIANT_REQUESTS = [
+    ("seq", "p_partkey"),
+    ("id", "CASE WHEN p_partkey % 12 = 0 THEN NULL ELSE p_partkey * 10 END"),
+    ("product_id", "CASE WHEN p_partkey % 30 = 6 THEN NULL ELSE p_partkey END"),
+    ("sku", "CASE WHEN p_partkey % 24 = 0 THEN 'SKU-' || CAST(p_partkey * 10 + 1 AS STRING) "
+            "ELSE 'NEW-' || CAST(p_partkey % 500 AS STRING) END"),
+    ("price", "CAST(p_retailprice AS DECIMAL(10,2))"),
+    ("stock", "CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size END"),
+    ("finish", "CASE WHEN p_partkey % 4 = 0 THEN ' ' ELSE 'gold' END"),
+    ("gemstones_colour", "''"),
+    ("length_size", "CAST(p_size AS STRING)"),
+    ("width", "NULL"),
+    ("thickness", "'2mm'"),
+]
+MESSAGE_EDITS = [
+    ("seq", "conv_id * 100 + turn"),
+    ("id", "conv_id * 100 + turn"),
+    ("name", "CASE WHEN conv_id % 2 = 0 THEN NULL ELSE 'Edited ' || CAST(conv_id AS STRING) END"),
+    ("email", "CASE WHEN conv_id % 2 = 0 THEN NULL ELSE 'e@example.com' END"),
+    ("phone", "NULL"),
+    ("message", "CASE WHEN conv_id % 2 = 0 THEN NULL ELSE 'edited text' END"),
+    ("status", "CAST(0 AS INT)"),
+]
+
 NEWSLETTER = ("events", "event_type = 'signup'", [
     ("id", "event_id"),
     ("email", "'user' || CAST(user_id AS STRING) || '@example.com'"),
@@ -296,6 +407,29 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     t["profile_updates"] = r("customer").selectExpr(*_sel(PROFILE_UPDATES[1]))
     t["review_edit_requests"] = ev.where(REVIEW_EDIT_REQUESTS[1]).selectExpr(*_sel(REVIEW_EDIT_REQUESTS[2]))
     t["variant_choices"] = ev.where(VARIANT_CHOICES[1]).selectExpr(*_sel(VARIANT_CHOICES[2]))
+    cu, od, li, pa = r("customer"), r("orders"), r("lineitem"), r("part")
+    t["checkout_requests"] = cu.selectExpr(*_sel(CHECKOUT_REQUESTS)).unionByName(
+        cu.where("c_custkey % 10 = 0").selectExpr(*_sel(CHECKOUT_REQUESTS))
+        .withColumn("seq", F.col("seq") + 1000000000))
+    t["payment_confirmations"] = od.where("o_orderkey % 5 = 1").selectExpr(*_sel(PAYMENT_CONFIRMATIONS))
+    t["cancel_requests"] = od.where("o_orderkey % 3 = 1").selectExpr(*_sel(CANCEL_REQUESTS))
+    t["status_requests"] = od.where("o_orderkey % 4 = 0").selectExpr(*_sel(STATUS_REQUESTS))
+    t["admin_cancel_requests"] = od.where("o_orderkey % 5 = 2").selectExpr("o_orderkey AS seq",
+                                                                           "o_orderkey AS order_id")
+    t["payment_requests"] = od.where("o_orderkey % 6 = 1").selectExpr(*_sel(PAYMENT_REQUESTS))
+    t["order_requests"] = od.where("o_orderkey % 10 = 3").selectExpr(*_sel(ORDER_REQUESTS))
+    t["order_request_items"] = li.where("l_orderkey % 10 = 3").selectExpr(*_sel(ORDER_REQUEST_ITEMS))
+    t["newsletter_requests"] = cu.selectExpr(*_sel(NEWSLETTER_REQUESTS))
+    t["registrations"] = cu.selectExpr(*_sel(REGISTRATIONS))
+    t["review_submissions"] = ev.where("event_type = 'purchase'").selectExpr(*_sel(REVIEW_SUBMISSIONS))
+    t["product_requests"] = (pa.where("p_partkey % 9 = 0").selectExpr(*_sel(PRODUCT_REQUESTS))
+                             .withColumn("collection_name", F.col("collection_name").cast("string"))
+                             .withColumn("image2", F.col("image2").cast("string"))
+                             .withColumn("image4", F.col("image4").cast("string")))
+    t["variant_requests"] = (pa.where("p_partkey % 6 = 0").selectExpr(*_sel(VARIANT_REQUESTS))
+                             .withColumn("width", F.col("width").cast("string")))
+    t["message_edits"] = (r("conversations").where("role = 'user' AND conv_id % 3 = 0")
+                          .selectExpr(*_sel(MESSAGE_EDITS)).withColumn("phone", F.col("phone").cast("string")))
     t["coupon_requests"] = r("orders").selectExpr(*_sel(COUPON_REQUESTS[1]))
     t["newsletter_subscribers"] = ev.where(NEWSLETTER[1]).selectExpr(*_sel(NEWSLETTER[2]))
     t["contact_messages"] = (r("conversations").where(CONTACT_MESSAGES[1])
@@ -335,6 +469,27 @@ def duckdb_ctes() -> dict[str, str]:
     c["review_edit_requests"] = (f"SELECT {s(REVIEW_EDIT_REQUESTS[2])} FROM events "
                                  f"WHERE {REVIEW_EDIT_REQUESTS[1]}")
     c["variant_choices"] = f"SELECT {s(VARIANT_CHOICES[2])} FROM events WHERE {VARIANT_CHOICES[1]}"
+    c["checkout_requests"] = (f"SELECT {s(CHECKOUT_REQUESTS)} FROM customer UNION ALL "
+                              f"SELECT * REPLACE (seq + 1000000000 AS seq) FROM (SELECT {s(CHECKOUT_REQUESTS)} "
+                              "FROM customer WHERE c_custkey % 10 = 0)")
+    c["payment_confirmations"] = f"SELECT {s(PAYMENT_CONFIRMATIONS)} FROM orders WHERE o_orderkey % 5 = 1"
+    c["cancel_requests"] = f"SELECT {s(CANCEL_REQUESTS)} FROM orders WHERE o_orderkey % 3 = 1"
+    c["status_requests"] = f"SELECT {s(STATUS_REQUESTS)} FROM orders WHERE o_orderkey % 4 = 0"
+    c["admin_cancel_requests"] = ("SELECT o_orderkey AS seq, o_orderkey AS order_id FROM orders "
+                                  "WHERE o_orderkey % 5 = 2")
+    c["payment_requests"] = f"SELECT {s(PAYMENT_REQUESTS)} FROM orders WHERE o_orderkey % 6 = 1"
+    c["order_requests"] = f"SELECT {s(ORDER_REQUESTS)} FROM orders WHERE o_orderkey % 10 = 3"
+    c["order_request_items"] = f"SELECT {s(ORDER_REQUEST_ITEMS)} FROM lineitem WHERE l_orderkey % 10 = 3"
+    c["newsletter_requests"] = f"SELECT {s(NEWSLETTER_REQUESTS)} FROM customer"
+    c["registrations"] = f"SELECT {s(REGISTRATIONS)} FROM customer"
+    c["review_submissions"] = f"SELECT {s(REVIEW_SUBMISSIONS)} FROM events WHERE event_type = 'purchase'"
+    c["product_requests"] = (f"SELECT * REPLACE (CAST(collection_name AS VARCHAR) AS collection_name, "
+                             "CAST(image2 AS VARCHAR) AS image2, CAST(image4 AS VARCHAR) AS image4) FROM "
+                             f"(SELECT {s(PRODUCT_REQUESTS)} FROM part WHERE p_partkey % 9 = 0)")
+    c["variant_requests"] = (f"SELECT * REPLACE (CAST(width AS VARCHAR) AS width) FROM "
+                             f"(SELECT {s(VARIANT_REQUESTS)} FROM part WHERE p_partkey % 6 = 0)")
+    c["message_edits"] = (f"SELECT * REPLACE (CAST(phone AS VARCHAR) AS phone) FROM (SELECT {s(MESSAGE_EDITS)} "
+                          "FROM conversations WHERE role = 'user' AND conv_id % 3 = 0)")
     c["coupon_requests"] = f"SELECT {s(COUPON_REQUESTS[1])} FROM orders"
     c["newsletter_subscribers"] = f"SELECT {s(NEWSLETTER[2])} FROM events WHERE {NEWSLETTER[1]}"
     c["contact_messages"] = (f"SELECT {s(CONTACT_MESSAGES[2])} FROM conversations "
