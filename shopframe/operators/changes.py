@@ -56,25 +56,30 @@ def _js_trim_truthy(c) -> F.Column:
 
 # ------------------------------------------------------------- wishlist -----
 
-def toggle_wishlist(wishlist: DataFrame, toggles: DataFrame):
-    """Each toggle flips (user, product) membership. Final membership =
-    stored XOR (odd number of toggles); a line (re)inserted by the batch was
-    inserted by the key's last toggle and gets ``base + seq`` as id.
-    Returns ``(new_wishlist, outcomes)``; outcomes say 'added' or 'removed'
-    per toggle (position of the toggle within its key, by seq)."""
-    agg = toggles.groupBy("user_id", "product_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.max("seq").alias("_last"))
+def wishlist_from_counts(wishlist: DataFrame, counts: DataFrame) -> DataFrame:
+    """G4/S2 core: (user_id, product_id, n toggles, last seq) -> new wishlist.
+    Final membership = stored XOR (n odd); a line (re)inserted by the batch
+    was inserted by the key's last toggle and gets ``base + last seq``."""
     cur = wishlist.select("id", "user_id", "product_id")
     base = _id_base(wishlist)
-    j = cur.join(agg, ["user_id", "product_id"], "full_outer")
-    present_before = F.col("id").isNotNull()
+    j = cur.join(counts, ["user_id", "product_id"], "full_outer")
     n = F.coalesce(F.col("_n"), F.lit(0))
-    present_after = present_before != ((n % 2) == 1)
-    new = (j.where(present_after)
-           .select(F.when(n == 0, F.col("id")).otherwise(base + F.col("_last")).alias("id"),
-                   "user_id", "product_id"))
+    present_after = F.col("id").isNotNull() != ((n % 2) == 1)
+    return (j.where(present_after)
+            .select(F.when(n == 0, F.col("id")).otherwise(base + F.col("_last")).alias("id"),
+                    "user_id", "product_id"))
+
+
+def toggle_wishlist(wishlist: DataFrame, toggles: DataFrame):
+    """Each toggle (seq, user_id, product_id) flips membership. The new
+    table comes from per-key counts (partial aggregation); outcomes say
+    'added' or 'removed' per toggle from its position within the key (a
+    window per key, sorted with spilling). Returns ``(new_wishlist, outcomes)``."""
+    counts = toggles.groupBy("user_id", "product_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.max("seq").alias("_last"))
+    new = wishlist_from_counts(wishlist, counts)
     w = Window.partitionBy("user_id", "product_id").orderBy("seq")
-    before = cur.select("user_id", "product_id", F.lit(True).alias("_had"))
+    before = wishlist.select("user_id", "product_id", F.lit(True).alias("_had")).distinct()
     outcomes = (toggles.join(before, ["user_id", "product_id"], "left")
                 .withColumn("_k", F.row_number().over(w))
                 .withColumn("action", F.when(

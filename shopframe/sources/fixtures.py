@@ -239,6 +239,7 @@ CANCEL_REQUESTS = [
     ("seq", "o_orderkey"),
     ("order_id", "o_orderkey"),
     ("user_id", "CASE WHEN o_orderkey % 13 = 0 THEN o_custkey + 1 ELSE o_custkey END"),
+    ("ts", "o_orderdate + INTERVAL '1' DAY * (o_orderkey % 5)"),
 ]
 STATUS_REQUESTS = [
     ("seq", "o_orderkey"),
@@ -354,6 +355,21 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def raw_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a file stream (new files in the folder that match the
+    table's file name arrive as micro-batches)."""
+    schema = raw(spark, sf_dir, name).schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+            .parquet(sf_dir.rstrip("/")))
+
+
+def project(df: DataFrame, pairs, where: str | None = None) -> DataFrame:
+    """Apply one of the derivations above to a (batch or streaming) frame."""
+    if where:
+        df = df.where(where)
+    return df.selectExpr(*_sel(pairs))
+
+
 def derive_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All storefront tables for one scale-factor folder (lazy DataFrames)."""
     r = lambda n: raw(spark, sf_dir, n)
