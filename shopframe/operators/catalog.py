@@ -205,7 +205,7 @@ def result_count(df: DataFrame) -> DataFrame:
 
 
 def _non_blank_set(col: str) -> Column:
-    return F.array_sort(F.collect_set(F.when(P.non_blank(col), F.col(col))))
+    return F.sort_array(F.collect_set(F.when(P.non_blank(col), F.col(col))))
 
 
 def variant_options(t) -> DataFrame:
@@ -228,27 +228,37 @@ def default_variant(t) -> DataFrame:
     return best.select("v.*")
 
 
+OPTION_PAIRS = (("finish", "finish"), ("gemstone", "gemstones_colour"), ("size", "length_size"))
+
+
 def resolve_variant(t, choices: DataFrame) -> DataFrame:
     """Resolve chosen options to a variant iff exactly one variant of the
     product matches. ``choices``: (choice_id, product_id, finish, gemstone,
     size); a NULL choice means 'not chosen' and matches anything.
     Output: one row per choice with ``variant_id`` (NULL unless exactly one
-    match) and ``match_count``."""
-    v = t["product_variants"].select(
-        F.col("id").alias("vid"), F.col("product_id").alias("vpid"), F.col("finish").alias("v_finish"),
-        F.col("gemstones_colour").alias("v_gem"), F.col("length_size").alias("v_size"))
-    c = choices.select("choice_id", "product_id", "finish", "gemstone", "size")
-    # Equi join on the product (a product has few variants), then the
-    # null-tolerant option predicates.
-    cond = ((c["product_id"] == v["vpid"])
-            & (c["finish"].isNull() | (c["finish"] == v["v_finish"]))
-            & (c["gemstone"].isNull() | (c["gemstone"] == v["v_gem"]))
-            & (c["size"].isNull() | (c["size"] == v["v_size"])))
-    m = c.join(v, cond, "left")
-    return (m.groupBy("choice_id").agg(F.count("vid").alias("match_count"),
-                                      F.min("vid").alias("_vid"))
-            .select("choice_id", "match_count",
-                    F.when(F.col("match_count") == 1, F.col("_vid")).alias("variant_id")))
+    match) and ``match_count``.
+
+    No choice is paired with a product's variants one by one: for each of the
+    eight patterns of chosen / not-chosen options, variants are counted per
+    (product, chosen option values) and each choice with that pattern joins
+    exactly one such count row (equi join)."""
+    from functools import reduce
+    v = t["product_variants"]
+    parts = []
+    for mask in range(8):
+        chosen = [pair for i, pair in enumerate(OPTION_PAIRS) if mask >> i & 1]
+        free = [pair for i, pair in enumerate(OPTION_PAIRS) if not mask >> i & 1]
+        keys = ["product_id"] + [vc for _, vc in chosen]
+        counts = (v.where(reduce(lambda a, b: a & b, [F.col(vc).isNotNull() for _, vc in chosen], F.lit(True)))
+                  .groupBy(*keys).agg(F.count(F.lit(1)).alias("match_count"), F.min("id").alias("_vid")))
+        c = choices.where(reduce(lambda a, b: a & b,
+                                 [F.col(cc).isNotNull() for cc, _ in chosen]
+                                 + [F.col(cc).isNull() for cc, _ in free], F.lit(True)))
+        c = c.select("choice_id", "product_id", *[F.col(cc).alias(vc) for cc, vc in chosen])
+        parts.append(c.join(counts, keys, "left").select("choice_id", "match_count", "_vid"))
+    m = reduce(lambda a, b: a.unionByName(b), parts)
+    return m.select("choice_id", F.coalesce("match_count", F.lit(0)).alias("match_count"),
+                    F.when(F.col("match_count") == 1, F.col("_vid")).alias("variant_id"))
 
 
 def quick_add(t) -> DataFrame:

@@ -9,17 +9,22 @@ order (``shopframe.operators.cart_fold``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def email_taken(users: DataFrame, requests: DataFrame, id_col: str = "user_id") -> DataFrame:
     """Requests whose e-mail (case-insensitive) belongs to another
-    user. Equi join on the lower-cased e-mail, then the id inequality."""
-    u = users.select(F.col("id").alias("_owner"), F.lower("email").alias("_e"))
+    user. Users are first reduced to one row per e-mail (holder count and
+    lowest id), so a request meets one row however many users share the
+    address: taken when two or more users hold it, or one user who is not
+    the requester."""
+    holders = users.groupBy(F.lower("email").alias("_e")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("id").alias("_one"))
     r = requests.withColumn("_e", F.lower("email"))
-    return (r.join(u, "_e", "inner").where(F.col("_owner") != F.col(id_col))
-            .select(*requests.columns).distinct())
+    return (r.join(holders, "_e", "inner")
+            .where((F.col("_n") > 1) | (F.col("_one") != F.col(id_col)))
+            .select(*requests.columns))
 
 
 # --------------------------------------------------------------- helpers ----
@@ -75,13 +80,16 @@ def toggle_wishlist(wishlist: DataFrame, toggles: DataFrame):
     table comes from per-key counts (partial aggregation); outcomes say
     'added' or 'removed' per toggle from its position within the key (a
     window per key, sorted with spilling). Returns ``(new_wishlist, outcomes)``."""
+    from .paging import number_rows
     counts = toggles.groupBy("user_id", "product_id").agg(
         F.count(F.lit(1)).alias("_n"), F.max("seq").alias("_last"))
     new = wishlist_from_counts(wishlist, counts)
-    w = Window.partitionBy("user_id", "product_id").orderBy("seq")
     before = wishlist.select("user_id", "product_id", F.lit(True).alias("_had")).distinct()
-    outcomes = (toggles.join(before, ["user_id", "product_id"], "left")
-                .withColumn("_k", F.row_number().over(w))
+    # Position of each toggle within its key: skew-safe numbering (a hot key
+    # is split over range partitions), not a one-task window.
+    numbered = number_rows(toggles.select("seq", "user_id", "product_id"), [F.col("seq").asc()],
+                           ["user_id", "product_id"]).withColumnRenamed("position", "_k")
+    outcomes = (numbered.join(before, ["user_id", "product_id"], "left")
                 .withColumn("action", F.when(
                     F.coalesce(F.col("_had"), F.lit(False)) != ((F.col("_k") % 2) == 0),
                     F.lit("removed")).otherwise(F.lit("added")))

@@ -15,13 +15,15 @@ user or order are resolved first-come by ``seq``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pricing as R
+from ..session import materialize
 from . import carts as K
 from . import coupons as Q
 from .changes import _first_per_key, _id_base, _js_truthy
+from .paging import number_rows
 
 MONEY = R.MONEY
 
@@ -46,9 +48,8 @@ def _items_of_orders(order_items: DataFrame, orders: DataFrame, sign: int) -> Da
             .select("variant_id", (F.col("quantity") * sign).cast("long").alias("delta")))
 
 
-def _cart_check(t, requests: DataFrame) -> DataFrame:
+def _cart_check(lines: DataFrame) -> DataFrame:
     """Per requesting user: cart emptiness, F7 stock check, subtotal."""
-    lines = K.cart_view(t, requests.select("user_id"))
     short = F.col("stock") < F.col("quantity")
     return lines.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("_lines"),
@@ -77,7 +78,10 @@ def checkout(t, requests: DataFrame, now: Column, mode: str = "cod") -> dict[str
     orders, order_items, order_addresses, status_history, stock_deltas,
     cleared_carts."""
     r = _resolve_first(requests, "user_id")
-    chk = _cart_check(t, requests)
+    # The requesting users' cart lines feed the checks and the new order
+    # items: computed once.
+    cart = materialize(K.cart_view(t, requests.select("user_id")))
+    chk = _cart_check(cart)
     j = r.join(chk, "user_id", "left")
     bill_ok = _js_truthy(F.col("billing_name")) & _js_truthy(F.col("billing_phone"))
     base_reason = (F.when((~bill_ok) if mode == "cod" else F.lit(False), "invalid_billing")
@@ -91,7 +95,9 @@ def checkout(t, requests: DataFrame, now: Column, mode: str = "cod") -> dict[str
         F.when(F.col("_first_reason").isNull(), F.lit("cart_empty")).otherwise(F.col("_reason0")))
     j = j.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
     base = _id_base(t["orders"])
-    acc = j.where("accepted").withColumn("order_id", base + F.col("seq"))
+    # One row per request: the decisions feed every output frame.
+    j = materialize(j.withColumn("order_id", base + F.col("seq")))
+    acc = j.where("accepted")
 
     if mode == "gateway":
         quotes = Q.apply_coupons(
@@ -103,7 +109,7 @@ def checkout(t, requests: DataFrame, now: Column, mode: str = "cod") -> dict[str
         has_code = _js_truthy(F.col("coupon_code"))
         # A typed code that is not valid fails the whole order (as the original throws).
         bad_coupon = acc.where(has_code & ~F.col("_cpn_ok")).select("seq")
-        acc = acc.join(bad_coupon, "seq", "left_anti")
+        acc = materialize(acc.join(bad_coupon, "seq", "left_anti"))
         discount = F.when(has_code, F.col("discount")).otherwise(F.lit(0).cast(MONEY))
         orders = acc.select(
             F.col("order_id").alias("id"),
@@ -129,7 +135,7 @@ def checkout(t, requests: DataFrame, now: Column, mode: str = "cod") -> dict[str
             now.alias("created_at"))
         outcomes = j
     ok_users = orders.select("user_id", F.col("id").alias("order_id"))
-    lines = K.cart_view(t, ok_users).join(ok_users, "user_id")
+    lines = cart.join(ok_users, "user_id")
     items = lines.select("order_id", "product_id", "variant_id", F.col("name").alias("product_name"),
                          "quantity", F.col("price").cast(MONEY).alias("price"), "is_gift")
     addresses = acc.join(orders.select(F.col("id").alias("order_id")), "order_id", "left_semi").select(
@@ -314,17 +320,18 @@ def create_orders(t, requests: DataFrame, items: DataFrame, now: Column) -> dict
                .when(~addr_ok, "invalid_address"))
     r = r.withColumn("_reason0", reason0)
     # Coupon lock across the batch: rank the otherwise-valid orders per coupon.
+    # A popular coupon may carry a large share of the orders: the rank uses
+    # the skew-safe numbering (range partitions + offsets), not a one-task window.
     c = t["coupons"].select(F.col("id").alias("_cid"), "usage_limit", "used_count")
-    w = Window.partitionBy("_cid").orderBy("seq")
-    ranked = (r.where(F.col("_reason0").isNull() & has_code).select("seq", "_cid").join(c, "_cid")
-              .withColumn("_rank", F.row_number().over(w))
+    cand = r.where(F.col("_reason0").isNull() & has_code).select("seq", "_cid")
+    ranked = (number_rows(cand, [F.col("seq").asc()], ["_cid"]).join(c, "_cid")
               .withColumn("_over", F.col("usage_limit").isNotNull()
-                          & (F.col("_rank") > F.col("usage_limit") - F.col("used_count")))
+                          & (F.col("position") > F.col("usage_limit") - F.col("used_count")))
               .select("seq", "_over"))
     r = r.join(ranked, "seq", "left")
-    r = (r.withColumn("reason", F.when(F.col("_reason0").isNotNull(), F.col("_reason0"))
-                      .when(F.coalesce(F.col("_over"), F.lit(False)), F.lit("usage_limit")))
-         .withColumn("accepted", F.col("reason").isNull()))
+    r = materialize(r.withColumn("reason", F.when(F.col("_reason0").isNotNull(), F.col("_reason0"))
+                                 .when(F.coalesce(F.col("_over"), F.lit(False)), F.lit("usage_limit")))
+                    .withColumn("accepted", F.col("reason").isNull()))
     base = _id_base(t["orders"])
     acc = r.where("accepted").withColumn("order_id", base + F.col("seq"))
     disc = F.when(has_code, F.col("_disc")).otherwise(F.lit(0).cast(MONEY))

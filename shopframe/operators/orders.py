@@ -119,7 +119,7 @@ def status_timeline(t) -> DataFrame:
     """Per order, status history ascending by time (id breaks ties)."""
     h = t["order_status_history"]
     return h.groupBy("order_id").agg(
-        F.array_sort(F.collect_list(F.struct("created_at", "id", "status", "comment")))
+        F.sort_array(F.collect_list(F.struct("created_at", "id", "status", "comment")))
         .alias("status_history"))
 
 

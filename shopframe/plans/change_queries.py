@@ -2,8 +2,8 @@
 
 Each registered query reads a request batch derived from the test tables and
 reports one of the operator's outputs (outcomes, or a table after the
-change). The order-dependent cart fold has no SQL oracle (it is checked
-against a brute-force replay in tests/test_changes.py).
+change). The order-dependent cart fold's oracle is a recursive CTE replay; it
+is also checked against a Python replay in tests/test_changes.py.
 """
 
 from __future__ import annotations
@@ -27,14 +27,54 @@ def _now():
 
 # ------------------------------------------------------------- carts --------
 
-@register("cart_command_outcomes", "G1 G2 G3")
+# Sequential replay of the cart rules as a recursive CTE: step k of a key
+# applies its k-th command (by seq) to the state after step k-1.
+CART_FOLD_SQL = """
+WITH RECURSIVE
+c AS (SELECT cc.seq, cc.user_id, cc.variant_id, cc.op, cc.qty, cc.is_gift, v.stock,
+             row_number() OVER (PARTITION BY cc.user_id, cc.variant_id ORDER BY cc.seq) AS k
+      FROM cart_commands cc LEFT JOIN product_variants v ON v.id = cc.variant_id),
+i AS (SELECT user_id, variant_id, MIN(id) AS cid, arg_min(quantity, id) AS q, arg_min(is_gift, id) AS g
+      FROM cart_items GROUP BY user_id, variant_id),
+keys AS (SELECT DISTINCT user_id, variant_id FROM c),
+f AS (
+  SELECT k0.user_id, k0.variant_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq,
+         CAST(NULL AS VARCHAR) AS op, CAST(NULL AS VARCHAR) AS reason, i.q AS qty, i.g AS gift,
+         i.cid AS cid, CAST(NULL AS BIGINT) AS ins
+  FROM keys k0 LEFT JOIN i ON i.user_id = k0.user_id AND i.variant_id = k0.variant_id
+  UNION ALL
+  SELECT f.user_id, f.variant_id, c.k, c.seq, c.op, (CASE c.op WHEN 'add' THEN (CASE WHEN c.qty < 1 THEN 'invalid_request' WHEN c.stock IS NULL THEN 'variant_not_found' WHEN f.qty IS NOT NULL AND f.qty + c.qty > c.stock THEN 'stock_limit' WHEN f.qty IS NULL AND c.qty > c.stock THEN 'insufficient_stock' END) WHEN 'update' THEN (CASE WHEN f.qty IS NULL OR c.stock IS NULL THEN 'not_found' WHEN f.qty + c.qty < 1 THEN 'below_minimum' WHEN f.qty + c.qty > c.stock THEN 'stock_limit' END) WHEN 'remove' THEN (CASE WHEN f.qty IS NULL THEN 'not_found' END) ELSE 'unknown_op' END),
+    CASE WHEN (CASE c.op WHEN 'add' THEN (CASE WHEN c.qty < 1 THEN 'invalid_request' WHEN c.stock IS NULL THEN 'variant_not_found' WHEN f.qty IS NOT NULL AND f.qty + c.qty > c.stock THEN 'stock_limit' WHEN f.qty IS NULL AND c.qty > c.stock THEN 'insufficient_stock' END) WHEN 'update' THEN (CASE WHEN f.qty IS NULL OR c.stock IS NULL THEN 'not_found' WHEN f.qty + c.qty < 1 THEN 'below_minimum' WHEN f.qty + c.qty > c.stock THEN 'stock_limit' END) WHEN 'remove' THEN (CASE WHEN f.qty IS NULL THEN 'not_found' END) ELSE 'unknown_op' END) IS NOT NULL THEN f.qty WHEN c.op = 'add' THEN coalesce(f.qty, 0) + c.qty
+         WHEN c.op = 'update' THEN f.qty + c.qty END,
+    CASE WHEN (CASE c.op WHEN 'add' THEN (CASE WHEN c.qty < 1 THEN 'invalid_request' WHEN c.stock IS NULL THEN 'variant_not_found' WHEN f.qty IS NOT NULL AND f.qty + c.qty > c.stock THEN 'stock_limit' WHEN f.qty IS NULL AND c.qty > c.stock THEN 'insufficient_stock' END) WHEN 'update' THEN (CASE WHEN f.qty IS NULL OR c.stock IS NULL THEN 'not_found' WHEN f.qty + c.qty < 1 THEN 'below_minimum' WHEN f.qty + c.qty > c.stock THEN 'stock_limit' END) WHEN 'remove' THEN (CASE WHEN f.qty IS NULL THEN 'not_found' END) ELSE 'unknown_op' END) IS NULL AND c.op = 'add' AND f.qty IS NULL THEN c.is_gift
+         WHEN (CASE c.op WHEN 'add' THEN (CASE WHEN c.qty < 1 THEN 'invalid_request' WHEN c.stock IS NULL THEN 'variant_not_found' WHEN f.qty IS NOT NULL AND f.qty + c.qty > c.stock THEN 'stock_limit' WHEN f.qty IS NULL AND c.qty > c.stock THEN 'insufficient_stock' END) WHEN 'update' THEN (CASE WHEN f.qty IS NULL OR c.stock IS NULL THEN 'not_found' WHEN f.qty + c.qty < 1 THEN 'below_minimum' WHEN f.qty + c.qty > c.stock THEN 'stock_limit' END) WHEN 'remove' THEN (CASE WHEN f.qty IS NULL THEN 'not_found' END) ELSE 'unknown_op' END) IS NULL AND c.op = 'remove' THEN NULL ELSE f.gift END,
+    CASE WHEN (CASE c.op WHEN 'add' THEN (CASE WHEN c.qty < 1 THEN 'invalid_request' WHEN c.stock IS NULL THEN 'variant_not_found' WHEN f.qty IS NOT NULL AND f.qty + c.qty > c.stock THEN 'stock_limit' WHEN f.qty IS NULL AND c.qty > c.stock THEN 'insufficient_stock' END) WHEN 'update' THEN (CASE WHEN f.qty IS NULL OR c.stock IS NULL THEN 'not_found' WHEN f.qty + c.qty < 1 THEN 'below_minimum' WHEN f.qty + c.qty > c.stock THEN 'stock_limit' END) WHEN 'remove' THEN (CASE WHEN f.qty IS NULL THEN 'not_found' END) ELSE 'unknown_op' END) IS NULL AND ((c.op = 'add' AND f.qty IS NULL) OR c.op = 'remove') THEN NULL ELSE f.cid END,
+    CASE WHEN (CASE c.op WHEN 'add' THEN (CASE WHEN c.qty < 1 THEN 'invalid_request' WHEN c.stock IS NULL THEN 'variant_not_found' WHEN f.qty IS NOT NULL AND f.qty + c.qty > c.stock THEN 'stock_limit' WHEN f.qty IS NULL AND c.qty > c.stock THEN 'insufficient_stock' END) WHEN 'update' THEN (CASE WHEN f.qty IS NULL OR c.stock IS NULL THEN 'not_found' WHEN f.qty + c.qty < 1 THEN 'below_minimum' WHEN f.qty + c.qty > c.stock THEN 'stock_limit' END) WHEN 'remove' THEN (CASE WHEN f.qty IS NULL THEN 'not_found' END) ELSE 'unknown_op' END) IS NULL AND c.op = 'add' AND f.qty IS NULL THEN c.seq
+         WHEN (CASE c.op WHEN 'add' THEN (CASE WHEN c.qty < 1 THEN 'invalid_request' WHEN c.stock IS NULL THEN 'variant_not_found' WHEN f.qty IS NOT NULL AND f.qty + c.qty > c.stock THEN 'stock_limit' WHEN f.qty IS NULL AND c.qty > c.stock THEN 'insufficient_stock' END) WHEN 'update' THEN (CASE WHEN f.qty IS NULL OR c.stock IS NULL THEN 'not_found' WHEN f.qty + c.qty < 1 THEN 'below_minimum' WHEN f.qty + c.qty > c.stock THEN 'stock_limit' END) WHEN 'remove' THEN (CASE WHEN f.qty IS NULL THEN 'not_found' END) ELSE 'unknown_op' END) IS NULL AND c.op = 'remove' THEN NULL ELSE f.ins END
+  FROM f JOIN c ON c.user_id = f.user_id AND c.variant_id = f.variant_id AND c.k = f.k + 1)
+"""
+
+
+@register("cart_command_outcomes", "G1 G2 G3", sql=CART_FOLD_SQL + """
+SELECT seq, user_id, variant_id, op, reason IS NULL AS accepted, reason, qty AS quantity_after
+FROM f WHERE k > 0
+""")
 def cart_command_outcomes(t):
     """Outcome (accepted / reason / quantity after) of every cart command."""
     _, out = CF.apply_cart_commands(t["cart_items"], t["cart_commands"], t["product_variants"])
     return out
 
 
-@register("cart_after_commands", "G1 G2 G3")
+@register("cart_after_commands", "G1 G2 G3", sql=CART_FOLD_SQL + """,
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, variant_id ORDER BY k DESC) AS rn
+                        FROM f) WHERE rn = 1),
+fin AS (SELECT user_id, variant_id, qty, gift, cid, ins FROM last UNION ALL
+        SELECT user_id, variant_id, q, g, cid, NULL FROM i
+        WHERE NOT EXISTS (SELECT 1 FROM keys WHERE keys.user_id = i.user_id AND keys.variant_id = i.variant_id))
+SELECT coalesce(cid, (SELECT max(id) FROM cart_items) + ins) AS id, user_id, variant_id, qty AS quantity,
+       gift AS is_gift
+FROM fin WHERE qty IS NOT NULL
+""")
 def cart_after_commands(t):
     """The cart table after the command batch."""
     new, _ = CF.apply_cart_commands(t["cart_items"], t["cart_commands"], t["product_variants"])

@@ -44,6 +44,17 @@ def order_item_lines(t):
     return O.order_item_lines(t)
 
 
+@register("items_of_pending_orders", "A7", money=("price",), sql="""
+SELECT oi.* FROM order_items oi
+WHERE oi.order_id IN (SELECT id FROM shop_orders WHERE user_id IS NOT NULL AND status = 'pending')
+""")
+def items_of_pending_orders(t):
+    """Children of many parents at once (the IN (?) batch fetch): a semi
+    join of the order lines with the selected orders' ids."""
+    o = t["orders"].where(F.col("user_id").isNotNull() & (F.col("status") == "pending"))
+    return C.by_ids(t["order_items"], o, "order_id", "id")
+
+
 @register("order_rollup", "D11 D12", money=("items_total",), sql=f"""
 SELECT order_id, COUNT(*) AS n_items, CAST(SUM(total) AS DECIMAL(22,2)) AS items_total,
        bool_or(is_gift = 1) AS has_gift
@@ -76,7 +87,7 @@ def user_orders_nested(t):
     and structs (item count, price sum, sorted variant labels, addresses)."""
     u = O.user_orders(t, R.ts_literal(ORDERS_NOW))
     items = F.col("items")
-    labels = F.array_sort(F.transform(items, lambda i: F.struct(
+    labels = F.sort_array(F.transform(items, lambda i: F.struct(
         i["variant"].alias("v"), i["product_name"].alias("n"), i["quantity"].alias("q"),
         i["price"].alias("p"))))
     return u.select(
@@ -115,7 +126,7 @@ def order_details_nested(t):
     return d.select(
         "id", "order_number", "customer_name", "grand_total",
         F.size(items).cast("long").alias("n_items"), "has_gift",
-        F.array_join(F.array_sort(F.transform(items, lambda i: F.coalesce(i["sku"], F.lit("-")))), ",")
+        F.array_join(F.sort_array(F.transform(items, lambda i: F.coalesce(i["sku"], F.lit("-")))), ",")
         .alias("skus"),
         F.col("billing.name").alias("billing_name"),
         F.array_join(F.transform(hist, lambda h: h["status"]), ">").alias("timeline"),

@@ -76,8 +76,10 @@ def with_fixtures(sql: str) -> str:
         return sql
     body = sql.strip()
     head = ",\n".join(f"{n} AS ({ctes[n]})" for n in used)
-    if re.match(r"(?is)^with\s", body):
-        return f"WITH {head},\n{body[5:]}"
+    m = re.match(r"(?is)^with(\s+recursive)?\s", body)
+    if m:
+        kw = "WITH RECURSIVE" if m.group(1) else "WITH"
+        return f"{kw} {head},\n{body[m.end():]}"
     return f"WITH {head}\n{body}"
 
 
