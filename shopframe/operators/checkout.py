@@ -23,7 +23,7 @@ from ..session import materialize
 from . import carts as K
 from . import coupons as Q
 from .changes import _first_per_key, _id_base, _js_truthy
-from .paging import number_rows
+from .paging import number_rows, running_sums
 
 MONEY = R.MONEY
 
@@ -58,18 +58,69 @@ def _cart_check(lines: DataFrame) -> DataFrame:
         F.sum(R.line_total("price", "quantity")).cast(MONEY).alias("subtotal"))
 
 
+def fcfs_stock_decisions(lines: DataFrame, stock: DataFrame) -> DataFrame:
+    """Exact first-come-first-served stock allocation for competing requests.
+
+    ``lines``: (seq, variant_id, quantity) of each candidate request; ``stock``:
+    (variant_id, stock). Requests are served in ``seq`` order: a request is
+    accepted iff each of its lines fits the stock left by the requests
+    accepted before it (each line is checked on its own, as the original
+    checks every cart line against the stock it read). Returns (seq,
+    accepted).
+
+    Rounds: with running sums per variant over the undecided and accepted
+    requests in seq order, a pending request is surely accepted when it fits
+    even if every earlier undecided request were accepted, and surely
+    rejected when it does not fit even counting only the accepted ones
+    (acceptances never shrink a later request's competition). The earliest
+    pending request always meets one of the two, so every round decides at
+    least one request and the loop ends with the exact sequential answer;
+    each round's state is checkpointed."""
+    per = (lines.groupBy("seq", "variant_id")
+           .agg(F.max("quantity").alias("_check"), F.sum("quantity").alias("_take")))
+    per = materialize(per.join(stock.select("variant_id", F.col("stock").alias("_stock")), "variant_id", "left")
+                      .withColumn("_stock", F.coalesce(F.col("_stock"), F.lit(0))))
+    status = materialize(per.select("seq").distinct().withColumn("_st", F.lit("pending")))
+    while True:
+        live = per.join(status.where(F.col("_st") != "rejected"), "seq")
+        live = (live.withColumn("_acc", F.when(F.col("_st") == "accepted", F.col("_take")).otherwise(F.lit(0)))
+                .withColumn("_all", F.col("_take")))
+        rs = running_sums(live, ["variant_id"], [F.col("seq").asc()], ["_acc", "_all"])
+        rs = (rs.withColumn("_all_before", F.col("_all_cum") - F.col("_all"))
+              .withColumn("_acc_before", F.col("_acc_cum") - F.col("_acc")))
+        verdict = (rs.where(F.col("_st") == "pending").groupBy("seq").agg(
+            F.bool_and(F.col("_all_before") + F.col("_check") <= F.col("_stock")).alias("_sure_ok"),
+            F.bool_or(F.col("_acc_before") + F.col("_check") > F.col("_stock")).alias("_sure_bad")))
+        status = materialize(
+            status.join(verdict, "seq", "left")
+            .withColumn("_st", F.when(F.col("_st") != "pending", F.col("_st"))
+                        .when(F.col("_sure_bad"), F.lit("rejected"))
+                        .when(F.col("_sure_ok"), F.lit("accepted")).otherwise(F.lit("pending")))
+            .select("seq", "_st"))
+        if status.where(F.col("_st") == "pending").isEmpty():
+            break
+    return status.select("seq", (F.col("_st") == "accepted").alias("accepted"))
+
+
 def _resolve_first(requests: DataFrame, key: str) -> DataFrame:
     return _first_per_key(requests, [key])
 
 
-def checkout(t, requests: DataFrame, now: Column, mode: str = "cod") -> dict[str, DataFrame]:
+def checkout(t, requests: DataFrame, now: Column, mode: str = "cod",
+             stock_policy: str = "opening") -> dict[str, DataFrame]:
     """G15 (``mode='cod'``) and G16 (``mode='gateway'``).
 
     ``requests``: (seq, user_id, billing_name, billing_phone, billing_city,
     billing_state, billing_pincode[, coupon_code]). Checks: billing name and
     phone (B24, COD only), non-empty cart, every line within stock (F7).
-    The first request per user is the one processed; a later one finds the
-    cart cleared ('cart_empty') or fails like the first.
+    Per user, the earliest request that passes billing and cart checks
+    meets the stock check; later requests find the cart cleared
+    ('cart_empty') when it succeeded, or fail the stock check too.
+
+    ``stock_policy='opening'`` checks each cart on its own against the stock
+    at the start of the batch; ``'fcfs'`` serves the carts in ``seq`` order
+    against the stock the earlier accepted carts left
+    (``fcfs_stock_decisions``), as the original's row locks do.
 
     COD: order pending / unpaid, stock -= quantities, cart cleared, history
     'pending' by system. Gateway: coupon quoted under the gateway policy,
@@ -77,22 +128,60 @@ def checkout(t, requests: DataFrame, now: Column, mode: str = "cod") -> dict[str
     cart kept (cleared on payment, G17). Returns a dict of frames: outcomes,
     orders, order_items, order_addresses, status_history, stock_deltas,
     cleared_carts."""
-    r = _resolve_first(requests, "user_id")
     # The requesting users' cart lines feed the checks and the new order
     # items: computed once.
     cart = materialize(K.cart_view(t, requests.select("user_id")))
     chk = _cart_check(cart)
-    j = r.join(chk, "user_id", "left")
+    j = requests.join(chk, "user_id", "left")
     bill_ok = _js_truthy(F.col("billing_name")) & _js_truthy(F.col("billing_phone"))
-    base_reason = (F.when((~bill_ok) if mode == "cod" else F.lit(False), "invalid_billing")
-                   .when(F.coalesce(F.col("_lines"), F.lit(0)) == 0, "cart_empty")
-                   .when(~F.col("_stock_ok"), F.concat(F.lit("Insufficient stock for "), F.col("_short"))))
-    j = j.withColumn("_reason0", base_reason)
-    # Later requests of a user: the cart is gone if the first one succeeded.
-    first = (j.where("_is_first").select("user_id", F.col("_reason0").alias("_first_reason")))
-    j = j.join(first, "user_id", "left")
-    reason = F.when(F.col("_is_first"), F.col("_reason0")).otherwise(
-        F.when(F.col("_first_reason").isNull(), F.lit("cart_empty")).otherwise(F.col("_reason0")))
+    billing_bad = (~bill_ok) if mode == "cod" else F.lit(False)
+    j = j.withColumn("_reason0", F.when(billing_bad, "invalid_billing")
+                     .when(F.coalesce(F.col("_lines"), F.lit(0)) == 0, "cart_empty"))
+    # Per user, the earliest request that passes the billing and cart checks
+    # is the one that meets the stock check (a grouped min, joined back).
+    eff = (j.where(F.col("_reason0").isNull()).groupBy("user_id")
+           .agg(F.min("seq").alias("_eff_seq")))
+    j = j.join(eff, "user_id", "left")
+    if stock_policy == "fcfs":
+        cand = j.where(F.col("seq") == F.col("_eff_seq")).select("seq", "user_id")
+        lines = materialize(cart.join(cand, "user_id").select("seq", "user_id", "variant_id", "quantity",
+                                                                "cart_id", "name"))
+        stock = t["product_variants"].select(F.col("id").alias("variant_id"), "stock")
+        dec = fcfs_stock_decisions(lines.select("seq", "variant_id", "quantity"), stock)
+        ok_users = lines.join(dec.where("accepted"), "seq").select("user_id").distinct()
+        # Stock-rejected users: their later passing requests fail too (stock
+        # only falls during a checkout batch); every such request names the
+        # first short line (lowest cart id) against the stock left at its
+        # turn: accepted takes and rejected lines in one seq order per
+        # variant, where a rejected line's running sum (its own value 0) is
+        # the stock taken before it.
+        bad = (j.where(F.col("_reason0").isNull() & F.col("_eff_seq").isNotNull())
+               .join(ok_users, "user_id", "left_anti").select("seq", "user_id"))
+        acc = (lines.join(dec.where("accepted").select("seq"), "seq")
+               .select("variant_id", "seq", F.lit(-1).cast("long").alias("cart_id"),
+                       F.col("quantity").cast("long").alias("_t"), F.lit(None).cast("long").alias("_q"),
+                       F.lit(None).cast("string").alias("name")))
+        rej = (cart.join(bad, "user_id")
+               .select("variant_id", "seq", F.col("cart_id").cast("long"), F.lit(0).cast("long").alias("_t"),
+                       F.col("quantity").cast("long").alias("_q"), "name"))
+        before = running_sums(acc.unionByName(rej), ["variant_id"],
+                              [F.col("seq").asc(), F.col("cart_id").asc()], ["_t"])
+        short = (before.where(F.col("_q").isNotNull())
+                 .join(stock.withColumnRenamed("stock", "_stock"), "variant_id", "left")
+                 .where(F.col("_t_cum") + F.col("_q") > F.coalesce(F.col("_stock"), F.lit(0)))
+                 .groupBy("seq").agg(F.min_by("name", "cart_id").alias("_short_name")))
+        j = (j.join(ok_users.withColumn("_user_ok", F.lit(True)), "user_id", "left")
+             .join(short, "seq", "left")
+             .withColumn("_stock_ok", F.coalesce(F.col("_user_ok"), F.lit(False))))
+        stock_reason = F.concat(F.lit("Insufficient stock for "), F.col("_short_name"))
+    else:
+        j = j.withColumn("_stock_ok", F.coalesce(F.col("_stock_ok"), F.lit(True)))
+        stock_reason = F.concat(F.lit("Insufficient stock for "), F.col("_short"))
+    # A request failing billing or cart checks keeps that reason; otherwise
+    # it is the user's effective request (stock decides) or a later one.
+    reason = (F.when(F.col("_reason0").isNotNull(), F.col("_reason0"))
+              .when(~F.col("_stock_ok"), stock_reason)
+              .when(F.col("seq") > F.col("_eff_seq"), F.lit("cart_empty")))
     j = j.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
     base = _id_base(t["orders"])
     # One row per request: the decisions feed every output frame.

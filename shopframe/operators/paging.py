@@ -67,3 +67,36 @@ def number_rows(df: DataFrame, order: list[Column], group_cols: list[str] | None
     if page_size:
         out = out.withColumn("page", F.floor((F.col("position") - 1) / page_size).cast("long") + 1)
     return out
+
+
+def running_sums(df: DataFrame, group_cols: list[str], order: list[Column], value_cols: list[str],
+                 num_partitions: int | None = None, suffix: str = "_cum") -> DataFrame:
+    """Inclusive running sums of ``value_cols`` in ``order`` within
+    ``group_cols``, without a one-task window per group: range partitions
+    split a hot group; each (partition, group) run is summed locally and
+    shifted by the totals of the same group in earlier partitions (at most
+    #partitions rows per group). ``order`` must be a total order."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(g).asc_nulls_first() for g in group_cols] + list(order)
+    tagged = (df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
+              .checkpoint(eager=True))
+    w = (Window.partitionBy("_pid", *group_cols).orderBy(*order)
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = tagged.select("*", *[F.sum(v).over(w).alias(f"_loc_{v}") for v in value_cols])
+    totals = tagged.groupBy("_pid", *group_cols).agg(*[F.sum(v).alias(f"_tot_{v}") for v in value_cols])
+    wo = (Window.partitionBy(*group_cols).orderBy("_pid") if group_cols else Window.orderBy("_pid"))
+    offs = totals.select("_pid", *group_cols, *[
+        F.coalesce(F.sum(f"_tot_{v}").over(wo.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        .alias(f"_off_{v}") for v in value_cols])
+    r = offs.select(F.col("_pid").alias("_rpid"), *[F.col(g).alias(f"_rg_{g}") for g in group_cols],
+                    *[f"_off_{v}" for v in value_cols])
+    cond = F.col("_pid") == F.col("_rpid")
+    for g in group_cols:
+        cond = cond & F.col(g).eqNullSafe(F.col(f"_rg_{g}"))
+    out = local.join(r, cond, "inner")
+    for v in value_cols:
+        out = out.withColumn(f"{v}{suffix}", F.col(f"_off_{v}") + F.col(f"_loc_{v}"))
+    return out.drop("_pid", "_rpid", *[f"_rg_{g}" for g in group_cols],
+                    *[f"_loc_{v}" for v in value_cols], *[f"_off_{v}" for v in value_cols])

@@ -416,15 +416,15 @@ COD_SQL = f"""
 WITH chk AS (SELECT user_id, COUNT(*) AS nl, bool_and(stock >= quantity) AS ok,
                     arg_min(name, cart_id) FILTER (WHERE stock < quantity) AS short
              FROM ({CART_SQL}) c GROUP BY user_id),
-r AS (SELECT q.*, q.seq = MIN(q.seq) OVER (PARTITION BY q.user_id) AS first,
+r AS (SELECT q.*, chk.ok, chk.short,
         CASE WHEN coalesce(q.billing_name, '') = '' OR coalesce(q.billing_phone, '') = '' THEN 'invalid_billing'
-             WHEN coalesce(chk.nl, 0) = 0 THEN 'cart_empty'
-             WHEN NOT chk.ok THEN 'Insufficient stock for ' || chk.short END AS r0
+             WHEN coalesce(chk.nl, 0) = 0 THEN 'cart_empty' END AS r0
       FROM checkout_requests q LEFT JOIN chk ON chk.user_id = q.user_id),
-f AS (SELECT user_id, r0 AS fr FROM r WHERE first)
+e AS (SELECT user_id, MIN(seq) AS eff FROM r WHERE r0 IS NULL GROUP BY user_id)
 SELECT r.seq, r.user_id,
-  CASE WHEN r.first THEN r.r0 WHEN f.fr IS NULL THEN 'cart_empty' ELSE r.r0 END AS reason
-FROM r LEFT JOIN f ON f.user_id = r.user_id
+  CASE WHEN r.r0 IS NOT NULL THEN r.r0 WHEN NOT coalesce(r.ok, true) THEN 'Insufficient stock for ' || r.short
+       WHEN r.seq > e.eff THEN 'cart_empty' END AS reason
+FROM r LEFT JOIN e ON e.user_id = r.user_id
 """
 
 
@@ -435,6 +435,14 @@ def cod_checkout_outcomes(t):
     return CO.checkout(t, t["checkout_requests"], _now(), "cod")["outcomes"]
 
 
+@register("cod_checkout_fcfs_outcomes", "G15 F7")
+def cod_checkout_fcfs_outcomes(t):
+    """COD checkouts served first-come-first-served across users against
+    the stock earlier accepted carts left (checked against a sequential
+    replay in tests/test_changes.py; no SQL oracle)."""
+    return CO.checkout(t, t["checkout_requests"], _now(), "cod", stock_policy="fcfs")["outcomes"]
+
+
 @register("stock_after_cod_checkout", "G15 G23", sql=f"""
 WITH ok AS (SELECT user_id FROM ({COD_SQL}) x WHERE reason IS NULL),
 d AS (SELECT variant_id, SUM(quantity) AS q FROM ({CART_SQL}) c WHERE user_id IN (SELECT user_id FROM ok)

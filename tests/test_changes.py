@@ -126,3 +126,76 @@ def test_upsert_products_keeps_images(spark):
                                 "seq long, id long, name string, description string, image1 string, image2 string")
     r = G.upsert_products(p, req).collect()[0]
     assert (r.name, r.description, r.image1, r.image2) == ("b", None, "i1.jpg", "n2.jpg")
+
+
+def replay_checkout_fcfs(requests, cart_lines, stock):
+    """Sequential COD checkout replay: requests in seq order, each user's
+    cart checked line by line against the stock left, cart cleared on
+    success."""
+    stock = dict(stock)
+    carts = {}
+    for uid, cid, vid, q, name in sorted(cart_lines, key=lambda x: x[1]):
+        carts.setdefault(uid, []).append((cid, vid, q, name))
+    out = {}
+    for seq, uid, bname, bphone in sorted(requests):
+        if not bname or not bphone:
+            out[seq] = "invalid_billing"
+            continue
+        lines = carts.get(uid)
+        if not lines:
+            out[seq] = "cart_empty"
+            continue
+        short = [ln for ln in lines if stock.get(ln[1], 0) < ln[2]]
+        if short:
+            out[seq] = "Insufficient stock for " + short[0][3]
+            continue
+        for _, vid, q, _ in lines:
+            stock[vid] -= q
+        carts[uid] = []
+        out[seq] = None
+    return out
+
+
+def test_fcfs_checkout_matches_sequential_replay(spark):
+    from shopframe.functions import pricing as R
+    variants = spark.createDataFrame([(1, 1, 5), (2, 1, 2), (3, 2, 1)], "id long, product_id long, stock int")
+    products = spark.createDataFrame([(1, "ring", "r.jpg"), (2, "chain", "c.jpg")],
+                                     "id long, name string, image1 string")
+    cart = spark.createDataFrame([
+        (10, 1, 1, 3, 0), (11, 1, 2, 1, 0),      # user 1: 3 of v1, 1 of v2
+        (12, 2, 1, 3, 0),                        # user 2: 3 of v1 -> short after user 1
+        (13, 3, 2, 1, 0), (14, 3, 3, 1, 0),      # user 3: fits after 1 (v2 left 1)
+        (15, 4, 3, 1, 0),                        # user 4: v3 taken by user 3
+        (16, 5, 1, 2, 0),                        # user 5: v1 left 2 -> fits
+    ], "id long, user_id long, variant_id long, quantity long, is_gift int")
+    t = {"product_variants": variants.selectExpr("*", "CAST(NULL AS STRING) AS finish",
+                                                 "CAST(NULL AS STRING) AS length_size",
+                                                 "CAST(NULL AS STRING) AS width",
+                                                 "CAST(NULL AS STRING) AS thickness",
+                                                 "CAST(1 AS DECIMAL(10,2)) AS price"),
+         "products": products, "cart_items": cart,
+         "orders": spark.createDataFrame([(100,)], "id long")}
+    reqs = [(1, 1, "a", "9"), (2, 2, "b", "9"), (3, 3, "c", "9"), (4, 4, "d", "9"), (5, 5, "e", "9"),
+            (6, 1, "a", "9"), (7, 2, "b", "9"), (8, 6, "f", "9"), (0, 4, "", "9")]
+    rdf = spark.createDataFrame(reqs, "seq long, user_id long, billing_name string, billing_phone string")
+    for c in ("billing_city", "billing_state", "billing_pincode"):
+        rdf = rdf.withColumn(c, F.lit("x"))
+    res = CO.checkout(t, rdf, R.ts_literal("2024-01-01 00:00:00"), "cod", stock_policy="fcfs")
+    got = {r.seq: r.reason for r in res["outcomes"].collect()}
+    lines = [(r.user_id, r.id, r.variant_id, r.quantity, "ring" if r.variant_id in (1, 2) else "chain")
+             for r in cart.collect()]
+    exp = replay_checkout_fcfs(reqs, lines, {1: 5, 2: 2, 3: 1})
+    assert got == exp
+    assert got[1] is None and got[2].startswith("Insufficient") and got[6] == "cart_empty"
+
+
+def test_fcfs_on_fixture_matches_replay(spark, t_small):
+    from shopframe.functions import pricing as R
+    reqs_df = t_small["checkout_requests"]
+    res = CO.checkout(t_small, reqs_df, R.ts_literal("2024-02-01 00:00:00"), "cod", stock_policy="fcfs")
+    got = {r.seq: r.reason for r in res["outcomes"].collect()}
+    from shopframe.operators import carts as K
+    cl = [(r.user_id, r.cart_id, r.variant_id, r.quantity, r.name) for r in K.cart_view(t_small).collect()]
+    stock = {r.id: r.stock for r in t_small["product_variants"].collect()}
+    reqs = [(r.seq, r.user_id, r.billing_name, r.billing_phone) for r in reqs_df.collect()]
+    assert got == replay_checkout_fcfs(reqs, cl, stock)
