@@ -10,10 +10,14 @@ from ..operators import catalog as C
 from ..session import scratch_path
 from ..sources import sinks as K
 from ..sources import tables as T
-from .registry import REGISTRY, as_report, register, tables
+from .registry import register, register_session, tables
 
 
-def _roundtrip(spark, sf_dir):
+@register_session("tables_roundtrip_cards", "A1", money=("price",), sql="""
+SELECT p.id, p.name, p.image1, MIN(v.price) AS price
+FROM products p JOIN product_variants v ON v.product_id = p.id GROUP BY p.id, p.name, p.image1
+""")
+def tables_roundtrip_cards(spark, sf_dir):
     """A1: write the derived products and variants as parquet folders under
     the shared checkpoint folder, load them back with the explicit schemas,
     and rebuild the product cards from the loaded tables."""
@@ -21,14 +25,7 @@ def _roundtrip(spark, sf_dir):
     path = scratch_path(spark, f"tables-{uuid.uuid4().hex[:12]}")
     T.save_tables({"products": t["products"], "product_variants": t["product_variants"]}, path)
     loaded = T.load_tables(spark, path, ["products", "product_variants"])
-    return as_report(C.product_cards(loaded, columns=["id", "name", "image1"]))
-
-
-register("tables_roundtrip_cards", "A1", money=("price",), sql="""
-SELECT p.id, p.name, p.image1, MIN(v.price) AS price
-FROM products p JOIN product_variants v ON v.product_id = p.id GROUP BY p.id, p.name, p.image1
-""")(lambda t: None)
-REGISTRY["tables_roundtrip_cards"].build = _roundtrip
+    return C.product_cards(loaded, columns=["id", "name", "image1"])
 
 
 @register("shop_page_with_total", "A8 D19", money=("price",), sql="""

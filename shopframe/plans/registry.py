@@ -65,6 +65,22 @@ def register(name: str, ops: str, sql: str | None = None, money: tuple = ()):
     return deco
 
 
+def register_session(name: str, ops: str, sql: str | None = None, money: tuple = ()):
+    """Decorator for ``fn(spark, sf_dir) -> DataFrame``: queries that need the
+    session itself (streams, written and re-read tables)."""
+    def deco(fn):
+        register(name, ops, sql=sql, money=money)(fn)
+        q = REGISTRY[name]
+
+        def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return as_report(fn(spark, sf_dir))
+        build.__name__ = name
+        build.__doc__ = fn.__doc__
+        q.build = build
+        return fn
+    return deco
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: q.build for k, q in REGISTRY.items()}
 

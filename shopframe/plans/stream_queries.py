@@ -4,21 +4,11 @@ available and reports the final table; the oracle is the batch semantics."""
 from __future__ import annotations
 
 from ..streaming import streams as S
-from .registry import register, tables
+from .registry import register_session, tables
 
 
 def _register_stream(name, ops, sql, fn):
-    def build(t):  # noqa: ARG001 - streams need the session and folder, see below
-        raise NotImplementedError
-    register(name, ops, sql=sql)(build)
-    from .registry import REGISTRY, as_report
-    q = REGISTRY[name]
-
-    def run(spark, sf_dir):
-        return as_report(fn(spark, sf_dir))
-    run.__name__ = name
-    run.__doc__ = fn.__doc__
-    q.build = run
+    register_session(name, ops, sql=sql)(fn)
 
 
 from .change_queries import CART_FOLD_SQL  # noqa: E402
