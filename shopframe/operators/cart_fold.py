@@ -8,7 +8,9 @@ partition by (key, initial row first, seq) with its spilling external sort;
 ``mapInPandas`` then walks the sorted Arrow batches once, carrying only the
 current key's line between rows and batches. Memory per task is one batch
 plus one line, whatever the size of a key's history, and no key's history is
-gathered into an array or a pandas group.
+gathered into an array or a pandas group. A key with very many commands is
+also split across tasks (``fold_cart_commands``), so even a key holding a
+large share of all commands is not replayed by one task.
 
 Rules (per command, against the line's current quantity ``q`` and the
 variant's stock):
@@ -28,46 +30,61 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-OUT_SCHEMA = ("row_kind string, user_id long, variant_id long, seq long, op string, "
-              "accepted boolean, reason string, quantity long, is_gift int, cart_id long, "
-              "inserted_by long")
+OUT_SCHEMA = ("row_kind string, user_id long, variant_id long, chunk long, seq long, op string, "
+              "accepted boolean, reason string, inserted boolean, quantity long, is_gift int, "
+              "cart_id long, inserted_by long")
+OUT_COLS = ["row_kind", "user_id", "variant_id", "chunk", "seq", "op", "accepted", "reason", "inserted",
+            "quantity", "is_gift", "cart_id", "inserted_by"]
+
+# Keys with more commands than this are split into ordered chunks that run in
+# parallel (exactly, see ``_chunk_tables``); at most MAX_CHUNKS chunks per key,
+# for keys whose quantity domain (stock or stored quantity + 1) is at most
+# MAX_DOMAIN states. Other keys stream through one task.
+HOT_KEY_COMMANDS = 100_000
+MAX_CHUNKS = 1024
+MAX_DOMAIN = 4096
+
+
+def _num(x):
+    return None if x is None or (isinstance(x, float) and np.isnan(x)) else int(x)
 
 
 def _fold(batches):
-    cur = None          # current (user_id, variant_id)
+    """Stream (key, chunk)-sorted rows: an init row (_kind 0) then commands."""
+    cur = None          # current (user_id, variant_id, chunk)
     qty = None          # current line quantity (None = no line)
     gift = None
-    cid = None          # existing cart id (None for a line inserted in this batch)
+    cid = None          # stored cart id (None once the line is re-inserted)
     ins = None          # seq of the command that inserted the line
-    cols = ["row_kind", "user_id", "variant_id", "seq", "op", "accepted", "reason", "quantity",
-            "is_gift", "cart_id", "inserted_by"]
 
     def state_row(key):
-        return ("state", key[0], key[1], None, None, None, None, qty, gift, cid, ins)
+        return ("state", key[0], key[1], key[2], None, None, None, None, None, qty, gift, cid, ins)
 
     for pdf in batches:
         out = []
         users = pdf["user_id"].to_numpy()
         variants = pdf["variant_id"].to_numpy()
+        chunks = pdf["_chunk"].to_numpy()
         kinds = pdf["_kind"].to_numpy()
-        seqs = pdf["seq"].to_numpy()
+        seqs = pdf["seq"].to_numpy(dtype="float64", na_value=np.nan)
         ops = pdf["op"].to_numpy()
-        qtys = pdf["qty"].to_numpy()
-        gifts = pdf["is_gift"].to_numpy()
+        qtys = pdf["qty"].to_numpy(dtype="float64", na_value=np.nan)
+        gifts = pdf["is_gift"].to_numpy(dtype="float64", na_value=np.nan)
         stocks = pdf["stock"].to_numpy(dtype="float64", na_value=np.nan)
         ids = pdf["cart_id"].to_numpy(dtype="float64", na_value=np.nan)
         for i in range(len(pdf)):
-            key = (int(users[i]), int(variants[i]))
+            key = (int(users[i]), int(variants[i]), int(chunks[i]))
             if key != cur:
-                if cur is not None and qty is not None:
+                if cur is not None:
                     out.append(state_row(cur))
                 cur, qty, gift, cid, ins = key, None, None, None, None
-            if kinds[i] == 0:  # the line as stored before the batch
-                qty, gift, cid = int(qtys[i]), int(gifts[i]), int(ids[i])
+            if kinds[i] == 0:  # the line at the start of this key (or chunk)
+                qty, gift, cid = _num(qtys[i]), _num(gifts[i]), _num(ids[i])
                 continue
-            op, n, stock = ops[i], int(qtys[i]), stocks[i]
+            op, n, stock, seq = ops[i], int(qtys[i]), stocks[i], int(seqs[i])
             known = not np.isnan(stock)
             reason = None
+            inserted = False
             if op == "add":
                 if n < 1:
                     reason = "invalid_request"
@@ -81,7 +98,7 @@ def _fold(batches):
                 elif n > stock:
                     reason = "insufficient_stock"
                 else:
-                    qty, gift, cid, ins = n, int(gifts[i]), None, int(seqs[i])
+                    qty, gift, cid, ins, inserted = n, _num(gifts[i]), None, seq, True
             elif op == "update":
                 if qty is None or not known:
                     reason = "not_found"
@@ -98,54 +115,188 @@ def _fold(batches):
                     qty, gift, cid, ins = None, None, None, None
             else:
                 reason = "unknown_op"
-            out.append(("outcome", key[0], key[1], int(seqs[i]), op, reason is None, reason,
+            out.append(("outcome", key[0], key[1], key[2], seq, op, reason is None, reason, inserted,
                         qty, gift, None, None))
         if out:
-            yield pd.DataFrame(out, columns=cols)
-    if cur is not None and qty is not None:
-        yield pd.DataFrame([state_row(cur)], columns=cols)
+            yield pd.DataFrame(out, columns=OUT_COLS)
+    if cur is not None:
+        yield pd.DataFrame([state_row(cur)], columns=OUT_COLS)
+
+
+def _step_all(q, op, n, stock):
+    """One command applied to every start quantity at once (0 = no line)."""
+    if op == "add":
+        if n < 1 or stock is None:
+            return q
+        present = q > 0
+        return np.where(present, np.where(q + n > stock, q, q + n), 0 if n > stock else n)
+    if op == "update":
+        if stock is None:
+            return q
+        cand = q + n
+        return np.where((q > 0) & (cand >= 1) & (cand <= stock), cand, q)
+    if op == "remove":
+        return np.zeros_like(q)
+    return q
+
+
+def _chunk_tables(batches):
+    """Per (key, chunk) of a hot key: the chunk's commands as a function
+    table ``end[q]`` over every start quantity q in 0..domain-1 (0 = no
+    line), computed by applying each command to the whole vector."""
+    cur, q = None, None
+    rows = []
+    for pdf in batches:
+        users = pdf["user_id"].to_numpy()
+        variants = pdf["variant_id"].to_numpy()
+        chunks = pdf["_chunk"].to_numpy()
+        doms = pdf["_dom"].to_numpy()
+        ops = pdf["op"].to_numpy()
+        qtys = pdf["qty"].to_numpy()
+        stocks = pdf["stock"].to_numpy(dtype="float64", na_value=np.nan)
+        for i in range(len(pdf)):
+            key = (int(users[i]), int(variants[i]), int(chunks[i]))
+            if key != cur:
+                if cur is not None:
+                    rows.append((*cur, q.tolist()))
+                cur, q = key, np.arange(int(doms[i]), dtype=np.int64)
+            st = None if np.isnan(stocks[i]) else int(stocks[i])
+            q = _step_all(q, ops[i], int(qtys[i]), st)
+        if len(rows) >= 64:
+            yield pd.DataFrame(rows, columns=["user_id", "variant_id", "_chunk", "_table"])
+            rows = []
+    if cur is not None:
+        rows.append((*cur, q.tolist()))
+    if rows:
+        yield pd.DataFrame(rows, columns=["user_id", "variant_id", "_chunk", "_table"])
+
+
+def _walk_chunks(pdf):
+    """One hot key: walk its chunk tables in order from the stored quantity;
+    the start quantity of every chunk."""
+    pdf = pdf.sort_values("_chunk")
+    q = int(pdf["_q0"].iloc[0]) if pd.notna(pdf["_q0"].iloc[0]) else 0
+    starts = []
+    for table in pdf["_table"]:
+        starts.append(q)
+        q = int(table[q])
+    return pd.DataFrame({"user_id": pdf["user_id"].to_numpy(), "variant_id": pdf["variant_id"].to_numpy(),
+                         "_chunk": pdf["_chunk"].to_numpy(), "_start": starts})
+
+
+def _stream(rows: DataFrame, n: int) -> DataFrame:
+    keys = ["user_id", "variant_id", "_chunk"]
+    return (rows.repartition(n, *keys).sortWithinPartitions(*keys, "_kind", "seq")
+            .mapInPandas(_fold, OUT_SCHEMA))
+
+
+def _init_rows(init: DataFrame, chunk_col=None) -> DataFrame:
+    chunk_col = F.lit(0) if chunk_col is None else chunk_col
+    return init.select(F.lit(0).alias("_kind"), "user_id", "variant_id", chunk_col.cast("long").alias("_chunk"),
+                       F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("op"),
+                       F.col("qty").cast("long").alias("qty"), F.col("is_gift").cast("int").alias("is_gift"),
+                       F.col("cart_id").cast("long").alias("cart_id"), F.lit(None).cast("long").alias("stock"))
+
+
+def _cmd_rows(cmds: DataFrame, chunk_col=None) -> DataFrame:
+    chunk_col = F.lit(0) if chunk_col is None else chunk_col
+    return cmds.select(F.lit(1).alias("_kind"), "user_id", "variant_id", chunk_col.cast("long").alias("_chunk"),
+                       "seq", "op", "qty", "is_gift", F.lit(None).cast("long").alias("cart_id"), "stock")
 
 
 def fold_cart_commands(cart_items: DataFrame, commands: DataFrame, variants: DataFrame,
-                       num_partitions: int | None = None) -> DataFrame:
-    """Run the fold; returns outcome rows (one per command) and state rows
-    (the final line of every key that has one and was touched or stored)."""
+                       num_partitions: int | None = None,
+                       hot_threshold: int = HOT_KEY_COMMANDS, max_chunks: int = MAX_CHUNKS) -> DataFrame:
+    """Run the fold; returns outcome rows (one per command) and one state row
+    per touched or stored key (quantity NULL = no line) with the final line.
+
+    Keys with more than ``hot_threshold`` commands are split: their commands
+    are numbered within the key (skew-safe, ``paging.number_rows``) and cut
+    into at most MAX_CHUNKS ordered chunks; each chunk's function table is
+    computed in parallel, a per-key walk over the (few) tables yields every
+    chunk's exact start quantity, and the chunks then replay in parallel. A
+    key whose quantity domain exceeds MAX_DOMAIN stays on the single
+    sequential stream (exact, bounded memory)."""
+    from ..session import materialize
+    from .paging import number_rows
     spark = commands.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = ["user_id", "variant_id"]
     stock = variants.select(F.col("id").alias("variant_id"), F.col("stock").cast("long").alias("stock"))
     # The stored line per key (a bag may hold duplicates: the lowest id is
     # the one the shop reads back).
-    init = (cart_items.groupBy("user_id", "variant_id").agg(
+    init = (cart_items.groupBy(*key).agg(
         F.min("id").alias("cart_id"),
         F.min_by("quantity", "id").cast("long").alias("qty"),
-        F.min_by("is_gift", "id").cast("int").alias("is_gift"))
-        .select(F.lit(0).alias("_kind"), "user_id", "variant_id", F.lit(None).cast("long").alias("seq"),
-                F.lit(None).cast("string").alias("op"), "qty", "is_gift", "cart_id",
-                F.lit(None).cast("long").alias("stock")))
+        F.min_by("is_gift", "id").cast("int").alias("is_gift")))
     cmds = (commands.join(stock, "variant_id", "left")
-            .select(F.lit(1).alias("_kind"), "user_id", "variant_id", F.col("seq").cast("long"),
-                    "op", F.col("qty").cast("long"), F.col("is_gift").cast("int"),
-                    F.lit(None).cast("long").alias("cart_id"), "stock"))
-    rows = (init.unionByName(cmds)
-            .repartition(n, "user_id", "variant_id")
-            .sortWithinPartitions("user_id", "variant_id", "_kind", "seq"))
-    return rows.mapInPandas(_fold, OUT_SCHEMA)
+            .select("user_id", "variant_id", F.col("seq").cast("long"), "op", F.col("qty").cast("long"),
+                    F.col("is_gift").cast("int"), "stock"))
+    hot = (cmds.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.max("stock").alias("_stock"))
+           .where(F.col("_n") > hot_threshold)
+           .join(init.select(*key, F.col("qty").alias("_q0")), key, "left")
+           .withColumn("_dom", F.greatest(F.coalesce("_stock", F.lit(0)), F.coalesce("_q0", F.lit(0))) + 1)
+           .where(F.col("_dom") <= MAX_DOMAIN)
+           .withColumn("_csize", F.ceil(F.col("_n") / F.lit(max_chunks)))
+           .select(*key, "_csize", "_dom", "_q0"))
+    # At most (number of commands / hot_threshold) rows.
+    hot = materialize(hot)
+    if hot.isEmpty():
+        return _stream(_init_rows(init).unionByName(_cmd_rows(cmds)), n)
+    hot_keys = hot.select(*key)
+    cold = _stream(_init_rows(init.join(hot_keys, key, "left_anti"))
+                   .unionByName(_cmd_rows(cmds.join(hot_keys, key, "left_anti"))), n)
+    hot_cmds = number_rows(cmds.join(hot, key, "inner"), [F.col("seq").asc()], key)
+    hot_cmds = materialize(hot_cmds.withColumn(
+        "_chunk", F.floor((F.col("position") - 1) / F.col("_csize")).cast("long")))
+    tables = (hot_cmds.repartition(n, *key, "_chunk").sortWithinPartitions(*key, "_chunk", "seq")
+              .select("user_id", "variant_id", "_chunk", "_dom", "op", "qty", "stock")
+              .mapInPandas(_chunk_tables, "user_id long, variant_id long, _chunk long, _table array<long>"))
+    starts = (tables.join(hot.select(*key, "_q0"), key, "inner")
+              .groupBy(*key).applyInPandas(_walk_chunks,
+                                           "user_id long, variant_id long, _chunk long, _start long"))
+    chunk_init = starts.select(*key, "_chunk", F.when(F.col("_start") > 0, F.col("_start")).alias("qty"),
+                               F.lit(None).cast("int").alias("is_gift"), F.lit(None).cast("long").alias("cart_id"))
+    hot_out = materialize(_stream(_init_rows(chunk_init, F.col("_chunk"))
+                                  .unionByName(_cmd_rows(hot_cmds, F.col("_chunk"))), n))
+    # The final line of a hot key: the last chunk's quantity; if the batch
+    # (re)inserted it, gift and id come from the last insert, else from the
+    # stored line.
+    last = (hot_out.where(F.col("row_kind") == "state").groupBy(*key)
+            .agg(F.max_by("quantity", "chunk").alias("quantity")))
+    last_ins = (hot_out.where((F.col("row_kind") == "outcome") & F.col("inserted")).groupBy(*key)
+                .agg(F.max("seq").alias("_ins_seq"), F.max_by("is_gift", "seq").alias("_ins_gift")))
+    stored = init.join(hot_keys, key, "inner").select(*key, F.col("cart_id").alias("_cid"),
+                                                      F.col("is_gift").alias("_gift"))
+    hot_state = (last.join(last_ins, key, "left").join(stored, key, "left")
+                 .select(F.lit("state").alias("row_kind"), *key, F.lit(None).cast("long").alias("chunk"),
+                         F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("op"),
+                         F.lit(None).cast("boolean").alias("accepted"), F.lit(None).cast("string").alias("reason"),
+                         F.lit(None).cast("boolean").alias("inserted"), "quantity",
+                         F.when(F.col("_ins_seq").isNotNull(), F.col("_ins_gift")).otherwise(F.col("_gift"))
+                         .alias("is_gift"),
+                         F.when(F.col("_ins_seq").isNull(), F.col("_cid")).alias("cart_id"),
+                         F.col("_ins_seq").alias("inserted_by")))
+    hot_outcomes = hot_out.where(F.col("row_kind") == "outcome")
+    return cold.unionByName(hot_outcomes).unionByName(hot_state)
 
 
 def apply_cart_commands(cart_items: DataFrame, commands: DataFrame, variants: DataFrame,
-                        checkpoint: bool = False):
+                        checkpoint: bool = False, hot_threshold: int = HOT_KEY_COMMANDS,
+                        max_chunks: int = MAX_CHUNKS):
     """Returns ``(new_cart_items, outcomes)``.
 
     Keys no command touched keep their stored rows (they pass through the
     fold too, so the new table is complete). A line inserted by the batch gets
     ``id = max(existing id) + seq`` of its inserting command, which is unique
     and needs no global row numbering."""
-    folded = fold_cart_commands(cart_items, commands, variants)
+    folded = fold_cart_commands(cart_items, commands, variants, hot_threshold=hot_threshold,
+                                max_chunks=max_chunks)
     if checkpoint:
         folded = folded.checkpoint(eager=True)
     # max(existing id) as a scalar subquery: one value, no join.
     base = cart_items.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base")).scalar()
-    state = folded.where(F.col("row_kind") == "state")
+    state = folded.where((F.col("row_kind") == "state") & F.col("quantity").isNotNull())
     # Duplicate stored rows of a key beyond the first are not lines the shop
     # can address; the new table keeps one row per key.
     new_cart = state.select(F.coalesce("cart_id", base + F.col("inserted_by")).alias("id"),

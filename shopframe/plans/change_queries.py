@@ -65,6 +65,18 @@ def cart_command_outcomes(t):
     return out
 
 
+@register("cart_command_outcomes_split", "G1 G2 G3", sql=CART_FOLD_SQL + """
+SELECT seq, user_id, variant_id, op, reason IS NULL AS accepted, reason, qty AS quantity_after
+FROM f WHERE k > 0
+""")
+def cart_command_outcomes_split(t):
+    """The same fold with every key of more than 3 commands split into
+    ordered chunks replayed in parallel (the hot-key path)."""
+    _, out = CF.apply_cart_commands(t["cart_items"], t["cart_commands"], t["product_variants"],
+                                    hot_threshold=3, max_chunks=4)
+    return out
+
+
 @register("cart_after_commands", "G1 G2 G3", sql=CART_FOLD_SQL + """,
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, variant_id ORDER BY k DESC) AS rn
                         FROM f) WHERE rn = 1),

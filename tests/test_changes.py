@@ -199,3 +199,38 @@ def test_fcfs_on_fixture_matches_replay(spark, t_small):
     stock = {r.id: r.stock for r in t_small["product_variants"].collect()}
     reqs = [(r.seq, r.user_id, r.billing_name, r.billing_phone) for r in reqs_df.collect()]
     assert got == replay_checkout_fcfs(reqs, cl, stock)
+
+
+def test_cart_fold_split_hot_keys_matches_replay(spark, t_small):
+    """Every key with more than 2 commands goes through the chunked path."""
+    cart = t_small["cart_items"]
+    cmds = t_small["cart_commands"]
+    variants = t_small["product_variants"]
+    new, out = CF.apply_cart_commands(cart, cmds, variants, hot_threshold=2)
+    stock = {r.id: r.stock for r in variants.select("id", "stock").collect()}
+    cart_rows = [(r.id, r.user_id, r.variant_id, r.quantity, r.is_gift) for r in cart.collect()]
+    cmd_rows = [(r.seq, r.user_id, r.variant_id, r.op, r.qty, r.is_gift) for r in cmds.collect()]
+    exp_out, exp_state = replay_cart(cart_rows, cmd_rows, stock)
+    got = {r.seq: (r.accepted, r.reason, r.quantity_after) for r in out.collect()}
+    assert got == exp_out
+    got_state = {(r.user_id, r.variant_id): (r.quantity, r.is_gift) for r in new.collect()}
+    assert got_state == exp_state
+
+
+def test_cart_fold_one_hot_key(spark):
+    """A single key with many commands, split into chunks, equals the replay."""
+    import random
+    rnd = random.Random(7)
+    variants = spark.createDataFrame([(1, 6)], "id long, stock int")
+    cart = spark.createDataFrame([(1, 9, 1, 2, 1)], "id long, user_id long, variant_id long, quantity long, is_gift int")
+    rows = []
+    for seq in range(2, 400):
+        op = rnd.choice(["add", "add", "update", "remove"])
+        q = rnd.choice([-2, -1, 1, 2, 3]) if op == "update" else rnd.choice([0, 1, 2, 3])
+        rows.append((seq, 9, 1, op, q, seq % 2))
+    cmds = spark.createDataFrame(rows, "seq long, user_id long, variant_id long, op string, qty int, is_gift int")
+    exp_out, exp_state = replay_cart([(1, 9, 1, 2, 1)], rows, {1: 6})
+    for max_chunks in (1024, 7):  # one command per chunk; ~57 commands per chunk
+        new, out = CF.apply_cart_commands(cart, cmds, variants, hot_threshold=10, max_chunks=max_chunks)
+        assert {r.seq: (r.accepted, r.reason, r.quantity_after) for r in out.collect()} == exp_out
+        assert {(r.user_id, r.variant_id): (r.quantity, r.is_gift) for r in new.collect()} == exp_state
