@@ -190,13 +190,13 @@ def by_collection(cards: DataFrame, null_key: str | None = "All") -> DataFrame:
     return keyed.join(counts, "collection_key", "inner")
 
 
-def nest_by_collection(cards: DataFrame, null_key: str | None = "All") -> DataFrame:
-    """D14, nested presentation: collection -> list of cards (id desc).
-    Only for bounded result pages (a rendered page), never a whole table."""
+def nest_by_collection(cards: DataFrame, null_key: str | None = "All", page_size: int = 1000) -> DataFrame:
+    """D14, nested presentation: collection -> lists of cards (id desc), in
+    pages of at most ``page_size`` cards (one row per collection and page)."""
+    from .paging import nested_pages
     keyed = cards.withColumn("collection_key", F.coalesce(F.col("collection_name"), F.lit(null_key)))
-    return keyed.groupBy("collection_key").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("id"), F.col("name"), F.col("image1"),
-                                             F.col("price"))), asc=False).alias("products"))
+    return nested_pages(keyed, "collection_key", [F.col("id").desc()], ["id", "name", "image1", "price"],
+                        "products", page_size)
 
 
 def result_count(df: DataFrame) -> DataFrame:

@@ -4,10 +4,10 @@ E5, E11, E12, F4, G24).
 
 Scale notes: the flat forms (``order_item_lines``, ``order_rollup``) are the
 scalable outputs; order-level aggregates are decomposable and partially
-aggregated before the shuffle on ``order_id``. The nested forms assemble one
-order's lines/addresses/history into arrays, which is the API's response
-shape: an array holds one order's lines, bounded by what one checkout can
-contain, and is built after the per-order pre-aggregation.
+aggregated before the shuffle on ``order_id``. The nested forms (the API's
+response shape) nest an order's lines and history in pages of at most
+ITEMS_PER_PAGE elements (``paging.nested_pages``): one row per (order, page),
+so however many lines one order has, no group gathers more than a page.
 """
 
 from __future__ import annotations
@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 
 from ..functions import pricing as R
 from ..functions import text as T
+from .paging import nested_pages
 
 MONEY = R.MONEY
+ITEMS_PER_PAGE = 1000
+LINE_ORDER = ["product_id", "variant_id", "quantity", "price", "is_gift"]
 
 
 def admin_order_list(t) -> DataFrame:
@@ -99,54 +102,63 @@ def _addresses_by_type(t) -> DataFrame:
 def user_orders(t, now: Column, order: str = "id") -> DataFrame:
     """Each user's orders, nested: header + coupon code +
     ``items`` (name, image, variant label, qty, price) + billing and shipping
-    address + ``can_cancel``. ``order='id'`` is the observable order of the
-    original (id ascending); ``'created_at'`` gives its SQL order."""
+    address + ``can_cancel``; one row per (order, page of lines).
+    ``order='id'`` is the observable order of the original (id ascending);
+    ``'created_at'`` gives its SQL order."""
     h = user_order_headers(t)
-    items = (order_item_lines(t).groupBy("order_id").agg(
-        F.collect_list(F.struct("product_name", "product_image", "variant", "quantity", "price"))
-        .alias("items")))
+    items = nested_pages(order_item_lines(t), "order_id", [F.col(c).asc_nulls_first() for c in LINE_ORDER],
+                         ["product_name", "product_image", "variant", "quantity", "price"], "items",
+                         ITEMS_PER_PAGE)
     j = (h.join(items, h["id"] == items["order_id"], "left").drop("order_id")
          .join(_addresses_by_type(t), h["id"] == F.col("order_id"), "left").drop("order_id")
-         .withColumn("items", F.coalesce("items", F.array().cast("array<struct<product_name:string,"
-                     "product_image:string,variant:string,quantity:int,price:decimal(12,2)>>")))
+         .withColumn("page", F.coalesce("page", F.lit(1)))
+         .withColumn("items", F.coalesce("items", F.array().cast(
+             "array<struct<pos:bigint,product_name:string,product_image:string,variant:string,"
+             "quantity:int,price:decimal(12,2)>>")))
          .withColumn("can_cancel", R.can_cancel(now)))
     if order == "created_at":
-        return j.orderBy("user_id", F.col("created_at").desc(), "id")
-    return j.orderBy("user_id", "id")
+        return j.orderBy("user_id", F.col("created_at").desc(), "id", "page")
+    return j.orderBy("user_id", "id", "page")
 
 
 def status_timeline(t) -> DataFrame:
-    """Per order, status history ascending by time (id breaks ties)."""
+    """Per order, status history ascending by time (id breaks ties),
+    in pages of at most ITEMS_PER_PAGE entries (one row per order and page)."""
     h = t["order_status_history"]
-    return h.groupBy("order_id").agg(
-        F.sort_array(F.collect_list(F.struct("created_at", "id", "status", "comment")))
-        .alias("status_history"))
+    return nested_pages(h, "order_id", [F.col("created_at").asc(), F.col("id").asc()],
+                        ["created_at", "id", "status", "comment"], "status_history", ITEMS_PER_PAGE)
 
 
 def order_details(t) -> DataFrame:
-    """C17: admin order detail: header (C4), lines with sku and total,
-    has_gift, the billing address, status history ascending."""
+    """C17: admin order detail. Returns ``(details, history)``: details has
+    the header (C4), has_gift, the billing address and the lines with sku and
+    total (one row per order and page of lines); history is the status
+    timeline ascending (one row per order and page of entries)."""
     head = admin_order_list(t)
-    lines = order_item_lines(t).groupBy("order_id").agg(
-        F.collect_list(F.struct("product_name", "sku", "quantity", "price", "is_gift", "total"))
-        .alias("items"),
-        F.bool_or(F.col("is_gift") == 1).alias("has_gift"))
+    ol = order_item_lines(t)
+    gift = ol.groupBy("order_id").agg(F.bool_or(F.col("is_gift") == 1).alias("has_gift"))
+    lines = nested_pages(ol, "order_id", [F.col(c).asc_nulls_first() for c in LINE_ORDER],
+                         ["product_name", "sku", "quantity", "price", "is_gift", "total"], "items",
+                         ITEMS_PER_PAGE)
     bill = (t["order_addresses"].where(F.col("type") == "billing").groupBy("order_id")
             .agg(F.min(_address_struct()).alias("billing")))
-    return (head.join(lines, head["id"] == lines["order_id"], "left").drop("order_id")
+    hist = status_timeline(t).withColumnRenamed("page", "history_page")
+    return (head.join(gift, head["id"] == gift["order_id"], "left").drop("order_id")
+            .join(lines, head["id"] == lines["order_id"], "left").drop("order_id")
             .join(bill, head["id"] == bill["order_id"], "left").drop("order_id")
-            .join(status_timeline(t), head["id"] == F.col("order_id"), "left").drop("order_id")
-            .withColumn("has_gift", F.coalesce("has_gift", F.lit(False))))
+            .withColumn("has_gift", F.coalesce("has_gift", F.lit(False))),
+            hist)
 
 
 def order_receipts(t) -> DataFrame:
     """Order-success receipt: order, one address (the least by type,
-    i.e. billing before shipping, made deterministic) and lines."""
+    i.e. billing before shipping, made deterministic) and lines (one row per
+    order and page of lines; an order without lines has one row, items NULL)."""
     o = t["orders"].select("id", "order_number", "status", "payment_method", "subtotal",
                            "discount", "grand_total", "created_at")
     addr = t["order_addresses"].groupBy("order_id").agg(F.min(_address_struct()).alias("address"))
-    lines = order_item_lines(t).groupBy("order_id").agg(
-        F.collect_list(F.struct("product_name", "sku", "quantity", "price", "total")).alias("items"))
+    lines = nested_pages(order_item_lines(t), "order_id", [F.col(c).asc_nulls_first() for c in LINE_ORDER],
+                         ["product_name", "sku", "quantity", "price", "total"], "items", ITEMS_PER_PAGE)
     return (o.join(addr, o["id"] == addr["order_id"], "left").drop("order_id")
             .join(lines, o["id"] == lines["order_id"], "left").drop("order_id"))
 

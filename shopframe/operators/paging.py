@@ -100,3 +100,17 @@ def running_sums(df: DataFrame, group_cols: list[str], order: list[Column], valu
         out = out.withColumn(f"{v}{suffix}", F.col(f"_off_{v}") + F.col(f"_loc_{v}"))
     return out.drop("_pid", "_rpid", *[f"_rg_{g}" for g in group_cols],
                     *[f"_loc_{v}" for v in value_cols], *[f"_off_{v}" for v in value_cols])
+
+
+def nested_pages(df: DataFrame, key: str, order: list[Column], value_cols: list[str], name: str,
+                 page_size: int = 1000) -> DataFrame:
+    """Nest ``value_cols`` of the rows of each ``key`` into arrays of at most
+    ``page_size`` elements: one row per (key, page). Rows are numbered within
+    the key in ``order`` (skew-safe ``number_rows``), so no group ever holds
+    more than ``page_size`` rows however large a key is; a key with fewer
+    rows than a page is one row, as a plain nested list would be."""
+    numbered = number_rows(df, order, [key]).withColumn(
+        "page", (F.floor((F.col("position") - 1) / page_size) + 1).cast("long"))
+    return numbered.groupBy(key, "page").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("position").alias("pos"), *[F.col(c) for c in value_cols])))
+        .alias(name))

@@ -68,69 +68,84 @@ def order_rollup(t):
 WITH h AS (
   SELECT o.*, c.code AS cc FROM shop_orders o LEFT JOIN coupons c ON c.id = o.coupon_id
   WHERE o.user_id IS NOT NULL),
-l AS (SELECT order_id, COUNT(*) AS n, SUM(price) AS ps,
-             string_agg(variant, ';' ORDER BY variant, product_name, quantity, price) AS vs
+l AS (SELECT order_id, COUNT(*) AS n, SUM(price) AS ps, CAST(SUM(length(variant)) AS BIGINT) AS vl
       FROM ({LINES_SQL}) x GROUP BY order_id),
 a AS (SELECT order_id, max(CASE WHEN type = 'billing' THEN name END) AS bname,
              max(CASE WHEN type = 'shipping' THEN name END) AS sname,
              max(CASE WHEN type = 'billing' THEN country END) AS bcountry
       FROM order_addresses GROUP BY order_id)
 SELECT h.id, h.user_id, h.cc AS coupon_code, h.grand_total, coalesce(l.n, 0) AS n_items,
-       l.ps AS items_price_sum, coalesce(l.vs, '') AS variants, a.bname AS billing_name,
+       l.ps AS items_price_sum, coalesce(l.vl, 0) AS variant_chars,
+       CAST(greatest(ceil(coalesce(l.n, 0) / 1000), 1) AS BIGINT) AS n_pages, a.bname AS billing_name,
        a.sname AS shipping_name, a.bcountry AS billing_country,
        coalesce(h.created_at >= TIMESTAMP '{ORDERS_NOW}' - INTERVAL 3 DAY
                 AND h.status IN ('pending', 'confirmed'), false) AS can_cancel
 FROM h LEFT JOIN l ON l.order_id = h.id LEFT JOIN a ON a.order_id = h.id
 """)
 def user_orders_nested(t):
-    """C16 nested orders, reported through scalar projections of the arrays
-    and structs (item count, price sum, sorted variant labels, addresses)."""
+    """C16 nested orders (one row per order and page of lines), reported per
+    order through aggregates over the pages (item count, price sum, label
+    characters, page count) and the address structs."""
     u = O.user_orders(t, R.ts_literal(ORDERS_NOW))
     items = F.col("items")
-    labels = F.sort_array(F.transform(items, lambda i: F.struct(
-        i["variant"].alias("v"), i["product_name"].alias("n"), i["quantity"].alias("q"),
-        i["price"].alias("p"))))
-    return u.select(
-        "id", "user_id", "coupon_code", "grand_total", F.size(items).cast("long").alias("n_items"),
+    per_page = u.select(
+        "id", "user_id", "coupon_code", "grand_total", "billing_address", "shipping_address", "can_cancel",
+        F.size(items).cast("long").alias("_n"),
         F.aggregate(items, F.lit(None).cast("decimal(22,2)"),
                     lambda acc, i: (F.coalesce(acc, F.lit(0).cast("decimal(22,2)"))
-                                    + i["price"]).cast("decimal(22,2)"))
-        .cast("decimal(22,2)").alias("items_price_sum"),
-        F.array_join(F.transform(labels, lambda x: x["v"]), ";").alias("variants"),
-        F.col("billing_address.name").alias("billing_name"),
-        F.col("shipping_address.name").alias("shipping_name"),
-        F.col("billing_address.country").alias("billing_country"), "can_cancel")
-
-
-@register("order_details_nested", "C17 E11 D12 H5", money=("grand_total",), sql="""
+                                    + i["price"]).cast("decimal(22,2)")).alias("_ps"),
+        F.aggregate(items, F.lit(0).cast("long"),
+                    lambda acc, i: acc + F.length(i["variant"]).cast("long")).alias("_vl"))
+    return per_page.groupBy("id", "user_id", "coupon_code", "grand_total", "can_cancel").agg(
+        F.sum("_n").cast("long").alias("n_items"), F.sum("_ps").cast("decimal(22,2)").alias("items_price_sum"),
+        F.sum("_vl").cast("long").alias("variant_chars"), F.count(F.lit(1)).alias("n_pages"),
+        F.first(F.col("billing_address.name")).alias("billing_name"),
+        F.first(F.col("shipping_address.name")).alias("shipping_name"),
+        F.first(F.col("billing_address.country")).alias("billing_country"))
+
+
+@register("order_details_nested", "C17 D12 H5", money=("grand_total",), sql="""
 WITH l AS (SELECT oi.order_id, COUNT(*) AS n, bool_or(oi.is_gift = 1) AS g,
-                  string_agg(coalesce(pv.sku, '-'), ',' ORDER BY coalesce(pv.sku, '-')) AS skus
+                  COUNT(*) FILTER (WHERE pv.sku IS NULL) AS nosku, CAST(SUM(length(pv.sku)) AS BIGINT) AS skl
            FROM order_items oi JOIN products p ON p.id = oi.product_id
            LEFT JOIN product_variants pv ON pv.id = oi.variant_id GROUP BY oi.order_id),
-b AS (SELECT order_id, min(name) AS bname FROM order_addresses WHERE type = 'billing' GROUP BY order_id),
-s AS (SELECT order_id, string_agg(status, '>' ORDER BY created_at, id) AS timeline,
-             CAST(COUNT(*) AS INTEGER) AS n_hist
-      FROM order_status_history GROUP BY order_id)
+b AS (SELECT order_id, min(name) AS bname FROM order_addresses WHERE type = 'billing' GROUP BY order_id)
 SELECT o.id, coalesce(o.order_number, 'ORD-' || CAST(o.id AS VARCHAR)) AS order_number,
        coalesce(u.first_name || ' ' || u.last_name, 'Guest') AS customer_name,
        coalesce(o.grand_total, 0) AS grand_total,
-       coalesce(l.n, 0) AS n_items, coalesce(l.g, false) AS has_gift, coalesce(l.skus, '') AS skus,
-       b.bname AS billing_name, coalesce(s.timeline, '') AS timeline, coalesce(s.n_hist, 0) AS n_hist
+       coalesce(l.n, 0) AS n_items, coalesce(l.g, false) AS has_gift, coalesce(l.nosku, 0) AS missing_skus,
+       coalesce(l.skl, 0) AS sku_chars, b.bname AS billing_name
 FROM shop_orders o LEFT JOIN users u ON u.id = o.user_id LEFT JOIN l ON l.order_id = o.id
-LEFT JOIN b ON b.order_id = o.id LEFT JOIN s ON s.order_id = o.id
+LEFT JOIN b ON b.order_id = o.id
 """)
 def order_details_nested(t):
-    d = O.order_details(t)
+    """C17 admin detail pages, reported per order (item count, gift flag,
+    missing / total sku characters, billing name)."""
+    d, _ = O.order_details(t)
     items = F.coalesce(F.col("items"), F.array())
-    hist = F.coalesce(F.col("status_history"), F.array())
-    return d.select(
-        "id", "order_number", "customer_name", "grand_total",
-        F.size(items).cast("long").alias("n_items"), "has_gift",
-        F.array_join(F.sort_array(F.transform(items, lambda i: F.coalesce(i["sku"], F.lit("-")))), ",")
-        .alias("skus"),
-        F.col("billing.name").alias("billing_name"),
-        F.array_join(F.transform(hist, lambda h: h["status"]), ">").alias("timeline"),
-        F.size(hist).alias("n_hist"))
+    per_page = d.select(
+        "id", "order_number", "customer_name", "grand_total", "has_gift", F.col("billing.name").alias("_bn"),
+        F.size(items).cast("long").alias("_n"),
+        F.size(F.filter(items, lambda i: i["sku"].isNull())).cast("long").alias("_nosku"),
+        F.aggregate(items, F.lit(0).cast("long"),
+                    lambda acc, i: acc + F.coalesce(F.length(i["sku"]), F.lit(0)).cast("long")).alias("_skl"))
+    return per_page.groupBy("id", "order_number", "customer_name", "grand_total", "has_gift").agg(
+        F.sum("_n").cast("long").alias("n_items"), F.sum("_nosku").cast("long").alias("missing_skus"),
+        F.sum("_skl").cast("long").alias("sku_chars"), F.first("_bn").alias("billing_name"))
+
+
+@register("order_status_timeline", "E11 C17", sql="""
+SELECT order_id, CAST((row_number() OVER w - 1) // 1000 + 1 AS BIGINT) AS page,
+       CAST(row_number() OVER w AS BIGINT) AS pos, status, comment, created_at
+FROM order_status_history WINDOW w AS (PARTITION BY order_id ORDER BY created_at, id)
+""")
+def order_status_timeline(t):
+    """The nested history pages flattened back to (order, page, pos)."""
+    _, h = O.order_details(t)
+    return (h.select("order_id", F.col("history_page").alias("page"),
+                     F.explode("status_history").alias("e"))
+            .select("order_id", "page", F.col("e.pos").alias("pos"), F.col("e.status").alias("status"),
+                    F.col("e.comment").alias("comment"), F.col("e.created_at").alias("created_at")))
 
 
 @register("order_receipts", "C18", money=("grand_total", "items_total"), sql="""
@@ -144,12 +159,13 @@ FROM shop_orders o LEFT JOIN a ON a.order_id = o.id LEFT JOIN l ON l.order_id =
 def order_receipts(t):
     r = O.order_receipts(t)
     items = F.coalesce(F.col("items"), F.array())
-    return r.select("id", "order_number", "status", "grand_total",
-                    F.col("address.type").alias("address_type"),
-                    F.size(items).cast("long").alias("n_items"),
-                    F.aggregate(F.col("items"), F.lit(0).cast("decimal(22,2)"),
-                                lambda acc, i: (acc + i["total"]).cast("decimal(22,2)"))
-                    .alias("items_total"))
+    per_page = r.select("id", "order_number", "status", "grand_total",
+                        F.col("address.type").alias("address_type"),
+                        F.size(items).cast("long").alias("_n"),
+                        F.aggregate(F.col("items"), F.lit(0).cast("decimal(22,2)"),
+                                    lambda acc, i: (acc + i["total"]).cast("decimal(22,2)")).alias("_tot"))
+    return per_page.groupBy("id", "order_number", "status", "grand_total", "address_type").agg(
+        F.sum("_n").cast("long").alias("n_items"), F.sum("_tot").cast("decimal(22,2)").alias("items_total"))
 
 
 @register("order_status_audit", "G24", sql="""

@@ -144,3 +144,21 @@ def test_review_stats_rounding(spark):
     assert str(s[2].average) == "4.4" and s[2].rounded_stars == 4
     assert s[3].summary == "2.0 / 5 · 1 review" and s[3].stars == "★★☆☆☆"
     assert s[4].summary == "No reviews yet" and s[4].stars == "★★★★★" and s[4].total == 0
+
+
+def test_nested_pages_split_large_groups(spark):
+    from shopframe.operators.paging import nested_pages
+    df = spark.createDataFrame([(1, i) for i in range(7)] + [(2, 0)], "k long, v long")
+    pages = nested_pages(df, "k", [F.col("v").asc()], ["v"], "vals", page_size=3).collect()
+    got = sorted((r.k, r.page, [e.v for e in r.vals]) for r in pages)
+    assert got == [(1, 1, [0, 1, 2]), (1, 2, [3, 4, 5]), (1, 3, [6]), (2, 1, [0])]
+
+
+def test_number_rows_hot_group(spark):
+    from shopframe.operators.paging import number_rows, running_sums
+    rows = [(1, i, 1) for i in range(500)] + [(2, i, 2) for i in range(5)] + [(None, 0, 3)]
+    df = spark.createDataFrame(rows, "g long, o long, v long")
+    got = {(r.g, r.o): r.position for r in number_rows(df, [F.col("o").asc()], ["g"], num_partitions=8).collect()}
+    assert all(got[(1, i)] == i + 1 for i in range(500)) and got[(None, 0)] == 1
+    rs = {(r.g, r.o): r.v_cum for r in running_sums(df, ["g"], [F.col("o").asc()], ["v"], num_partitions=8).collect()}
+    assert rs[(1, 499)] == 500 and rs[(2, 4)] == 10 and rs[(None, 0)] == 3
