@@ -204,19 +204,31 @@ def result_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total_products"))
 
 
-def _non_blank_set(col: str) -> Column:
-    return F.sort_array(F.collect_set(F.when(P.non_blank(col), F.col(col))))
+# The option kinds shown on a product page and their columns.
+OPTION_COLUMNS = (("finish", "finish"), ("gemstone", "gemstones_colour"), ("size", "length_size"))
 
 
 def variant_options(t) -> DataFrame:
-    """Distinct non-blank option values per product (finish, gemstone
-    colour, ring size), sorted. Partial aggregation keeps a hot product cheap:
-    ``collect_set`` holds only distinct values."""
+    """Distinct non-blank option values per product, flat:
+    (product_id, option, value). Deduplicated by a grouped aggregate, so a
+    product with very many variants costs partial rows per map task."""
+    from functools import reduce
     v = t["product_variants"]
-    return v.groupBy("product_id").agg(
-        _non_blank_set("finish").alias("finishes"),
-        _non_blank_set("gemstones_colour").alias("gemstones"),
-        _non_blank_set("length_size").alias("sizes"))
+    parts = [v.where(P.non_blank(col)).select("product_id", F.lit(opt).alias("option"),
+                                              F.col(col).cast("string").alias("value"))
+             for opt, col in OPTION_COLUMNS]
+    return reduce(lambda a, b: a.unionByName(b), parts).distinct()
+
+
+def variant_option_lists(t, page_size: int = 1000) -> DataFrame:
+    """D15, nested: per (product, option) the sorted distinct values, in
+    pages of at most ``page_size`` values."""
+    from .paging import nested_pages
+    o = variant_options(t).withColumn("_k", F.concat_ws("|", F.col("product_id").cast("string"), "option"))
+    pages = nested_pages(o, "_k", [F.col("value").asc()], ["value"], "values", page_size)
+    return pages.select(F.split("_k", "[|]").getItem(0).cast("long").alias("product_id"),
+                        F.split("_k", "[|]").getItem(1).alias("option"), "page",
+                        F.transform("values", lambda x: x["value"]).alias("values"))
 
 
 def default_variant(t) -> DataFrame:

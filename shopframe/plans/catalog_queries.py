@@ -173,20 +173,27 @@ def related_products(t):
     return C.related_products(t, 4)
 
 
-@register("variant_options", "D15", """
-SELECT product_id,
-  coalesce(string_agg(DISTINCT CASE WHEN trim(finish) <> '' THEN finish END, '|' ORDER BY
-    CASE WHEN trim(finish) <> '' THEN finish END), '') AS finishes,
-  coalesce(string_agg(DISTINCT CASE WHEN trim(gemstones_colour) <> '' THEN gemstones_colour END, '|'
-    ORDER BY CASE WHEN trim(gemstones_colour) <> '' THEN gemstones_colour END), '') AS gemstones,
-  coalesce(string_agg(DISTINCT CASE WHEN trim(length_size) <> '' THEN length_size END, '|'
-    ORDER BY CASE WHEN trim(length_size) <> '' THEN length_size END), '') AS sizes
-FROM product_variants GROUP BY product_id
+@register("variant_options", "D15", sql="""
+SELECT DISTINCT product_id, option, value FROM (
+  SELECT product_id, 'finish' AS option, finish AS value FROM product_variants WHERE trim(finish) <> ''
+  UNION ALL SELECT product_id, 'gemstone', gemstones_colour FROM product_variants WHERE trim(gemstones_colour) <> ''
+  UNION ALL SELECT product_id, 'size', length_size FROM product_variants WHERE trim(length_size) <> '')
 """)
 def variant_options(t):
-    o = C.variant_options(t)
-    return o.select("product_id", *[F.array_join(c, "|").alias(c)
-                                    for c in ("finishes", "gemstones", "sizes")])
+    return C.variant_options(t)
+
+
+@register("variant_option_lists", "D15", sql="""
+SELECT product_id, option, CAST(1 AS BIGINT) AS page, string_agg(value, '|' ORDER BY value) AS vals FROM (
+  SELECT DISTINCT product_id, option, value FROM (
+    SELECT product_id, 'finish' AS option, finish AS value FROM product_variants WHERE trim(finish) <> ''
+    UNION ALL SELECT product_id, 'gemstone', gemstones_colour FROM product_variants WHERE trim(gemstones_colour) <> ''
+    UNION ALL SELECT product_id, 'size', length_size FROM product_variants WHERE trim(length_size) <> ''))
+GROUP BY product_id, option
+""")
+def variant_option_lists(t):
+    o = C.variant_option_lists(t)
+    return o.select("product_id", "option", "page", F.array_join("values", "|").alias("vals"))
 
 
 @register("default_variant", "D16", money=('price',), sql= """
