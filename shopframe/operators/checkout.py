@@ -8,9 +8,10 @@ emitted as signed deltas and applied once by ``apply_stock_deltas`` (a grouped
 sum, so a hot variant costs one partial row per map task).
 
 Concurrency: the original serialises writers with row locks. A batch has no
-locks; checkouts are checked against the stock at the start of the batch,
-each cart on its own (documented mode), and several requests for the same
-user or order are resolved first-come by ``seq``.
+locks: by default checkouts are checked against the stock at the start of
+the batch, each cart on its own; ``stock_policy='fcfs'`` serves them exactly
+first-come-first-served across users (``fcfs_stock_decisions``). Several
+requests for the same user or order are resolved first-come by ``seq``.
 """
 
 from __future__ import annotations
@@ -82,7 +83,11 @@ def fcfs_stock_decisions(lines: DataFrame, stock: DataFrame) -> DataFrame:
                       .withColumn("_stock", F.coalesce(F.col("_stock"), F.lit(0))))
     status = materialize(per.select("seq").distinct().withColumn("_st", F.lit("pending")))
     while True:
-        live = per.join(status.where(F.col("_st") != "rejected"), "seq")
+        # Only variants that still have an undecided request need new sums.
+        open_variants = (per.join(status.where(F.col("_st") == "pending"), "seq")
+                         .select("variant_id").distinct())
+        live = (per.join(open_variants, "variant_id", "left_semi")
+                .join(status.where(F.col("_st") != "rejected"), "seq"))
         live = (live.withColumn("_acc", F.when(F.col("_st") == "accepted", F.col("_take")).otherwise(F.lit(0)))
                 .withColumn("_all", F.col("_take")))
         rs = running_sums(live, ["variant_id"], [F.col("seq").asc()], ["_acc", "_all"])

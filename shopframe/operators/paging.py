@@ -105,12 +105,23 @@ def running_sums(df: DataFrame, group_cols: list[str], order: list[Column], valu
 def nested_pages(df: DataFrame, key: str, order: list[Column], value_cols: list[str], name: str,
                  page_size: int = 1000) -> DataFrame:
     """Nest ``value_cols`` of the rows of each ``key`` into arrays of at most
-    ``page_size`` elements: one row per (key, page). Rows are numbered within
-    the key in ``order`` (skew-safe ``number_rows``), so no group ever holds
-    more than ``page_size`` rows however large a key is; a key with fewer
-    rows than a page is one row, as a plain nested list would be."""
-    numbered = number_rows(df, order, [key]).withColumn(
+    ``page_size`` elements, in ``order``: one row per (key, page), elements
+    carry their 1-based position ``pos``.
+
+    Rows are counted per key first (partial aggregation). Keys with at most
+    ``page_size`` rows are numbered by a window over the key (a group of at
+    most one page) and nested into one array; larger keys are numbered with
+    the skew-safe ``number_rows`` and cut into pages. No group ever holds more
+    than ``page_size`` rows."""
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    j = df.join(sizes, key, "inner")
+    small = j.where(F.col("_n") <= page_size).drop("_n")
+    w = Window.partitionBy(key).orderBy(*order)
+    small = (small.withColumn("position", F.row_number().over(w).cast("long"))
+             .withColumn("page", F.lit(1).cast("long")))
+    big = number_rows(j.where(F.col("_n") > page_size).drop("_n"), order, [key]).withColumn(
         "page", (F.floor((F.col("position") - 1) / page_size) + 1).cast("long"))
+    numbered = small.unionByName(big)
     return numbered.groupBy(key, "page").agg(
         F.sort_array(F.collect_list(F.struct(F.col("position").alias("pos"), *[F.col(c) for c in value_cols])))
         .alias(name))

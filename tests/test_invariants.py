@@ -40,7 +40,7 @@ def test_totals_non_negative_except_live(t_small):
         assert q.where(F.col("final_amount") < 0).count() == 0
 
 
-def test_fcfs_never_oversells(t_small):
+def test_fcfs_leaves_no_negative_stock_on_fixture(t_small):
     res = CO.checkout(t_small, t_small["checkout_requests"], R.ts_literal("2024-02-01 00:00:00"), "cod",
                       stock_policy="fcfs")
     after = CO.apply_stock_deltas(t_small["product_variants"], res["stock_deltas"])
