@@ -153,11 +153,10 @@ def newsletter_after_subscribe(t):
 
 
 @register("newsletter_after_unsubscribe", "G6", sql="""
-SELECT * FROM newsletter_subscribers WHERE id NOT IN (SELECT id FROM newsletter_subscribers WHERE id % 4 = 0)
+SELECT * FROM newsletter_subscribers WHERE id NOT IN (SELECT id FROM unsubscribe_requests)
 """)
 def newsletter_after_unsubscribe(t):
-    s = t["newsletter_subscribers"]
-    return G.unsubscribe(s, s.where(F.col("id") % 4 == 0))
+    return G.unsubscribe(t["newsletter_subscribers"], t["unsubscribe_requests"])
 
 
 # ------------------------------------------------------------ reviews -------
@@ -283,11 +282,23 @@ SELECT u.id, CASE WHEN r.user_id IS NOT NULL THEN r.first_name ELSE u.first_name
        CASE WHEN r.user_id IS NOT NULL THEN r.last_name ELSE u.last_name END AS last_name,
        CASE WHEN r.user_id IS NOT NULL THEN r.email ELSE u.email END AS email, u.provider, u.is_admin
 FROM users u LEFT JOIN (SELECT * FROM r WHERE reason IS NULL) r ON r.user_id = u.id
-WHERE u.id % 50 <> 7
+WHERE u.id NOT IN (SELECT id FROM user_delete_requests)
 """)
 def users_after_edit(t):
     new, _ = G.edit_users(t["users"], t["profile_updates"])
-    return G.delete_users(new, t["users"].where(F.col("id") % 50 == 7))
+    return G.delete_users(new, t["user_delete_requests"])
+
+
+@register("users_after_admin_edit", "G10", sql="""
+SELECT u.id, CASE WHEN p.user_id IS NOT NULL THEN p.first_name ELSE u.first_name END AS first_name,
+       CASE WHEN p.user_id IS NOT NULL THEN p.last_name ELSE u.last_name END AS last_name,
+       CASE WHEN p.user_id IS NOT NULL THEN p.email ELSE u.email END AS email, u.provider, u.is_admin
+FROM users u LEFT JOIN profile_updates p ON p.user_id = u.id
+""")
+def users_after_admin_edit(t):
+    """G10 admin path: edits apply as given (no blank or e-mail checks)."""
+    new, _ = G.edit_users(t["users"], t["profile_updates"], admin=True)
+    return new
 
 
 # ------------------------------------------------------------ catalog -------
@@ -315,11 +326,19 @@ def products_after_upsert(t):
     return G.upsert_products(t["products"], t["product_requests"])
 
 
+@register("products_after_delete", "G12", sql="""
+SELECT * FROM products WHERE id NOT IN (SELECT id FROM product_delete_requests)
+""")
+def products_after_delete(t):
+    p, _ = G.delete_products(t["products"], t["product_variants"], t["product_delete_requests"])
+    return p
+
+
 @register("variants_after_product_delete", "G12", sql="""
-SELECT * FROM product_variants WHERE product_id NOT IN (SELECT id FROM products WHERE id % 17 = 0)
+SELECT * FROM product_variants WHERE product_id NOT IN (SELECT id FROM product_delete_requests)
 """, money=("price",))
 def variants_after_product_delete(t):
-    _, v = G.delete_products(t["products"], t["product_variants"], t["products"].where(F.col("id") % 17 == 0))
+    _, v = G.delete_products(t["products"], t["product_variants"], t["product_delete_requests"])
     return v
 
 
@@ -368,6 +387,36 @@ def variants_after_upsert(t):
     return new
 
 
+ADMIN_VREQ_SQL = """
+WITH r AS (SELECT *, product_id IS NOT NULL AND price IS NOT NULL AS need FROM variant_requests),
+ins AS (SELECT *, CASE WHEN NOT need THEN 'missing_fields'
+                       WHEN sku IN (SELECT sku FROM product_variants)
+                         OR seq <> MIN(seq) OVER (PARTITION BY sku) THEN 'duplicate_sku' END AS reason
+        FROM r WHERE id IS NULL),
+upd AS (SELECT *, CASE WHEN NOT need THEN 'missing_fields' END AS reason FROM r WHERE id IS NOT NULL)
+"""
+
+
+@register("variants_after_admin_upsert", "G13 B25", money=("price",), sql=ADMIN_VREQ_SQL + """
+SELECT v.id, CASE WHEN u.id IS NOT NULL THEN u.product_id ELSE v.product_id END AS product_id, v.sku,
+  CASE WHEN u.id IS NOT NULL THEN u.price ELSE v.price END AS price,
+  CASE WHEN u.id IS NOT NULL THEN u.stock ELSE v.stock END AS stock,
+  CASE WHEN u.id IS NOT NULL THEN u.finish ELSE v.finish END AS finish,
+  CASE WHEN u.id IS NOT NULL THEN u.gemstones_colour ELSE v.gemstones_colour END AS gemstones_colour,
+  CASE WHEN u.id IS NOT NULL THEN u.length_size ELSE v.length_size END AS length_size,
+  CASE WHEN u.id IS NOT NULL THEN u.width ELSE v.width END AS width,
+  CASE WHEN u.id IS NOT NULL THEN u.thickness ELSE v.thickness END AS thickness
+FROM product_variants v LEFT JOIN (SELECT * FROM upd WHERE reason IS NULL) u ON u.id = v.id
+UNION ALL
+SELECT (SELECT max(id) FROM product_variants) + seq, product_id, sku, price, stock, finish, gemstones_colour,
+       length_size, width, thickness FROM ins WHERE reason IS NULL
+""")
+def variants_after_admin_upsert(t):
+    """G13 admin path: product and price required, sku not; values as given."""
+    new, _ = G.upsert_variants(t["product_variants"], t["variant_requests"], api=False)
+    return new
+
+
 # ----------------------------------------------------------- messages -------
 
 @register("message_validation", "B21", sql="""
@@ -395,11 +444,11 @@ SELECT m.id,
        THEN e.message ELSE m.message END AS message,
   CASE WHEN e.id IS NOT NULL THEN e.status ELSE m.status END AS status
 FROM contact_messages m LEFT JOIN message_edits e ON e.id = m.id
-WHERE m.id % 10 <> 5
+WHERE m.id NOT IN (SELECT id FROM message_delete_requests)
 """)
 def messages_after_edit(t):
     m = G.edit_messages(t["contact_messages"], t["message_edits"])
-    return G.delete_messages(m, t["contact_messages"].where(F.col("id") % 10 == 5))
+    return G.delete_messages(m, t["message_delete_requests"])
 
 
 @register("messages_after_insert", "G14 B21", sql="""
@@ -607,6 +656,19 @@ def stock_after_customer_cancel(t):
     return CO.apply_stock_deltas(t["product_variants"], res["stock_deltas"]).select("id", "stock")
 
 
+@register("stock_after_customer_cancel_paid_only", "G19 G23", sql=f"""
+WITH d AS (SELECT variant_id, SUM(quantity) AS q FROM order_items
+           WHERE order_id IN (SELECT x.order_id FROM ({CANCEL_SQL}) x JOIN shop_orders o ON o.id = x.order_id
+                              WHERE x.reason IS NULL AND o.payment_status = 'paid') GROUP BY variant_id)
+SELECT v.id, CAST(v.stock + coalesce(d.q, 0) AS INTEGER) AS stock
+FROM product_variants v LEFT JOIN d ON d.variant_id = v.id
+""")
+def stock_after_customer_cancel_paid_only(t):
+    """G19 with the corrected restock rule: only orders that took stock."""
+    res = CO.customer_cancel(t, t["cancel_requests"], R.ts_literal(ORDERS_NOW), restock_unpaid=False)
+    return CO.apply_stock_deltas(t["product_variants"], res["stock_deltas"]).select("id", "stock")
+
+
 @register("orders_after_admin_cancel", "G20", sql="""
 SELECT o.id, CASE WHEN q.order_id IS NOT NULL THEN 'cancelled' ELSE o.status END AS status,
        CASE WHEN q.order_id IS NOT NULL AND o.status <> 'cancelled' AND o.payment_status = 'paid' THEN 'refunded'

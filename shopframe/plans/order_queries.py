@@ -302,6 +302,13 @@ def order_list_pages(t):
     return G.number_rows(o, [F.col("id").desc()], page_size=10)
 
 
+@register("subscriber_page_count", "E9", sql="""
+SELECT CAST(ceil(COUNT(*) / 10) AS INTEGER) AS pages FROM newsletter_subscribers
+""")
+def subscriber_page_count(t):
+    return G.page_count(t["newsletter_subscribers"], 10)
+
+
 @register("subscriber_page_3", "E9", sql="""
 SELECT id, email, subscribed_at FROM newsletter_subscribers ORDER BY id DESC LIMIT 10 OFFSET 20
 """)

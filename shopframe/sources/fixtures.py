@@ -331,6 +331,15 @@ MESSAGE_EDITS = [
     ("status", "CAST(0 AS INT)"),
 ]
 
+# Delete requests (ids to delete) for subscribers, users, messages, products.
+DELETE_REQUESTS = {
+    "unsubscribe_requests": ("events", "event_type = 'signup' AND event_id % 4 = 0", "event_id"),
+    "user_delete_requests": ("customer", "c_custkey % 50 = 7", "c_custkey"),
+    "message_delete_requests": ("conversations", "role = 'user' AND (conv_id * 100 + turn) % 10 = 5",
+                                "conv_id * 100 + turn"),
+    "product_delete_requests": ("part", "p_partkey % 17 = 0", "p_partkey"),
+}
+
 NEWSLETTER = ("events", "event_type = 'signup'", [
     ("id", "event_id"),
     ("email", "'user' || CAST(user_id AS STRING) || '@example.com'"),
@@ -447,6 +456,8 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     t["message_edits"] = (r("conversations").where("role = 'user' AND conv_id % 3 = 0")
                           .selectExpr(*_sel(MESSAGE_EDITS)).withColumn("phone", F.col("phone").cast("string")))
     t["coupon_requests"] = r("orders").selectExpr(*_sel(COUPON_REQUESTS[1]))
+    for name, (src, cond, expr) in DELETE_REQUESTS.items():
+        t[name] = r(src).where(cond).selectExpr(f"{expr} AS id")
     t["newsletter_subscribers"] = ev.where(NEWSLETTER[1]).selectExpr(*_sel(NEWSLETTER[2]))
     t["contact_messages"] = (r("conversations").where(CONTACT_MESSAGES[1])
                              .selectExpr(*_sel(CONTACT_MESSAGES[2])))
@@ -507,6 +518,8 @@ def duckdb_ctes() -> dict[str, str]:
     c["message_edits"] = (f"SELECT * REPLACE (CAST(phone AS VARCHAR) AS phone) FROM (SELECT {s(MESSAGE_EDITS)} "
                           "FROM conversations WHERE role = 'user' AND conv_id % 3 = 0)")
     c["coupon_requests"] = f"SELECT {s(COUPON_REQUESTS[1])} FROM orders"
+    for name, (src, cond, expr) in DELETE_REQUESTS.items():
+        c[name] = f"SELECT {expr} AS id FROM {src} WHERE {cond}"
     c["newsletter_subscribers"] = f"SELECT {s(NEWSLETTER[2])} FROM events WHERE {NEWSLETTER[1]}"
     c["contact_messages"] = (f"SELECT {s(CONTACT_MESSAGES[2])} FROM conversations "
                              f"WHERE {CONTACT_MESSAGES[1]}")
