@@ -8,8 +8,8 @@ never rely on how these rows were made.
 
 Each derivation is a list of ``(column, expression)`` pairs whose expression
 text is valid in both Spark SQL and DuckDB, so the DuckDB oracle
-(``shopframe.plans.oracle``) builds byte-identical inputs from the same
-strings.
+(``shopframe.plans.registry.with_fixtures``) builds byte-identical inputs
+from the same strings.
 """
 
 from __future__ import annotations
