@@ -18,7 +18,7 @@ def spark():
 
 @pytest.fixture(scope="session")
 def duck():
-    from shopframe.oracle_check import duck as mk
+    from tests.oracle_harness import duck as mk
     return mk(SF_ORACLE)
 
 

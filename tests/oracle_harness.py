@@ -1,6 +1,7 @@
 """Side-by-side check of registered queries against their DuckDB oracle SQL
 (row count, column names and order-insensitive values), the same shape of
-check the driver runs. Used by the tests and by ``python -m shopframe.oracle_check``."""
+check the driver runs. Used by the tests and by ``python -m tests.oracle_harness``.
+Test tooling only: it pulls small results to the driver to compare them."""
 
 from __future__ import annotations
 
@@ -78,7 +79,8 @@ def main(argv=None):
     argv = argv or sys.argv[1:]
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     only = set(argv[1:])
-    sys.path.insert(0, ".")
+    import os
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import __spark_entry__ as E
     from shopframe.session import get_session
     spark = get_session()

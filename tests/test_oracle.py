@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from shopframe.oracle_check import compare
+from tests.oracle_harness import compare
 from tests.conftest import SF_ORACLE
 
 SQLS = E.oracle_sql()
