@@ -10,7 +10,7 @@ with very many usages is one row per map task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pricing as R
@@ -74,11 +74,11 @@ def apply_coupons(requests: DataFrame, coupons: DataFrame, usages: DataFrame, no
     (the subtotal when rejected). Policy differences are in
     ``shopframe.functions.pricing``."""
     valid = coupons.where(R.coupon_valid(policy, now))
-    w = Window.partitionBy(F.lower("code")).orderBy("id")
-    # A code maps to few rows; rank by id within the code (bounded groups).
-    first = (valid.withColumn("_rk", F.row_number().over(w)).where("_rk = 1")
-             .select(F.lower("code").alias("_code"), F.col("id").alias("coupon_id"), "type",
-                     "value", "min_order", "max_discount"))
+    # The lowest-id valid coupon per code: a grouped min_by, no window.
+    first = (valid.groupBy(F.lower("code").alias("_code"))
+             .agg(F.min_by(F.struct(F.col("id").alias("coupon_id"), "type", "value", "min_order",
+                                    "max_discount"), F.col("id")).alias("_c"))
+             .select("_code", "_c.*"))
     req = requests.withColumn("_code", F.lower(F.trim("code")))
     j = req.join(first, "_code", "left")
     if policy in ("strict", "order"):
