@@ -364,12 +364,14 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def raw_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The same table as a file stream (new files in the folder that match the
-    table's file name arrive as micro-batches)."""
+def raw_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The same table as a file stream: files named ``<name>.parquet`` or
+    ``<name>_<part>.parquet`` in the folder arrive as micro-batches."""
     schema = raw(spark, sf_dir, name).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .parquet(sf_dir.rstrip("/")))
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{{{name}.parquet,{name}_*.parquet}}")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(sf_dir.rstrip("/"))
 
 
 def project(df: DataFrame, pairs, where: str | None = None) -> DataFrame:

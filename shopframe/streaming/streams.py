@@ -49,6 +49,27 @@ def run_available_now(stream_writer_factory, out_dir: str) -> None:
         raise RuntimeError(str(exc))
 
 
+def _log_each_batch(df: DataFrame, out_dir: str, transform=None):
+    """Update-mode results: each micro-batch appends only the keys it changed
+    to a change log under ``epoch=<batch id>`` (overwritten on replay, so a
+    retried batch writes the same files). Readers take each key's row from
+    its latest epoch (``read_latest``)."""
+    def write(batch: DataFrame, epoch: int):
+        out = batch if transform is None else transform(batch)
+        out.write.mode("overwrite").parquet(f"{out_dir}/log/epoch={epoch}")
+    return (df.writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", f"{out_dir}/_checkpoint"))
+
+
+def read_latest(spark: SparkSession, out_dir: str, key: list[str]) -> DataFrame:
+    """Current result table of a change log: per key, the row of the latest
+    epoch (a grouped max_by, partially aggregated)."""
+    log = spark.read.parquet(f"{out_dir}/log")
+    cols = [c for c in log.columns if c not in key and c != "epoch"]
+    latest = log.groupBy(*key).agg(F.max_by(F.struct(*cols), F.col("epoch")).alias("_r"))
+    return latest.select(*key, "_r.*")
+
+
 def _overwrite_each_batch(df: DataFrame, out_dir: str, mode: str = "complete"):
     """Complete/update-mode results: each micro-batch rewrites the table."""
     def write(batch: DataFrame, epoch: int):
@@ -59,13 +80,14 @@ def _overwrite_each_batch(df: DataFrame, out_dir: str, mode: str = "complete"):
 
 # ------------------------------------------------------------------ S1 ------
 
-def cart_state_stream(spark: SparkSession, sf_dir: str, t) -> DataFrame:
+def cart_state_stream(spark: SparkSession, sf_dir: str, t, max_files_per_trigger: int | None = None) -> DataFrame:
     """Cart lines kept current from a stream of cart commands. Each
     micro-batch applies the G1-G3 fold to the previous batch's state (the
     stored cart for the first batch) and writes the new state and the
     outcomes under ``epoch=<batch id>``. Returns the final state."""
     out_dir = new_run_dir(spark, "cart_state")
-    commands = X.project(X.raw_stream(spark, sf_dir, "events"), X.CART_COMMANDS[2], X.CART_COMMANDS[1])
+    commands = X.project(X.raw_stream(spark, sf_dir, "events", max_files_per_trigger),
+                         X.CART_COMMANDS[2], X.CART_COMMANDS[1])
     variants = t["product_variants"]
     initial = t["cart_items"]
 
@@ -87,46 +109,59 @@ def cart_state_stream(spark: SparkSession, sf_dir: str, t) -> DataFrame:
 
 # ------------------------------------------------------------------ S2 ------
 
-def wishlist_state_stream(spark: SparkSession, sf_dir: str, t) -> DataFrame:
+def wishlist_state_stream(spark: SparkSession, sf_dir: str, t,
+                          max_files_per_trigger: int | None = None) -> DataFrame:
     """Wishlist membership from a toggle stream: a streaming count (and
-    last seq) per (user, product), complete mode; each batch turns the
-    running counts into the membership table against the stored wishlist."""
+    last seq) per (user, product) in update mode; each batch turns the
+    changed keys' running counts into membership rows against the stored
+    wishlist and logs them. The final table is the latest row per key plus
+    the stored rows no toggle touched."""
     out_dir = new_run_dir(spark, "wishlist_state")
-    toggles = X.project(X.raw_stream(spark, sf_dir, "events"), X.WISHLIST_EVENTS[2], X.WISHLIST_EVENTS[1])
+    toggles = X.project(X.raw_stream(spark, sf_dir, "events", max_files_per_trigger),
+                        X.WISHLIST_EVENTS[2], X.WISHLIST_EVENTS[1])
     counts = toggles.groupBy("user_id", "product_id").agg(
         F.count(F.lit(1)).alias("_n"), F.max("event_id").alias("_last"))
     stored = t["wishlist"]
+    base = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_b")).scalar()
+    key = ["user_id", "product_id"]
 
-    def write(batch: DataFrame, epoch: int):
-        G.wishlist_from_counts(stored, batch).write.mode("overwrite").parquet(f"{out_dir}/result")
+    def membership(batch: DataFrame) -> DataFrame:
+        # Only the keys this batch changed: stored XOR odd number of toggles.
+        cur = stored.select("id", *key)
+        j = batch.join(cur, key, "left")
+        present = F.col("id").isNotNull() != ((F.col("_n") % 2) == 1)
+        return j.select(*key, F.when(present, base + F.col("_last")).alias("id"), present.alias("present"))
 
-    def factory(d):
-        return (counts.writeStream.outputMode("complete").foreachBatch(write)
-                .option("checkpointLocation", f"{d}/_checkpoint"))
-    run_available_now(factory, out_dir)
-    return spark.read.parquet(f"{out_dir}/result")
+    run_available_now(lambda d: _log_each_batch(counts, d, membership), out_dir)
+    touched = read_latest(spark, out_dir, key)
+    kept = stored.select("id", *key).join(touched.select(*key), key, "left_anti")
+    return kept.unionByName(touched.where("present").select("id", *key))
 
 
 # ------------------------------------------------------------------ S3 ------
 
-def subscriber_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def subscriber_dedup_stream(spark: SparkSession, sf_dir: str,
+                            max_files_per_trigger: int | None = None) -> DataFrame:
     """S3: one subscription per e-mail (case-insensitive) from a signup
     stream; the earliest request (lowest id) wins. State holds one row per
-    distinct e-mail, which is what the semantics require."""
+    distinct e-mail, which is what the semantics require; update mode logs
+    only the e-mails a batch changed."""
     out_dir = new_run_dir(spark, "subscribers")
-    subs = X.project(X.raw_stream(spark, sf_dir, "events"), X.NEWSLETTER[2], X.NEWSLETTER[1])
+    subs = X.project(X.raw_stream(spark, sf_dir, "events", max_files_per_trigger),
+                     X.NEWSLETTER[2], X.NEWSLETTER[1])
     firsts = subs.groupBy(F.lower("email").alias("email_key")).agg(
         F.min("id").alias("id"), F.min_by("email", "id").alias("email"),
         F.min_by("subscribed_at", "id").alias("subscribed_at"))
-    run_available_now(lambda d: _overwrite_each_batch(firsts, d), out_dir)
-    return spark.read.parquet(f"{out_dir}/result")
+    run_available_now(lambda d: _log_each_batch(firsts, d), out_dir)
+    return read_latest(spark, out_dir, ["email_key"])
 
 
 # ------------------------------------------------------------------ S4 ------
 
 def latest_status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current status per order from the status-history stream
-    (max_by over (created_at, id)), complete mode."""
+    (max_by over (created_at, id)); update mode logs the orders a batch
+    changed."""
     out_dir = new_run_dir(spark, "latest_status")
     o = X.raw_stream(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     hist = X.project(o, X.STATUS_HISTORY_FIRST).unionByName(
@@ -134,8 +169,8 @@ def latest_status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     cur = hist.groupBy("order_id").agg(
         F.max_by("status", F.struct("created_at", "id")).alias("current_status"),
         F.max("created_at").alias("status_at"))
-    run_available_now(lambda d: _overwrite_each_batch(cur, d), out_dir)
-    return spark.read.parquet(f"{out_dir}/result")
+    run_available_now(lambda d: _log_each_batch(cur, d), out_dir)
+    return read_latest(spark, out_dir, ["order_id"])
 
 
 # ------------------------------------------------------------------ S5 ------
