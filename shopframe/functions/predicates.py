@@ -116,7 +116,7 @@ def gift_filter(gift_type: str | None) -> Column:
     Any other type (including unknown ones) adds no extra predicate."""
     cond = F.col("is_gifting") == 1
     if gift_type in GIFT_TYPES_WITH_CATEGORY:
-        cond = cond & (F.col("gifting_category") == F.lit(gift_type))
+        cond = cond & eq_ci("gifting_category", gift_type)
     return cond
 
 

@@ -163,14 +163,16 @@ def related_products(t, k: int = 4) -> DataFrame:
     rows per map task), join those candidates back to products on category
     (at most k+1 partners per product), drop the product itself, keep k.
     """
-    cards = product_cards(t, columns=["id", "name", "image1", "category"])
-    w = Window.partitionBy("category").orderBy("id")
+    # Category text compares case-insensitively, as the shop's SQL does.
+    cards = (product_cards(t, columns=["id", "name", "image1", "category"])
+             .withColumn("_cat", F.lower("category")))
+    w = Window.partitionBy("_cat").orderBy("id")
     top = (cards.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1)
-           .select(F.col("category").alias("_cat"), F.col("id").alias("related_id"),
+           .select("_cat", F.col("id").alias("related_id"),
                    F.col("name").alias("related_name"), F.col("image1").alias("related_image1"),
                    F.col("price").alias("related_price")))
-    p = t["products"].select(F.col("id").alias("product_id"), "category")
-    pairs = (p.join(top, p["category"] == top["_cat"], "inner")
+    p = t["products"].select(F.col("id").alias("product_id"), F.lower("category").alias("_pcat"))
+    pairs = (p.join(top, p["_pcat"] == top["_cat"], "inner")
              .where(F.col("related_id") != F.col("product_id")))
     w2 = Window.partitionBy("product_id").orderBy("related_id")
     return (pairs.withColumn("position", F.row_number().over(w2)).where(F.col("position") <= k)

@@ -97,7 +97,7 @@ GROUP BY p.id, p.name, p.image1, p.is_gifting
 
 
 @register("gifts_for_him", "D3 B7", money=('price',), sql= GIFT_SQL.format(
-    where="p.is_gifting = 1 AND p.gifting_category = 'for-him'", having=""))
+    where="p.is_gifting = 1 AND lower(p.gifting_category) = 'for-him'", having=""))
 def gifts_for_him(t):
     return C.gifts(t, "for-him")
 
@@ -164,7 +164,7 @@ pairs AS (
   SELECT q.id AS product_id, c.id AS related_id, c.name AS related_name,
          c.image1 AS related_image1, c.price AS related_price,
          row_number() OVER (PARTITION BY q.id ORDER BY c.id) AS rn
-  FROM products q JOIN cards c ON c.category = q.category AND c.id <> q.id)
+  FROM products q JOIN cards c ON lower(c.category) = lower(q.category) AND c.id <> q.id)
 SELECT product_id, CAST(rn AS INTEGER) AS position, related_id, related_name, related_image1,
        related_price
 FROM pairs WHERE rn <= 4
