@@ -81,30 +81,56 @@ def _overwrite_each_batch(df: DataFrame, out_dir: str, mode: str = "complete"):
 # ------------------------------------------------------------------ S1 ------
 
 def cart_state_stream(spark: SparkSession, sf_dir: str, t, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Cart lines kept current from a stream of cart commands. Each
-    micro-batch applies the G1-G3 fold to the previous batch's state (the
-    stored cart for the first batch) and writes the new state and the
-    outcomes under ``epoch=<batch id>``. Returns the final state."""
+    """Cart lines kept current from a stream of cart commands.
+
+    Each micro-batch folds only the keys its commands touch (G1-G3 rules),
+    starting from each key's latest logged line (or the stored cart for a key
+    never logged), and appends the touched keys' new lines - quantity NULL
+    for a removed line - to a change log under ``epoch=<batch id>``. A line
+    inserted by the stream gets ``max(stored id) + seq`` like the batch
+    operator. Returns the current cart: latest logged line per key, plus the
+    stored lines of keys no command touched."""
     out_dir = new_run_dir(spark, "cart_state")
     commands = X.project(X.raw_stream(spark, sf_dir, "events", max_files_per_trigger),
                          X.CART_COMMANDS[2], X.CART_COMMANDS[1])
     variants = t["product_variants"]
-    initial = t["cart_items"]
+    key = ["user_id", "variant_id"]
+    # The stored cart, one line per key (the lowest id of a duplicated key).
+    stored = (t["cart_items"].groupBy(*key).agg(
+        F.min("id").alias("id"), F.min_by("quantity", "id").alias("quantity"),
+        F.min_by("is_gift", "id").alias("is_gift"))
+        .select("id", *key, F.col("quantity").cast("long"), F.col("is_gift").cast("int")))
+    base = t["cart_items"].agg(F.coalesce(F.max("id"), F.lit(0)).alias("_b")).scalar()
+    log_dir = f"{out_dir}/log"
+
+    def lines_of(keys: DataFrame) -> DataFrame:
+        own = stored.join(keys, key, "left_semi")
+        if not _exists(spark, log_dir):
+            return own
+        logged = read_latest(spark, out_dir, key).join(keys, key, "left_semi")
+        return (own.join(logged.select(*key), key, "left_anti")
+                .unionByName(logged.where(F.col("quantity").isNotNull())
+                             .select("id", *key, "quantity", "is_gift")))
 
     def merge(batch: DataFrame, epoch: int):
-        prev_path = f"{out_dir}/state/epoch={epoch - 1}"
-        prev = spark.read.parquet(prev_path) if epoch > 0 and _exists(spark, prev_path) else initial
-        new, outcomes = CF.apply_cart_commands(prev, batch, variants)
-        new.write.mode("overwrite").parquet(f"{out_dir}/state/epoch={epoch}")
-        outcomes.write.mode("overwrite").parquet(f"{out_dir}/outcomes/epoch={epoch}")
+        touched = batch.select(*key).distinct()
+        prev = lines_of(touched)
+        folded = CF.fold_cart_commands(prev, batch, variants)
+        new = (folded.where(F.col("row_kind") == "state")
+               .select(*key, F.coalesce("cart_id", base + F.col("inserted_by")).alias("id"),
+                       "quantity", "is_gift"))
+        new.write.mode("overwrite").parquet(f"{log_dir}/epoch={epoch}")
 
     def factory(d):
         return (commands.writeStream.foreachBatch(merge)
                 .option("checkpointLocation", f"{d}/_checkpoint"))
     run_available_now(factory, out_dir)
-    state = spark.read.parquet(f"{out_dir}/state")
-    last = state.agg(F.max("epoch")).scalar()
-    return state.where(F.col("epoch") == last).drop("epoch")
+    if not _exists(spark, log_dir):
+        return stored
+    logged = read_latest(spark, out_dir, key)
+    untouched = stored.join(logged.select(*key), key, "left_anti")
+    return untouched.unionByName(logged.where(F.col("quantity").isNotNull())
+                                 .select("id", *key, "quantity", "is_gift"))
 
 
 # ------------------------------------------------------------------ S2 ------
