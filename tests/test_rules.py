@@ -162,3 +162,15 @@ def test_number_rows_hot_group(spark):
     assert all(got[(1, i)] == i + 1 for i in range(500)) and got[(None, 0)] == 1
     rs = {(r.g, r.o): r.v_cum for r in running_sums(df, ["g"], [F.col("o").asc()], ["v"], num_partitions=8).collect()}
     assert rs[(1, 499)] == 500 and rs[(2, 4)] == 10 and rs[(None, 0)] == 3
+
+
+def test_write_result_and_json_rows(spark, tmp_path):
+    from shopframe.sources import sinks as K
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id long, name string")
+    K.write_result(df, str(tmp_path / "out"), fmt="json")
+    assert spark.read.parquet(str(tmp_path / "out" / "_total")).first().total == 2
+    assert spark.read.json(str(tmp_path / "out" / "rows")).count() == 2
+    js = sorted(r.json for r in K.to_json_rows(df).collect())
+    assert js == ['{"id":1,"name":"a"}', '{"id":2}']
+    tot = K.with_total(df).select("total_products").distinct().collect()
+    assert [r.total_products for r in tot] == [2]
