@@ -49,27 +49,57 @@ def run_available_now(stream_writer_factory, out_dir: str) -> None:
         raise RuntimeError(str(exc))
 
 
-def _log_each_batch(df: DataFrame, out_dir: str, transform=None):
+# Every COMPACT_EVERY batches a stream writes a snapshot of its change log.
+COMPACT_EVERY = 50
+
+
+def _log_each_batch(df: DataFrame, out_dir: str, transform=None, key=None,
+                    compact_every: int = COMPACT_EVERY):
     """Update-mode results: each micro-batch appends only the keys it changed
     to a change log under ``epoch=<batch id>`` (overwritten on replay, so a
     retried batch writes the same files). Readers take each key's row from
-    its latest epoch (``read_latest``)."""
+    its latest epoch (``read_latest``); every ``compact_every`` batches the
+    log is compacted into a snapshot."""
+    spark = df.sparkSession
+
     def write(batch: DataFrame, epoch: int):
         out = batch if transform is None else transform(batch)
         out.write.mode("overwrite").parquet(f"{out_dir}/log/epoch={epoch}")
+        if key and compact_every and (epoch + 1) % compact_every == 0:
+            compact_log(spark, out_dir, key, epoch)
     return (df.writeStream.outputMode("update").foreachBatch(write)
             .option("checkpointLocation", f"{out_dir}/_checkpoint"))
 
 
-def read_latest(spark: SparkSession, out_dir: str, key: list[str]) -> DataFrame:
-    """Current result table of a change log: per key, the row of the latest
-    epoch (a grouped max_by, partially aggregated)."""
+def _latest_with_epoch(spark: SparkSession, out_dir: str, key: list[str]) -> DataFrame:
+    """Per key, the newest row of the log (with its epoch): the newest
+    snapshot plus only the log epochs after it (partition pruning on epoch)."""
     log = spark.read.parquet(f"{out_dir}/log")
     cols = [c for c in log.columns if c not in key and c != "epoch"]
-    latest = log.groupBy(*key).agg(F.max_by(F.struct(*cols), F.col("epoch")).alias("_r"))
+    parts = log
+    snap_dir = f"{out_dir}/snapshot"
+    if _exists(spark, snap_dir):
+        snaps = spark.read.parquet(snap_dir)
+        upto = snaps.agg(F.max("upto")).scalar()
+        parts = (snaps.where(F.col("upto") == upto).select(*key, *cols, "epoch")
+                 .unionByName(log.where(F.col("epoch") > upto).select(*key, *cols, "epoch")))
+    latest = parts.groupBy(*key).agg(F.max_by(F.struct(*cols, "epoch"), F.col("epoch")).alias("_r"))
     return latest.select(*key, "_r.*")
 
 
+def compact_log(spark: SparkSession, out_dir: str, key: list[str], epoch: int) -> None:
+    """Write the newest row per key as of ``epoch`` to ``snapshot/upto=<epoch>``
+    (replay-safe: the same epoch rewrites the same snapshot)."""
+    (_latest_with_epoch(spark, out_dir, key).where(F.col("epoch") <= epoch)
+     .write.mode("overwrite").parquet(f"{out_dir}/snapshot/upto={epoch}"))
+
+
+def read_latest(spark: SparkSession, out_dir: str, key: list[str]) -> DataFrame:
+    """Current result table of a change log: per key, the row of the latest
+    epoch (a grouped max_by, partially aggregated)."""
+    return _latest_with_epoch(spark, out_dir, key).drop("epoch")
+
+
 def _overwrite_each_batch(df: DataFrame, out_dir: str, mode: str = "complete"):
     """Complete/update-mode results: each micro-batch rewrites the table."""
     def write(batch: DataFrame, epoch: int):
@@ -80,7 +110,8 @@ def _overwrite_each_batch(df: DataFrame, out_dir: str, mode: str = "complete"):
 
 # ------------------------------------------------------------------ S1 ------
 
-def cart_state_stream(spark: SparkSession, sf_dir: str, t, max_files_per_trigger: int | None = None) -> DataFrame:
+def cart_state_stream(spark: SparkSession, sf_dir: str, t, max_files_per_trigger: int | None = None,
+                      compact_every: int = COMPACT_EVERY) -> DataFrame:
     """Cart lines kept current from a stream of cart commands.
 
     Each micro-batch folds only the keys its commands touch (G1-G3 rules),
@@ -120,6 +151,8 @@ def cart_state_stream(spark: SparkSession, sf_dir: str, t, max_files_per_trigger
                .select(*key, F.coalesce("cart_id", base + F.col("inserted_by")).alias("id"),
                        "quantity", "is_gift"))
         new.write.mode("overwrite").parquet(f"{log_dir}/epoch={epoch}")
+        if compact_every and (epoch + 1) % compact_every == 0:
+            compact_log(spark, out_dir, key, epoch)
 
     def factory(d):
         return (commands.writeStream.foreachBatch(merge)
@@ -136,7 +169,8 @@ def cart_state_stream(spark: SparkSession, sf_dir: str, t, max_files_per_trigger
 # ------------------------------------------------------------------ S2 ------
 
 def wishlist_state_stream(spark: SparkSession, sf_dir: str, t,
-                          max_files_per_trigger: int | None = None) -> DataFrame:
+                          max_files_per_trigger: int | None = None,
+                          compact_every: int = COMPACT_EVERY) -> DataFrame:
     """Wishlist membership from a toggle stream: a streaming count (and
     last seq) per (user, product) in update mode; each batch turns the
     changed keys' running counts into membership rows against the stored
@@ -158,7 +192,7 @@ def wishlist_state_stream(spark: SparkSession, sf_dir: str, t,
         present = F.col("id").isNotNull() != ((F.col("_n") % 2) == 1)
         return j.select(*key, F.when(present, base + F.col("_last")).alias("id"), present.alias("present"))
 
-    run_available_now(lambda d: _log_each_batch(counts, d, membership), out_dir)
+    run_available_now(lambda d: _log_each_batch(counts, d, membership, key, compact_every), out_dir)
     touched = read_latest(spark, out_dir, key)
     kept = stored.select("id", *key).join(touched.select(*key), key, "left_anti")
     return kept.unionByName(touched.where("present").select("id", *key))
@@ -167,7 +201,8 @@ def wishlist_state_stream(spark: SparkSession, sf_dir: str, t,
 # ------------------------------------------------------------------ S3 ------
 
 def subscriber_dedup_stream(spark: SparkSession, sf_dir: str,
-                            max_files_per_trigger: int | None = None) -> DataFrame:
+                            max_files_per_trigger: int | None = None,
+                            compact_every: int = COMPACT_EVERY) -> DataFrame:
     """S3: one subscription per e-mail (case-insensitive) from a signup
     stream; the earliest request (lowest id) wins. State holds one row per
     distinct e-mail, which is what the semantics require; update mode logs
@@ -178,7 +213,7 @@ def subscriber_dedup_stream(spark: SparkSession, sf_dir: str,
     firsts = subs.groupBy(F.lower("email").alias("email_key")).agg(
         F.min("id").alias("id"), F.min_by("email", "id").alias("email"),
         F.min_by("subscribed_at", "id").alias("subscribed_at"))
-    run_available_now(lambda d: _log_each_batch(firsts, d), out_dir)
+    run_available_now(lambda d: _log_each_batch(firsts, d, None, ["email_key"], compact_every), out_dir)
     return read_latest(spark, out_dir, ["email_key"])
 
 
@@ -195,7 +230,7 @@ def latest_status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     cur = hist.groupBy("order_id").agg(
         F.max_by("status", F.struct("created_at", "id")).alias("current_status"),
         F.max("created_at").alias("status_at"))
-    run_available_now(lambda d: _log_each_batch(cur, d), out_dir)
+    run_available_now(lambda d: _log_each_batch(cur, d, None, ["order_id"]), out_dir)
     return read_latest(spark, out_dir, ["order_id"])
 
 

@@ -32,17 +32,17 @@ def test_streams_over_several_micro_batches(spark, tmp_path):
     pq.write_table(src.slice(half), f"{d}/events_2.parquet")
     t = tables(spark, SF_SMALL)
 
-    wl = S.wishlist_state_stream(spark, d, t, max_files_per_trigger=1)
+    wl = S.wishlist_state_stream(spark, d, t, max_files_per_trigger=1, compact_every=1)
     tog = t["wishlist_events"].select(F.col("event_id").alias("seq"), "user_id", "product_id")
     batch, _ = G.toggle_wishlist(t["wishlist"], tog)
     assert sorted(wl.select("id", "user_id", "product_id").collect()) == sorted(batch.collect())
 
-    subs = S.subscriber_dedup_stream(spark, d, max_files_per_trigger=1)
+    subs = S.subscriber_dedup_stream(spark, d, max_files_per_trigger=1, compact_every=1)
     exp = (t["newsletter_subscribers"].groupBy(F.lower("email").alias("email_key"))
            .agg(F.min("id").alias("id")))
     assert sorted(subs.select("email_key", "id").collect()) == sorted(exp.collect())
 
-    cart = S.cart_state_stream(spark, d, t, max_files_per_trigger=1)
+    cart = S.cart_state_stream(spark, d, t, max_files_per_trigger=1, compact_every=1)
     bnew, _ = CF.apply_cart_commands(t["cart_items"], t["cart_commands"], t["product_variants"])
     cols = ["id", "user_id", "variant_id", "quantity", "is_gift"]
     assert sorted(cart.select(cols).collect()) == sorted(bnew.select(cols).collect())
