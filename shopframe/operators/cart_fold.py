@@ -305,3 +305,12 @@ def apply_cart_commands(cart_items: DataFrame, commands: DataFrame, variants: Da
                 .select("seq", "user_id", "variant_id", "op", "accepted", "reason",
                         F.col("quantity").alias("quantity_after")))
     return new_cart, outcomes
+
+
+# The functions above run inside Python workers (mapInPandas / applyInPandas).
+# Ship them by value, so workers need numpy and pandas but not this package
+# on their import path.
+from pyspark import cloudpickle as _cloudpickle  # noqa: E402
+import sys as _sys  # noqa: E402
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
