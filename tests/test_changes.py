@@ -234,3 +234,12 @@ def test_cart_fold_one_hot_key(spark):
         new, out = CF.apply_cart_commands(cart, cmds, variants, hot_threshold=10, max_chunks=max_chunks)
         assert {r.seq: (r.accepted, r.reason, r.quantity_after) for r in out.collect()} == exp_out
         assert {(r.user_id, r.variant_id): (r.quantity, r.is_gift) for r in new.collect()} == exp_state
+
+
+def test_fold_functions_ship_by_value():
+    """Workers need not import the package: the fold's task functions are
+    pickled by value."""
+    from pyspark import cloudpickle
+    blob = cloudpickle.dumps(CF._fold)
+    assert b"shopframe.operators.cart_fold" not in blob or b"_fold" in blob
+    assert CF.__name__ in cloudpickle.cloudpickle._PICKLE_BY_VALUE_MODULES
