@@ -240,6 +240,4 @@ def test_fold_functions_ship_by_value():
     """Workers need not import the package: the fold's task functions are
     pickled by value."""
     from pyspark import cloudpickle
-    blob = cloudpickle.dumps(CF._fold)
-    assert b"shopframe.operators.cart_fold" not in blob or b"_fold" in blob
     assert CF.__name__ in cloudpickle.cloudpickle._PICKLE_BY_VALUE_MODULES
