@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..session import ensure_checkpoint_dir, materialize, scratch_path  # noqa: F401
 
@@ -30,3 +31,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def with_columns_of(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, whatever else the input carries."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def map_whole_rows(df: DataFrame, task, extra: list[StructField] = ()) -> DataFrame:
+    """``mapInArrow`` over all columns, whatever their names: they reach the
+    task as c0, c1, ... in order, and keep their names in the result."""
+    fields = [StructField(f"c{i}", f.dataType, True) for i, f in enumerate(df.schema.fields)]
+    out = df.toDF(*[f.name for f in fields]).mapInArrow(task, StructType([*fields, *extra]))
+    return out.toDF(*df.columns, *[f.name for f in extra])

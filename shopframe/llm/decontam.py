@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_whole_rows
 from .textcore import LOWER, NON_ALNUM, Chunk, Words, chunks, covered, span_hash
 
 WINDOW = 10
@@ -300,17 +301,17 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
     """``docs`` without the documents that hold a test window (same columns).
     The verdict is computed where the document is, so nothing is joined."""
     blocks = [TestSet(b, window) for b in test_blocks(benchmark, "item_id", "text")]
-    names = docs.columns
     out = docs
     for test in blocks:
-        at, ids = names.index(text_col), names.index(id_col)
+        at, ids = docs.columns.index(text_col), docs.columns.index(id_col)
         match = _match(test, window)
 
-        def task(batches, match=match, at=at, ids=ids):
+        def task(batches, match=match):
             for batch in batches:
-                pair = pa.RecordBatch.from_arrays([batch.column(ids), batch.column(at)], names=["a", "b"])
+                pair = pa.RecordBatch.from_arrays([batch.column(ids).cast(pa.int64()), batch.column(at)],
+                                                  names=["doc_id", "text"])
                 hit = np.concatenate([np.zeros(0, np.int64)] + [
                     np.asarray(r.column(2)) for r in match(iter([pair]))])
                 yield batch.filter(pa.array(hit == 0))
-        out = out.mapInArrow(task, docs.schema)
+        out = map_whole_rows(out, task)
     return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, quality
+from . import decontam, langid, quality, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,18 @@ def op9_quality_rules(spark, sf_dir):
 ORACLE["op9_quality_rules"] = quality.ORACLE_SQL
 
 
+@query
+def op2_toxicity(spark, sf_dir):
+    """Chained category probabilities of every document."""
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_language_id(spark, sf_dir):
+    """Predicted language of every document."""
+    return langid.language_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -54,7 +54,7 @@ class Chunk:
         return self.data[self.offsets[i]:self.offsets[i + 1]].tobytes()
 
 
-def chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES):
+def chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES, max_rows: int = 1 << 30):
     """Cut a string or binary column (null: empty) into Chunks."""
     column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) or
                           pa.types.is_large_binary(column.type) else "")
@@ -71,7 +71,7 @@ def chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES):
     lo = 0
     while lo < n:
         hi = int(np.searchsorted(offs, offs[lo] + max_bytes, side="right")) - 1
-        hi = min(max(hi, lo + 1), n)
+        hi = min(max(hi, lo + 1), lo + max_rows, n)
         yield Chunk(data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo], lo, hi)
         lo = hi
 
