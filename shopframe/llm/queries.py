@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, quality, toxicity
+from . import decontam, langid, mixing, quality, sharding, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,18 @@ def op10_language_id(spark, sf_dir):
     return langid.language_report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_mixing(spark, sf_dir):
+    """Every copy of the mixture that flattens source sizes to power 0.7."""
+    return mixing.mixing_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_sharding(spark, sf_dir):
+    """Shard and slot of every document, 40 shards near equal in bytes."""
+    return sharding.sharding_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
