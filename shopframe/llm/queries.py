@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, quality, sharding, toxicity
+from . import decontam, langid, mixing, quality, sharding, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,12 @@ def op6_sharding(spark, sf_dir):
     return sharding.sharding_report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op1_simhash(spark, sf_dir):
+    """Fingerprint and near-duplicate class of every document."""
+    return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
