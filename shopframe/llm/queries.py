@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, quality, sharding, simhash, toxicity
+from . import decontam, langid, mixing, quality, sharding, simhash, substring, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,12 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_substring_dedup(spark, sf_dir):
+    """Words of each document inside a 20-word window that starts earlier."""
+    return substring.substring_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
