@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, quality, sharding, simhash, substring, toxicity
+from . import decontam, langid, mixing, quality, sharding, simhash, substring, suffixes, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,12 @@ def op3_substring_dedup(spark, sf_dir):
     return substring.substring_report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_suffix_dedup(spark, sf_dir):
+    """Bytes of each document inside a 50-byte string of an earlier document."""
+    return suffixes.suffix_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
