@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, quality, sharding, simhash, substring, suffixes, toxicity
+from . import (decontam, langid, linededup, mixing, quality, sharding, simhash, substring, suffixes,
+               toxicity)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +77,12 @@ def op7_suffix_dedup(spark, sf_dir):
     return suffixes.suffix_report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_line_dedup(spark, sf_dir):
+    """Lines of each document that are not the first of their class."""
+    return linededup.line_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
