@@ -9,7 +9,7 @@ def sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
+def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 120) -> tuple[np.ndarray, np.ndarray]:
     """Weights (d, m) and biases (m) of m logistic models with 0/1 targets
     ``y`` (n, m): accelerated gradient descent on standardised columns, the
     scaling folded into the returned weights."""

@@ -5,7 +5,8 @@ logistic regression on the presence of selected words and word beginnings,
 plus the probabilities of all earlier categories of the chain. While training,
 those earlier probabilities are out-of-fold (each row's comes from a model
 that did not see its fold), so a later model meets them as noisy as it will at
-prediction time; the models kept are then fitted on the whole sample.
+prediction time; the models kept are then fitted on the whole sample. A category's threshold is
+the one of best F1 on its out-of-fold probabilities.
 
 Training takes at most ``SAMPLE_ROWS`` labelled rows, evenly over the patterns
 of labels, by a hash of the id: the bounded training sample, chosen on the
@@ -40,7 +41,6 @@ FEATURES = 1500          # selected features of a category
 MIN_ROWS = 3             # sample rows a selected feature occurs in
 FOLDS = 4
 PREFIXES = (4, 5, 6)     # word beginnings, in bytes
-THRESHOLD = 0.5
 
 
 def row_features(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +61,12 @@ class Chain:
         n = len(rows)
         doc = np.repeat(np.arange(n), [len(r) for r in rows])
         key = np.concatenate(rows) if n else np.zeros(0, np.uint64)
-        vocab, col, df = np.unique(key, return_inverse=True, return_counts=True)
+        vocab, df = np.unique(key, return_counts=True)
+        vocab, df = vocab[df >= MIN_ROWS], df[df >= MIN_ROWS]
+        col = np.searchsorted(vocab, key)
+        often = np.zeros(len(key), dtype=bool) if len(vocab) == 0 else vocab[np.minimum(col, len(vocab) - 1)] == key
+        doc, col = doc[often], col[often]
+        del key, often
         earlier = np.zeros((n, 0))
         for c in range(len(names)):
             t = y[:, c].astype(np.float64)
@@ -73,7 +78,6 @@ class Chain:
             # Features that tell most about the category (likelihood ratio).
             hit = np.bincount(col, weights=t[doc], minlength=len(vocab))
             gain = _information(hit, df, t.sum(), n)
-            gain[df < MIN_ROWS] = -1
             top = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
             top = top[gain[top] > 0]
             place = np.full(len(vocab), -1)
@@ -92,6 +96,7 @@ class Chain:
             self.models.append((vocab[top], w[:, 0], float(b[0])))
             earlier = np.column_stack([earlier, out])
         self.out_of_fold = earlier
+        self.threshold = [best_threshold(earlier[:, c], y[:, c]) for c in range(len(names))]
 
     def predict(self, chunk: Chunk) -> np.ndarray:
         """Probabilities (rows, categories)."""
@@ -112,6 +117,23 @@ class Chain:
         return p
 
 
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The threshold of best F1 on out-of-fold probabilities, in the middle (of
+    the logits) of the gap it falls in; 0.5 where there is one class only."""
+    if len(p) == 0 or y.min() == y.max():
+        return 0.5
+    order = np.argsort(-p, kind="stable")
+    p, y = p[order], y[order]
+    hits = np.cumsum(y)
+    f1 = 2 * hits / (np.arange(1, len(p) + 1) + y.sum())
+    f1[:-1][p[:-1] == p[1:]] = -1                 # equal scores stay together
+    k = int(np.argmax(f1))
+    if k + 1 == len(p):
+        return float(p[k])
+    z = np.log(np.clip([p[k], p[k + 1]], 1e-9, 1 - 1e-9) / (1 - np.clip([p[k], p[k + 1]], 1e-9, 1 - 1e-9)))
+    return float(sigmoid(z.mean()))
+
+
 def _information(hit, df, positives, n):
     """G statistic of feature presence against the category."""
     total = np.zeros(len(df))
@@ -192,14 +214,15 @@ CATEGORIES = ["low_quality", "toxic"]
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     chain = train(docs, chain_labels(labels), CATEGORIES)
     scored = score(docs.select("doc_id", "text"), chain)
-    return scored.select("doc_id", (F.col("p_toxic") >= THRESHOLD).alias("toxic"), "p_low_quality", "p_toxic")
+    return scored.select("doc_id", (F.col("p_toxic") >= chain.threshold[1]).alias("toxic"), "p_low_quality", "p_toxic")
 
 
-def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text",
+def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float | None = None, text_col: str = "text",
                  category: str = "toxic") -> DataFrame:
     """``docs`` without the documents the chain rejects (same columns)."""
     chain = train(docs, chain_labels(labels), CATEGORIES, text_col=text_col)
     at, c = docs.columns.index(text_col), chain.names.index(category)
+    threshold = chain.threshold[c] if threshold is None else threshold
 
     def task(batches):
         for batch in batches:
