@@ -39,3 +39,9 @@ def map_whole_rows(df: DataFrame, task, extra: list[StructField] = ()) -> DataFr
     fields = [StructField(f"c{i}", f.dataType, True) for i, f in enumerate(df.schema.fields)]
     out = df.toDF(*[f.name for f in fields]).mapInArrow(task, StructType([*fields, *extra]))
     return out.toDF(*df.columns, *[f.name for f in extra])
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named c0, c1, ... (so that none clashes with a
+    name used inside an operator), and the new name of each old one."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), {n: f"c{i}" for i, n in enumerate(df.columns)}

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, numbered
 
 PART_RATE = 16.0            # largest mean inverted at once
 TABLE = 120                 # entries of a cumulative table (mean 16: tail < 1e-60)
@@ -78,30 +78,37 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, source_col: str = "
 
 def replicate(docs: DataFrame, rate: DataFrame, id_col: str = "doc_id", source_col: str = "source",
               text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """All copies of all documents in a global random order, with ``_copy``
-    (from 0), ``_copies`` and the ``_key`` of the shuffle."""
+    """All copies of all documents in a global random order, followed by
+    ``_copies``, ``_copy`` (from 0) and the ``_key`` of the shuffle; columns
+    that already have such a name are replaced."""
+    docs = docs.drop("_copies", "_copy", "_key")
+    names = docs.columns
+    d, place = numbered(docs)
     parts = F.greatest(F.ceil(F.col("rate") / F.lit(PART_RATE)), F.lit(1)).cast("int")
     table = rate.select(F.col("source").alias("_src"), parts.alias("_parts"),
                         poisson_table(F.col("rate") / parts).alias("_cdf")).where(F.col("rate") > 0)
     if rate.count() <= BROADCAST_SOURCES:      # the size is checked
         table = F.broadcast(table)
-    key = [F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), F.xxhash64(F.col(f"`{text_col}`"))]
-    out = docs.join(table, F.col(f"`{source_col}`").eqNullSafe(F.col("_src")))
+    key = [F.col(place[id_col]), F.col(place[source_col]), F.xxhash64(F.col(place[text_col]))]
+    out = d.join(table, F.col(place[source_col]).eqNullSafe(F.col("_src")))
     # Number of table entries at or below the uniform number, summed over parts.
     draws = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda j: F.size(
         F.filter("_cdf", lambda c: c <= uniform(F.lit(seed), j, *key))))
     out = out.withColumn("_copies", F.aggregate(draws, F.lit(0), lambda a, x: a + x)).where(F.col("_copies") > 0)
-    out = out.select(*[F.col(f"`{c}`") for c in docs.columns], "_copies",
-                     F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"))
+    out = out.select(*d.columns, "_copies", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"))
     out = out.withColumn("_key", F.xxhash64(F.lit(seed + 1), *key, F.col("_copy")))
-    return out.repartition(F.col("_key")).sortWithinPartitions("_key")
+    return out.repartition(F.col("_key")).sortWithinPartitions("_key").toDF(*names, "_copies", "_copy", "_key")
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, temperature: float = TEMPERATURE,
-                total: float | None = None, seed: int = SEED) -> DataFrame:
+                total: float | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source",
+                text_col: str = "text") -> DataFrame:
     """The mixture with the columns of ``docs``."""
-    mixed = replicate(docs, rates(docs, weights, temperature=temperature, total=total), seed=seed)
-    return mixed.drop("_copies", "_copy", "_key")
+    names = docs.columns
+    d, place = numbered(docs)
+    rate = rates(docs, weights, source_col, F.octet_length(F.col(f"`{text_col}`")), temperature, total)
+    mixed = replicate(d, rate, place[id_col], place[source_col], place[text_col], seed)
+    return mixed.drop("_copies", "_copy", "_key").toDF(*names)
 
 
 def mixing_report(docs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import materialize, numbered, shuffle_partitions
 
 SHARDS = 40
 PIECE = 0.25          # largest piece of a group, as a part of a shard
@@ -148,14 +148,13 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str =
     id and text may stand in any order within their shard."""
     plan = shard_rows(docs, shards, id_col, text_col).groupBy("doc_id", "text_crc32", "size", "shard").agg(
         F.count(F.lit(1)).alias("_times"))
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    keyed = docs.withColumns({"_crc": F.crc32(text), "_size": (F.octet_length(text) + 16).cast("long")})
-    distinct = keyed.dropDuplicates([id_col, "_crc", "_size"])
-    out = plan.join(distinct, (F.col(f"`{id_col}`").eqNullSafe(plan["doc_id"])) & (F.col("_crc") == plan["text_crc32"])
-                    & (F.col("_size") == plan["size"]))
+    names = [c for c in docs.columns if c != "shard"]
+    d, place = numbered(docs.select(*[F.col(f"`{c}`") for c in names]))
+    text = F.coalesce(F.col(place[text_col]), F.lit(""))
+    d = d.withColumns({"_crc": F.crc32(text), "_size": (F.octet_length(text) + 16).cast("long")})
+    one = d.dropDuplicates([place[id_col], "_crc", "_size"])
+    out = one.join(plan, F.col(place[id_col]).eqNullSafe(F.col("doc_id")) & (F.col("_crc") == F.col("text_crc32"))
+                   & (F.col("_size") == F.col("size")))
     out = out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-    cols = [keyed[c] for c in docs.columns if c != "shard"]
-    (out.select(*cols, plan["shard"], F.pmod(F.xxhash64(keyed[id_col]), F.lit(files_per_shard)).alias("_f"))
-        .repartition("shard", "_f").drop("_f").write.partitionBy("shard").parquet(path))
-
-
+    out = out.withColumn("_f", F.pmod(F.xxhash64(place[id_col], "_k"), F.lit(files_per_shard))).repartition("shard", "_f")
+    (out.select(*[F.col(place[c]).alias(c) for c in names], "shard").write.partitionBy("shard").parquet(path))

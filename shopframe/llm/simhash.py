@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import LongType, StructField
 
-from .common import map_whole_rows, materialize, shuffle_partitions
+from .common import map_whole_rows, materialize, numbered, shuffle_partitions
 from .components import components
 from .textcore import chunks, mix
 
@@ -313,7 +313,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE,
     chosen = found.groupBy("class").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("no_id"), "doc_id", "f")).alias("r"))
     chosen = chosen.select(F.col("r.doc_id").alias("_keep"), F.col("r.f").alias("_keep_f"))
-    at = docs.columns.index(text_col)
+    names, at = docs.columns, docs.columns.index(text_col)
+    docs, place = numbered(docs)
 
     def task(batches):
         for batch in batches:
@@ -323,6 +324,6 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE,
                                              names=[*batch.schema.names, "_f"])
 
     left = map_whole_rows(docs, task, [StructField("_f", LongType())])
-    left = left.join(chosen, F.col(f"`{id_col}`").eqNullSafe(F.col("_keep")) & (F.col("_f") == F.col("_keep_f")),
+    left = left.join(chosen, F.col(place[id_col]).eqNullSafe(F.col("_keep")) & (F.col("_f") == F.col("_keep_f")),
                      "left_semi")
-    return left.dropDuplicates([id_col, "_f"]).drop("_f")
+    return left.dropDuplicates([place[id_col], "_f"]).drop("_f").toDF(*names)
