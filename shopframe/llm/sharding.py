@@ -9,11 +9,13 @@ can exist per dimension, so their table is small by construction and is
 broadcast).
 
 The greedy order is sequential, so it is split in a way that keeps its
-quality: the ``HEAD`` largest pieces are placed one after another on the
-driver (a bounded table of vectors, no texts); all others are dealt to buckets
-by hash, and each bucket is packed by one streaming pass, its capacities being
-its share of what the head left free in each shard. Every piece in the tail is
-small against a bucket's capacity, so each bucket fills its shares evenly.
+quality: pieces of at least 3 / ``HEAD`` of the total in some dimension (of
+which there can be no more than ``HEAD``) are placed one after another on the
+driver, as a table of vectors without texts; all others are dealt by hash to
+buckets of about ``BUCKET`` pieces, and each bucket is packed by one streaming
+pass, its capacities being its share of what the head left free in each shard.
+Every piece in the tail is small against a bucket's capacity, so each bucket
+fills its shares evenly.
 
 ``slot`` numbers a shard's rows from 0 without gathering a shard in one task:
 row numbers within (shard, hash bucket) plus the sums of the buckets before.
@@ -25,6 +27,8 @@ empty; an empty table gives no row; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -34,7 +38,8 @@ from .common import materialize, numbered, shuffle_partitions
 
 SHARDS = 40
 PIECE = 0.25          # largest piece of a group, as a part of a shard
-HEAD = 20_000         # pieces placed one by one on the driver
+HEAD = 20_000         # bound of the pieces placed one by one on the driver
+BUCKET = 20_000       # smaller pieces packed in one pass
 DIMENSIONS = ("bytes", "tokens", "rows")
 IMPORTANCE = np.array([1.0, 0.1, 0.1])   # of the dimensions in the dot product
 
@@ -79,22 +84,20 @@ def place_groups(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
     pieces = materialize(rows.groupBy("key", "piece").agg(*vectors)
                          .withColumn("large", F.greatest("v0", "v1", "v2")))
     order = [F.desc("large"), F.asc("key"), F.asc("piece")]
-    head = pieces.orderBy(*order).limit(HEAD).toPandas()
+    # Shares add up to 1 in each of three dimensions: at most HEAD such pieces.
+    head = pieces.where(F.col("large") >= 3 / HEAD).toPandas()
+    head = head.sort_values(["large", "key", "piece"], ascending=[False, True, True])
     packer = Packer(np.full((shards, 3), 1.0 / shards) * (total > 0))
-    head["shard"] = [packer.place(v) for v in head[["v0", "v1", "v2"]].to_numpy()]
+    head["shard"] = [packer.place(v) for v in head[["v0", "v1", "v2"]].to_numpy(dtype=np.float64)]
     placed = spark.createDataFrame(
         [(bytes(k), int(p), int(s)) for k, p, s in zip(head["key"], head["piece"], head["shard"])],
         "key binary, piece int, shard int")
-    if len(head) < HEAD:
+    tail = pieces.where(F.col("large") < 3 / HEAD)
+    buckets = math.ceil(tail.count() / BUCKET)
+    if buckets == 0:
         return rows, placed
-    last = head.iloc[-1]
-    edge = F.struct((-F.col("large")).alias("l"), "key", "piece") > F.struct(
-        F.lit(-float(last["large"])).alias("l"), F.lit(bytes(last["key"])).alias("key"),
-        F.lit(int(last["piece"])).alias("piece"))
-    buckets = shuffle_partitions(spark)
-    tail = pieces.where(edge).withColumn("bucket", F.pmod(F.xxhash64("key", "piece"), F.lit(buckets)).cast("int"))
-    sums = tail.groupBy("bucket").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(3)]).collect()
-    vector = {r.bucket: np.array([r.v0, r.v1, r.v2]) for r in sums}
+    tail = tail.withColumn("bucket", F.pmod(F.xxhash64("key", "piece"), F.lit(buckets)).cast("int"))
+    sums = tail.groupBy("bucket").agg(*[F.sum(f"v{i}").alias(f"s{i}") for i in range(3)])
     free = packer.residual
     left = np.maximum(free.sum(axis=0), 1e-300)
 
@@ -102,18 +105,19 @@ def place_groups(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
         bucket, pack = None, None
         for batch in batches:
             b = batch.column(2).to_numpy(zero_copy_only=False)
-            v = np.column_stack([batch.column(3 + i).to_numpy(zero_copy_only=False) for i in range(3)])
+            v, whole = (np.column_stack([batch.column(k + i).to_numpy(zero_copy_only=False) for i in range(3)])
+                        for k in (3, 6))
             shard = np.zeros(len(b), dtype=np.int32)
             for i in range(len(b)):
                 if b[i] != bucket:
                     bucket = b[i]
-                    pack = Packer(free * (vector[bucket] / left))
+                    pack = Packer(free * (whole[i] / left))
                 shard[i] = pack.place(v[i])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shard)],
                                              names=["key", "piece", "shard"])
 
-    packed = (tail.select("key", "piece", "bucket", "v0", "v1", "v2", "large").repartition(buckets, "bucket")
-              .sortWithinPartitions("bucket", *order).drop("large")
+    packed = (tail.join(sums, "bucket").repartition("bucket").sortWithinPartitions("bucket", *order)
+              .select("key", "piece", "bucket", "v0", "v1", "v2", "s0", "s1", "s2")
               .mapInArrow(task, "key binary, piece int, shard int"))
     return rows, placed.unionByName(packed)
 
