@@ -69,14 +69,21 @@ POLICIES = {p.version: p for p in (
 _WS = "[\\x20\\x09-\\x0D]+"
 
 
+def _once(c: Column) -> Column:
+    """``c`` (the condition always holds), computed where it stands: the optimiser
+    neither copies it into its uses, where an array would be built again for
+    every element, nor pushes filters below it."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with the measurements the rules read."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("_text"))
     d = d.select(
         "doc_id",
-        F.array_remove(F.split("_text", _WS), "").alias("_words"),
-        F.filter(F.split("_text", "\n"), lambda s: s.rlike("[^\\x20\\x09-\\x0D]")).alias("_lines"),
+        _once(F.array_remove(F.split("_text", _WS), "")).alias("_words"),
+        _once(F.filter(F.split("_text", "\n"), lambda s: s.rlike("[^\\x20\\x09-\\x0D]"))).alias("_lines"),
         F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"))
     starts = F.slice(F.col("_words"), F.lit(1), F.greatest(F.size("_words") - 2, F.lit(0)))
     windows = F.transform(starts, lambda w, i: F.struct(
@@ -86,19 +93,19 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.sort_array(windows).alias("_sorted"))
+        _once(F.sort_array(windows)).alias("_sorted"))
 
     def tied(x: Column, k: Column) -> Column:
         before = F.when(k > 0, F.get("_sorted", k - 1)["h"])
         after = F.get("_sorted", k + 1)["h"]
         return F.coalesce(before == x["h"], F.lit(False)) | F.coalesce(after == x["h"], F.lit(False))
 
-    d = d.withColumn("_again", F.sort_array(F.transform(F.filter("_sorted", tied), lambda x: x["i"])))
+    d = d.withColumn("_again", _once(F.sort_array(F.transform(F.filter("_sorted", tied), lambda x: x["i"]))))
     # Window i covers words i, i + 1, i + 2: count up to the next window's start.
     steps = F.transform("_again", lambda x, k: F.coalesce(F.least(F.get("_again", k + 1) - x, F.lit(3)), F.lit(3)))
-    return d.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
-        F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"))
+    repeats = F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
+                    _once(repeats).alias("n_repeat_words"))
 
 
 def failure_bits(rules=None) -> Column:
