@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKET_BYTES = 4 << 20      # text per bucket
-GATHER = 1_500_000          # postings a map task packs at once
+GATHER = 1_000_000          # postings a map task packs at once
 NO_ID = (1 << 63) - 1       # stands for a null id: behind all others
 
 
@@ -34,10 +34,16 @@ def bucket_of(key: np.ndarray, n: int) -> np.ndarray:
 
 def pack(bucket, doc, ids, arrays):
     """Rows (bucket, blob) of postings in document order: ``doc`` indexes the
-    table ``ids`` (n_docs, m) of 64-bit ids, ``arrays`` are per posting."""
+    table ``ids`` (n_docs, m) of 64-bit ids, ``arrays`` are per posting. The
+    last array ascends within a document and is stored as its steps."""
     order = np.argsort(bucket, kind="stable")
     bucket, doc = bucket[order], doc[order]
     arrays = [np.ascontiguousarray(a[order]) for a in arrays]
+    step = arrays[-1].copy()
+    if len(step):
+        same = (bucket[1:] == bucket[:-1]) & (doc[1:] == doc[:-1])
+        step[1:][same] -= arrays[-1][:-1][same]
+    arrays[-1] = step
     cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
     for lo, hi in zip(cut, np.append(cut[1:], len(bucket)) if len(bucket) else []):
         d = doc[lo:hi]
@@ -71,9 +77,29 @@ def unpack(blob: bytes, n_ids: int, kinds):
         raw = np.frombuffer(buf, np.uint8, width * size, at).reshape(width, size)
         out.append(np.ascontiguousarray(raw.T).view(kind).ravel())
         at += width * size
+    total = np.cumsum(out[-1].astype(np.int64))
+    first = (np.cumsum(n.astype(np.int64)) - n)[: len(n)]
+    base = np.where(first > 0, total[np.maximum(first - 1, 0)], 0)
+    out[-1] = (total - np.repeat(base, n)).astype(kinds[-1])
     return ids, out
 
 
+def pack_positions(p: np.ndarray) -> bytes:
+    """Ascending positions as steps, lowest bytes first."""
+    step = p.astype(np.uint32)
+    step[1:] -= p[:-1].astype(np.uint32)
+    return planes(step)
+
+
+def unpack_positions(values: list[bytes]) -> np.ndarray:
+    """All positions of a list of packed values."""
+    out = [np.zeros(0, dtype=np.int64)]
+    for v in values:
+        raw = np.frombuffer(v, np.uint8).reshape(4, -1)
+        out.append(np.cumsum(np.ascontiguousarray(raw.T).view(np.uint32).ravel().astype(np.int64)))
+    return np.concatenate(out)
+
+
 def gather(table: list[list]) -> list[np.ndarray]:
     """Column-wise concatenation of a list of array tuples."""
     return [np.concatenate(c) for c in zip(*table)]
@@ -114,20 +140,45 @@ def by_id(ids: list[np.ndarray], values: list[np.ndarray]):
         yield tuple(int(a[lo]) for a in ids), tuple(a[lo:hi] for a in values)
 
 
+class Found:
+    """Gathers (ids..., positions) over the buckets of a partition and gives
+    them out as one row per id, so that rows don't multiply with buckets."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.parts, self.n = names, [], 0
+
+    def add(self, *arrays):
+        self.parts.append(arrays)
+        self.n += len(arrays[0])
+        if self.n >= GATHER:
+            yield from self.flush()
+
+    def flush(self):
+        if self.n:
+            arrays = gather(self.parts)
+            rows = list(by_id(arrays[:-1], arrays[-1:]))
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array([k[i] for k, _ in rows], pa.int64()) for i in range(len(arrays) - 1)],
+                 pa.array([pack_positions(p) for _, (p,) in rows], pa.binary())], names=self.names)
+        self.parts, self.n = [], 0
+
+
 def shared_positions(docs: DataFrame, anchors, buckets: int) -> DataFrame:
-    """Positions whose hash also occurs elsewhere: rows (id, pos binary of
-    uint32). ``docs`` has (id, text); ``anchors(chunk)`` gives the (row, pos,
-    hash, indexed) arrays of a chunk: all postings, and which of them are
-    index entries. A hash counts as shared when it has two postings of which
-    one is indexed, or two postings met by one map task (a superset, decided
-    where it is seen: only one posting of each hash leaves the task, so a
-    hash that very many documents share costs a posting per task).
+    """Positions whose hash also occurs elsewhere: rows (id, packed positions).
+    ``docs`` has (id, text); ``anchors(chunk)`` gives the (row, pos, hash,
+    indexed, where) arrays of a chunk: all postings, which of them are index
+    entries, and a hash of their content that deals them to buckets (equal
+    postings have equal ones; where neighbours share it, their postings stay
+    together). A hash counts as shared when it has two postings of which one is
+    indexed, or two postings met by one map task (a superset, decided where it
+    is seen: only one posting of each hash leaves the task, so a hash that very
+    many documents share costs a posting per task).
     """
     from .textcore import chunks
 
-    def send(table, ids, bucket_seed):
-        doc, pos, key, indexed = gather(table)
-        ids = np.concatenate(ids).reshape(1, -1).T
+    def send(table, ids):
+        doc, pos, key, indexed, where = gather(table)
+        ids = np.concatenate(ids).reshape(-1, 1)
         order = np.argsort(key, kind="stable")
         k = key[order]
         first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
@@ -138,13 +189,13 @@ def shared_positions(docs: DataFrame, anchors, buckets: int) -> DataFrame:
         for (i,), (p,) in by_id([ids[doc[local], 0]], [pos[local]]):
             out_b.append(i % buckets)
             out_id.append(i)
-            out_v.append(p.astype(np.uint32).tobytes())
+            out_v.append(pack_positions(p))
         rep = order[first]
         mark = np.zeros(len(key), dtype=bool)
         mark[rep] = any_indexed
         rep.sort()
-        value = pos[rep].astype(np.uint32) | (mark[rep].astype(np.uint32) << np.uint32(31))
-        for b, blob in pack(bucket_of(key[rep], buckets), doc[rep], ids,
+        value = pos[rep].astype(np.uint32) * np.uint32(2) + mark[rep]
+        for b, blob in pack(bucket_of(where[rep], buckets), doc[rep], ids,
                             [(key[rep] & np.uint64(0xFFFFFFFF)).astype(np.uint32), value]):
             out_b.append(b)
             out_id.append(None)
@@ -157,18 +208,19 @@ def shared_positions(docs: DataFrame, anchors, buckets: int) -> DataFrame:
         for batch in batches:
             column = batch.column(0).to_numpy(zero_copy_only=False)
             for c in chunks(batch.column(1)):
-                row, pos, key, indexed = anchors(c)
-                table.append((row + base, pos, key, indexed))
+                row, *rest = anchors(c)
+                table.append((row + base, *rest))
                 ids.append(column[c.lo:c.hi].astype(np.int64))
                 base += c.n
-                n += len(key)
+                n += len(row)
                 if n >= GATHER:
-                    yield from send(table, ids, n)
+                    yield from send(table, ids)
                     table, ids, n, base = [], [], 0, 0
         if table:
-            yield from send(table, ids, n)
+            yield from send(table, ids)
 
     def reduce(batches):
+        found = Found(["id", "pos"])
         for bucket, blobs in by_bucket(batches, 2, 1):
             if bucket is None:
                 yield pa.RecordBatch.from_arrays([blobs.column(1), blobs.column(2)], names=["id", "pos"])
@@ -182,13 +234,10 @@ def shared_positions(docs: DataFrame, anchors, buckets: int) -> DataFrame:
             k = key[order]
             first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
             size = np.diff(np.append(first, len(k)))
-            marked = np.logical_or.reduceat(value[order] >> np.uint32(31) > 0, first)
+            marked = np.logical_or.reduceat((value[order] & np.uint32(1)) > 0, first)
             hit = order[np.repeat((size > 1) & marked, size)]
-            out = list(by_id([ids[hit]], [value[hit] & np.uint32(0x7FFFFFFF)]))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([i for (i,), _ in out], pa.int64()), pa.array([p.tobytes() for _, (p,) in out], pa.binary())],
-                    names=["id", "pos"])
+            yield from found.add(ids[hit], value[hit] >> np.uint32(1))
+        yield from found.flush()
 
     sent = docs.mapInArrow(collect, "bucket int, id long, data binary")
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(reduce, "id long, pos binary")

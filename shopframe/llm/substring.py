@@ -33,9 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .postings import (GATHER, NO_ID, bucket_count, bucket_of, by_bucket, by_id, gather, identified, pack,
-                       shared_positions, unpack, with_lists)
-from .textcore import (BASES, SPACE, Words, chunks, covered, runs_of, span_hash, whole_windows, window_hash)
+from .postings import (GATHER, NO_ID, Found, bucket_count, bucket_of, by_bucket, by_id, gather, identified, pack,
+                       pack_positions, shared_positions, unpack, unpack_positions, with_lists)
+from .textcore import (BASES, SPACE, Words, chunks, covered, mix, runs_of, sliding_min, some_rows, span_hash, text_hash,
+                       whole_windows, window_hash)
 
 WINDOW = 20
 
@@ -45,29 +46,26 @@ def probe(block: int):
     are the index blocks."""
     def anchors(chunk):
         words = Words(chunk, SPACE)
-        key = window_hash(span_hash(chunk.data, words.start, words.end), block)
+        h = span_hash(chunk.data, words.start, words.end)
+        key = window_hash(h, block)
         at = np.flatnonzero(whole_windows(words.first, block, len(key)))
         row = words.row()[at]
         pos = at - words.first[row]
-        return row, pos, key[at], pos % block == 0
+        return row, pos, key[at], pos % block == 0, neighbourhood(h, block, max(1, block // 3))[at]
     return anchors
 
 
-def text_hash(chunk) -> np.ndarray:
-    return span_hash(chunk.data, chunk.offsets[:-1], chunk.offsets[1:], BASES[1]).view(np.int64)
-
-
-def positions(lists, i) -> np.ndarray:
-    """Concatenated uint32 arrays of one row's list of binaries."""
-    values = lists[i].as_py()
-    return np.frombuffer(b"".join(values), dtype=np.uint32).astype(np.int64) if values else np.zeros(0, np.int64)
+def neighbourhood(h: np.ndarray, width: int, part: int) -> np.ndarray:
+    """A hash that equal windows of ``width`` words share, and most neighbours
+    too: the least hash of the ``part``-word runs within the window."""
+    return mix(sliding_min(window_hash(h, part), width - part + 1))
 
 
 def _extend(window: int, block: int, buckets: int):
     """Rows (id, text, pos list): extended windows around the hits, packed by
     bucket; repeats within one task are passed on as (id, th, pos)."""
     def send(table, ids):
-        doc, pos, g1, g2 = gather(table)
+        doc, pos, g1, g2, where = gather(table)
         ids = np.concatenate(ids)
         # Earliest first among equal windows: by id, text, position.
         order = np.lexsort((pos, ids[doc, 1], ids[doc, 0], g2, g1))
@@ -82,10 +80,10 @@ def _extend(window: int, block: int, buckets: int):
         out = [[], [], [], []]
         flagged = order[repeat]
         for (i, th), (p,) in by_id([ids[doc[flagged], 0], ids[doc[flagged], 1]], [pos[flagged]]):
-            for column, v in zip(out, (i % buckets, i, th, p.astype(np.uint32).tobytes())):
+            for column, v in zip(out, (i % buckets, i, th, pack_positions(p))):
                 column.append(v)
         keep = np.sort(order[~same])
-        for bucket, blob in pack(bucket_of(g1[keep], buckets), doc[keep], ids,
+        for bucket, blob in pack(bucket_of(where[keep], buckets), doc[keep], ids,
                                  [g2[keep], pos[keep].astype(np.uint32)]):
             for column, v in zip(out, (bucket, None, None, blob)):
                 column.append(v)
@@ -102,12 +100,13 @@ def _extend(window: int, block: int, buckets: int):
                 rows = np.flatnonzero(some[c.lo:c.hi])
                 if len(rows) == 0:
                     continue
-                words = Words(c, SPACE)
-                h = span_hash(c.data, words.start, words.end)
+                part = some_rows(c, rows)
+                words = Words(part, SPACE)
+                h = span_hash(part.data, words.start, words.end)
                 hit = np.zeros(words.n + 1, dtype=np.int64)
-                for i in rows:
-                    p = positions(lists, c.lo + int(i)) + words.first[i]
-                    hit[p[p < words.first[i + 1]]] = 1
+                for k, i in enumerate(rows):
+                    p = unpack_positions(lists[c.lo + int(i)].as_py()) + words.first[k]
+                    hit[p[p < words.first[k + 1]]] = 1
                 g1 = window_hash(h, window)
                 if len(g1) == 0:
                     continue
@@ -117,11 +116,12 @@ def _extend(window: int, block: int, buckets: int):
                 at = np.flatnonzero(near & whole_windows(words.first, window, len(g1)))
                 g2 = window_hash(h, window, BASES[1])
                 row = words.row()[at]
-                table.append((row + base, at - words.first[row], g1[at], g2[at]))
-                ids.append(np.column_stack([column[c.lo:c.hi].astype(np.int64), text_hash(c)]))
-                base += c.n
+                table.append((row + base, at - words.first[row], g1[at], g2[at],
+                              neighbourhood(h, window, max(1, window * 3 // 10))[at]))
+                ids.append(np.column_stack([column[c.lo:c.hi][rows].astype(np.int64), text_hash(part)]))
+                base += part.n
                 n += len(at)
-                if n >= GATHER:
+                if n >= GATHER // 2:
                     yield from send(table, ids)
                     table, ids, n, base = [], [], 0, 0
         if n:
@@ -133,6 +133,7 @@ def _repeats(batches):
     """Packed windows sorted by bucket: (id, th, pos) of all that are not the
     earliest of their hash."""
     names = ["id", "th", "pos"]
+    found = Found(names)
     for bucket, blobs in by_bucket(batches, 3, 1):
         if bucket is None:
             yield pa.RecordBatch.from_arrays([blobs.column(1), blobs.column(2), blobs.column(3)], names=names)
@@ -149,11 +150,8 @@ def _repeats(batches):
         lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
         repeat = ~new & ((ids[order] != ids[lead]) | (th[order] != th[lead]) | (pos[order] != pos[lead]))
         flagged = order[repeat]
-        out = list(by_id([ids[flagged], th[flagged]], [pos[flagged]]))
-        if out:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k, _ in out], pa.int64()), pa.array([k[1] for k, _ in out], pa.int64()),
-                 pa.array([p.tobytes() for _, (p,) in out], pa.binary())], names=names)
+        yield from found.add(ids[flagged], th[flagged], pos[flagged])
+    yield from found.flush()
 
 
 OUT = "id long, n_words long, n_removed long, kept_sha256 string, n_runs long, kept string"
@@ -173,10 +171,10 @@ def _cut(window: int, with_text: bool):
                     runs = 0
                     n = len(words)
                     if valid[c.lo + i]:
-                        starts = [np.frombuffer(p, np.uint32).astype(np.int64) for t, p in zip(
-                            batch.column(2)[c.lo + i].as_py(), batch.column(3)[c.lo + i].as_py()) if t == own[i]]
-                        if starts:
-                            gone = covered(np.unique(np.concatenate(starts)), window, n)
+                        starts = unpack_positions([p for t, p in zip(
+                            batch.column(2)[c.lo + i].as_py(), batch.column(3)[c.lo + i].as_py()) if t == own[i]])
+                        if len(starts):
+                            gone = covered(np.unique(starts), window, n)
                             runs = len(runs_of(gone)[0])
                             words = [words[j] for j in np.flatnonzero(~gone)]
                     kept = b" ".join(words)

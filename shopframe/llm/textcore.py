@@ -12,8 +12,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 # Fixed multipliers of the polynomial hashes (odd, 64 bits) and their inverses.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -157,6 +158,32 @@ def whole_windows(first: np.ndarray, width: int, n_windows: int) -> np.ndarray:
     return ok
 
 
+def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of each run of ``width`` values, by doubling."""
+    size = 1
+    while 2 * size <= width:
+        a = np.minimum(a[:-size], a[size:]) if len(a) > size else a[:0]
+        size *= 2
+    if size < width:
+        rest = width - size
+        a = np.minimum(a[:-rest], a[rest:]) if len(a) > rest else a[:0]
+    return a
+
+
+def text_hash(chunk: Chunk) -> np.ndarray:
+    """64-bit hash of each row's text, as signed integers."""
+    data = memoryview(np.ascontiguousarray(chunk.data))
+    o = chunk.offsets.tolist()
+    return np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(o, o[1:])], dtype=np.uint64).view(np.int64)
+
+
+def some_rows(chunk: Chunk, rows: np.ndarray) -> Chunk:
+    """A chunk of some rows of another (``lo:hi`` do not apply to it)."""
+    size = chunk.offsets[rows + 1] - chunk.offsets[rows]
+    data = np.concatenate([chunk.data[chunk.offsets[i]:chunk.offsets[i + 1]] for i in rows])
+    return Chunk(data, np.concatenate(([0], np.cumsum(size))), 0, len(rows))
+
+
 def covered(starts: np.ndarray, width: int, size: int) -> np.ndarray:
     """Booleans: positions covered by runs of ``width`` from ``starts``."""
     delta = np.zeros(size + 1, dtype=np.int32)
