@@ -41,10 +41,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .postings import (NO_ID, bucket_count, by_bucket, by_id, gather, identified, pack, shared_positions, unpack,
-                       with_lists)
-from .substring import positions, text_hash
-from .textcore import BASES, chunks, ranges, runs_of, window_hash
+from .postings import (NO_ID, bucket_count, by_bucket, gather, identified, pack, shared_positions, unpack,
+                       unpack_positions, with_lists)
+from .textcore import BASES, chunks, ranges, runs_of, sliding_min, some_rows, text_hash, window_hash
 
 SPAN = 50
 LEAD = 20
@@ -64,13 +63,7 @@ def owners(chunk, span: int, lead: int):
     wide = span - lead + 1
     if len(key) > int(_PLACE):
         raise ValueError("a single text beyond 128 MB")
-    least = (key & ~_PLACE) | np.arange(len(key), dtype=np.uint64)
-    size = 1
-    while 2 * size <= wide:                  # sliding minimum by doubling
-        least = np.minimum(least[:-size], least[size:])
-        size *= 2
-    if size < wide:
-        least = np.minimum(least[:len(least) - (wide - size)], least[wide - size:])
+    least = sliding_min((key & ~_PLACE) | np.arange(len(key), dtype=np.uint64), wide)
     inside = np.ones(n, dtype=bool)
     ends = chunk.offsets[1:-1]
     inside[_before(ends, span, n)] = False
@@ -91,17 +84,20 @@ def sampled(span: int, lead: int):
         _, owner, key = owners(chunk, span, lead)
         place = owner[np.append(True, owner[1:] != owner[:-1])] if len(owner) else owner
         row = np.searchsorted(chunk.offsets, place, side="right") - 1
-        return row, place - chunk.offsets[row], key[place], np.ones(len(place), dtype=bool)
+        return row, place - chunk.offsets[row], key[place], np.ones(len(place), dtype=bool), key[place]
     return anchors
 
 
 def digits(data: np.ndarray, at: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
     """(n, width) big-endian 8-byte digits of the strings data[at:at+length],
     zero-padded."""
-    offset = np.arange(8 * width)
-    index = at[:, None] + offset
-    out = np.where(offset < length[:, None], data[np.minimum(index, len(data) - 1)], 0).astype(np.uint8)
-    return np.ascontiguousarray(out).view(">u8").astype(np.uint64)
+    offset = np.arange(8 * width, dtype=np.int32)
+    out = np.zeros((len(at), width), dtype=np.uint64)
+    for lo in range(0, len(at), 8192):       # bounded index arrays
+        a, n = at[lo:lo + 8192, None], length[lo:lo + 8192, None]
+        part = data[np.minimum(a + offset, len(data) - 1)] * (offset < n)
+        out[lo:lo + 8192] = np.ascontiguousarray(part.astype(np.uint8)).view(">u8")
+    return out
 
 
 def multikey_sort(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,6 +128,23 @@ def multikey_sort(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, differs
 
 
+def merged(ids, th, start, end):
+    """Rows (id, th, packed spans): overlapping spans of a text united."""
+    order = np.lexsort((start, th, ids))
+    ids, th, start, end = (a[order] for a in (ids, th, start, end))
+    fresh = np.ones(len(ids), dtype=bool)
+    fresh[1:] = (ids[1:] != ids[:-1]) | (th[1:] != th[:-1])
+    text = np.cumsum(fresh) << 32
+    reach = np.maximum.accumulate(end + text)
+    new = np.ones(len(ids), dtype=bool)
+    new[1:] = start[1:] + text[1:] > reach[:-1]
+    a = np.flatnonzero(new)
+    stop = (reach - text)[np.append(a[1:], len(ids)) - 1] if len(a) else a
+    pairs = np.column_stack([start[a], stop]).astype(np.uint32)
+    cut = np.flatnonzero(fresh[a])
+    return [(int(ids[a[i]]), int(th[a[i]]), pairs[i:j].tobytes()) for i, j in zip(cut, np.append(cut[1:], len(a)))]
+
+
 def _suffixes(span: int, lead: int, splitters: np.ndarray):
     """Rows (id, text, pos list): suffixes whose leading bytes occur elsewhere,
     with the bytes of the windows they own, packed by range bucket; what one
@@ -151,9 +164,9 @@ def _suffixes(span: int, lead: int, splitters: np.ndarray):
         least = np.repeat(np.minimum.reduceat(ids[doc[order], 0], run), np.diff(np.append(run, len(order))))
         settled = order[ids[doc[order], 0] > least]
         out = [[], [], [], []]
-        for (i, th), (s, n) in by_id([ids[doc[settled], 0], ids[doc[settled], 1]], [start[settled], length[settled]]):
-            for column, v in zip(out, ((i & 0x7FFFFFFF) % (len(splitters) + 1), i, th,
-                                       np.column_stack([s, s + n]).astype(np.uint32).tobytes())):
+        for i, th, found in merged(ids[doc[settled], 0], ids[doc[settled], 1], start[settled],
+                                   start[settled] + length[settled]):
+            for column, v in zip(out, ((i & 0x7FFFFFFF) % (len(splitters) + 1), i, th, found)):
                 column.append(v)
         keep = np.ones(len(doc), dtype=bool)
         keep[settled] = False
@@ -163,7 +176,7 @@ def _suffixes(span: int, lead: int, splitters: np.ndarray):
         for lo, hi in zip(cut, np.append(cut[1:], len(keep)) if len(keep) else []):
             k = keep[lo:hi]
             (_, blob), = pack(np.zeros(len(k), np.int64), doc[k], ids,
-                              [start[k].astype(np.uint32), before[k].astype(np.uint8), length[k].astype(np.uint8)])
+                              [before[k].astype(np.uint8), length[k].astype(np.uint8), start[k].astype(np.uint32)])
             text = pieces[ranges(at[k], length[k])].tobytes()
             for column, v in zip(out, (int(bucket[k[0]]), None, None,
                                        len(blob).to_bytes(4, "little") + blob + text)):
@@ -181,13 +194,14 @@ def _suffixes(span: int, lead: int, splitters: np.ndarray):
                 rows = np.flatnonzero(some[c.lo:c.hi])
                 if len(rows) == 0:
                     continue
-                start, owner, _ = owners(c, span, lead)
+                part = some_rows(c, rows)
+                start, owner, _ = owners(part, span, lead)
                 if len(start) == 0:
                     continue
-                hit = np.zeros(len(c.data) + 1, dtype=bool)
-                for i in rows:
-                    p = positions(lists, c.lo + int(i)) + c.offsets[i]
-                    hit[p[p < c.offsets[i + 1]]] = True
+                hit = np.zeros(len(part.data) + 1, dtype=bool)
+                for k, i in enumerate(rows):
+                    p = unpack_positions(lists[c.lo + int(i)].as_py()) + part.offsets[k]
+                    hit[p[p < part.offsets[k + 1]]] = True
                 use = hit[owner]
                 start, owner = start[use], owner[use]
                 if len(start) == 0:
@@ -197,12 +211,13 @@ def _suffixes(span: int, lead: int, splitters: np.ndarray):
                 a = np.flatnonzero(new)
                 last = start[np.append(a[1:], len(start)) - 1]
                 low, length = start[a], last + span - start[a]
-                row = np.searchsorted(c.offsets, low, side="right") - 1
-                table.append((row + base, low - c.offsets[row], owner[a] - low, length, c.data[ranges(low, length)]))
-                ids.append(np.column_stack([column[c.lo:c.hi].astype(np.int64), text_hash(c)]))
-                base += c.n
+                row = np.searchsorted(part.offsets, low, side="right") - 1
+                table.append((row + base, low - part.offsets[row], owner[a] - low, length,
+                              part.data[ranges(low, length)]))
+                ids.append(np.column_stack([column[c.lo:c.hi][rows].astype(np.int64), text_hash(part)]))
+                base += part.n
                 n += len(a)
-                if n >= 250_000:
+                if n >= 120_000:
                     yield from send(table, ids)
                     table, ids, n, base = [], [], 0, 0
         if n:
@@ -213,19 +228,11 @@ def _suffixes(span: int, lead: int, splitters: np.ndarray):
 def _compare(span: int, lead: int):
     """Range buckets of suffixes: (id, th, spans) of all windows that a smaller
     id has too."""
-    def spans(ids, th, start, end):
-        out = list(by_id([ids, th], [start, end]))
-        if out:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k, _ in out], pa.int64()), pa.array([k[1] for k, _ in out], pa.int64()),
-                 pa.array([np.column_stack(v).astype(np.uint32).tobytes() for _, v in out], pa.binary())],
-                names=["id", "th", "spans"])
-
     def reduce(blobs):
         parts, texts = [], []
         for b in blobs:
             n = int.from_bytes(b[:4], "little")
-            (ids, th), (start, before, length) = unpack(b[4:4 + n], 2, (np.uint32, np.uint8, np.uint8))
+            (ids, th), (before, length, start) = unpack(b[4:4 + n], 2, (np.uint8, np.uint8, np.uint32))
             parts.append((ids, th, start.astype(np.int64), before.astype(np.int64), length.astype(np.int64)))
             texts.append(np.frombuffer(b, np.uint8, offset=4 + n))
         ids, th, start, before, length = gather(parts)
@@ -249,7 +256,7 @@ def _compare(span: int, lead: int):
         # Suffixes equal in everything they carry: the smallest id has it first.
         copies = ids[order] > least
         c = order[copies]
-        yield from spans(ids[c], th[c], start[c], start[c] + length[c])
+        yield ids[c], th[c], start[c], start[c] + length[c]
         # Groups with different contexts: window by window.
         kinds = np.searchsorted(full, np.append(group[1:], n)) - np.searchsorted(full, group)
         of = np.repeat(np.arange(len(group)), np.diff(np.append(group, n)))
@@ -276,15 +283,29 @@ def _compare(span: int, lead: int):
         lead_ = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
         hit = order[ids[who[order]] > ids[who[lead_]]]
         s = start[who[hit]] + step[hit]
-        yield from spans(ids[who[hit]], th[who[hit]], s, s + span)
+        yield ids[who[hit]], th[who[hit]], s, s + span
+
+    def flush(parts):
+        rows = merged(*gather(parts))
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(
+            zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["id", "th", "spans"])
 
     def task(batches):
+        parts, n = [], 0                  # spans of several buckets make one row
         for bucket, blobs in by_bucket(batches, 3, 1):
             if bucket is None:
                 yield pa.RecordBatch.from_arrays([blobs.column(1), blobs.column(2), blobs.column(3)],
                                                  names=["id", "th", "spans"])
-            else:
-                yield from reduce(blobs)
+                continue
+            for found in reduce(blobs):
+                if len(found[0]):
+                    parts.append(found)
+                    n += len(found[0])
+            if n >= 300_000:
+                yield from flush(parts)
+                parts, n = [], 0
+        if parts:
+            yield from flush(parts)
     return task
 
 
