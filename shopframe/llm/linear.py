@@ -13,11 +13,13 @@ def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 120) -> tup
     """Weights (d, m) and biases (m) of m logistic models with 0/1 targets
     ``y`` (n, m): accelerated gradient descent on standardised columns, the
     scaling folded into the returned weights."""
-    x = x.astype(np.float32)
     n, d = x.shape
-    mean, std = x.mean(axis=0), x.std(axis=0)
+    z = x.astype(np.float32)               # a copy: standardised in place
+    mean = z.mean(axis=0)
+    z -= mean
+    std = np.sqrt(np.einsum("ij,ij->j", z, z) / n)
     scale = np.where(std > 1e-12, 1.0 / np.maximum(std, 1e-12), 0.0).astype(np.float32)
-    z = (x - mean) * scale
+    z *= scale
     v = np.ones(d, dtype=np.float32)
     for _ in range(8):                     # largest eigenvalue of z'z / n
         v = z.T @ (z @ v) / n

@@ -33,79 +33,62 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import components
-from .postings import (GATHER, NO_ID, bucket_count, bucket_of, by_bucket, by_id, gather, identified, pack, unpack,
-                       with_lists)
-from .substring import text_hash
-from .textcore import BASES, chunks, mix, span_hash, window_hash
+from .postings import GATHER, NO_ID, bucket_count, bucket_of, by_bucket, gather, identified, pack, unpack, with_lists
+from .textcore import BASES, MASK, chunks, mix, text_hash
 
-SHINGLE = 8
+SHINGLE = 8             # a power of two
 BANDS, ROWS = 10, 4
 SIMILARITY = 0.8
 LIMIT = 1000
-KEY_BYTES = 6           # of a band key
 BLOCK = 1 << 15         # characters hashed at once, to stay in cache
 
+# Fixed odd multipliers: 2-, 4- and 8-character hashes from their halves.
+FACTORS = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+
 _RNG = np.random.default_rng(11)
 MULTIPLY = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 FLIP = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
 
-class Lines:
-    """Lines of a chunk that are not blank: character ``start``/``end``, the
-    row and the line number in it."""
-
-    def __init__(self, chunk):
-        data = chunk.data
-        text = data.tobytes().decode("utf-8", "replace")
-        self.chars = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        if len(data) == len(self.chars):
-            edge = chunk.offsets
-        else:
-            edge = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[chunk.offsets]
-        feeds = np.flatnonzero(self.chars == 10)
-        row_of_feed = np.searchsorted(edge, feeds, side="right") - 1
-        start = np.concatenate([edge[:-1], feeds + 1])
-        row = np.concatenate([np.arange(chunk.n), row_of_feed])
-        by = np.lexsort((start, row))
-        start, row = start[by], row[by]
-        first = np.searchsorted(row, np.arange(chunk.n))
-        number = np.arange(len(row)) - first[row]
-        end = np.append(start[1:] - 1, len(self.chars))
-        last = np.append(row[1:] != row[:-1], True)
-        end[last] = edge[1:][row[last]]
-        solid = np.concatenate(([0], np.cumsum((self.chars > 32) | (self.chars < 9) |
-                                               ((self.chars > 13) & (self.chars < 32)))))
-        keep = solid[end] > solid[start]
-        self.start, self.end, self.row, self.number = start[keep], end[keep], row[keep], number[keep]
-
-
-def shingle_hashes(lines: Lines) -> np.ndarray:
-    """Hash of the shingle that starts at each character."""
-    return window_hash(lines.chars.astype(np.uint64) + np.uint64(1), SHINGLE)
-
-
-def band_keys(lines: Lines) -> np.ndarray:
+def solid_lines(text: bytes):
+    """(line number, line) of all lines that are not blank."""
+    return [(n, x) for n, x in enumerate(text.split(b"\n")) if x and not x.isspace()]
+
+
+def shingle_hashes(chars: np.ndarray) -> np.ndarray:
+    """Hash of the ``SHINGLE`` characters that start at each place, put
+    together from two halves again and again."""
+    h, size = chars.astype(np.uint64) + np.uint64(1), 1
+    for m in FACTORS:
+        h = h[:-size] * m + h[size:] if len(h) > size else h[:0]
+        size *= 2
+    return mix(h)
+
+
+def band_keys(lines: list[bytes]) -> np.ndarray:
     """(lines, BANDS) 64-bit band keys."""
-    x = (shingle_hashes(lines) >> np.uint64(32)).astype(np.uint32)
-    n = len(lines.start)
+    chars = np.frombuffer(b"\n".join(lines).decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
+    feeds = np.flatnonzero(chars == 10)
+    start, end = np.append(0, feeds + 1), np.append(feeds, len(chars))
+    x = (shingle_hashes(chars) >> np.uint64(32)).astype(np.uint32)
+    n = len(lines)
     sig = np.empty((n, BANDS * ROWS), dtype=np.uint32)
-    size = lines.end - lines.start
-    short = size < SHINGLE
-    if short.any():
-        whole = span_hash(lines.chars, lines.start[short], lines.end[short])
-        sig[short] = ((whole >> np.uint64(32)).astype(np.uint32)[:, None] ^ FLIP) * MULTIPLY
+    short = end - start < SHINGLE
+    for i in np.flatnonzero(short):
+        sig[i] = (np.uint32(xxhash.xxh32_intdigest(lines[i])) ^ FLIP) * MULTIPLY
     at = np.flatnonzero(~short)
-    lo, ends = 0, lines.end[at] - SHINGLE + 1
+    lo, stop = 0, end[at] - SHINGLE + 1
     while lo < len(at):
-        hi = max(lo + 1, int(np.searchsorted(ends, lines.start[at[lo]] + BLOCK, side="right")))
-        a, b = lines.start[at[lo]], ends[hi - 1]
+        hi = max(lo + 1, int(np.searchsorted(stop, start[at[lo]] + BLOCK, side="right")))
+        a, b = start[at[lo]], stop[hi - 1]
         part = x[a:b]
-        cuts = np.column_stack([lines.start[at[lo:hi]], ends[lo:hi]]).ravel()[:-1] - a
+        cuts = np.column_stack([start[at[lo:hi]], stop[lo:hi]]).ravel()[:-1] - a
         for k in range(BANDS * ROWS):
             sig[at[lo:hi], k] = np.minimum.reduceat((part ^ FLIP[k]) * MULTIPLY[k], cuts)[::2]
         lo = hi
@@ -114,7 +97,7 @@ def band_keys(lines: Lines) -> np.ndarray:
         h = np.full(n, b + 1, dtype=np.uint64)
         for r in range(ROWS):
             h = mix(h ^ sig[:, b * ROWS + r].astype(np.uint64)) * np.uint64(BASES[0])
-        key[:, b] = h
+        key[:, b] = mix(h)
     return key
 
 
@@ -123,73 +106,73 @@ def _describe(batches):
     for batch in batches:
         column = batch.column(0).to_numpy(zero_copy_only=False)
         for c in chunks(batch.column(1)):
-            lines = Lines(c)
-            h1 = span_hash(lines.chars, lines.start, lines.end)
-            h2 = span_hash(lines.chars, lines.start, lines.end, BASES[1])
-            ids, th = column[c.lo:c.hi][lines.row], text_hash(c)[lines.row]
-            order = np.lexsort((lines.number, th, ids, h2, h1))
-            new = np.ones(len(order), dtype=bool)
-            new[1:] = (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
-            k = order[new]
-            keys = band_keys(lines)[k]
-            raw = (keys >> np.uint64(16)).astype(np.uint64).view(np.uint8).reshape(len(k), BANDS, 8)[:, :, :KEY_BYTES]
-            raw = np.ascontiguousarray(raw).reshape(len(k), BANDS * KEY_BYTES)
+            ids, th = column[c.lo:c.hi].tolist(), text_hash(c).tolist()
+            first: dict[int, tuple] = {}
+            for i in range(c.n):
+                for n, x in solid_lines(c.text(i)):
+                    h, place = xxhash.xxh3_128_intdigest(x), (ids[i], th[i], n)
+                    if h not in first or place < first[h]:
+                        first[h] = place
+            rows = [(h >> 64, h & MASK, *p) for h, p in first.items()]
+            h1, h2, *place = zip(*rows) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h1[k].view(np.int64)), pa.array(h2[k].view(np.int64)), pa.array(ids[k]), pa.array(th[k]),
-                 pa.array(lines.number[k].astype(np.int32)), pa.array([r.tobytes() for r in raw], pa.binary())],
-                names=["h1", "h2", "id", "th", "line", "bands"])
+                [pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64)),
+                 *[pa.array(v, t) for v, t in zip(place, (pa.int64(), pa.int64(), pa.int32()))]],
+                names=["h1", "h2", "id", "th", "line"])
 
 
 def _send(buckets: int):
-    """Distinct lines to packed postings by band key."""
+    """Rows (id, text): packed postings (band key, line hash) of all lines,
+    equal lines of a chunk once."""
     def send(table):
-        ids, keys, line = gather(table)
-        n = len(ids)
-        key = keys.T.ravel()                       # by band, then line
-        doc = np.tile(np.arange(n), BANDS)
-        number = np.tile(line, BANDS)
-        rows = list(pack(bucket_of(key, buckets), doc, ids, [key, number]))
+        line, keys = gather(table)
+        line, first = np.unique(line, return_index=True)
+        key, who = keys[first].T.ravel(), np.tile(line, BANDS)
+        rows = list(pack(bucket_of(key, buckets), np.zeros(len(key), np.int64), np.zeros((1, 0), np.int64),
+                         [who, (key >> np.uint64(16)) & np.uint64(0xFFFFFFFFFF), np.zeros(len(key), np.uint8)]))
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()),
                                           pa.array([v for _, v in rows], pa.binary())], names=["bucket", "data"])
 
     def task(batches):
         table, n = [], 0
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            raw = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, BANDS, KEY_BYTES)
-            keys = np.zeros((len(raw), BANDS, 8), dtype=np.uint8)
-            keys[:, :, 8 - KEY_BYTES:] = raw
-            keys = keys.view(np.uint64)[:, :, 0]
-            ids = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)])
-            table.append((ids, keys, batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint32)))
-            n += keys.size
-            if n >= GATHER:
-                yield from send(table)
-                table, n = [], 0
+            for c in chunks(batch.column(1)):
+                lines = {}
+                for i in range(c.n):
+                    for _, x in solid_lines(c.text(i)):
+                        lines.setdefault(xxhash.xxh3_128_intdigest(x) >> 64, x)
+                if lines:
+                    table.append((np.fromiter(lines, np.uint64, len(lines)), band_keys(list(lines.values()))))
+                    n += len(lines) * BANDS
+                if n >= GATHER:
+                    yield from send(table)
+                    table, n = [], 0
         if table:
             yield from send(table)
     return task
 
 
 def _meet(batches):
-    """Buckets of two lines or more: (sig, size, id, th, line). Buckets that
+    """Buckets of two different lines or more: (sig, size, h). Buckets that
     hold the same lines have the same sig."""
     for _, blobs in by_bucket(batches):
-        parts = [unpack(b, 2, (np.uint64, np.uint32)) for b in blobs]
-        ids, th = (np.concatenate([p[0][i] for p in parts]) for i in (0, 1))
-        key, line = (np.concatenate([p[1][i] for p in parts]) for i in (0, 1))
-        order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.append(True, key[order[1:]] != key[order[:-1]]))
-        size = np.diff(np.append(first, len(order)))
-        who = mix(mix(mix(ids.view(np.uint64)) ^ th.view(np.uint64)) ^ line.astype(np.uint64))[order]
-        sig = np.repeat(mix(np.add.reduceat(who, first) ^ mix(np.bitwise_xor.reduceat(who, first))), size)
-        size = np.repeat(size, size)
-        k = order[size > 1]
-        if len(k):
+        parts = [unpack(b, 0, (np.uint64, np.uint64, np.uint8))[1] for b in blobs]
+        who, key = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        order = np.lexsort((who, key))
+        who, key = who[order], key[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (who[1:] != who[:-1]))
+        who, key = who[new], key[new]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(first, len(key)))
+        sig = mix(np.add.reduceat(mix(who), first) ^ mix(np.bitwise_xor.reduceat(mix(who ^ np.uint64(77)), first)))
+        sig, size = np.repeat(sig, size), np.repeat(size, size)
+        k = size > 1
+        if k.any():
+            # The same lines meet in several bands: once per bucket is enough.
+            pair = np.unique(np.column_stack([sig[k], who[k], size[k].astype(np.uint64)]), axis=0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sig[size > 1].view(np.int64)), pa.array(size[size > 1].astype(np.int32)), pa.array(ids[k]),
-                 pa.array(th[k]), pa.array(line[k].astype(np.int32))], names=["sig", "size", "id", "th", "line"])
+                [pa.array(np.ascontiguousarray(pair[:, 0]).view(np.int64)), pa.array(pair[:, 2].astype(np.int32)),
+                 pa.array(np.ascontiguousarray(pair[:, 1]).view(np.int64))], names=["sig", "size", "h"])
 
 
 def _fetch(batches):
@@ -225,9 +208,8 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     out = []
     for t in texts:
         chars = np.frombuffer(t.decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
-        h = window_hash(chars.astype(np.uint64) + np.uint64(1), SHINGLE) if len(chars) >= SHINGLE else \
-            span_hash(chars, np.array([0]), np.array([len(chars)]))
-        out.append(np.unique(h))
+        out.append(np.unique(shingle_hashes(chars)) if len(chars) >= SHINGLE else
+                   np.array([xxhash.xxh3_64_intdigest(t)], dtype=np.uint64))
     return out
 
 
@@ -309,7 +291,7 @@ def _cut(with_text: bool):
                     th, stay = batch.column(2)[c.lo + i].as_py(), batch.column(3)[c.lo + i].as_py()
                     stay = {n for t, n in zip(th, stay) if t == own[i]} if th else set()
                     lines = c.text(i).split(b"\n") if c.offsets[i + 1] > c.offsets[i] else []
-                    left = [x for n, x in enumerate(lines) if n in stay or not x.split()]
+                    left = [x for n, x in enumerate(lines) if n in stay or not x or x.isspace()]
                     kept = b"\n".join(left)
                     for col, v in zip(out, (column[c.lo + i], len(lines), len(lines) - len(left),
                                             hashlib.sha256(kept).hexdigest(),
@@ -322,17 +304,17 @@ def _cut(with_text: bool):
 
 
 def distinct_lines(d: DataFrame) -> DataFrame:
-    """(id, th, line, bands): the first occurrence of every distinct line."""
-    lines = d.mapInArrow(_describe, "h1 long, h2 long, id long, th long, line int, bands binary")
-    return lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "line", "bands")).alias("p")).select(
-        "p.id", "p.th", "p.line", "p.bands")
+    """(h1, h2, id, th, line): every distinct line's hash and first place."""
+    lines = d.mapInArrow(_describe, "h1 long, h2 long, id long, th long, line int")
+    return lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "line")).alias("p")).select(
+        "h1", "h2", "p.id", "p.th", "p.line")
 
 
 def near_lines(d: DataFrame, lines: DataFrame, buckets: int, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): links between places (id, th, line) of distinct lines."""
-    met = (lines.select("id", "th", "line", "bands").mapInArrow(_send(buckets), "bucket int, data binary")
-           .repartition("bucket").sortWithinPartitions("bucket")
-           .mapInArrow(_meet, "sig long, size int, id long, th long, line int").distinct())
+    met = (d.mapInArrow(_send(buckets), "bucket int, data binary").repartition("bucket").sortWithinPartitions("bucket")
+           .mapInArrow(_meet, "sig long, size int, h long").distinct())
+    met = met.join(lines.select(F.col("h1").alias("h"), "id", "th", "line"), "h")
     texts = with_lists(d, met, "th", "line", "sig", "size").where(F.col("th").isNotNull()).mapInArrow(
         _fetch, "sig long, i int, j int, k int, id long, th long, line int, text binary")
     place = "struct<id:long,th:long,line:int>"

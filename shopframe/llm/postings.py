@@ -46,7 +46,7 @@ def pack(bucket, doc, ids, arrays):
     arrays[-1] = step
     cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
     for lo, hi in zip(cut, np.append(cut[1:], len(bucket)) if len(bucket) else []):
-        d = doc[lo:hi]
+        d = doc[lo:hi]                     # runs of one document
         first = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
         n = np.diff(np.append(first, hi - lo)).astype(np.uint32)
         head = np.array([len(first), hi - lo], dtype=np.uint32)

@@ -9,6 +9,9 @@ that keeps all bytes above 0x7F inside words.
 
 from __future__ import annotations
 
+import sys
+import types
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,16 +24,6 @@ BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 MASK = (1 << 64) - 1
 
 
-class _Cache(dict):
-    """Pickled empty: a task that carries these functions builds its own."""
-
-    def __reduce__(self):
-        return _Cache, ()
-
-
-_POWERS = _Cache()
-
-
 def class_table(is_separator) -> np.ndarray:
     """256 booleans: whether each byte separates words."""
     return np.array([bool(is_separator(b)) for b in range(256)])
@@ -78,19 +71,21 @@ def chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES, max_rows: int = 1 <<
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**k and base**-k (mod 2**64) for k < n, grown on demand."""
-    have = _POWERS.get(base)
+    """base**k and base**-k (mod 2**64) for k < n. One table per process: task
+    functions are unpickled anew for every task, and tables in their globals
+    would pile up until the garbage collector comes round."""
+    holder = sys.modules.setdefault("shopframe_power_tables", types.ModuleType("shopframe_power_tables"))
+    have = holder.__dict__.get(base)
     if have is None or len(have[0]) < n:
         size = max(n, CHUNK_BYTES + 1)
-        inv = pow(base, -1, 1 << 64)
         out = []
-        for b in (base, inv):
+        for b in (base, pow(base, -1, 1 << 64)):
             a = np.full(size, b, dtype=np.uint64)
             a[0] = 1
             out.append(np.multiply.accumulate(a))
         have = (out[0], out[1])
         if size <= CHUNK_BYTES + 1:
-            _POWERS[base] = have
+            holder.__dict__[base] = have
     return have
 
 

@@ -36,11 +36,11 @@ from .common import map_whole_rows
 from .linear import fit, sigmoid
 from .textcore import LOWER, NON_ALNUM, Chunk, Words, chunks, span_hash
 
-SAMPLE_ROWS = 6000       # bound of the labelled training sample
+SAMPLE_ROWS = 5000       # bound of the labelled training sample
 FEATURES = 1500          # selected features of a category
 MIN_ROWS = 3             # sample rows a selected feature occurs in
 FOLDS = 4
-PREFIXES = (4, 5, 6)     # word beginnings, in bytes
+PREFIXES = (4, 5)        # word beginnings, in bytes
 
 
 def row_features(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +50,7 @@ def row_features(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     row, keys = words.row(), [span_hash(low, words.start, words.end)]
     for n in PREFIXES:
         keys.append(span_hash(low, words.start, np.minimum(words.start + n, words.end)) ^ np.uint64(n))
-    return np.tile(row, len(keys)), np.concatenate(keys)
+    return np.tile(row, len(keys)), (np.concatenate(keys) >> np.uint64(32)).astype(np.uint32)
 
 
 class Chain:
@@ -60,7 +60,7 @@ class Chain:
         self.names, self.models = names, []
         n = len(rows)
         doc = np.repeat(np.arange(n), [len(r) for r in rows])
-        key = np.concatenate(rows) if n else np.zeros(0, np.uint64)
+        key = np.concatenate(rows) if n else np.zeros(0, np.uint32)
         vocab, df = np.unique(key, return_counts=True)
         vocab, df = vocab[df >= MIN_ROWS], df[df >= MIN_ROWS]
         col = np.searchsorted(vocab, key)
@@ -182,7 +182,9 @@ def train(docs: DataFrame, labels: DataFrame, names: list[str], id_col: str = "d
         task, f"doc_id {kind}, {', '.join(f'{c} int' for c in cols)}, x binary").toPandas()
     got = got.sort_values("doc_id", kind="stable")
     y = got[cols].to_numpy(dtype=np.int64).reshape(len(got), len(cols))
-    return Chain(names, [np.frombuffer(b, dtype=np.uint64) for b in got["x"]], y, np.arange(len(got)) % FOLDS)
+    rows = [np.frombuffer(b, dtype=np.uint32) for b in got["x"]]
+    del got
+    return Chain(names, rows, y, np.arange(len(rows)) % FOLDS)
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
