@@ -80,12 +80,15 @@ def cart_command_outcomes_split(t):
 @register("cart_after_commands", "G1 G2 G3", sql=CART_FOLD_SQL + """,
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, variant_id ORDER BY k DESC) AS rn
                         FROM f) WHERE rn = 1),
-fin AS (SELECT user_id, variant_id, qty, gift, cid, ins FROM last UNION ALL
-        SELECT user_id, variant_id, q, g, cid, NULL FROM i
-        WHERE NOT EXISTS (SELECT 1 FROM keys WHERE keys.user_id = i.user_id AND keys.variant_id = i.variant_id))
+addressed AS (SELECT min(c.id) AS id FROM cart_items c
+              WHERE EXISTS (SELECT 1 FROM keys WHERE keys.user_id = c.user_id AND keys.variant_id = c.variant_id)
+              GROUP BY c.user_id, c.variant_id)
 SELECT coalesce(cid, (SELECT max(id) FROM cart_items) + ins) AS id, user_id, variant_id, qty AS quantity,
        gift AS is_gift
-FROM fin WHERE qty IS NOT NULL
+FROM last WHERE qty IS NOT NULL
+UNION ALL
+SELECT id, user_id, variant_id, CAST(quantity AS BIGINT), CAST(is_gift AS INTEGER)
+FROM cart_items WHERE id NOT IN (SELECT id FROM addressed)
 """)
 def cart_after_commands(t):
     """The cart table after the command batch."""

@@ -53,6 +53,42 @@ def replay_cart(cart_rows, commands, stock):
     return out, {k: (v[0], v[1]) for k, v in lines.items()}
 
 
+def more_lines(cart_rows):
+    """Ids of stored rows beyond the first of their key."""
+    first = {}
+    for cid, user, variant, *_ in sorted(cart_rows):
+        first.setdefault((user, variant), cid)
+    return {r[0] for r in cart_rows} - set(first.values())
+
+
+def test_cart_fold_same_for_every_threshold(spark):
+    """Stored quantities of 0 and below, stock above 4,096, seq above 2**53,
+    unknown variants, duplicate rows: split or not, one result,
+    that of the replay."""
+    import random
+    rnd = random.Random(11)
+    stock = {1: 10, 2: 100_000, 3: 0, 4: 5}
+    variants = spark.createDataFrame(list(stock.items()), "id long, stock int")
+    rows = [(10, 7, 1, 0, 0), (11, 7, 2, -3, 1), (12, 7, 2, 5, 0), (13, 8, 2, 99_990, 1), (14, 8, 4, 9, 0), (15, 9, 1, 2, 1)]
+    cart = spark.createDataFrame(rows, "id long, user_id long, variant_id long, quantity long, is_gift int")
+    cmds, seq = [], 9007199254740993
+    for user, variant in ((7, 1), (7, 2), (8, 2), (8, 4), (8, 99), (7, 3)):
+        for i in range(60):
+            op = "update" if i < 6 else rnd.choice(["add", "update", "update", "remove"])
+            n = 1 if i < 6 else rnd.choice([-4000, -2, -1, 0, 1, 3, 5000, 2**40])
+            cmds.append((seq, user, variant, op, n, i % 2))
+            seq += 1
+    rnd.shuffle(cmds)
+    frame = spark.createDataFrame(cmds, "seq long, user_id long, variant_id long, op string, qty long, is_gift int")
+    exp_out, exp_state = replay_cart(rows, sorted(cmds), stock)
+    for threshold, chunks in ((1, 1024), (3, 7), (10**9, 1024)):
+        new, out = CF.apply_cart_commands(cart, frame, variants, hot_threshold=threshold, max_chunks=chunks)
+        assert {r.seq: (r.accepted, r.reason, r.quantity_after) for r in out.collect()} == exp_out
+        got = new.collect()
+        assert {(r.user_id, r.variant_id): (r.quantity, r.is_gift) for r in got if r.id != 12} == exp_state
+        assert {(r.id, r.quantity) for r in got} >= {(12, 5), (15, 2)}
+
+
 def test_cart_fold_matches_replay_on_fixture(spark, t_small):
     cart = t_small["cart_items"]
     cmds = t_small["cart_commands"]
@@ -64,8 +100,9 @@ def test_cart_fold_matches_replay_on_fixture(spark, t_small):
     exp_out, exp_state = replay_cart(cart_rows, cmd_rows, stock)
     got = {r.seq: (r.accepted, r.reason, r.quantity_after) for r in out.collect()}
     assert got == exp_out
-    got_state = {(r.user_id, r.variant_id): (r.quantity, r.is_gift) for r in new.collect()}
+    got_state = {(r.user_id, r.variant_id): (r.quantity, r.is_gift) for r in new.collect() if r.id not in more_lines(cart_rows)}
     assert got_state == exp_state
+    assert more_lines(cart_rows) <= {r.id for r in new.collect()}
 
 
 def test_cart_fold_edge_cases(spark):
@@ -213,8 +250,9 @@ def test_cart_fold_split_hot_keys_matches_replay(spark, t_small):
     exp_out, exp_state = replay_cart(cart_rows, cmd_rows, stock)
     got = {r.seq: (r.accepted, r.reason, r.quantity_after) for r in out.collect()}
     assert got == exp_out
-    got_state = {(r.user_id, r.variant_id): (r.quantity, r.is_gift) for r in new.collect()}
+    got_state = {(r.user_id, r.variant_id): (r.quantity, r.is_gift) for r in new.collect() if r.id not in more_lines(cart_rows)}
     assert got_state == exp_state
+    assert more_lines(cart_rows) <= {r.id for r in new.collect()}
 
 
 def test_cart_fold_one_hot_key(spark):
