@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textcore import chunks, mix
+
 BUCKET_BYTES = 4 << 20      # text per bucket
 GATHER = 1_000_000          # postings a map task packs at once
 NO_ID = (1 << 63) - 1       # stands for a null id: behind all others
@@ -100,6 +102,51 @@ def unpack_positions(values: list[bytes]) -> np.ndarray:
     return np.concatenate(out)
 
 
+def pack_found(ids: list[np.ndarray], values: list[np.ndarray], buckets: int):
+    """Rows (bucket, blob) of what was found in documents, dealt by document:
+    ``ids`` identify it (the first deals), the last value ascends."""
+    order = np.lexsort((*values, *ids[::-1]))
+    ids, values = [a[order] for a in ids], [a[order] for a in values]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.logical_or.reduce([a[1:] != a[:-1] for a in ids])
+    table = np.column_stack([a[new].astype(np.int64) for a in ids])
+    doc = np.cumsum(new) - 1
+    return pack(bucket_of(mix(ids[0].astype(np.int64).view(np.uint64)), buckets), doc, table, values)
+
+
+class Found:
+    """Gathers what the buckets of a partition found and gives it out packed by
+    document bucket, so that rows don't multiply with hash buckets."""
+
+    def __init__(self, n_ids: int, buckets: int):
+        self.n_ids, self.buckets, self.parts, self.n = n_ids, buckets, [], 0
+
+    def add(self, *arrays):
+        self.parts.append(arrays)
+        self.n += len(arrays[0])
+        if self.n >= GATHER // 2:
+            yield from self.flush()
+
+    def flush(self):
+        if self.n:
+            arrays = gather(self.parts)
+            rows = list(pack_found(arrays[:self.n_ids], arrays[self.n_ids:], self.buckets))
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()),
+                                              pa.array([v for _, v in rows], pa.binary())], names=["bucket", "data"])
+        self.parts, self.n = [], 0
+
+
+def by_document(found: DataFrame, n_ids: int, kinds, finish, schema: str) -> DataFrame:
+    """Bring packed finds (bucket, data) together: ``finish`` turns the id and
+    value arrays of a bucket of documents into a record batch."""
+    def task(batches):
+        for _, blobs in by_bucket(batches):
+            parts = [unpack(b, n_ids, kinds) for b in blobs]
+            yield finish(gather([p[0] for p in parts]), gather([p[1] for p in parts]))
+
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(task, schema)
+
+
 def gather(table: list[list]) -> list[np.ndarray]:
     """Column-wise concatenation of a list of array tuples."""
     return [np.concatenate(c) for c in zip(*table)]
@@ -140,29 +187,6 @@ def by_id(ids: list[np.ndarray], values: list[np.ndarray]):
         yield tuple(int(a[lo]) for a in ids), tuple(a[lo:hi] for a in values)
 
 
-class Found:
-    """Gathers (ids..., positions) over the buckets of a partition and gives
-    them out as one row per id, so that rows don't multiply with buckets."""
-
-    def __init__(self, names: list[str]):
-        self.names, self.parts, self.n = names, [], 0
-
-    def add(self, *arrays):
-        self.parts.append(arrays)
-        self.n += len(arrays[0])
-        if self.n >= GATHER:
-            yield from self.flush()
-
-    def flush(self):
-        if self.n:
-            arrays = gather(self.parts)
-            rows = list(by_id(arrays[:-1], arrays[-1:]))
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.array([k[i] for k, _ in rows], pa.int64()) for i in range(len(arrays) - 1)],
-                 pa.array([pack_positions(p) for _, (p,) in rows], pa.binary())], names=self.names)
-        self.parts, self.n = [], 0
-
-
 def shared_positions(docs: DataFrame, anchors, buckets: int) -> DataFrame:
     """Positions whose hash also occurs elsewhere: rows (id, packed positions).
     ``docs`` has (id, text); ``anchors(chunk)`` gives the (row, pos, hash,
@@ -174,8 +198,6 @@ def shared_positions(docs: DataFrame, anchors, buckets: int) -> DataFrame:
     is seen: only one posting of each hash leaves the task, so a hash that very
     many documents share costs a posting per task).
     """
-    from .textcore import chunks
-
     def send(table, ids):
         doc, pos, key, indexed, where = gather(table)
         ids = np.concatenate(ids).reshape(-1, 1)
@@ -186,10 +208,10 @@ def shared_positions(docs: DataFrame, anchors, buckets: int) -> DataFrame:
         size = np.diff(np.append(first, len(k)))
         local = order[np.repeat(size > 1, size)]
         out_b, out_id, out_v = [], [], []
-        for (i,), (p,) in by_id([ids[doc[local], 0]], [pos[local]]):
-            out_b.append(i % buckets)
-            out_id.append(i)
-            out_v.append(pack_positions(p))
+        for b, blob in pack_found([ids[doc[local], 0]], [pos[local].astype(np.uint32)], buckets):
+            out_b.append(b)
+            out_id.append(b)
+            out_v.append(blob)
         rep = order[first]
         mark = np.zeros(len(key), dtype=bool)
         mark[rep] = any_indexed
@@ -200,8 +222,8 @@ def shared_positions(docs: DataFrame, anchors, buckets: int) -> DataFrame:
             out_b.append(b)
             out_id.append(None)
             out_v.append(blob)
-        yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out_id, pa.int64()),
-                                          pa.array(out_v, pa.binary())], names=["bucket", "id", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out_id, pa.int32()),
+                                          pa.array(out_v, pa.binary())], names=["bucket", "found", "data"])
 
     def collect(batches):
         table, ids, n, base = [], [], 0, 0
@@ -220,10 +242,10 @@ def shared_positions(docs: DataFrame, anchors, buckets: int) -> DataFrame:
             yield from send(table, ids)
 
     def reduce(batches):
-        found = Found(["id", "pos"])
+        found = Found(1, buckets)
         for bucket, blobs in by_bucket(batches, 2, 1):
             if bucket is None:
-                yield pa.RecordBatch.from_arrays([blobs.column(1), blobs.column(2)], names=["id", "pos"])
+                yield pa.RecordBatch.from_arrays([blobs.column(1), blobs.column(2)], names=["bucket", "data"])
                 continue
             parts = [unpack(b, 1, (np.uint32, np.uint32)) for b in blobs]
             ids = np.concatenate([p[0][0] for p in parts])
@@ -239,8 +261,15 @@ def shared_positions(docs: DataFrame, anchors, buckets: int) -> DataFrame:
             yield from found.add(ids[hit], value[hit] >> np.uint32(1))
         yield from found.flush()
 
-    sent = docs.mapInArrow(collect, "bucket int, id long, data binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(reduce, "id long, pos binary")
+    def finish(ids, values):
+        rows = list(by_id(ids, values))
+        return pa.RecordBatch.from_arrays([pa.array([i for (i,), _ in rows], pa.int64()),
+                                           pa.array([pack_positions(p) for _, (p,) in rows], pa.binary())],
+                                          names=["id", "pos"])
+
+    sent = docs.mapInArrow(collect, "bucket int, found int, data binary")
+    found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(reduce, "bucket int, data binary")
+    return by_document(found, 1, (np.uint32,), finish, "id long, pos binary")
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

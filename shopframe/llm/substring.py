@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .postings import (GATHER, NO_ID, Found, bucket_count, bucket_of, by_bucket, by_id, gather, identified, pack,
-                       pack_positions, shared_positions, unpack, unpack_positions, with_lists)
+from .postings import (GATHER, NO_ID, Found, bucket_count, bucket_of, by_bucket, by_document, by_id, gather, identified,
+                       pack, pack_found, pack_positions, shared_positions, unpack, unpack_positions, with_lists)
 from .textcore import (BASES, SPACE, Words, chunks, covered, mix, runs_of, sliding_min, some_rows, span_hash, text_hash,
                        whole_windows, window_hash)
 
@@ -63,7 +63,7 @@ def neighbourhood(h: np.ndarray, width: int, part: int) -> np.ndarray:
 
 def _extend(window: int, block: int, buckets: int):
     """Rows (id, text, pos list): extended windows around the hits, packed by
-    bucket; repeats within one task are passed on as (id, th, pos)."""
+    bucket; repeats within one task are passed on as found."""
     def send(table, ids):
         doc, pos, g1, g2, where = gather(table)
         ids = np.concatenate(ids)
@@ -77,19 +77,19 @@ def _extend(window: int, block: int, buckets: int):
         lead = order[start]
         repeat = same & ((ids[doc[order], 0] != ids[doc[lead], 0]) | (ids[doc[order], 1] != ids[doc[lead], 1])
                          | (pos[order] != pos[lead]))
-        out = [[], [], [], []]
+        out = [[], [], []]
         flagged = order[repeat]
-        for (i, th), (p,) in by_id([ids[doc[flagged], 0], ids[doc[flagged], 1]], [pos[flagged]]):
-            for column, v in zip(out, (i % buckets, i, th, pack_positions(p))):
+        for b, blob in pack_found([ids[doc[flagged], 0], ids[doc[flagged], 1]], [pos[flagged].astype(np.uint32)], buckets):
+            for column, v in zip(out, (b, b, blob)):
                 column.append(v)
         keep = np.sort(order[~same])
         for bucket, blob in pack(bucket_of(where[keep], buckets), doc[keep], ids,
                                  [g2[keep], pos[keep].astype(np.uint32)]):
-            for column, v in zip(out, (bucket, None, None, blob)):
+            for column, v in zip(out, (bucket, None, blob)):
                 column.append(v)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(v, t) for v, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))],
-            names=["bucket", "id", "th", "data"])
+            [pa.array(v, t) for v, t in zip(out, (pa.int32(), pa.int32(), pa.binary()))],
+            names=["bucket", "found", "data"])
 
     def task(batches):
         table, ids, n, base = [], [], 0, 0
@@ -129,29 +129,42 @@ def _extend(window: int, block: int, buckets: int):
     return task
 
 
-def _repeats(batches):
-    """Packed windows sorted by bucket: (id, th, pos) of all that are not the
-    earliest of their hash."""
-    names = ["id", "th", "pos"]
-    found = Found(names)
-    for bucket, blobs in by_bucket(batches, 3, 1):
-        if bucket is None:
-            yield pa.RecordBatch.from_arrays([blobs.column(1), blobs.column(2), blobs.column(3)], names=names)
-            continue
-        parts = [unpack(b, 2, (np.uint64, np.uint32)) for b in blobs]
-        ids = np.concatenate([p[0][0] for p in parts])
-        th = np.concatenate([p[0][1] for p in parts])
-        key = np.concatenate([p[1][0] for p in parts])
-        pos = np.concatenate([p[1][1] for p in parts])
-        del parts
-        order = np.lexsort((pos, th, ids, key))
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = key[order[1:]] != key[order[:-1]]
-        lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        repeat = ~new & ((ids[order] != ids[lead]) | (th[order] != th[lead]) | (pos[order] != pos[lead]))
-        flagged = order[repeat]
-        yield from found.add(ids[flagged], th[flagged], pos[flagged])
-    yield from found.flush()
+def _repeats(buckets: int):
+    """Packed windows sorted by bucket: all that are not the earliest of their
+    hash, packed by document bucket."""
+    def task(batches):
+        found = Found(2, buckets)
+        for bucket, blobs in by_bucket(batches, 2, 1):
+            if bucket is None:
+                yield pa.RecordBatch.from_arrays([blobs.column(1), blobs.column(2)], names=["bucket", "data"])
+            else:
+                yield from found.add(*later(blobs))
+        yield from found.flush()
+    return task
+
+
+def later(blobs):
+    """(ids, th, pos) of a bucket's windows that are not the earliest."""
+    parts = [unpack(b, 2, (np.uint64, np.uint32)) for b in blobs]
+    ids = np.concatenate([p[0][0] for p in parts])
+    th = np.concatenate([p[0][1] for p in parts])
+    key = np.concatenate([p[1][0] for p in parts])
+    pos = np.concatenate([p[1][1] for p in parts])
+    del parts
+    order = np.lexsort((pos, th, ids, key))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    repeat = ~new & ((ids[order] != ids[lead]) | (th[order] != th[lead]) | (pos[order] != pos[lead]))
+    flagged = order[repeat]
+    return ids[flagged], th[flagged], pos[flagged]
+
+
+def _listed(ids, values):
+    rows = list(by_id(ids, values))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([k[0] for k, _ in rows], pa.int64()), pa.array([k[1] for k, _ in rows], pa.int64()),
+         pa.array([pack_positions(p) for _, (p,) in rows], pa.binary())], names=["id", "th", "pos"])
 
 
 OUT = "id long, n_words long, n_removed long, kept_sha256 string, n_runs long, kept string"
@@ -197,9 +210,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     buckets = bucket_count(d)
     hits = shared_positions(d, probe(block), buckets)
     sent = with_lists(d, hits, "pos").mapInArrow(
-        _extend(window, block, buckets), "bucket int, id long, th long, data binary")
+        _extend(window, block, buckets), "bucket int, found int, data binary")
     found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        _repeats, "id long, th long, pos binary")
+        _repeats(buckets), "bucket int, data binary")
+    found = by_document(found, 2, (np.uint32,), _listed, "id long, th long, pos binary")
     out = with_lists(d, found, "th", "pos").mapInArrow(_cut(window, with_text), OUT)
     columns = [F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "n_runs"]
     return out.select(*columns, *(["kept"] if with_text else []))
