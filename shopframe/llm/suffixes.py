@@ -41,8 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .postings import (NO_ID, bucket_count, by_bucket, gather, identified, pack, shared_positions, unpack,
-                       unpack_positions, with_lists)
+from .postings import (NO_ID, bucket_count, by_bucket, by_document, gather, identified, pack, pack_found,
+                       shared_positions, unpack, unpack_positions, with_lists)
 from .textcore import BASES, chunks, ranges, runs_of, sliding_min, some_rows, text_hash, window_hash
 
 SPAN = 50
@@ -129,7 +129,7 @@ def multikey_sort(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def merged(ids, th, start, end):
-    """Rows (id, th, packed spans): overlapping spans of a text united."""
+    """(ids, th, start, end): overlapping spans of a text united."""
     order = np.lexsort((start, th, ids))
     ids, th, start, end = (a[order] for a in (ids, th, start, end))
     fresh = np.ones(len(ids), dtype=bool)
@@ -140,9 +140,13 @@ def merged(ids, th, start, end):
     new[1:] = start[1:] + text[1:] > reach[:-1]
     a = np.flatnonzero(new)
     stop = (reach - text)[np.append(a[1:], len(ids)) - 1] if len(a) else a
-    pairs = np.column_stack([start[a], stop]).astype(np.uint32)
-    cut = np.flatnonzero(fresh[a])
-    return [(int(ids[a[i]]), int(th[a[i]]), pairs[i:j].tobytes()) for i, j in zip(cut, np.append(cut[1:], len(a)))]
+    return ids[a], th[a], start[a], stop
+
+
+def pack_spans(ids, th, start, end, buckets: int):
+    """Rows (bucket, blob) of spans, dealt by document."""
+    return pack_found([ids, th], [(end - start).astype(np.uint32), start.astype(np.uint32)], buckets) \
+        if len(ids) else []
 
 
 def _suffixes(span: int, lead: int, splitters: np.ndarray):
@@ -163,10 +167,10 @@ def _suffixes(span: int, lead: int, splitters: np.ndarray):
         run = np.flatnonzero(new)
         least = np.repeat(np.minimum.reduceat(ids[doc[order], 0], run), np.diff(np.append(run, len(order))))
         settled = order[ids[doc[order], 0] > least]
-        out = [[], [], [], []]
-        for i, th, found in merged(ids[doc[settled], 0], ids[doc[settled], 1], start[settled],
-                                   start[settled] + length[settled]):
-            for column, v in zip(out, ((i & 0x7FFFFFFF) % (len(splitters) + 1), i, th, found)):
+        out = [[], [], []]
+        for b, blob in pack_spans(*merged(ids[doc[settled], 0], ids[doc[settled], 1], start[settled],
+                                          start[settled] + length[settled]), len(splitters) + 1):
+            for column, v in zip(out, (b, b, blob)):
                 column.append(v)
         keep = np.ones(len(doc), dtype=bool)
         keep[settled] = False
@@ -178,12 +182,11 @@ def _suffixes(span: int, lead: int, splitters: np.ndarray):
             (_, blob), = pack(np.zeros(len(k), np.int64), doc[k], ids,
                               [before[k].astype(np.uint8), length[k].astype(np.uint8), start[k].astype(np.uint32)])
             text = pieces[ranges(at[k], length[k])].tobytes()
-            for column, v in zip(out, (int(bucket[k[0]]), None, None,
-                                       len(blob).to_bytes(4, "little") + blob + text)):
+            for column, v in zip(out, (int(bucket[k[0]]), None, len(blob).to_bytes(4, "little") + blob + text)):
                 column.append(v)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(v, t) for v, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))],
-            names=["bucket", "id", "th", "data"])
+            [pa.array(v, t) for v, t in zip(out, (pa.int32(), pa.int32(), pa.binary()))],
+            names=["bucket", "found", "data"])
 
     def task(batches):
         table, ids, n, base = [], [], 0, 0
@@ -225,7 +228,7 @@ def _suffixes(span: int, lead: int, splitters: np.ndarray):
     return task
 
 
-def _compare(span: int, lead: int):
+def _compare(span: int, lead: int, buckets: int):
     """Range buckets of suffixes: (id, th, spans) of all windows that a smaller
     id has too."""
     def reduce(blobs):
@@ -286,16 +289,15 @@ def _compare(span: int, lead: int):
         yield ids[who[hit]], th[who[hit]], s, s + span
 
     def flush(parts):
-        rows = merged(*gather(parts))
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(
-            zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["id", "th", "spans"])
+        rows = list(pack_spans(*merged(*gather(parts)), buckets))
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()),
+                                          pa.array([v for _, v in rows], pa.binary())], names=["bucket", "data"])
 
     def task(batches):
-        parts, n = [], 0                  # spans of several buckets make one row
-        for bucket, blobs in by_bucket(batches, 3, 1):
+        parts, n = [], 0                  # what several buckets found makes one row
+        for bucket, blobs in by_bucket(batches, 2, 1):
             if bucket is None:
-                yield pa.RecordBatch.from_arrays([blobs.column(1), blobs.column(2), blobs.column(3)],
-                                                 names=["id", "th", "spans"])
+                yield pa.RecordBatch.from_arrays([blobs.column(1), blobs.column(2)], names=["bucket", "data"])
                 continue
             for found in reduce(blobs):
                 if len(found[0]):
@@ -309,6 +311,18 @@ def _compare(span: int, lead: int):
     return task
 
 
+def _listed(ids, values):
+    """One row (id, th, spans) per text from the spans of a document bucket."""
+    length, start = (a.astype(np.int64) for a in values)
+    ids, th, start, end = merged(*ids, start, start + length)
+    cut = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (th[1:] != th[:-1])))
+    pairs = np.column_stack([start, end]).astype(np.uint32)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids[cut]), pa.array(th[cut]),
+         pa.array([pairs[i:j].tobytes() for i, j in zip(cut, np.append(cut[1:], len(ids)))], pa.binary())],
+        names=["id", "th", "spans"])
+
+
 OUT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -373,9 +387,10 @@ def remove_duplicate_spans(docs: DataFrame, span: int = SPAN, lead: int = LEAD,
     splitters = sample_splitters(d, buckets, span, lead)
     hits = shared_positions(d, sampled(span, lead), buckets)
     sent = with_lists(d, hits, "pos").mapInArrow(
-        _suffixes(span, lead, splitters), "bucket int, id long, th long, data binary")
+        _suffixes(span, lead, splitters), "bucket int, found int, data binary")
     found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        _compare(span, lead), "id long, th long, spans binary")
+        _compare(span, lead, len(splitters) + 1), "bucket int, data binary")
+    found = by_document(found, 2, (np.uint32, np.uint32), _listed, "id long, th long, spans binary")
     out = with_lists(d, found, "th", "spans").mapInArrow(_cut(with_text), OUT)
     columns = [F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     return out.select(*columns, *(["kept"] if with_text else []))
