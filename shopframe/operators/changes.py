@@ -148,8 +148,9 @@ def submit_reviews(reviews: DataFrame, submissions: DataFrame, paid_pairs: DataF
 def edit_reviews(reviews: DataFrame, requests: DataFrame, admin: bool = False):
     """Update / delete requests (seq, review_id, user_id, op, rating,
     title, comment). A customer may only touch their own review (C19); the
-    admin path skips that check. The latest request per review wins.
-    Returns ``(new_reviews, outcomes)``."""
+    admin path skips that check. Requests apply in ``seq`` order: the last
+    update stands, and after a delete the review is 'not_found'. Returns
+    ``(new_reviews, outcomes)``."""
     r = requests
     if not admin:
         own = reviews.select(F.col("id").alias("review_id"), "user_id").withColumn("_own", F.lit(True))
@@ -159,9 +160,13 @@ def edit_reviews(reviews: DataFrame, requests: DataFrame, admin: bool = False):
         exists = reviews.select(F.col("id").alias("review_id")).withColumn("_own", F.lit(True))
         r = r.join(exists, ["review_id"], "left")
         ok = F.col("_own").isNotNull()
+    deleted = (r.where(ok & (F.col("op") == "delete")).groupBy("review_id")
+               .agg(F.min("seq").alias("_deleted")))
+    r = r.join(deleted, "review_id", "left")
+    ok = ok & ~F.coalesce(F.col("seq") > F.col("_deleted"), F.lit(False))
     outcomes = r.select("seq", "review_id", "user_id", "op", ok.alias("accepted"),
                         F.when(~ok, "not_found").alias("reason"))
-    good = r.where(ok).drop("_own")
+    good = r.where(ok).drop("_own", "_deleted")
     last = _last_per_key(good, "review_id")
     cur = reviews.alias("c")
     j = cur.join(last.alias("u"), F.col("c.id") == F.col("u.review_id"), "left")
@@ -182,25 +187,30 @@ def register_users(users: DataFrame, requests: DataFrame, check_email: bool = Tr
                    trim_check: bool = True):
     """Registrations (seq, first_name, last_name, email[, provider]).
     Self-service sign-up needs non-blank fields ('missing_fields') and an
-    unused e-mail, case-insensitive, stored or earlier in the batch
-    ('email_taken'); the admin create path (``check_email=False``) checks
-    neither. Passwords never enter a DataFrame. Returns ``(new_users, outcomes)``."""
-    req = requests.withColumn("_e", F.lower("email"))
+    unused e-mail, case-insensitive, stored or of an earlier valid request of
+    the batch ('email_taken'); the admin create path (``check_email=False``)
+    does not check the e-mail and takes ``is_admin`` from the request. Passwords
+    never enter a DataFrame. Returns ``(new_users, outcomes)``."""
     truthy = _js_trim_truthy if trim_check else _js_truthy
     fields_ok = truthy(F.col("first_name")) & truthy(F.col("last_name")) & truthy(F.col("email"))
+    # Requests without the fields hold no e-mail: they have no key.
+    req = requests.withColumn("_e", F.when(fields_ok, F.lower("email")))
     if check_email:
         taken = users.select(F.lower("email").alias("_e")).distinct().withColumn("_t", F.lit(True))
-        req = _first_per_key(req, ["_e"]).join(taken, "_e", "left")
-        dup = F.col("_t").isNotNull() | ~F.col("_is_first")
+        firsts = req.where(F.col("_e").isNotNull()).groupBy("_e").agg(F.min("seq").alias("_first_seq"))
+        req = req.join(firsts, "_e", "left").join(taken, "_e", "left")
+        dup = F.col("_t").isNotNull() | (F.col("seq") != F.col("_first_seq"))
     else:
         dup = F.lit(False)
     reason = F.when(~fields_ok, "missing_fields").when(dup, "email_taken")
     out = req.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
     base = _id_base(users)
     prov = F.col("provider") if "provider" in requests.columns else F.lit(None).cast("string")
+    admin = F.coalesce(F.col("is_admin").cast("int"), F.lit(0)) \
+        if not check_email and "is_admin" in requests.columns else F.lit(0)
     added = out.where("accepted").select(
         (base + F.col("seq")).alias("id"), "first_name", "last_name", "email",
-        prov.alias("provider"), F.lit(0).alias("is_admin"))
+        prov.alias("provider"), admin.alias("is_admin"))
     new = users.select("id", "first_name", "last_name", "email", "provider", "is_admin").unionByName(added)
     return new, out.select("seq", "email", "accepted", "reason")
 
@@ -220,26 +230,38 @@ def social_sign_in(users: DataFrame, logins: DataFrame, provider: str = "google"
 def edit_users(users: DataFrame, requests: DataFrame, admin: bool = False):
     """Profile edits (user_id, first_name, last_name, email). The
     customer path rejects empty fields ('missing_fields') and an e-mail held
-    by another user ('email_taken', B27); the admin path applies as given.
-    Returns ``(new_users, outcomes)``."""
-    r = requests
+    by another stored user, or claimed by an earlier valid request of another
+    user ('email_taken', B27); the admin path applies as given, with
+    ``is_admin`` where the request has it. With a ``seq`` column a user may
+    have several requests: each is judged by itself and the last accepted one
+    stands. An address that a user of the batch gives up stays taken until the
+    next batch. Returns ``(new_users, outcomes)``."""
+    ordered = "seq" in requests.columns
+    r = requests if ordered else requests.withColumn("seq", F.col("user_id"))
     if admin:
         reason = F.lit(None).cast("string")
     else:
-        taken = email_taken(users, requests).select("user_id").distinct().withColumn("_t", F.lit(True))
-        r = r.join(taken, "user_id", "left")
         fields_ok = _js_truthy(F.col("first_name")) & _js_truthy(F.col("last_name")) & _js_truthy(F.col("email"))
-        reason = F.when(~fields_ok, "missing_fields").when(F.col("_t").isNotNull(), "email_taken")
+        taken = (email_taken(users, requests).select("user_id", F.lower("email").alias("_e")).distinct()
+                 .withColumn("_t", F.lit(True)))
+        r = r.withColumn("_e", F.when(fields_ok, F.lower("email"))).join(taken, ["user_id", "_e"], "left")
+        claims = (r.where(F.col("_e").isNotNull() & F.col("_t").isNull()).groupBy("_e")
+                  .agg(F.min_by("user_id", "seq").alias("_holder")))
+        r = r.join(claims, "_e", "left")
+        reason = (F.when(~fields_ok, "missing_fields")
+                  .when(F.col("_t").isNotNull() | (F.col("_holder") != F.col("user_id")), "email_taken"))
     out = r.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
-    acc = out.where("accepted").select(F.col("user_id").alias("_uid"), F.col("first_name").alias("_f"),
-                                       F.col("last_name").alias("_l"), F.col("email").alias("_m"))
+    flag = F.col("is_admin").cast("int") if admin and "is_admin" in requests.columns else F.lit(None).cast("int")
+    acc = _last_per_key(out.where("accepted").select(
+        F.col("user_id").alias("_uid"), F.col("first_name").alias("_f"), F.col("last_name").alias("_l"),
+        F.col("email").alias("_m"), flag.alias("_a"), "seq"), "_uid").drop("seq")
     j = users.join(acc, users["id"] == acc["_uid"], "left")
     hit = F.col("_uid").isNotNull()
     new = j.select("id", F.when(hit, F.col("_f")).otherwise(F.col("first_name")).alias("first_name"),
                    F.when(hit, F.col("_l")).otherwise(F.col("last_name")).alias("last_name"),
                    F.when(hit, F.col("_m")).otherwise(F.col("email")).alias("email"),
-                   "provider", "is_admin")
-    return new, out.select("user_id", "accepted", "reason")
+                   "provider", F.coalesce("_a", "is_admin").cast("int").alias("is_admin"))
+    return new, out.select(*(["seq"] if ordered else []), "user_id", "accepted", "reason")
 
 
 def delete_users(users: DataFrame, ids: DataFrame) -> DataFrame:
@@ -250,26 +272,34 @@ def delete_users(users: DataFrame, ids: DataFrame) -> DataFrame:
 # -------------------------------------------------------------- catalog -----
 
 IMAGE_COLS = ("image1", "image2", "image3", "image4")
+GIFT_COLS = ("is_gifting", "gifting_category")
 
 
 def upsert_products(products: DataFrame, requests: DataFrame) -> DataFrame:
     """Product create / update requests (seq, id or NULL, and every
-    product column). An update overwrites all columns except images, which
-    keep the stored value when the new one is NULL (IFNULL(new, old)); a
-    create gets ``base + seq`` as id. The latest request per id wins."""
+    product column). Updates apply in ``seq`` order: each overwrites all
+    columns but the gift ones, which no update touches, and the images, which
+    keep the value before where the new one is NULL (IFNULL(new, old)). A
+    create needs a name and gets ``base + seq`` as id."""
     cols = [c for c in products.columns if c != "id"]
-    upd = _last_per_key(requests.where(F.col("id").isNotNull()), "id")
-    u = upd.select(F.col("id").alias("_uid"), *[F.col(c).alias(f"_n_{c}") for c in cols])
+    image = [c for c in cols if c in IMAGE_COLS]
+    u = requests.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("_uid")).agg(
+        F.max_by(F.struct(*[c for c in cols if c not in image], "seq"), "seq").alias("_r"),
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"_n_{c}") for c in image])
+    u = u.select("_uid", *[F.col(f"_n_{c}") if c in image else F.col(f"_r.{c}").alias(f"_n_{c}") for c in cols])
     j = products.join(u, products["id"] == u["_uid"], "left")
     hit = F.col("_uid").isNotNull()
 
     def pick(c):
+        if c in GIFT_COLS:
+            return F.col(c)
         if c in IMAGE_COLS:
             return F.when(hit, F.coalesce(F.col(f"_n_{c}"), F.col(c))).otherwise(F.col(c)).alias(c)
         return F.when(hit, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c)
     updated = j.select("id", *[pick(c) for c in cols])
     base = _id_base(products)
-    created = requests.where(F.col("id").isNull()).select((base + F.col("seq")).alias("id"), *cols)
+    created = requests.where(F.col("id").isNull() & _js_truthy(F.col("name"))).select(
+        (base + F.col("seq")).alias("id"), *cols)
     return updated.unionByName(created)
 
 
@@ -285,25 +315,28 @@ def upsert_variants(variants: DataFrame, requests: DataFrame, api: bool = False)
     """Variant requests (seq, id or NULL, product_id, sku, price, stock,
     finish, gemstones_colour, length_size, width, thickness).
 
-    Validation (B25): product_id and price required ('missing_fields'); the
-    API path also requires sku, turns blank optional fields into NULL and
-    defaults stock to 0. With an id: update every column but sku (latest
-    request wins). Without: insert unless the sku exists in the table or
-    earlier in the batch ('duplicate_sku'). Returns ``(new_variants, outcomes)``."""
+    Validation (B25): product_id and a price other than 0 required
+    ('missing_fields'); the API path also requires sku, turns blank optional
+    fields into NULL and defaults stock to 0. With an id: update every column
+    but product and sku (the last valid request stands). Without: insert unless
+    the sku exists in the table or in an earlier valid request of the batch
+    ('duplicate_sku'). Returns ``(new_variants, outcomes)``."""
     r = requests
     opt = ["finish", "gemstones_colour", "length_size", "width", "thickness"]
     if api:
         for c in opt:
             r = r.withColumn(c, F.when(F.trim(F.col(c)) != "", F.col(c)))
         r = r.withColumn("stock", F.coalesce(F.col("stock"), F.lit(0)))
-    need = F.col("product_id").isNotNull() & F.col("price").isNotNull()
+    need = F.col("product_id").isNotNull() & F.coalesce(F.col("price") != 0, F.lit(False))
     if api:
         need = need & _js_truthy(F.col("sku"))
     existing_skus = variants.select(F.col("sku").alias("_s")).distinct().withColumn("_dup", F.lit(True))
     ins = r.where(F.col("id").isNull())
-    ins = _first_per_key(ins.withColumn("_s", F.col("sku")), ["_s"]).join(existing_skus, "_s", "left")
+    ins = ins.withColumn("_s", F.when(need, F.col("sku")))
+    firsts = ins.where(F.col("_s").isNotNull()).groupBy("_s").agg(F.min("seq").alias("_first_seq"))
+    ins = ins.join(firsts, "_s", "left").join(existing_skus, "_s", "left")
     ins_reason = (F.when(~need, "missing_fields")
-                  .when(F.col("_dup").isNotNull() | ~F.col("_is_first"), "duplicate_sku"))
+                  .when(F.col("_dup").isNotNull() | (F.col("seq") != F.col("_first_seq")), "duplicate_sku"))
     ins = ins.withColumn("reason", ins_reason)
     upd = r.where(F.col("id").isNotNull()).withColumn("reason", F.when(~need, "missing_fields"))
     cols = [c for c in variants.columns if c not in ("id",)]
@@ -311,7 +344,7 @@ def upsert_variants(variants: DataFrame, requests: DataFrame, api: bool = False)
     u = last.select(F.col("id").alias("_uid"), *[F.col(c).alias(f"_n_{c}") for c in cols])
     j = variants.join(u, variants["id"] == u["_uid"], "left")
     hit = F.col("_uid").isNotNull()
-    updated = j.select("id", *[(F.col(c) if c == "sku" else
+    updated = j.select("id", *[(F.col(c) if c in ("sku", "product_id") else
                                 F.when(hit, F.col(f"_n_{c}")).otherwise(F.col(c))).alias(c) for c in cols])
     base = _id_base(variants)
     created = ins.where(F.col("reason").isNull()).select((base + F.col("seq")).alias("id"),
@@ -365,16 +398,19 @@ def insert_messages(messages: DataFrame, submissions: DataFrame):
 def edit_messages(messages: DataFrame, requests: DataFrame) -> DataFrame:
     """Admin edits (seq, id, name, email, phone, message, status): when
     all text fields are absent only the status changes (read/unread toggle);
-    otherwise every field is overwritten. The latest request per id wins."""
-    last = _last_per_key(requests, "id")
-    toggle = (F.col("_n").isNull() & F.col("_e").isNull() & F.col("_p").isNull() & F.col("_m").isNull())
-    u = last.select(F.col("id").alias("_id"), F.col("name").alias("_n"), F.col("email").alias("_e"),
-                    F.col("phone").alias("_p"), F.col("message").alias("_m"), F.col("status").alias("_s"))
+    otherwise every field is overwritten. Requests apply in ``seq`` order, so
+    the last full edit gives the texts and the last request the status."""
+    full = F.coalesce("name", "email", "phone", "message").isNotNull()
+    u = requests.groupBy(F.col("id").alias("_id")).agg(
+        F.max_by(F.struct(F.col("status").alias("v")), "seq").alias("_s"),
+        F.max_by(F.struct("name", "email", "phone", "message"), F.when(full, F.col("seq"))).alias("_r"))
+    u = u.select("_id", F.col("_s.v").alias("_s"), F.col("_r").isNotNull().alias("_full"), F.col("_r.name").alias("_n"),
+                 F.col("_r.email").alias("_e"), F.col("_r.phone").alias("_p"), F.col("_r.message").alias("_m"))
     j = messages.join(u, messages["id"] == u["_id"], "left")
     hit = F.col("_id").isNotNull()
 
     def pick(c, n):
-        return F.when(hit & ~toggle, F.col(n)).otherwise(F.col(c)).alias(c)
+        return F.when(F.col("_full"), F.col(n)).otherwise(F.col(c)).alias(c)
     return j.select("id", pick("name", "_n"), pick("email", "_e"), pick("phone", "_p"), pick("message", "_m"),
                     F.when(hit, F.col("_s")).otherwise(F.col("status")).cast("int").alias("status"))
 

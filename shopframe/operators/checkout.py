@@ -16,7 +16,7 @@ requests for the same user or order are resolved first-come by ``seq``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pricing as R
@@ -42,8 +42,13 @@ def apply_stock_deltas(variants: DataFrame, deltas: DataFrame) -> DataFrame:
     return j.withColumn("stock", (F.col("stock") + F.coalesce(F.col("_d"), F.lit(0))).cast("int")).drop("_d")
 
 
-def _items_of_orders(order_items: DataFrame, orders: DataFrame, sign: int) -> DataFrame:
-    """Stock deltas of the given orders' lines (sign -1 sells, +1 restocks)."""
+def _items_of_orders(order_items: DataFrame, orders: DataFrame, sign: int, each: bool = False) -> DataFrame:
+    """Stock deltas of the given orders' lines (sign -1 sells, +1 restocks),
+    once per order or, with ``each``, once per row of ``orders``."""
+    if each:
+        n = orders.groupBy("order_id").agg(F.count(F.lit(1)).alias("_times"))
+        return order_items.join(n, "order_id").select(
+            "variant_id", (F.col("quantity") * F.col("_times") * sign).cast("long").alias("delta"))
     o = orders.select(F.col("order_id")).distinct()
     return (order_items.join(o, "order_id", "left_semi")
             .select("variant_id", (F.col("quantity") * sign).cast("long").alias("delta")))
@@ -297,10 +302,13 @@ def customer_cancel(t, requests: DataFrame, now: Column, restock_unpaid: bool =
     orders). ``restock_unpaid=False`` restocks only orders that took stock
     (paid, or COD)."""
     s = _order_state(t, requests)
-    reason = (F.when(~F.col("_is_first"), "duplicate_request")
-              .when(F.col("_owner").isNull() | (F.col("_owner") != F.col("user_id")), "not_found")
+    reason = (F.when(F.col("_owner").isNull() | (F.col("_owner") != F.col("user_id")), "not_found")
               .when(F.col("_created") < now - F.expr(f"INTERVAL {R.CANCEL_WINDOW_DAYS} DAYS"), "window_expired")
               .when(~F.col("_status").isin(*R.CANCELLABLE_STATUSES), "not_cancellable"))
+    # The first request that holds cancels; the order is cancelled for later ones.
+    holds = s.where(reason.isNull()).groupBy("order_id").agg(F.min("seq").alias("_first_ok"))
+    s = s.join(holds, "order_id", "left")
+    reason = F.coalesce(reason, F.when(F.col("seq") > F.col("_first_ok"), "not_cancellable"))
     s = s.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
     acc = s.where("accepted")
     upd = acc.select("order_id", F.lit("cancelled").alias("new_status"),
@@ -336,16 +344,19 @@ def admin_cancel(t, requests: DataFrame, now: Column) -> dict:
 
 
 def admin_set_status(t, requests: DataFrame, now: Column) -> dict:
-    """Admin status changes (seq, order_id, status, comment). Moving a
-    not-yet-cancelled order to 'cancelled' restocks it when paid (payment
-    status untouched). Every accepted change writes a history row."""
+    """Admin status changes (seq, order_id, status, comment), applied in
+    ``seq`` order: the last one stands and each writes a history row. Every
+    move of a paid order from another status to 'cancelled' restocks it
+    (payment status untouched)."""
     s = _order_state(t, requests)
-    reason = F.when(F.col("_status").isNull(), "not_found").when(~F.col("_is_first"), "duplicate_request")
+    reason = F.when(F.col("_status").isNull(), "not_found")
     s = s.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
     acc = s.where("accepted")
-    upd = acc.select("order_id", F.col("status").alias("new_status"),
-                     F.lit(None).cast("string").alias("new_payment_status"))
-    restock = acc.where((F.col("status") == "cancelled") & (F.col("_status") != "cancelled")
+    w = Window.partitionBy("order_id").orderBy("seq")
+    acc = acc.withColumn("_before", F.coalesce(F.lag("status").over(w), F.col("_status")))
+    upd = acc.groupBy("order_id").agg(F.max_by("status", "seq").alias("new_status")).select(
+        "order_id", "new_status", F.lit(None).cast("string").alias("new_payment_status"))
+    restock = acc.where((F.col("status") == "cancelled") & (F.col("_before") != "cancelled")
                         & (F.col("_pay") == "paid"))
     return {
         "outcomes": s.select("seq", "order_id", "accepted", "reason"),
@@ -353,22 +364,29 @@ def admin_set_status(t, requests: DataFrame, now: Column) -> dict:
         "status_history": acc.select("order_id", "status", F.lit("admin").alias("changed_by"),
                                      F.when(_js_truthy(F.col("comment")), F.col("comment")).alias("comment"),
                                      now.alias("created_at")),
-        "stock_deltas": _items_of_orders(t["order_items"], restock, +1),
+        "stock_deltas": _items_of_orders(t["order_items"], restock, +1, each=True),
     }
 
 
 def admin_set_payment(t, requests: DataFrame, now: Column) -> dict:
     """Admin payment-status changes (seq, order_id, payment_status,
-    comment): 'paid' only when already paid ('gateway_only'); accepted ones
-    update the order and append a payment-history row."""
+    comment), applied in ``seq`` order: 'paid' only while the order is paid
+    ('gateway_only'), any other at any time. Accepted ones append a
+    payment-history row and the last of them stands."""
     s = _order_state(t, requests).withColumnRenamed("payment_status", "new_payment_status")
-    allowed = R.payment_change_allowed("_pay", "new_payment_status")
+    # Any other status leaves 'paid' for good within the batch.
+    left = (s.where((F.col("new_payment_status") != "paid") & F.col("_status").isNotNull())
+            .groupBy("order_id").agg(F.min("seq").alias("_left_paid")))
+    s = s.join(left, "order_id", "left")
+    now_paid = F.when(F.coalesce(F.col("seq") > F.col("_left_paid"), F.lit(False)), F.lit("other")).otherwise(F.col("_pay"))
+    s = s.withColumn("_now", now_paid)
+    allowed = R.payment_change_allowed("_now", "new_payment_status")
     reason = (F.when(F.col("_status").isNull(), "not_found")
-              .when(~F.col("_is_first"), "duplicate_request")
               .when(~allowed, "gateway_only"))
     s = s.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
     acc = s.where("accepted")
-    upd = acc.select("order_id", F.lit(None).cast("string").alias("new_status"), "new_payment_status")
+    upd = acc.groupBy("order_id").agg(F.max_by("new_payment_status", "seq").alias("new_payment_status")).select(
+        "order_id", F.lit(None).cast("string").alias("new_status"), "new_payment_status")
     return {
         "outcomes": s.select("seq", "order_id", "accepted", "reason"),
         "orders": _apply_order_updates(t["orders"], upd),

@@ -89,14 +89,17 @@ def review_stats(t) -> DataFrame:
 
 def sort_reviews(df: DataFrame, mode: str = "rating_desc") -> DataFrame:
     """E7 (product page) and E8 (admin): rating_desc (default) / rating_asc /
-    newest / oldest; admin names latest / oldest / high / low. The review id
-    (newest first) breaks ties so the order is total."""
-    m = {"high": "rating_desc", "low": "rating_asc", "latest": "newest"}.get(mode, mode)
+    newest / oldest; admin names latest / oldest (``admin_oldest`` here), by
+    id, and high / low. The review id (newest first) breaks ties so the order
+    is total."""
+    m = {"high": "rating_desc", "low": "rating_asc"}.get(mode, mode)
     keys = {
         "rating_desc": [F.col("rating").desc()],
         "rating_asc": [F.col("rating").asc()],
         "newest": [F.col("created_at").desc()],
         "oldest": [F.col("created_at").asc()],
+        "latest": [F.col("id").desc()],
+        "admin_oldest": [F.col("id").asc()],
     }[m]
     return df.orderBy(*keys, F.col("id").desc())
 

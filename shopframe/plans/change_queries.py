@@ -225,13 +225,15 @@ def reviews_after_admin_edits(t):
 # -------------------------------------------------------------- users -------
 
 REG_SQL = """
-WITH r AS (SELECT *, seq = MIN(seq) OVER (PARTITION BY lower(email)) AS first FROM registrations)
+WITH ok AS (SELECT seq, email FROM registrations WHERE trim(first_name) <> '' AND trim(last_name) <> ''
+            AND trim(email) <> '')
 SELECT seq, email,
-  CASE WHEN coalesce(trim(first_name), '') = '' OR coalesce(trim(last_name), '') = ''
-            OR coalesce(trim(email), '') = '' THEN 'missing_fields'
-       WHEN lower(email) IN (SELECT lower(email) FROM users) OR NOT first THEN 'email_taken' END AS reason,
+  CASE WHEN seq NOT IN (SELECT seq FROM ok) THEN 'missing_fields'
+       WHEN lower(email) IN (SELECT lower(email) FROM users)
+            OR EXISTS (SELECT 1 FROM ok WHERE lower(ok.email) = lower(r.email) AND ok.seq < r.seq)
+       THEN 'email_taken' END AS reason,
   first_name, last_name
-FROM r
+FROM registrations r
 """
 
 
@@ -315,15 +317,14 @@ SELECT p.id,
   CASE WHEN u.id IS NOT NULL THEN u.sub_category ELSE p.sub_category END AS sub_category,
   CASE WHEN u.id IS NOT NULL THEN u.collection_name ELSE p.collection_name END AS collection_name,
   CASE WHEN u.id IS NOT NULL THEN u.metal ELSE p.metal END AS metal,
-  CASE WHEN u.id IS NOT NULL THEN u.is_gifting ELSE p.is_gifting END AS is_gifting,
-  CASE WHEN u.id IS NOT NULL THEN u.gifting_category ELSE p.gifting_category END AS gifting_category,
+  p.is_gifting, p.gifting_category,
   coalesce(u.image1, p.image1) AS image1, coalesce(u.image2, p.image2) AS image2,
   coalesce(u.image3, p.image3) AS image3, coalesce(u.image4, p.image4) AS image4
 FROM products p LEFT JOIN u ON u.id = p.id
 UNION ALL
 SELECT (SELECT max(id) FROM products) + seq, name, description, category, sub_category, collection_name,
        metal, is_gifting, gifting_category, image1, image2, image3, image4
-FROM product_requests WHERE id IS NULL
+FROM product_requests WHERE id IS NULL AND name <> ''
 """)
 def products_after_upsert(t):
     return G.upsert_products(t["products"], t["product_requests"])
@@ -352,11 +353,11 @@ WITH r AS (SELECT * REPLACE (CASE WHEN trim(finish) <> '' THEN finish END AS fin
                              CASE WHEN trim(width) <> '' THEN width END AS width,
                              CASE WHEN trim(thickness) <> '' THEN thickness END AS thickness,
                              coalesce(stock, 0) AS stock),
-                  product_id IS NOT NULL AND price IS NOT NULL AND coalesce(sku, '') <> '' AS need
+                  product_id IS NOT NULL AND coalesce(price, 0) <> 0 AND coalesce(sku, '') <> '' AS need
            FROM variant_requests),
 ins AS (SELECT *, CASE WHEN NOT need THEN 'missing_fields'
                        WHEN sku IN (SELECT sku FROM product_variants)
-                         OR seq <> MIN(seq) OVER (PARTITION BY sku) THEN 'duplicate_sku' END AS reason
+                         OR seq <> MIN(seq) FILTER (need) OVER (PARTITION BY sku) THEN 'duplicate_sku' END AS reason
         FROM r WHERE id IS NULL),
 upd AS (SELECT *, CASE WHEN NOT need THEN 'missing_fields' END AS reason FROM r WHERE id IS NOT NULL)
 """
@@ -372,7 +373,7 @@ def variant_upsert_outcomes(t):
 
 
 @register("variants_after_upsert", "G13", money=("price",), sql=VREQ_SQL + """
-SELECT v.id, CASE WHEN u.id IS NOT NULL THEN u.product_id ELSE v.product_id END AS product_id, v.sku,
+SELECT v.id, v.product_id, v.sku,
   CASE WHEN u.id IS NOT NULL THEN u.price ELSE v.price END AS price,
   CASE WHEN u.id IS NOT NULL THEN u.stock ELSE v.stock END AS stock,
   CASE WHEN u.id IS NOT NULL THEN u.finish ELSE v.finish END AS finish,
@@ -391,17 +392,17 @@ def variants_after_upsert(t):
 
 
 ADMIN_VREQ_SQL = """
-WITH r AS (SELECT *, product_id IS NOT NULL AND price IS NOT NULL AS need FROM variant_requests),
+WITH r AS (SELECT *, product_id IS NOT NULL AND coalesce(price, 0) <> 0 AS need FROM variant_requests),
 ins AS (SELECT *, CASE WHEN NOT need THEN 'missing_fields'
                        WHEN sku IN (SELECT sku FROM product_variants)
-                         OR seq <> MIN(seq) OVER (PARTITION BY sku) THEN 'duplicate_sku' END AS reason
+                         OR seq <> MIN(seq) FILTER (need) OVER (PARTITION BY sku) THEN 'duplicate_sku' END AS reason
         FROM r WHERE id IS NULL),
 upd AS (SELECT *, CASE WHEN NOT need THEN 'missing_fields' END AS reason FROM r WHERE id IS NOT NULL)
 """
 
 
 @register("variants_after_admin_upsert", "G13 B25", money=("price",), sql=ADMIN_VREQ_SQL + """
-SELECT v.id, CASE WHEN u.id IS NOT NULL THEN u.product_id ELSE v.product_id END AS product_id, v.sku,
+SELECT v.id, v.product_id, v.sku,
   CASE WHEN u.id IS NOT NULL THEN u.price ELSE v.price END AS price,
   CASE WHEN u.id IS NOT NULL THEN u.stock ELSE v.stock END AS stock,
   CASE WHEN u.id IS NOT NULL THEN u.finish ELSE v.finish END AS finish,
@@ -633,8 +634,7 @@ def coupons_after_order_create(t):
 
 CANCEL_SQL = f"""
 SELECT q.seq, q.order_id, q.user_id,
-  CASE WHEN q.seq <> MIN(q.seq) OVER (PARTITION BY q.order_id) THEN 'duplicate_request'
-       WHEN o.user_id IS NULL OR o.user_id <> q.user_id THEN 'not_found'
+  CASE WHEN o.user_id IS NULL OR o.user_id <> q.user_id THEN 'not_found'
        WHEN o.created_at < TIMESTAMP '{ORDERS_NOW}' - INTERVAL 3 DAY THEN 'window_expired'
        WHEN o.status NOT IN ('pending', 'confirmed') THEN 'not_cancellable' END AS reason
 FROM cancel_requests q LEFT JOIN shop_orders o ON o.id = q.order_id
