@@ -18,8 +18,8 @@ shingles are its runs of ``SHINGLE`` characters (a shorter line: itself).
 4. Distributed union-find joins the links to components, and each component
    keeps its first line.
 
-The texts are shuffled once, by document, and read from that shuffle twice (for
-the lines of the buckets, and for the result).
+The texts are shuffled by document twice, compressed: for the lines of the
+buckets, and for the result.
 
 Edge cases: a null text has no lines; an empty one has one blank line; a null
 doc_id comes after all others; rows of equal id and text share their lines'
@@ -34,12 +34,13 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import components
-from .postings import GATHER, NO_ID, bucket_count, bucket_of, by_bucket, gather, identified, pack, unpack, with_lists
+from .postings import GATHER, NO_ID, bucket_count, bucket_of, by_bucket, compressed, gather, identified, pack, unpack, with_lists
 from .textcore import BASES, MASK, chunks, mix, text_hash
 
 SHINGLE = 8             # a power of two
@@ -175,32 +176,37 @@ def _meet(batches):
                  pa.array(np.ascontiguousarray(pair[:, 1]).view(np.int64))], names=["sig", "size", "h"])
 
 
+def _texts(batch, some=None):
+    """(row, id, text, hash of the text) of compressed rows."""
+    unpack_ = zstandard.ZstdDecompressor()
+    ids, z = batch.column(0).to_pylist(), batch.column(1)
+    for i in range(batch.num_rows) if some is None else some:
+        text = unpack_.decompress(z[int(i)].as_py())
+        yield i, ids[i], text, int(np.uint64(xxhash.xxh3_64_intdigest(text)).astype(np.int64))
+
+
 def _fetch(batches):
-    """Rows (id, text, lists of th, line, sig, size): the lines' texts, once for
+    """Rows (id, z, lists of th, line, sig, size): the lines' texts, once for
     every pair of blocks they take part in."""
     for batch in batches:
-        column = batch.column(0).to_numpy(zero_copy_only=False)
-        valid = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-        for c in chunks(batch.column(1)):
-            own = text_hash(c)
-            out = [[] for _ in range(8)]
-            for i in np.flatnonzero(valid[c.lo:c.hi]):
-                parts = None
-                th, line, sig, size = (batch.column(k)[c.lo + int(i)].as_py() for k in range(2, 6))
-                for t, n, s, m in zip(th, line, sig, size):
-                    if t != own[i]:
-                        continue
-                    parts = parts or c.text(int(i)).split(b"\n")
-                    blocks = -(-m // LIMIT)
-                    k = int(mix(np.array([int(column[c.lo + i]) * 31 + n], dtype=np.int64).view(np.uint64))[0] % blocks)
-                    for o in range(blocks):
-                        for col, v in zip(out, (s, min(k, o), max(k, o), k, column[c.lo + i], t, n, parts[n])):
-                            col.append(v)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(),
-                                                          pa.int64(), pa.int32(), pa.binary()))],
-                    names=["sig", "i", "j", "k", "id", "th", "line", "text"])
+        valid = np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False))
+        out = [[] for _ in range(8)]
+        for i, doc, text, own in _texts(batch, valid.tolist()):
+            parts = None
+            for t, n, s, m in zip(*[batch.column(k)[i].as_py() for k in range(2, 6)]):
+                if t != own:
+                    continue
+                parts = parts or text.split(b"\n")
+                blocks = -(-m // LIMIT)
+                k = xxhash.xxh3_64_intdigest(parts[n]) % blocks
+                for o in range(blocks):
+                    for col, v in zip(out, (s, min(k, o), max(k, o), k, doc, t, n, parts[n])):
+                        col.append(v)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(),
+                                                      pa.int64(), pa.int32(), pa.binary()))],
+                names=["sig", "i", "j", "k", "id", "th", "line", "text"])
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -280,26 +286,22 @@ OUT = "id long, n_lines long, n_removed long, kept_sha256 string, kept string"
 
 
 def _cut(with_text: bool):
-    """Rows (id, text, lists of th and line of the lines that stay)."""
+    """Rows (id, z, lists of th and line of the lines that stay)."""
     def task(batches):
         for batch in batches:
-            column = batch.column(0).to_pylist()
-            for c in chunks(batch.column(1)):
-                own = text_hash(c)
-                out = [[], [], [], [], []]
-                for i in range(c.n):
-                    th, stay = batch.column(2)[c.lo + i].as_py(), batch.column(3)[c.lo + i].as_py()
-                    stay = {n for t, n in zip(th, stay) if t == own[i]} if th else set()
-                    lines = c.text(i).split(b"\n") if c.offsets[i + 1] > c.offsets[i] else []
-                    left = [x for n, x in enumerate(lines) if n in stay or not x or x.isspace()]
-                    kept = b"\n".join(left)
-                    for col, v in zip(out, (column[c.lo + i], len(lines), len(lines) - len(left),
-                                            hashlib.sha256(kept).hexdigest(),
-                                            kept.decode("utf-8", "replace") if with_text else None)):
-                        col.append(v)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))],
-                    names=["id", "n_lines", "n_removed", "kept_sha256", "kept"])
+            out = [[], [], [], [], []]
+            for i, doc, text, own in _texts(batch):
+                th, stay = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
+                stay = {n for t, n in zip(th, stay) if t == own} if th else set()
+                lines = text.split(b"\n") if text else []
+                left = [x for n, x in enumerate(lines) if n in stay or not x or x.isspace()]
+                kept = b"\n".join(left)
+                for col, v in zip(out, (doc, len(lines), len(lines) - len(left), hashlib.sha256(kept).hexdigest(),
+                                        kept.decode("utf-8", "replace") if with_text else None)):
+                    col.append(v)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))],
+                names=["id", "n_lines", "n_removed", "kept_sha256", "kept"])
     return task
 
 
@@ -315,7 +317,7 @@ def near_lines(d: DataFrame, lines: DataFrame, buckets: int, similarity: float =
     met = (d.mapInArrow(_send(buckets), "bucket int, data binary").repartition("bucket").sortWithinPartitions("bucket")
            .mapInArrow(_meet, "sig long, size int, h long").distinct())
     met = met.join(lines.select(F.col("h1").alias("h"), "id", "th", "line"), "h")
-    texts = with_lists(d, met, "th", "line", "sig", "size").where(F.col("th").isNotNull()).mapInArrow(
+    texts = with_lists(compressed(d), met, "th", "line", "sig", "size").where(F.col("th").isNotNull()).mapInArrow(
         _fetch, "sig long, i int, j int, k int, id long, th long, line int, text binary")
     place = "struct<id:long,th:long,line:int>"
     return texts.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(
@@ -331,7 +333,7 @@ def remove_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     classes = components(near_lines(d, lines, bucket_count(d), similarity))
     gone = classes.where("node <> component").select("node.id", "node.th", "node.line")
     stay = lines.select("id", "th", "line").join(gone, ["id", "th", "line"], "left_anti")
-    out = with_lists(d, stay, "th", "line").mapInArrow(_cut(with_text), OUT)
+    out = with_lists(compressed(d), stay, "th", "line").mapInArrow(_cut(with_text), OUT)
     columns = [F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_lines", "n_removed", "kept_sha256"]
     return out.select(*columns, *(["kept"] if with_text else []))
 

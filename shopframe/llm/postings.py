@@ -14,6 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -278,6 +279,20 @@ def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
+def compressed(docs: DataFrame) -> DataFrame:
+    """(id, z): the texts of (id, text) under Zstandard, for shuffles that
+    only carry them."""
+    def task(batches):
+        pack_ = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for c in chunks(batch.column(1)):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(c.lo, c.n), pa.array([pack_.compress(c.text(i)) for i in range(c.n)], pa.binary())],
+                    names=["id", "z"])
+
+    return docs.mapInArrow(task, "id long, z binary")
+
+
 def with_lists(docs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
     """``docs`` with the lists of ``rows``' columns per id (null: none)."""
     lists = rows.groupBy(F.col("id").alias("_id")).agg(*[F.collect_list(c).alias(c) for c in columns])
