@@ -134,8 +134,10 @@ def checkout(t, requests: DataFrame, now: Column, mode: str = "cod",
 
     COD: order pending / unpaid, stock -= quantities, cart cleared, history
     'pending' by system. Gateway: coupon quoted under the gateway policy,
-    order pending_payment / pending with an order number, no stock change,
-    cart kept (cleared on payment, G17). Returns a dict of frames: outcomes,
+    order pending_payment / pending with an order number, no stock change, no
+    history, cart kept (cleared on payment, G17), so a user may place several.
+    A COD order carries ``total`` and no subtotal, a gateway order the
+    opposite. Returns a dict of frames: outcomes,
     orders, order_items, order_addresses, status_history, stock_deltas,
     cleared_carts."""
     # The requesting users' cart lines feed the checks and the new order
@@ -189,9 +191,11 @@ def checkout(t, requests: DataFrame, now: Column, mode: str = "cod",
         stock_reason = F.concat(F.lit("Insufficient stock for "), F.col("_short"))
     # A request failing billing or cart checks keeps that reason; otherwise
     # it is the user's effective request (stock decides) or a later one.
+    # A gateway order keeps the cart, so each of the user's requests stands.
+    cleared = F.col("seq") > F.col("_eff_seq") if mode == "cod" else F.lit(False)
     reason = (F.when(F.col("_reason0").isNotNull(), F.col("_reason0"))
               .when(~F.col("_stock_ok"), stock_reason)
-              .when(F.col("seq") > F.col("_eff_seq"), F.lit("cart_empty")))
+              .when(cleared, F.lit("cart_empty")))
     j = j.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
     base = _id_base(t["orders"])
     # One row per request: the decisions feed every output frame.
@@ -218,6 +222,7 @@ def checkout(t, requests: DataFrame, now: Column, mode: str = "cod",
             F.lit("razorpay").alias("payment_method"),
             F.when(has_code, F.col("coupon_id")).alias("coupon_id"),
             F.when(has_code, F.col("coupon_code")).alias("coupon_code"),
+            F.lit(None).cast(MONEY).alias("total"),
             F.col("subtotal").cast(MONEY).alias("subtotal"), discount.cast(MONEY).alias("discount"),
             R.grand_total(F.col("subtotal"), discount).alias("grand_total"), now.alias("created_at"))
         outcomes = (j.join(bad_coupon.withColumn("_bad", F.lit(True)), "seq", "left")
@@ -229,8 +234,8 @@ def checkout(t, requests: DataFrame, now: Column, mode: str = "cod",
             F.col("order_id").alias("id"), F.lit(None).cast("string").alias("order_number"), "user_id",
             F.lit("pending").alias("status"), F.lit("unpaid").alias("payment_status"),
             F.lit("cod").alias("payment_method"), F.lit(None).cast("int").alias("coupon_id"),
-            F.lit(None).cast("string").alias("coupon_code"), F.col("subtotal").cast(MONEY).alias("subtotal"),
-            F.lit(None).cast(MONEY).alias("discount"), F.col("subtotal").cast(MONEY).alias("grand_total"),
+            F.lit(None).cast("string").alias("coupon_code"), F.col("subtotal").cast(MONEY).alias("total"),
+            F.lit(None).cast(MONEY).alias("subtotal"), F.lit(None).cast(MONEY).alias("discount"), F.col("subtotal").cast(MONEY).alias("grand_total"),
             now.alias("created_at"))
         outcomes = j
     ok_users = orders.select("user_id", F.col("id").alias("order_id"))
@@ -244,6 +249,8 @@ def checkout(t, requests: DataFrame, now: Column, mode: str = "cod",
         F.lit("India").alias("country"))
     history = orders.select(F.col("id").alias("order_id"), F.col("status"),
                             F.lit("system").alias("changed_by"), now.alias("created_at"))
+    if mode != "cod":
+        history = history.where(F.lit(False))
     if mode == "cod":
         deltas = items.select("variant_id", (-F.col("quantity")).cast("long").alias("delta"))
         cleared = ok_users.select("user_id")
@@ -265,7 +272,7 @@ def confirm_payments(t, payments: DataFrame) -> dict[str, DataFrame]:
     p = payments.join(o.withColumn("_ok", F.lit(True)), "order_id", "left")
     outcomes = p.select("order_id", "user_id", F.col("_ok").isNotNull().alias("accepted"))
     ok = p.where(F.col("_ok").isNotNull()).select("order_id", "user_id", "payment_id").distinct()
-    upd = ok.select("order_id").distinct().withColumn("_paid", F.lit(True))
+    upd = ok.groupBy("order_id").agg(F.max("payment_id").alias("payment_id"), F.lit(True).alias("_paid"))
     orders = (t["orders"].join(upd, t["orders"]["id"] == upd["order_id"], "left").drop("order_id")
               .withColumn("payment_status", F.when(F.col("_paid").isNotNull(), F.lit("paid"))
                           .otherwise(F.col("payment_status")))
@@ -406,9 +413,12 @@ def create_orders(t, requests: DataFrame, items: DataFrame, now: Column) -> dict
     price present and quantity > 0 ('invalid_items'); both addresses need
     name, phone and pincode ('invalid_address'); the coupon is quoted under
     the 'order' policy ('invalid_coupon' / 'already_used' / 'min_order').
-    Coupon usage limits hold across the batch: the orders using a coupon are
-    ranked by seq and only the first ``usage_limit - used_count`` keep it
-    ('usage_limit'). Accepted orders: pending / unpaid, one usage row each,
+    A user's later orders with a coupon that an earlier one of the batch used
+    are 'already_used', and usage limits hold across the batch: the first
+    orders of each user with a limited coupon are ranked by seq and only the
+    first ``usage_limit - used_count`` keep it ('usage_limit'). Accepted
+    orders: pending / unpaid, the request's payment method ('razorpay' where
+    it names none), one usage row each,
     used_count + n per coupon, two addresses, history; no stock change."""
     agg = items.groupBy("seq").agg(
         F.count(F.lit(1)).alias("_n"),
@@ -431,19 +441,26 @@ def create_orders(t, requests: DataFrame, items: DataFrame, now: Column) -> dict
                .when(has_code & F.col("_creason").isNotNull(), F.col("_creason"))
                .when(~addr_ok, "invalid_address"))
     r = r.withColumn("_reason0", reason0)
-    # Coupon lock across the batch: rank the otherwise-valid orders per coupon.
-    # A popular coupon may carry a large share of the orders: the rank uses
-    # the skew-safe numbering (range partitions + offsets), not a one-task window.
+    # Coupon lock across the batch: the first otherwise-valid order of each
+    # (coupon, user) is ranked where the coupon has a limit. A popular coupon
+    # may carry a large share of the orders: the rank uses the skew-safe
+    # numbering (range partitions + offsets), not a one-task window.
     c = t["coupons"].select(F.col("id").alias("_cid"), "usage_limit", "used_count")
-    cand = r.where(F.col("_reason0").isNull() & has_code).select("seq", "_cid")
-    ranked = (number_rows(cand, [F.col("seq").asc()], ["_cid"]).join(c, "_cid")
-              .withColumn("_over", F.col("usage_limit").isNotNull()
-                          & (F.col("position") > F.col("usage_limit") - F.col("used_count")))
-              .select("seq", "_over"))
-    r = r.join(ranked, "seq", "left")
-    r = materialize(r.withColumn("reason", F.when(F.col("_reason0").isNotNull(), F.col("_reason0"))
-                                 .when(F.coalesce(F.col("_over"), F.lit(False)), F.lit("usage_limit")))
+    cand = r.where(F.col("_reason0").isNull() & has_code)
+    firsts = materialize(cand.groupBy("_cid", "user_id").agg(F.min("seq").alias("_first_use")).join(c, "_cid"))
+    limited = firsts.where(F.col("usage_limit").isNotNull()).select(F.col("_first_use").alias("seq"), "_cid", "usage_limit",
+                                                                    "used_count")
+    over = (number_rows(limited, [F.col("seq").asc()], ["_cid"])
+            .where(F.col("position") > F.col("usage_limit") - F.col("used_count"))
+            .select(F.col("seq").alias("_first_use"), F.lit(True).alias("_over")))
+    uses = firsts.select("_cid", "user_id", "_first_use").join(over, "_first_use", "left")
+    r = r.join(uses, ["_cid", "user_id"], "left")
+    locked = F.when(has_code & F.coalesce(F.col("_over"), F.lit(False)), "usage_limit").when(
+        has_code & (F.col("seq") > F.col("_first_use")), "already_used")
+    r = materialize(r.withColumn("reason", F.coalesce(F.col("_reason0"), locked))
                     .withColumn("accepted", F.col("reason").isNull()))
+    method = F.coalesce(F.col("payment_method"), F.lit("razorpay")) if "payment_method" in requests.columns \
+        else F.lit("razorpay")
     base = _id_base(t["orders"])
     acc = r.where("accepted").withColumn("order_id", base + F.col("seq"))
     disc = F.when(has_code, F.col("_disc")).otherwise(F.lit(0).cast(MONEY))
@@ -452,7 +469,7 @@ def create_orders(t, requests: DataFrame, items: DataFrame, now: Column) -> dict
         F.concat(F.lit("ORD-"), _epoch_ms(now).cast("string"),
                  F.lit("-"), F.col("seq").cast("string")).alias("order_number"),
         "user_id", F.lit("pending").alias("status"), F.lit("unpaid").alias("payment_status"),
-        F.lit("cod").alias("payment_method"), F.when(has_code, F.col("_cid")).alias("coupon_id"),
+        method.alias("payment_method"), F.when(has_code, F.col("_cid")).alias("coupon_id"),
         F.when(has_code, F.col("coupon_code")).alias("coupon_code"),
         F.col("_sub").cast(MONEY).alias("subtotal"), disc.cast(MONEY).alias("discount"),
         R.grand_total(F.col("_sub"), disc).alias("grand_total"), now.alias("created_at"))

@@ -520,9 +520,9 @@ def stock_after_cod_checkout(t):
     return CO.apply_stock_deltas(t["product_variants"], res["stock_deltas"]).select("id", "stock")
 
 
-@register("cod_checkout_orders", "G15", money=("subtotal", "grand_total"), sql=f"""
+@register("cod_checkout_orders", "G15", money=("total", "grand_total"), sql=f"""
 SELECT (SELECT max(id) FROM shop_orders) + x.seq AS id, x.user_id, 'pending' AS status, 'unpaid' AS payment_status,
-       CAST(SUM(c.price * c.quantity) AS DECIMAL(12,2)) AS subtotal,
+       CAST(SUM(c.price * c.quantity) AS DECIMAL(12,2)) AS total,
        CAST(SUM(c.price * c.quantity) AS DECIMAL(12,2)) AS grand_total, COUNT(*) AS n_items
 FROM ({COD_SQL}) x JOIN ({CART_SQL}) c ON c.user_id = x.user_id WHERE x.reason IS NULL
 GROUP BY x.seq, x.user_id
@@ -532,14 +532,13 @@ def cod_checkout_orders(t):
     n = res["order_items"].groupBy("order_id").agg(F.count(F.lit(1)).alias("n_items"))
     o = res["orders"]
     return o.join(n, o["id"] == n["order_id"]).select("id", "user_id", "status", "payment_status",
-                                                      "subtotal", "grand_total", "n_items")
+                                                      "total", "grand_total", "n_items")
 
 
 @register("gateway_checkout_orders", "G16 F1", money=("subtotal", "discount", "grand_total"), sql=f"""
 WITH chk AS (SELECT user_id, COUNT(*) AS nl, bool_and(stock >= quantity) AS ok,
                     CAST(SUM(price * quantity) AS DECIMAL(12,2)) AS sub FROM ({CART_SQL}) c GROUP BY user_id),
-r AS (SELECT q.*, chk.sub, q.seq = MIN(q.seq) OVER (PARTITION BY q.user_id) AS first
-      FROM checkout_requests q JOIN chk ON chk.user_id = q.user_id WHERE chk.ok),
+r AS (SELECT q.*, chk.sub FROM checkout_requests q JOIN chk ON chk.user_id = q.user_id WHERE chk.ok),
 fc AS (SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY lower(c.code) ORDER BY c.id) AS rk
                       FROM coupons c WHERE c.active = 1 AND (c.usage_limit IS NULL OR c.used_count < c.usage_limit))
        WHERE rk = 1),
@@ -548,7 +547,7 @@ q AS (SELECT r.*, fc.id AS cid,
                   CASE WHEN fc.max_discount IS NOT NULL AND fc.max_discount <> 0 THEN fc.max_discount
                   ELSE 999999 END) ELSE fc.value END AS DECIMAL(12,2)) AS disc
       FROM r LEFT JOIN fc ON lower(trim(r.coupon_code)) = lower(fc.code)
-      WHERE r.first AND (coalesce(r.coupon_code, '') = '' OR fc.id IS NOT NULL))
+      WHERE (coalesce(r.coupon_code, '') = '' OR fc.id IS NOT NULL))
 SELECT (SELECT max(id) FROM shop_orders) + seq AS id, user_id, 'pending_payment' AS status,
        CASE WHEN coalesce(coupon_code, '') <> '' THEN cid END AS coupon_id,
        sub AS subtotal, CASE WHEN coalesce(coupon_code, '') <> '' THEN disc ELSE 0 END AS discount,
@@ -574,11 +573,13 @@ def stock_after_payments(t):
 
 @register("orders_after_payments", "G17", sql="""
 SELECT o.id, CASE WHEN p.order_id IS NOT NULL THEN 'confirmed' ELSE o.status END AS status,
-       CASE WHEN p.order_id IS NOT NULL THEN 'paid' ELSE o.payment_status END AS payment_status
-FROM shop_orders o LEFT JOIN (SELECT DISTINCT order_id FROM payment_confirmations) p ON p.order_id = o.id
+       CASE WHEN p.order_id IS NOT NULL THEN 'paid' ELSE o.payment_status END AS payment_status, p.payment_id
+FROM shop_orders o LEFT JOIN (SELECT order_id, max(payment_id) AS payment_id FROM payment_confirmations
+                              GROUP BY order_id) p ON p.order_id = o.id
 """)
 def orders_after_payments(t):
-    return CO.confirm_payments(t, t["payment_confirmations"])["orders"].select("id", "status", "payment_status")
+    return CO.confirm_payments(t, t["payment_confirmations"])["orders"].select("id", "status", "payment_status",
+                                                                                "payment_id")
 
 
 ORDER_CREATE_SQL = f"""
@@ -602,12 +603,14 @@ r AS (SELECT q.*, agg.n, agg.ok, agg.sub, fc.id AS cid, fc.usage_limit, fc.used_
                OR coalesce(q.bill_pincode, '') = '' THEN 'invalid_address' END AS r0
       FROM order_requests q LEFT JOIN agg ON agg.seq = q.seq
       LEFT JOIN fc ON lower(trim(coalesce(q.coupon_code, ''))) = lower(fc.code)),
-rk AS (SELECT seq, usage_limit IS NOT NULL AND row_number() OVER (PARTITION BY cid ORDER BY seq)
-                   > usage_limit - used_count AS over
-       FROM r WHERE r0 IS NULL AND coalesce(coupon_code, '') <> '')
+cand AS (SELECT * FROM r WHERE r0 IS NULL AND coalesce(coupon_code, '') <> ''),
+one AS (SELECT * FROM cand a WHERE NOT EXISTS (SELECT 1 FROM cand b WHERE b.cid = a.cid AND b.user_id = a.user_id
+                                               AND b.seq < a.seq)),
+rk AS (SELECT cid, user_id, seq, usage_limit IS NOT NULL
+              AND row_number() OVER (PARTITION BY cid ORDER BY seq) > usage_limit - used_count AS over FROM one)
 SELECT r.seq, r.user_id, r.cid, CASE WHEN r.r0 IS NOT NULL THEN r.r0
-                                     WHEN coalesce(rk.over, false) THEN 'usage_limit' END AS reason
-FROM r LEFT JOIN rk ON rk.seq = r.seq
+         WHEN rk.over THEN 'usage_limit' WHEN r.seq > rk.seq THEN 'already_used' END AS reason
+FROM r LEFT JOIN rk ON rk.cid = r.cid AND rk.user_id = r.user_id AND r.r0 IS NULL AND coalesce(r.coupon_code, '') <> ''
 """
 
 
