@@ -130,10 +130,9 @@ def status_timeline(t) -> DataFrame:
 
 
 def order_details(t) -> DataFrame:
-    """C17: admin order detail. Returns ``(details, history)``: details has
-    the header (C4), has_gift, the billing address and the lines with sku and
-    total (one row per order and page of lines); history is the status
-    timeline ascending (one row per order and page of entries)."""
+    """C17: admin order detail: the header (C4), has_gift, the billing address
+    and the lines with sku and total (one row per order and page of lines).
+    Its history is ``status_timeline``."""
     head = admin_order_list(t)
     ol = order_item_lines(t)
     gift = ol.groupBy("order_id").agg(F.bool_or(F.col("is_gift") == 1).alias("has_gift"))
@@ -142,12 +141,10 @@ def order_details(t) -> DataFrame:
                          ITEMS_PER_PAGE)
     bill = (t["order_addresses"].where(F.col("type") == "billing").groupBy("order_id")
             .agg(F.min(_address_struct()).alias("billing")))
-    hist = status_timeline(t).withColumnRenamed("page", "history_page")
     return (head.join(gift, head["id"] == gift["order_id"], "left").drop("order_id")
             .join(lines, head["id"] == lines["order_id"], "left").drop("order_id")
             .join(bill, head["id"] == bill["order_id"], "left").drop("order_id")
-            .withColumn("has_gift", F.coalesce("has_gift", F.lit(False))),
-            hist)
+            .withColumn("has_gift", F.coalesce("has_gift", F.lit(False))))
 
 
 def order_receipts(t) -> DataFrame:

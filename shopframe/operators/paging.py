@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 
 
 def page(df: DataFrame, order: list[Column], page_no: int, size: int) -> DataFrame:
@@ -108,20 +108,24 @@ def nested_pages(df: DataFrame, key: str, order: list[Column], value_cols: list[
     ``page_size`` elements, in ``order``: one row per (key, page), elements
     carry their 1-based position ``pos``.
 
-    Rows are counted per key first (partial aggregation). Keys with at most
-    ``page_size`` rows are numbered by a window over the key (a group of at
-    most one page) and nested into one array; larger keys are numbered with
-    the skew-safe ``number_rows`` and cut into pages. No group ever holds more
-    than ``page_size`` rows."""
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    j = df.join(sizes, key, "inner")
-    small = j.where(F.col("_n") <= page_size).drop("_n")
+    Keys with more than ``page_size`` rows are found first (a count per key,
+    which reads the key column only). Usually there is none, and every key is
+    numbered by a window over its one page. Where some exist, their rows alone
+    are numbered with the skew-safe ``number_rows`` and cut into pages. No group
+    ever holds more than ``page_size`` rows; the result is the same either way."""
+    large = materialize(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > page_size).select(key))
     w = Window.partitionBy(key).orderBy(*order)
-    small = (small.withColumn("position", F.row_number().over(w).cast("long"))
-             .withColumn("page", F.lit(1).cast("long")))
-    big = number_rows(j.where(F.col("_n") > page_size).drop("_n"), order, [key]).withColumn(
-        "page", (F.floor((F.col("position") - 1) / page_size) + 1).cast("long"))
-    numbered = small.unionByName(big)
+
+    def one_page(rows):
+        return (rows.withColumn("position", F.row_number().over(w).cast("long"))
+                .withColumn("page", F.lit(1).cast("long")))
+
+    if large.isEmpty():
+        numbered = one_page(df)
+    else:
+        big = number_rows(df.join(large, key, "left_semi"), order, [key]).withColumn(
+            "page", (F.floor((F.col("position") - 1) / page_size) + 1).cast("long"))
+        numbered = one_page(df.join(large, key, "left_anti")).unionByName(big)
     return numbered.groupBy(key, "page").agg(
         F.sort_array(F.collect_list(F.struct(F.col("position").alias("pos"), *[F.col(c) for c in value_cols])))
         .alias(name))

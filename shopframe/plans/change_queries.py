@@ -77,7 +77,7 @@ def cart_command_outcomes_split(t):
     return out
 
 
-@register("cart_after_commands", "G1 G2 G3", sql=CART_FOLD_SQL + """,
+CART_AFTER_SQL = CART_FOLD_SQL + """,
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, variant_id ORDER BY k DESC) AS rn
                         FROM f) WHERE rn = 1),
 addressed AS (SELECT min(c.id) AS id FROM cart_items c
@@ -89,7 +89,10 @@ FROM last WHERE qty IS NOT NULL
 UNION ALL
 SELECT id, user_id, variant_id, CAST(quantity AS BIGINT), CAST(is_gift AS INTEGER)
 FROM cart_items WHERE id NOT IN (SELECT id FROM addressed)
-""")
+"""
+
+
+@register("cart_after_commands", "G1 G2 G3", sql=CART_AFTER_SQL)
 def cart_after_commands(t):
     """The cart table after the command batch."""
     new, _ = CF.apply_cart_commands(t["cart_items"], t["cart_commands"], t["product_variants"])

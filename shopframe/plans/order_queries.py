@@ -121,7 +121,7 @@ LEFT JOIN b ON b.order_id = o.id
 def order_details_nested(t):
     """C17 admin detail pages, reported per order (item count, gift flag,
     missing / total sku characters, billing name)."""
-    d, _ = O.order_details(t)
+    d = O.order_details(t)
     items = F.coalesce(F.col("items"), F.array())
     per_page = d.select(
         "id", "order_number", "customer_name", "grand_total", "has_gift", F.col("billing.name").alias("_bn"),
@@ -141,8 +141,8 @@ FROM order_status_history WINDOW w AS (PARTITION BY order_id ORDER BY created_at
 """)
 def order_status_timeline(t):
     """The nested history pages flattened back to (order, page, pos)."""
-    _, h = O.order_details(t)
-    return (h.select("order_id", F.col("history_page").alias("page"),
+    h = O.status_timeline(t)
+    return (h.select("order_id", "page",
                      F.explode("status_history").alias("e"))
             .select("order_id", "page", F.col("e.pos").alias("pos"), F.col("e.status").alias("status"),
                     F.col("e.comment").alias("comment"), F.col("e.created_at").alias("created_at")))

@@ -11,18 +11,9 @@ def _register_stream(name, ops, sql, fn):
     register_session(name, ops, sql=sql)(fn)
 
 
-from .change_queries import CART_FOLD_SQL  # noqa: E402
-
-_register_stream("stream_cart_state", "S1 G1 G2 G3", CART_FOLD_SQL + """,
-last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, variant_id ORDER BY k DESC) AS rn
-                        FROM f) WHERE rn = 1),
-fin AS (SELECT user_id, variant_id, qty, gift, cid, ins FROM last UNION ALL
-        SELECT user_id, variant_id, q, g, cid, NULL FROM i
-        WHERE NOT EXISTS (SELECT 1 FROM keys WHERE keys.user_id = i.user_id AND keys.variant_id = i.variant_id))
-SELECT coalesce(cid, (SELECT max(id) FROM cart_items) + ins) AS id, user_id, variant_id, qty AS quantity,
-       gift AS is_gift
-FROM fin WHERE qty IS NOT NULL
-""",
+from .change_queries import CART_AFTER_SQL  # noqa: E402
+
+_register_stream("stream_cart_state", "S1 G1 G2 G3", CART_AFTER_SQL,
                  lambda spark, d: S.cart_state_stream(spark, d, tables(spark, d)))
 
 _register_stream("stream_wishlist_state", "S2 G4", """

@@ -4,9 +4,12 @@ Every stream reads the shop's events as a file stream, reuses the batch
 operators (inside ``foreachBatch`` where the step is a table merge) and
 writes its result under the cluster's shared checkpoint folder
 (``spark.checkpoint.dir``), never a machine-local folder, and never into the
-driver (no memory sink). Each query keeps its own streaming checkpoint so a
-restart resumes from the last committed micro-batch; ``foreachBatch`` writes
-are keyed by the batch id, so a replayed batch overwrites its own output.
+driver (no memory sink). Each query keeps its streaming checkpoint with its
+output. A caller that names ``out_dir`` can restart the stream there: it
+resumes from the last committed micro-batch. ``foreachBatch`` writes are keyed
+by the batch id and a batch reads only earlier epochs, so a replayed batch
+writes what it wrote before. Without ``out_dir`` every call starts anew in a
+folder of its own.
 
 ``run_available_now`` drives a stream over everything available and returns
 the result table as a batch DataFrame (used by the registered queries and the
@@ -71,18 +74,28 @@ def _log_each_batch(df: DataFrame, out_dir: str, transform=None, key=None,
             .option("checkpointLocation", f"{out_dir}/_checkpoint"))
 
 
-def _latest_with_epoch(spark: SparkSession, out_dir: str, key: list[str]) -> DataFrame:
+def _latest_with_epoch(spark: SparkSession, out_dir: str, key: list[str], before: int | None = None,
+                       keys: DataFrame | None = None) -> DataFrame:
     """Per key, the newest row of the log (with its epoch): the newest
-    snapshot plus only the log epochs after it (partition pruning on epoch)."""
+    snapshot plus only the log epochs after it (partition pruning on epoch).
+    ``before``: as the log stood before that epoch, which a batch that may be
+    a replay has to start from. ``keys``: those keys only, filtered before
+    anything is aggregated."""
     log = spark.read.parquet(f"{out_dir}/log")
+    if before is not None:
+        log = log.where(F.col("epoch") < before)
     cols = [c for c in log.columns if c not in key and c != "epoch"]
     parts = log
     snap_dir = f"{out_dir}/snapshot"
     if _exists(spark, snap_dir):
         snaps = spark.read.parquet(snap_dir)
-        upto = snaps.agg(F.max("upto")).scalar()
+        if before is not None:
+            snaps = snaps.where(F.col("upto") < before)
+        upto = snaps.agg(F.coalesce(F.max("upto"), F.lit(-1))).scalar()
         parts = (snaps.where(F.col("upto") == upto).select(*key, *cols, "epoch")
                  .unionByName(log.where(F.col("epoch") > upto).select(*key, *cols, "epoch")))
+    if keys is not None:
+        parts = parts.join(keys, key, "left_semi")
     latest = parts.groupBy(*key).agg(F.max_by(F.struct(*cols, "epoch"), F.col("epoch")).alias("_r"))
     return latest.select(*key, "_r.*")
 
@@ -94,10 +107,11 @@ def compact_log(spark: SparkSession, out_dir: str, key: list[str], epoch: int) -
      .write.mode("overwrite").parquet(f"{out_dir}/snapshot/upto={epoch}"))
 
 
-def read_latest(spark: SparkSession, out_dir: str, key: list[str]) -> DataFrame:
+def read_latest(spark: SparkSession, out_dir: str, key: list[str], before: int | None = None,
+                keys: DataFrame | None = None) -> DataFrame:
     """Current result table of a change log: per key, the row of the latest
     epoch (a grouped max_by, partially aggregated)."""
-    return _latest_with_epoch(spark, out_dir, key).drop("epoch")
+    return _latest_with_epoch(spark, out_dir, key, before, keys).drop("epoch")
 
 
 def _overwrite_each_batch(df: DataFrame, out_dir: str, mode: str = "complete"):
@@ -111,7 +125,7 @@ def _overwrite_each_batch(df: DataFrame, out_dir: str, mode: str = "complete"):
 # ------------------------------------------------------------------ S1 ------
 
 def cart_state_stream(spark: SparkSession, sf_dir: str, t, max_files_per_trigger: int | None = None,
-                      compact_every: int = COMPACT_EVERY) -> DataFrame:
+                      compact_every: int = COMPACT_EVERY, out_dir: str | None = None) -> DataFrame:
     """Cart lines kept current from a stream of cart commands.
 
     Each micro-batch folds only the keys its commands touch (G1-G3 rules),
@@ -121,7 +135,7 @@ def cart_state_stream(spark: SparkSession, sf_dir: str, t, max_files_per_trigger
     inserted by the stream gets ``max(stored id) + seq`` like the batch
     operator. Returns the current cart: latest logged line per key, plus the
     stored lines of keys no command touched."""
-    out_dir = new_run_dir(spark, "cart_state")
+    out_dir = out_dir or new_run_dir(spark, "cart_state")
     commands = X.project(X.raw_stream(spark, sf_dir, "events", max_files_per_trigger),
                          X.CART_COMMANDS[2], X.CART_COMMANDS[1])
     variants = t["product_variants"]
@@ -134,18 +148,18 @@ def cart_state_stream(spark: SparkSession, sf_dir: str, t, max_files_per_trigger
     base = t["cart_items"].agg(F.coalesce(F.max("id"), F.lit(0)).alias("_b")).scalar()
     log_dir = f"{out_dir}/log"
 
-    def lines_of(keys: DataFrame) -> DataFrame:
+    def lines_of(keys: DataFrame, epoch: int) -> DataFrame:
         own = stored.join(keys, key, "left_semi")
-        if not _exists(spark, log_dir):
+        if epoch == 0 or not _exists(spark, log_dir):
             return own
-        logged = read_latest(spark, out_dir, key).join(keys, key, "left_semi")
+        logged = read_latest(spark, out_dir, key, epoch, keys)
         return (own.join(logged.select(*key), key, "left_anti")
                 .unionByName(logged.where(F.col("quantity").isNotNull())
                              .select("id", *key, "quantity", "is_gift")))
 
     def merge(batch: DataFrame, epoch: int):
         touched = batch.select(*key).distinct()
-        prev = lines_of(touched)
+        prev = lines_of(touched, epoch)
         folded = CF.fold_cart_commands(prev, batch, variants)
         new = (folded.where(F.col("row_kind") == "state")
                .select(*key, F.coalesce("cart_id", base + F.col("inserted_by")).alias("id"),
@@ -158,11 +172,14 @@ def cart_state_stream(spark: SparkSession, sf_dir: str, t, max_files_per_trigger
         return (commands.writeStream.foreachBatch(merge)
                 .option("checkpointLocation", f"{d}/_checkpoint"))
     run_available_now(factory, out_dir)
+    # Further stored rows of a key are other lines: they stay as they are.
+    others = (t["cart_items"].join(stored.select("id"), "id", "left_anti")
+              .select("id", *key, F.col("quantity").cast("long"), F.col("is_gift").cast("int")))
     if not _exists(spark, log_dir):
-        return stored
+        return stored.unionByName(others)
     logged = read_latest(spark, out_dir, key)
     untouched = stored.join(logged.select(*key), key, "left_anti")
-    return untouched.unionByName(logged.where(F.col("quantity").isNotNull())
+    return untouched.unionByName(others).unionByName(logged.where(F.col("quantity").isNotNull())
                                  .select("id", *key, "quantity", "is_gift"))
 
 
@@ -170,13 +187,13 @@ def cart_state_stream(spark: SparkSession, sf_dir: str, t, max_files_per_trigger
 
 def wishlist_state_stream(spark: SparkSession, sf_dir: str, t,
                           max_files_per_trigger: int | None = None,
-                          compact_every: int = COMPACT_EVERY) -> DataFrame:
+                          compact_every: int = COMPACT_EVERY, out_dir: str | None = None) -> DataFrame:
     """Wishlist membership from a toggle stream: a streaming count (and
     last seq) per (user, product) in update mode; each batch turns the
     changed keys' running counts into membership rows against the stored
     wishlist and logs them. The final table is the latest row per key plus
     the stored rows no toggle touched."""
-    out_dir = new_run_dir(spark, "wishlist_state")
+    out_dir = out_dir or new_run_dir(spark, "wishlist_state")
     toggles = X.project(X.raw_stream(spark, sf_dir, "events", max_files_per_trigger),
                         X.WISHLIST_EVENTS[2], X.WISHLIST_EVENTS[1])
     counts = toggles.groupBy("user_id", "product_id").agg(
@@ -202,12 +219,12 @@ def wishlist_state_stream(spark: SparkSession, sf_dir: str, t,
 
 def subscriber_dedup_stream(spark: SparkSession, sf_dir: str,
                             max_files_per_trigger: int | None = None,
-                            compact_every: int = COMPACT_EVERY) -> DataFrame:
+                            compact_every: int = COMPACT_EVERY, out_dir: str | None = None) -> DataFrame:
     """S3: one subscription per e-mail (case-insensitive) from a signup
     stream; the earliest request (lowest id) wins. State holds one row per
     distinct e-mail, which is what the semantics require; update mode logs
     only the e-mails a batch changed."""
-    out_dir = new_run_dir(spark, "subscribers")
+    out_dir = out_dir or new_run_dir(spark, "subscribers")
     subs = X.project(X.raw_stream(spark, sf_dir, "events", max_files_per_trigger),
                      X.NEWSLETTER[2], X.NEWSLETTER[1])
     firsts = subs.groupBy(F.lower("email").alias("email_key")).agg(
@@ -219,11 +236,11 @@ def subscriber_dedup_stream(spark: SparkSession, sf_dir: str,
 
 # ------------------------------------------------------------------ S4 ------
 
-def latest_status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def latest_status_stream(spark: SparkSession, sf_dir: str, out_dir: str | None = None) -> DataFrame:
     """Current status per order from the status-history stream
     (max_by over (created_at, id)); update mode logs the orders a batch
     changed."""
-    out_dir = new_run_dir(spark, "latest_status")
+    out_dir = out_dir or new_run_dir(spark, "latest_status")
     o = X.raw_stream(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     hist = X.project(o, X.STATUS_HISTORY_FIRST).unionByName(
         X.project(o, X.STATUS_HISTORY_SECOND, "o_orderkey % 4 <> 0"))
@@ -236,12 +253,12 @@ def latest_status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ S5 ------
 
-def valid_cancellations_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def valid_cancellations_stream(spark: SparkSession, sf_dir: str, out_dir: str | None = None) -> DataFrame:
     """Customer cancellations that arrive within 3 days of their order,
     by the order's owner, while the order is pending or confirmed: a
     stream-stream interval join with 3-day watermarks on both sides, so the
     join state is bounded by the window, appended to parquet."""
-    out_dir = new_run_dir(spark, "cancellations")
+    out_dir = out_dir or new_run_dir(spark, "cancellations")
     # Watermarks need TIMESTAMP event time; the wall-clock NTZ columns are
     # mapped through the session time zone (monotone, so order is kept).
     orders = (X.project(X.raw_stream(spark, sf_dir, "orders"), X.SHOP_ORDERS[1])
@@ -268,10 +285,10 @@ def valid_cancellations_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ S6 ------
 
-def most_carted_stream(spark: SparkSession, sf_dir: str, t, n: int = 5) -> DataFrame:
+def most_carted_stream(spark: SparkSession, sf_dir: str, t, n: int = 5, out_dir: str | None = None) -> DataFrame:
     """Running most-carted products: cart additions (stream) joined to
     the catalog (static), summed per product, top ``n`` in complete mode."""
-    out_dir = new_run_dir(spark, "most_carted")
+    out_dir = out_dir or new_run_dir(spark, "most_carted")
     items = X.project(X.raw_stream(spark, sf_dir, "events"), X.CART_ITEMS[2], X.CART_ITEMS[1])
     v = t["product_variants"].select(F.col("id").alias("variant_id"), "product_id")
     p = t["products"].select(F.col("id").alias("product_id"), "name", "image1")
