@@ -84,9 +84,19 @@ def fcfs_stock_decisions(lines: DataFrame, stock: DataFrame) -> DataFrame:
     each round's state is checkpointed."""
     per = (lines.groupBy("seq", "variant_id")
            .agg(F.max("quantity").alias("_check"), F.sum("quantity").alias("_take")))
-    per = materialize(per.join(stock.select("variant_id", F.col("stock").alias("_stock")), "variant_id", "left")
-                      .withColumn("_stock", F.coalesce(F.col("_stock"), F.lit(0))))
-    status = materialize(per.select("seq").distinct().withColumn("_st", F.lit("pending")))
+    # Only a variant asked for beyond its stock can turn a request down: those
+    # without such a line are accepted at once, and the rounds see no other lines.
+    short = (per.groupBy("variant_id").agg(F.sum("_take").alias("_asked"))
+             .join(stock.select("variant_id", F.col("stock").alias("_stock")), "variant_id", "left")
+             .withColumn("_stock", F.coalesce(F.col("_stock"), F.lit(0)))
+             .where(F.col("_asked") > F.col("_stock")).select("variant_id", "_stock"))
+    seqs = per.select("seq").distinct()
+    per = materialize(per.join(short, "variant_id"))
+    contested = materialize(per.select("seq").distinct())
+    free = seqs.join(contested, "seq", "left_anti").withColumn("accepted", F.lit(True))
+    if contested.isEmpty():
+        return free
+    status = contested.withColumn("_st", F.lit("pending"))
     while True:
         # Only variants that still have an undecided request need new sums.
         open_variants = (per.join(status.where(F.col("_st") == "pending"), "seq")
@@ -109,7 +119,7 @@ def fcfs_stock_decisions(lines: DataFrame, stock: DataFrame) -> DataFrame:
             .select("seq", "_st"))
         if status.where(F.col("_st") == "pending").isEmpty():
             break
-    return status.select("seq", (F.col("_st") == "accepted").alias("accepted"))
+    return free.unionByName(status.select("seq", (F.col("_st") == "accepted").alias("accepted")))
 
 
 def _resolve_first(requests: DataFrame, key: str) -> DataFrame:
@@ -117,7 +127,7 @@ def _resolve_first(requests: DataFrame, key: str) -> DataFrame:
 
 
 def checkout(t, requests: DataFrame, now: Column, mode: str = "cod",
-             stock_policy: str = "opening") -> dict[str, DataFrame]:
+             stock_policy: str | None = None) -> dict[str, DataFrame]:
     """G15 (``mode='cod'``) and G16 (``mode='gateway'``).
 
     ``requests``: (seq, user_id, billing_name, billing_phone, billing_city,
@@ -127,10 +137,12 @@ def checkout(t, requests: DataFrame, now: Column, mode: str = "cod",
     meets the stock check; later requests find the cart cleared
     ('cart_empty') when it succeeded, or fail the stock check too.
 
-    ``stock_policy='opening'`` checks each cart on its own against the stock
-    at the start of the batch; ``'fcfs'`` serves the carts in ``seq`` order
-    against the stock the earlier accepted carts left
-    (``fcfs_stock_decisions``), as the original's row locks do.
+    ``stock_policy='fcfs'`` (the default of COD) serves the carts in ``seq``
+    order against the stock the earlier accepted carts left
+    (``fcfs_stock_decisions``), as the original's row locks do, so no stock
+    falls below 0. ``'opening'`` (the default of the gateway, which takes no
+    stock) checks each cart on its own against the stock at the start of the
+    batch.
 
     COD: order pending / unpaid, stock -= quantities, cart cleared, history
     'pending' by system. Gateway: coupon quoted under the gateway policy,
@@ -140,6 +152,7 @@ def checkout(t, requests: DataFrame, now: Column, mode: str = "cod",
     opposite. Returns a dict of frames: outcomes,
     orders, order_items, order_addresses, status_history, stock_deltas,
     cleared_carts."""
+    stock_policy = stock_policy or ("fcfs" if mode == "cod" else "opening")
     # The requesting users' cart lines feed the checks and the new order
     # items: computed once.
     cart = materialize(K.cart_view(t, requests.select("user_id")))

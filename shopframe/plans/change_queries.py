@@ -496,23 +496,54 @@ FROM r LEFT JOIN e ON e.user_id = r.user_id
 """
 
 
+# Step by step: request k meets the stock and the carts that request k - 1 left.
+COD_STEPS_SQL = f"""
+WITH RECURSIVE cart AS ({CART_SQL}),
+li AS (SELECT user_id, list({{'v': variant_id, 'q': CAST(quantity AS BIGINT), 'n': name}} ORDER BY cart_id) AS ls
+       FROM cart GROUP BY user_id),
+req AS (SELECT q.seq, q.user_id, coalesce(q.billing_name, '') <> '' AND coalesce(q.billing_phone, '') <> '' AS bill,
+               li.ls, row_number() OVER (ORDER BY q.seq) AS k
+        FROM checkout_requests q LEFT JOIN li ON li.user_id = q.user_id),
+steps AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS user_id,
+         CAST(NULL AS VARCHAR) AS reason,
+         (SELECT map(list(id ORDER BY id), list(CAST(stock AS BIGINT) ORDER BY id)) FROM product_variants
+          WHERE id IN (SELECT variant_id FROM cart)) AS rem, CAST([] AS BIGINT[]) AS gone
+  UNION ALL
+  SELECT k, seq, user_id, reason,
+         CASE WHEN reason IS NULL THEN map(map_keys(rem), list_transform(map_entries(rem), lambda e:
+           e.value - coalesce(list_sum(list_transform(list_filter(ls, lambda x: x.v = e.key), lambda x: x.q)), 0)))
+         ELSE rem END,
+         CASE WHEN reason IS NULL THEN list_append(gone, user_id) ELSE gone END
+  FROM (SELECT r.k, r.seq, r.user_id, r.ls, s.rem, s.gone,
+               CASE WHEN NOT r.bill THEN 'invalid_billing'
+                    WHEN r.ls IS NULL OR list_contains(s.gone, r.user_id) THEN 'cart_empty'
+                    WHEN len(list_filter(r.ls, lambda x: x.q > s.rem[x.v])) > 0
+                    THEN 'Insufficient stock for ' || list_filter(r.ls, lambda x: x.q > s.rem[x.v])[1].n END AS reason
+        FROM steps s JOIN req r ON r.k = s.k + 1) z)
+SELECT seq, user_id, reason FROM steps WHERE k > 0
+"""
+
+
 @register("cod_checkout_outcomes", "G15 F7 B24", sql=f"""
 SELECT seq, user_id, reason IS NULL AS accepted, reason FROM ({COD_SQL}) x
 """)
 def cod_checkout_outcomes(t):
-    return CO.checkout(t, t["checkout_requests"], _now(), "cod")["outcomes"]
+    """Each cart on its own against the stock at the start of the batch."""
+    return CO.checkout(t, t["checkout_requests"], _now(), "cod", stock_policy="opening")["outcomes"]
 
 
-@register("cod_checkout_fcfs_outcomes", "G15 F7")
+@register("cod_checkout_fcfs_outcomes", "G15 F7", sql=f"""
+SELECT seq, user_id, reason IS NULL AS accepted, reason FROM ({COD_STEPS_SQL}) x
+""")
 def cod_checkout_fcfs_outcomes(t):
     """COD checkouts served first-come-first-served across users against
-    the stock earlier accepted carts left (checked against a sequential
-    replay in tests/test_changes.py; no SQL oracle)."""
-    return CO.checkout(t, t["checkout_requests"], _now(), "cod", stock_policy="fcfs")["outcomes"]
+    the stock earlier accepted carts left."""
+    return CO.checkout(t, t["checkout_requests"], _now(), "cod")["outcomes"]
 
 
 @register("stock_after_cod_checkout", "G15 G23", sql=f"""
-WITH ok AS (SELECT user_id FROM ({COD_SQL}) x WHERE reason IS NULL),
+WITH ok AS (SELECT user_id FROM ({COD_STEPS_SQL}) x WHERE reason IS NULL),
 d AS (SELECT variant_id, SUM(quantity) AS q FROM ({CART_SQL}) c WHERE user_id IN (SELECT user_id FROM ok)
       GROUP BY variant_id)
 SELECT v.id, CAST(v.stock - coalesce(d.q, 0) AS INTEGER) AS stock
@@ -527,7 +558,7 @@ def stock_after_cod_checkout(t):
 SELECT (SELECT max(id) FROM shop_orders) + x.seq AS id, x.user_id, 'pending' AS status, 'unpaid' AS payment_status,
        CAST(SUM(c.price * c.quantity) AS DECIMAL(12,2)) AS total,
        CAST(SUM(c.price * c.quantity) AS DECIMAL(12,2)) AS grand_total, COUNT(*) AS n_items
-FROM ({COD_SQL}) x JOIN ({CART_SQL}) c ON c.user_id = x.user_id WHERE x.reason IS NULL
+FROM ({COD_STEPS_SQL}) x JOIN ({CART_SQL}) c ON c.user_id = x.user_id WHERE x.reason IS NULL
 GROUP BY x.seq, x.user_id
 """)
 def cod_checkout_orders(t):
