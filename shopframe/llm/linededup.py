@@ -40,8 +40,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import components
-from .postings import GATHER, NO_ID, bucket_count, bucket_of, by_bucket, compressed, gather, identified, pack, unpack, with_lists
-from .textcore import BASES, MASK, chunks, mix, text_hash
+from .postings import (GATHER, NO_ID, bucket_count, bucket_of, by_bucket, compressed, gather, identified, pack, unpack,
+                       with_lists)
+from .textcore import BASES, MASK, chunks, mix, text_hash, tidy
 
 SHINGLE = 8             # a power of two
 BANDS, ROWS = 10, 4
@@ -307,21 +308,21 @@ def _cut(with_text: bool):
 
 def distinct_lines(d: DataFrame) -> DataFrame:
     """(h1, h2, id, th, line): every distinct line's hash and first place."""
-    lines = d.mapInArrow(_describe, "h1 long, h2 long, id long, th long, line int")
+    lines = d.mapInArrow(tidy(_describe), "h1 long, h2 long, id long, th long, line int")
     return lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "line")).alias("p")).select(
         "h1", "h2", "p.id", "p.th", "p.line")
 
 
 def near_lines(d: DataFrame, lines: DataFrame, buckets: int, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): links between places (id, th, line) of distinct lines."""
-    met = (d.mapInArrow(_send(buckets), "bucket int, data binary").repartition("bucket").sortWithinPartitions("bucket")
-           .mapInArrow(_meet, "sig long, size int, h long").distinct())
+    met = (d.mapInArrow(tidy(_send(buckets)), "bucket int, data binary").repartition("bucket").sortWithinPartitions("bucket")
+           .mapInArrow(tidy(_meet), "sig long, size int, h long").distinct())
     met = met.join(lines.select(F.col("h1").alias("h"), "id", "th", "line"), "h")
     texts = with_lists(compressed(d), met, "th", "line", "sig", "size").where(F.col("th").isNotNull()).mapInArrow(
-        _fetch, "sig long, i int, j int, k int, id long, th long, line int, text binary")
+        tidy(_fetch), "sig long, i int, j int, k int, id long, th long, line int, text binary")
     place = "struct<id:long,th:long,line:int>"
     return texts.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(
-        _verify(similarity), f"a {place}, b {place}")
+        tidy(_verify(similarity)), f"a {place}, b {place}")
 
 
 def remove_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text",
@@ -333,7 +334,7 @@ def remove_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     classes = components(near_lines(d, lines, bucket_count(d), similarity))
     gone = classes.where("node <> component").select("node.id", "node.th", "node.line")
     stay = lines.select("id", "th", "line").join(gone, ["id", "th", "line"], "left_anti")
-    out = with_lists(compressed(d), stay, "th", "line").mapInArrow(_cut(with_text), OUT)
+    out = with_lists(compressed(d), stay, "th", "line").mapInArrow(tidy(_cut(with_text)), OUT)
     columns = [F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_lines", "n_removed", "kept_sha256"]
     return out.select(*columns, *(["kept"] if with_text else []))
 

@@ -18,10 +18,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import chunks, mix
+from .textcore import chunks, mix, tidy
 
 BUCKET_BYTES = 4 << 20      # text per bucket
-GATHER = 1_000_000          # postings a map task packs at once
+GATHER = 500_000            # postings a map task packs at once
 NO_ID = (1 << 63) - 1       # stands for a null id: behind all others
 
 
@@ -145,7 +145,7 @@ def by_document(found: DataFrame, n_ids: int, kinds, finish, schema: str) -> Dat
             parts = [unpack(b, n_ids, kinds) for b in blobs]
             yield finish(gather([p[0] for p in parts]), gather([p[1] for p in parts]))
 
-    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(task, schema)
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(task), schema)
 
 
 def gather(table: list[list]) -> list[np.ndarray]:
@@ -268,8 +268,8 @@ def shared_positions(docs: DataFrame, anchors, buckets: int) -> DataFrame:
                                            pa.array([pack_positions(p) for _, (p,) in rows], pa.binary())],
                                           names=["id", "pos"])
 
-    sent = docs.mapInArrow(collect, "bucket int, found int, data binary")
-    found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(reduce, "bucket int, data binary")
+    sent = docs.mapInArrow(tidy(collect), "bucket int, found int, data binary")
+    found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(reduce), "bucket int, data binary")
     return by_document(found, 1, (np.uint32,), finish, "id long, pos binary")
 
 
@@ -287,10 +287,10 @@ def compressed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for c in chunks(batch.column(1)):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(c.lo, c.n), pa.array([pack_.compress(c.text(i)) for i in range(c.n)], pa.binary())],
-                    names=["id", "z"])
+                    [batch.column(0).slice(c.lo, c.n),
+                     pa.array([pack_.compress(c.text(i)) for i in range(c.n)], pa.binary())], names=["id", "z"])
 
-    return docs.mapInArrow(task, "id long, z binary")
+    return docs.mapInArrow(tidy(task), "id long, z binary")
 
 
 def with_lists(docs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .postings import (GATHER, NO_ID, Found, bucket_count, bucket_of, by_bucket, by_document, by_id, gather, identified,
                        pack, pack_found, pack_positions, shared_positions, unpack, unpack_positions, with_lists)
 from .textcore import (BASES, SPACE, Words, chunks, covered, mix, runs_of, sliding_min, some_rows, span_hash, text_hash,
-                       whole_windows, window_hash)
+                       tidy, whole_windows, window_hash)
 
 WINDOW = 20
 
@@ -210,11 +210,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     buckets = bucket_count(d)
     hits = shared_positions(d, probe(block), buckets)
     sent = with_lists(d, hits, "pos").mapInArrow(
-        _extend(window, block, buckets), "bucket int, found int, data binary")
+        tidy(_extend(window, block, buckets)), "bucket int, found int, data binary")
     found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        _repeats(buckets), "bucket int, data binary")
+        tidy(_repeats(buckets)), "bucket int, data binary")
     found = by_document(found, 2, (np.uint32,), _listed, "id long, th long, pos binary")
-    out = with_lists(d, found, "th", "pos").mapInArrow(_cut(window, with_text), OUT)
+    out = with_lists(d, found, "th", "pos").mapInArrow(tidy(_cut(window, with_text)), OUT)
     columns = [F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "n_runs"]
     return out.select(*columns, *(["kept"] if with_text else []))
 

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .postings import (NO_ID, bucket_count, by_bucket, by_document, gather, identified, pack, pack_found,
                        shared_positions, unpack, unpack_positions, with_lists)
-from .textcore import BASES, chunks, ranges, runs_of, sliding_min, some_rows, text_hash, window_hash
+from .textcore import BASES, chunks, ranges, runs_of, sliding_min, some_rows, text_hash, tidy, window_hash
 
 SPAN = 50
 LEAD = 20
@@ -387,11 +387,11 @@ def remove_duplicate_spans(docs: DataFrame, span: int = SPAN, lead: int = LEAD,
     splitters = sample_splitters(d, buckets, span, lead)
     hits = shared_positions(d, sampled(span, lead), buckets)
     sent = with_lists(d, hits, "pos").mapInArrow(
-        _suffixes(span, lead, splitters), "bucket int, found int, data binary")
+        tidy(_suffixes(span, lead, splitters)), "bucket int, found int, data binary")
     found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        _compare(span, lead, len(splitters) + 1), "bucket int, data binary")
+        tidy(_compare(span, lead, len(splitters) + 1)), "bucket int, data binary")
     found = by_document(found, 2, (np.uint32, np.uint32), _listed, "id long, th long, spans binary")
-    out = with_lists(d, found, "th", "spans").mapInArrow(_cut(with_text), OUT)
+    out = with_lists(d, found, "th", "spans").mapInArrow(tidy(_cut(with_text)), OUT)
     columns = [F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     return out.select(*columns, *(["kept"] if with_text else []))
 
