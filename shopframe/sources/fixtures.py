@@ -39,6 +39,13 @@ COUPON_USAGE_ROWS_SQL = "(1, CAST(7 AS BIGINT)), (2, CAST(8 AS BIGINT)), (CAST(N
 COUPON_USAGE_COLUMNS = ["coupon_id", "user_id"]
 # ---------------------------------------------------------------------------
 
+# The product an event is about: one event in three runs over the whole
+# catalog, the others meet on its first part, so that keys also repeat.
+EVENT_PRODUCT = ("CASE WHEN event_id % 3 = 0 THEN CAST(floor(event_id / 5) AS BIGINT) + 1 "
+                 "ELSE event_id % 200 END")
+# The document whose text a review takes: over all documents.
+EVENT_DOCUMENT = "CAST(floor(event_id / 10) AS BIGINT)"
+
 USERS = ("customer", [
     ("id", "c_custkey"),
     ("first_name", "CASE WHEN c_custkey % 40 = 0 THEN NULL ELSE split_part(c_name, '#', 1) END"),
@@ -81,7 +88,7 @@ PRODUCT_VARIANTS = ("part", [
 CART_ITEMS = ("events", "event_type = 'click'", [
     ("id", "event_id"),
     ("user_id", "user_id"),
-    ("variant_id", "(event_id % 200) * 10 + event_id % 4"),
+    ("variant_id", f"({EVENT_PRODUCT}) * 10 + event_id % 4"),
     ("quantity", "1 + event_id % 3"),
     ("is_gift", "CASE WHEN event_id % 9 = 0 THEN 1 ELSE 0 END"),
 ])
@@ -90,7 +97,7 @@ CART_COMMANDS = ("events", "event_type = 'click'", [
     ("seq", "event_id"),
     ("ts", "ts"),
     ("user_id", "user_id"),
-    ("variant_id", "(event_id % 200) * 10 + event_id % 4"),
+    ("variant_id", f"({EVENT_PRODUCT}) * 10 + event_id % 4"),
     ("op", "CASE event_id % 8 WHEN 6 THEN 'remove' WHEN 5 THEN 'update' ELSE 'add' END"),
     ("qty", "CAST(CASE WHEN event_id % 8 = 5 THEN (CASE WHEN event_id % 16 = 5 THEN -1 ELSE 2 END) ELSE event_id % 3 END AS INT)"),
     ("is_gift", "CASE WHEN event_id % 9 = 0 THEN 1 ELSE 0 END"),
@@ -100,7 +107,7 @@ WISHLIST_EVENTS = ("events", "event_type = 'view'", [
     ("event_id", "event_id"),
     ("ts", "ts"),
     ("user_id", "user_id"),
-    ("product_id", "event_id % 200"),
+    ("product_id", EVENT_PRODUCT),
 ])
 
 SHOP_ORDERS = ("orders", [
@@ -174,10 +181,10 @@ STATUS_HISTORY_SECOND = [
 REVIEWS = [
     ("id", "event_id"),
     ("user_id", "user_id"),
-    ("product_id", "event_id % 200"),
+    ("product_id", EVENT_PRODUCT),
     ("rating", "CAST(1 + (event_id * 7) % 5 AS INT)"),
-    ("title", "substr(text, 1, 20)"),
-    ("comment", "substr(text, 1, 80)"),
+    ("title", "split_part(text, chr(10), 1)"),
+    ("comment", "text"),
     ("created_at", "ts"),
 ]
 
@@ -213,7 +220,7 @@ REVIEW_EDIT_REQUESTS = ("events", "event_type = 'purchase'", [
 # Option choices on product pages (NULL = option not chosen).
 VARIANT_CHOICES = ("events", "event_type = 'view'", [
     ("choice_id", "event_id"),
-    ("product_id", "event_id % 200"),
+    ("product_id", EVENT_PRODUCT),
     ("finish", "CASE event_id % 3 WHEN 0 THEN 'gold' WHEN 1 THEN 'Rose Gold' END"),
     ("gemstone", "CASE WHEN event_id % 5 = 0 THEN 'Red' END"),
     ("size", "CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 50 AS STRING) END"),
@@ -429,7 +436,7 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
     purchases = ev.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     docs = r("documents").select("doc_id", "text")
-    t["reviews"] = (purchases.join(docs, F.expr("event_id % 200") == F.col("doc_id"), "left")
+    t["reviews"] = (purchases.join(docs, F.expr(EVENT_DOCUMENT) == F.col("doc_id"), "left")
                     .selectExpr(*_sel(REVIEWS)))
     t["profile_updates"] = r("customer").selectExpr(*_sel(PROFILE_UPDATES[1]))
     t["review_edit_requests"] = ev.where(REVIEW_EDIT_REQUESTS[1]).selectExpr(*_sel(REVIEW_EDIT_REQUESTS[2]))
@@ -479,8 +486,8 @@ def duckdb_ctes() -> dict[str, str]:
     c["cart_items"] = f"SELECT {s(CART_ITEMS[2])} FROM events WHERE {CART_ITEMS[1]}"
     c["cart_commands"] = f"SELECT {s(CART_COMMANDS[2])} FROM events WHERE {CART_COMMANDS[1]}"
     c["wishlist_events"] = f"SELECT {s(WISHLIST_EVENTS[2])} FROM events WHERE {WISHLIST_EVENTS[1]}"
-    c["wishlist"] = ("SELECT MIN(event_id) AS id, user_id, event_id % 200 AS product_id FROM events "
-                     "WHERE event_type = 'view' GROUP BY user_id, event_id % 200")
+    c["wishlist"] = (f"SELECT MIN(event_id) AS id, user_id, {EVENT_PRODUCT} AS product_id FROM events "
+                     f"WHERE event_type = 'view' GROUP BY user_id, {EVENT_PRODUCT}")
     c["shop_orders"] = f"SELECT {s(SHOP_ORDERS[1])} FROM orders"
     c["order_items"] = f"SELECT {s(ORDER_ITEMS[1])} FROM lineitem"
     oc = ("FROM orders JOIN customer ON o_custkey = c_custkey "
@@ -493,7 +500,7 @@ def duckdb_ctes() -> dict[str, str]:
     c["coupon_usages"] = (f"SELECT * FROM (VALUES {COUPON_USAGE_ROWS_SQL}) "
                           f"AS u({', '.join(COUPON_USAGE_COLUMNS)})")
     c["reviews"] = (f"SELECT {s(REVIEWS)} FROM (SELECT event_id, user_id, ts FROM events "
-                    "WHERE event_type = 'purchase') e LEFT JOIN documents ON event_id % 200 = doc_id")
+                    f"WHERE event_type = 'purchase') e LEFT JOIN documents ON {EVENT_DOCUMENT} = doc_id")
     c["profile_updates"] = f"SELECT {s(PROFILE_UPDATES[1])} FROM customer"
     c["review_edit_requests"] = (f"SELECT {s(REVIEW_EDIT_REQUESTS[2])} FROM events "
                                  f"WHERE {REVIEW_EDIT_REQUESTS[1]}")
