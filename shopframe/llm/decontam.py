@@ -28,15 +28,12 @@ documents clean.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_whole_rows
+from .common import map_whole_rows, written
 from .textcore import LOWER, NON_ALNUM, Chunk, Words, chunks, covered, span_hash
 
 WINDOW = 10
@@ -152,7 +149,7 @@ def search(order: np.ndarray, h: np.ndarray, end: np.ndarray, test: TestSet) ->
 
 
 def _match(test: TestSet, window: int):
-    """mapInPandas-style task over Arrow batches."""
+    """Task over Arrow batches of (doc_id, text)."""
     lead_keys = None
     if test.lead:
         lead_keys = np.unique(test.words[:, 0] if test.lead == 1 else
@@ -241,15 +238,48 @@ test_blocks.__test__ = False
 
 
 def _merge_spans(spans):
-    out: list[list[int]] = []
-    for s in sorted((x["start"], x["end"]) for x in spans):
-        if out and s[0] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], s[1])
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda x: (x["start"], x["end"])):
+        if out and s["start"] <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], s["end"])
         else:
-            out.append(list(s))
+            out.append(dict(s))
     return out
 
 
+def _start(test: TestSet, window: int):
+    """The first pass of several: rows keep their text."""
+    match = _match(test, window)
+
+    def task(batches):
+        for batch in batches:
+            found = pa.Table.from_batches(list(match(iter([batch])))) if batch.num_rows else None
+            if found is not None:
+                yield from found.append_column("text", batch.column(1)).to_batches()
+    return task
+
+
+def _add(test: TestSet, window: int):
+    """A further pass: what it finds is united with what the row carries."""
+    match = _match(test, window)
+
+    def task(batches):
+        for batch in batches:
+            old = batch.to_pylist()
+            pair = pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.num_columns - 1)],
+                                              names=["doc_id", "text"])
+            new = [r for part in match(iter([pair])) for r in part.to_pylist()]
+            for a, b in zip(old, new):
+                a["spans"] = _merge_spans(a["spans"] + b["spans"])
+                a["n_hit"] = sum(s["end"] - s["start"] for s in a["spans"])
+                a["item_ids"] = sorted(set(a["item_ids"]) | set(b["item_ids"]))
+                a["longest_match"] = max(a["longest_match"], b["longest_match"])
+                a["n_locations"] += b["n_locations"]
+            if old:
+                yield pa.RecordBatch.from_pylist(old, schema=batch.schema)
+    return task
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
                        text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                        block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -257,33 +287,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     test window), the items found, the longest verbatim match in words, the
     number of locations and the hit word spans."""
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    parts = [d.mapInArrow(_match(TestSet(b, window), window), HITS)
-             for b in test_blocks(benchmark, item_col, item_text_col, block_bytes)]
-    if not parts:
-        parts = [d.mapInArrow(_match(TestSet([], window), window), HITS)]
-    if len(parts) == 1:
-        return parts[0]
-    # Several blocks: the spans of a document from each pass are united.
-    # Rows with equal doc_id and word count can't be told apart here, so they
-    # are numbered by the passes in the same order only when ids are unique.
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-
-    @F.pandas_udf("long")
-    def united(spans: pd.Series) -> pd.Series:
-        return spans.map(lambda s: sum(b - a for a, b in _merge_spans(s)))
-
-    merged = found.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-        F.max("longest_match").alias("longest_match"), F.sum("n_locations").alias("n_locations"))
-    return merged.withColumn("n_hit", united("spans")).select(
-        "doc_id", "n_words", "n_hit", "item_ids", "longest_match", "n_locations", "spans")
-
-
-def items_digest(ids) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
+    blocks = test_blocks(benchmark, item_col, item_text_col, block_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return d.mapInArrow(_match(TestSet(first, window), window), HITS)
+    # Several blocks: one pass each over the rows, which carry what the passes
+    # before found; every pass ends in a written table.
+    rows = d.mapInArrow(_start(TestSet(first, window), window), f"{HITS}, text string")
+    while second is not None:
+        rows = written(rows, "decontamination").mapInArrow(_add(TestSet(second, window), window), f"{HITS}, text string")
+        second = next(blocks, None)
+    return rows.drop("text")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
