@@ -29,7 +29,6 @@ def components(edges: DataFrame) -> DataFrame:
     edge to another one, component being its smallest reachable node."""
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = materialize(e)
-    state = None
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both).select(F.col("v").alias("u"), F.least("m", "u").alias("v"), F.col("u").alias("c")) \
@@ -38,8 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = (large.join(stars, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionAll(stars.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         e = materialize(small)
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (now.n, now.h) == state:
-            return e.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")) \
-                .unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        state = (now.n, now.h)
+        # Done when every node has one centre and no centre has one itself.
+        n = e.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("u").alias("u")).first()
+        if n.n == n.u and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
+                e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -90,9 +90,12 @@ def band_keys(lines: list[bytes]) -> np.ndarray:
         hi = max(lo + 1, int(np.searchsorted(stop, start[at[lo]] + BLOCK, side="right")))
         a, b = start[at[lo]], stop[hi - 1]
         part = x[a:b]
+        room = np.empty_like(part)
         cuts = np.column_stack([start[at[lo:hi]], stop[lo:hi]]).ravel()[:-1] - a
         for k in range(BANDS * ROWS):
-            sig[at[lo:hi], k] = np.minimum.reduceat((part ^ FLIP[k]) * MULTIPLY[k], cuts)[::2]
+            np.bitwise_xor(part, FLIP[k], out=room)
+            np.multiply(room, MULTIPLY[k], out=room)
+            sig[at[lo:hi], k] = np.minimum.reduceat(room, cuts)[::2]
         lo = hi
     key = np.empty((n, BANDS), dtype=np.uint64)
     for b in range(BANDS):
@@ -160,6 +163,14 @@ def _meet(batches):
     for _, blobs in by_bucket(batches):
         parts = [unpack(b, 0, (np.uint64, np.uint64, np.uint8))[1] for b in blobs]
         who, key = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        # Band keys that occur once meet nothing; the others are put in order.
+        order = np.argsort(key)
+        key = key[order]
+        same = key[1:] == key[:-1]
+        shared = np.append(same, False) | np.append(False, same)
+        if not shared.any():
+            continue
+        key, who = key[shared], who[order[shared]]
         order = np.lexsort((who, key))
         who, key = who[order], key[order]
         new = np.append(True, (key[1:] != key[:-1]) | (who[1:] != who[:-1]))
@@ -211,15 +222,35 @@ def _fetch(batches):
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each line."""
+    """Sorted distinct shingle hashes of each line, hashed all at once."""
+    chars = np.frombuffer(b"\n".join(texts).decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
+    feeds = np.flatnonzero(chars == 10)
+    start, end = np.append(0, feeds + 1).tolist(), np.append(feeds, len(chars)).tolist()
+    h = shingle_hashes(chars)
     out = []
-    for t in texts:
-        chars = np.frombuffer(t.decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
-        out.append(np.unique(shingle_hashes(chars)) if len(chars) >= SHINGLE else
-                   np.array([xxhash.xxh3_64_intdigest(t)], dtype=np.uint64))
+    for a, b, t in zip(start, end, texts):
+        if b - a < SHINGLE:
+            out.append(np.array([xxhash.xxh3_64_intdigest(t)], dtype=np.uint64))
+            continue
+        own = np.sort(h[a:b - SHINGLE + 1])
+        new = np.ones(len(own), dtype=bool)
+        np.not_equal(own[1:], own[:-1], out=new[1:])
+        out.append(own[new])
     return out
 
 
+def similar_pair(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sets have a Jaccard similarity of at least that."""
+    if len(x) < len(y):
+        x, y = y, x
+    if len(y) < similarity * len(x):
+        return False
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    common = int(np.count_nonzero(x[at] == y))
+    return common >= similarity * (len(x) + len(y) - common) - 1e-9
+
+
 def _similar(x: np.ndarray, rest: list[np.ndarray], size: np.ndarray, similarity: float) -> np.ndarray:
     """Which of ``rest`` have a Jaccard similarity to ``x`` of at least that."""
     fit = np.flatnonzero((size >= similarity * len(x)) & (len(x) >= similarity * size))
@@ -257,8 +288,11 @@ def _verify(similarity: float):
     def flush(rows):
         if len(rows) < 2:
             return []
-        sets = shingle_sets([r[7] for r in rows])
+        sets = [r[8] for r in rows]
         side = None if rows[0][1] == rows[0][2] else np.array([r[3] for r in rows])
+        if len(rows) == 2:
+            meet = (side is None or side[0] != side[1]) and similar_pair(*sets, similarity)
+            return [(rows[0][4:7], rows[1][4:7])] if meet else []
         return [(rows[a][4:7], rows[b][4:7]) for a, b in spanning(sets, side, similarity)]
 
     def emit(found):
@@ -269,14 +303,16 @@ def _verify(similarity: float):
     def task(batches):
         key, rows, found = None, [], []
         for batch in batches:
-            for r in zip(*[col.to_pylist() for col in batch.columns]):
-                if r[:3] != key:
-                    found += flush(rows)
-                    key, rows = r[:3], []
-                    if len(found) >= 10_000:
-                        yield emit(found)
-                        found = []
-                rows.append(r)
+            for lo in range(0, batch.num_rows, 2000):
+                columns = [col.to_pylist() for col in batch.slice(lo, 2000).columns]
+                for r in zip(*columns, shingle_sets(columns[7])):
+                    if r[:3] != key:
+                        found += flush(rows)
+                        key, rows = r[:3], []
+                        if len(found) >= 10_000:
+                            yield emit(found)
+                            found = []
+                    rows.append(r)
         found += flush(rows)
         if found:
             yield emit(found)
