@@ -8,10 +8,15 @@ that did not see its fold), so a later model meets them as noisy as it will at
 prediction time; the models kept are then fitted on the whole sample. A category's threshold is
 the one of best F1 on its out-of-fold probabilities.
 
-Training takes at most ``SAMPLE_ROWS`` labelled rows, evenly over the patterns
-of labels, by a hash of the id: the bounded training sample, chosen on the
-label table alone and then sent to the corpus scan (so its size bounds the
-broadcast). Scoring reads every whole text and shuffles nothing.
+Training takes at most ``SAMPLE_ROWS`` labelled rows, as evenly over the
+patterns of labels as their sizes allow, by a hash of the id: the bounded
+training sample, chosen on the label table alone and then sent to the corpus
+scan (so its size bounds the broadcast). A sampled row stands for several rows
+of the label table: models are fitted on the sample as it is, their bias is then
+moved to the table's share of the category, and the F1 of a threshold counts the
+rows stood for. So both follow the table's shares at every size of it (on samples
+of sf0.1, fits on weighted rows raised more false alarms than that).
+Scoring reads every whole text and shuffles nothing.
 
 The label table's categories are used as they come: the registered query
 chains ``low_quality`` (quality = 0) and ``toxic`` (toxic = 1).
@@ -56,9 +61,11 @@ def row_features(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
 class Chain:
     """One linear model per category, in chain order."""
 
-    def __init__(self, names: list[str], rows: list[np.ndarray], y: np.ndarray, fold: np.ndarray):
+    def __init__(self, names: list[str], rows: list[np.ndarray], y: np.ndarray, fold: np.ndarray,
+                 weight: np.ndarray | None = None):
         self.names, self.models = names, []
         n = len(rows)
+        self.weight = weight = np.ones(n) if weight is None else weight
         doc = np.repeat(np.arange(n), [len(r) for r in rows])
         key = np.concatenate(rows) if n else np.zeros(0, np.uint32)
         vocab, df = np.unique(key, return_counts=True)
@@ -91,12 +98,12 @@ class Chain:
                 inside, outside = fold == f, fold != f
                 if inside.any() and outside.any():
                     w, b = fit(x[outside], t[outside, None])
-                    out[inside] = sigmoid(x[inside] @ w[:, 0] + b[0])
+                    out[inside] = sigmoid(x[inside] @ w[:, 0] + b[0] + bias_shift(t[outside], weight[outside]))
             w, b = fit(x, t[:, None])
-            self.models.append((vocab[top], w[:, 0], float(b[0])))
+            self.models.append((vocab[top], w[:, 0], float(b[0]) + bias_shift(t, weight)))
             earlier = np.column_stack([earlier, out])
         self.out_of_fold = earlier
-        self.threshold = [best_threshold(earlier[:, c], y[:, c]) for c in range(len(names))]
+        self.threshold = [best_threshold(earlier[:, c], y[:, c], weight) for c in range(len(names))]
 
     def predict(self, chunk: Chunk) -> np.ndarray:
         """Probabilities (rows, categories)."""
@@ -117,15 +124,26 @@ class Chain:
         return p
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The threshold of best F1 on out-of-fold probabilities, in the middle (of
-    the logits) of the gap it falls in; 0.5 where there is one class only."""
+def bias_shift(t: np.ndarray, weight: np.ndarray) -> float:
+    """What turns the log odds of the rows ``t`` (0/1) into those of the rows
+    they stand for; 0 where there is one class only."""
+    yes, no = t > 0, t <= 0
+    if not yes.any() or not no.any():
+        return 0.0
+    return float(np.log(weight[yes].mean()) - np.log(weight[no].mean()))
+
+
+def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> float:
+    """The threshold of best F1 (rows counted by ``weight``) on out-of-fold
+    probabilities, in the middle (of the logits) of the gap it falls in; 0.5
+    where there is one class only."""
     if len(p) == 0 or y.min() == y.max():
         return 0.5
     order = np.argsort(-p, kind="stable")
     p, y = p[order], y[order]
-    hits = np.cumsum(y)
-    f1 = 2 * hits / (np.arange(1, len(p) + 1) + y.sum())
+    weight = np.ones(len(p)) if weight is None else weight[order]
+    hits = np.cumsum(y * weight)
+    f1 = 2 * hits / (np.cumsum(weight) + hits[-1])
     f1[:-1][p[:-1] == p[1:]] = -1                 # equal scores stay together
     k = int(np.argmax(f1))
     if k + 1 == len(p):
@@ -144,6 +162,18 @@ def _information(hit, df, positives, n):
     return 2 * total
 
 
+def allot(sizes: list[int], bound: int) -> list[int]:
+    """How many rows to take of each of groups of ``sizes``: at most ``bound``
+    in all (but at least one of each), evenly; what small groups leave of their
+    share goes to the larger ones."""
+    out, left = [0] * len(sizes), bound
+    by = sorted(range(len(sizes)), key=lambda i: sizes[i])
+    for done, i in enumerate(by):
+        out[i] = min(sizes[i], max(1, left // (len(by) - done)))
+        left -= out[i]
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, names: list[str], id_col: str = "doc_id", text_col: str = "text",
           sample_rows: int = SAMPLE_ROWS) -> Chain:
     """``labels``: id and one 0/1 column per category, in chain order."""
@@ -152,9 +182,11 @@ def train(docs: DataFrame, labels: DataFrame, names: list[str], id_col: str = "d
     cols = [f"_{i}" for i in range(len(names))]
     kept = kept.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in cols])
     patterns = [r.asDict() for r in kept.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).collect()]
-    share = max(1, sample_rows // max(1, len(patterns)))
+    patterns.sort(key=lambda p: [p[c] for c in cols])
+    take = allot([p["n"] for p in patterns], sample_rows)
     parts = [kept.where(F.expr(" AND ".join(f"{c} = {p[c]}" for c in cols) or "true"))
-             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(share) for p in patterns]
+             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(k) for p, k in zip(patterns, take)]
+    stands_for = {tuple(p[c] for c in cols): p["n"] / k for p, k in zip(patterns, take)}
     if not parts:
         return Chain(names, [], np.zeros((0, len(names)), np.int64), np.zeros(0, np.int64))
     sample = parts[0]
@@ -184,7 +216,8 @@ def train(docs: DataFrame, labels: DataFrame, names: list[str], id_col: str = "d
     y = got[cols].to_numpy(dtype=np.int64).reshape(len(got), len(cols))
     rows = [np.frombuffer(b, dtype=np.uint32) for b in got["x"]]
     del got
-    return Chain(names, rows, y, np.arange(len(rows)) % FOLDS)
+    weight = np.array([stands_for[tuple(r)] for r in y.tolist()], dtype=np.float64)
+    return Chain(names, rows, y, np.arange(len(rows)) % FOLDS, weight)
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:

@@ -61,6 +61,47 @@ def test_threshold():
     assert toxicity.best_threshold(np.zeros(0), np.zeros(0)) == 0.5
 
 
+def test_label_table_beyond_the_sample(spark):
+    """A label table many times the sample's bound gives models and a threshold
+    that follow its shares, as a sample of all its rows does."""
+    rng = np.random.default_rng(3)
+    n = 6000
+    y = np.column_stack([rng.random(n) < 0.2, rng.random(n) < 0.05]).astype(np.int64)
+    rate = np.where(y[:, 1:] == 1, 0.5, 0.25)               # toxic words, often in clean texts too
+    has = rng.random((n, 8)) < rate
+    data = [(i, " ".join([f"w{j}" for j in np.flatnonzero(has[i])] + [f"n{rng.integers(10)}"]), int(1 - a), int(b))
+            for i, (a, b) in enumerate(y.tolist())]
+    docs = spark.createDataFrame(data, "doc_id long, text string, quality int, toxic int").checkpoint()
+    names, labels = toxicity.CATEGORIES, toxicity.chain_labels(docs)
+    few, full = (toxicity.train(docs, labels, names, sample_rows=k) for k in (800, n))
+    assert len(few.out_of_fold) == 800 and abs(few.weight.sum() - n) < 1e-6
+    assert np.allclose(full.weight, 1)
+    p = {k: np.array([r.p_toxic for r in toxicity.score(docs, c).select("p_toxic").collect()])
+         for k, c in (("few", few), ("full", full))}
+    assert abs(p["few"].mean() - 0.05) < 0.04 and abs(p["full"].mean() - 0.05) < 0.02
+    passed = [np.mean(p[k] >= c.threshold[1]) for k, c in (("few", few), ("full", full))]
+    assert max(passed) < 0.2
+
+
+def test_allot():
+    assert toxicity.allot([3027, 504, 382, 67], 5000) == [3027, 504, 382, 67]
+    assert toxicity.allot([77722, 14094, 10423], 5000) == [1667, 1667, 1666]
+    assert toxicity.allot([10**6, 10, 10**5, 20], 5000) == [2485, 10, 2485, 20]
+    assert toxicity.allot([5, 5, 5], 2) == [1, 1, 1] and toxicity.allot([], 5) == []
+
+
+def test_weights_count_rows():
+    """A row of weight k counts as k rows, in a bias and in a threshold."""
+    rng = np.random.default_rng(4)
+    p, k = np.round(rng.random(300), 2), rng.integers(1, 6, 300)
+    y = (rng.random(300) < p).astype(np.int64)
+    assert np.isclose(toxicity.best_threshold(p, y, k.astype(float)),
+                      toxicity.best_threshold(np.repeat(p, k), np.repeat(y, k)))
+    odds = [np.log(t.mean() / (1 - t.mean())) for t in (y, np.repeat(y, k))]
+    assert np.isclose(toxicity.bias_shift(y, k.astype(float)), odds[1] - odds[0])
+    assert toxicity.bias_shift(y, np.ones(300)) == 0 and toxicity.bias_shift(np.ones(3), np.ones(3)) == 0
+
+
 def test_toxicity_odd(spark, odd, rows, labels, empty):
     got = toxicity.toxicity_report(odd, labels)
     assert got.count() == len(rows) and all(0 <= r.p_toxic <= 1 for r in got.collect())
