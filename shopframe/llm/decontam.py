@@ -11,10 +11,13 @@ locations; each location is extended word by word to its longest verbatim
 match. A suffix whose first words begin no test window can't be found by any
 search, so it is left out before sorting.
 
-The test set is sent to the tasks in blocks of at most ``BLOCK_BYTES`` of text,
-one pass over the corpus per block, so what is broadcast has a fixed bound
-however large the test set is. No shuffle is needed: a document lies in one
-shard.
+The test set is sent to the tasks in blocks of at most ``BLOCK_BYTES``, one pass
+over the corpus per block, so what is broadcast has a fixed bound however large
+the test set or an item is. A block is the hash of each word of its items once;
+tasks derive the windows from it. An item beyond a block is cut into pieces that
+overlap by ``window - 1`` words, so each of its windows is in one piece; a match
+that reaches the end of a piece is carried on with the next. No shuffle is
+needed: a document lies in one shard.
 
 Words: A-Z lower-cased, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
 An item of fewer words than ``window`` (but not none) is one window of its own.
@@ -33,14 +36,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_whole_rows, written
-from .textcore import LOWER, NON_ALNUM, Chunk, Words, chunks, covered, span_hash
+from .common import map_whole_rows, numbered, written
+from .textcore import CHUNK_BYTES, LOWER, NON_ALNUM, Chunk, Words, chunks, covered, ranges, span_hash
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
 
 HITS = ("doc_id long, n_words long, n_hit long, item_ids array<long>, "
         "longest_match long, n_locations long, spans array<struct<start:long,end:long>>")
+STATE = "places array<long>, open array<struct<at:long,length:long>>"      # between passes
+FOUND = [pa.field("doc_id", pa.int64()), pa.field("n_words", pa.int64()), pa.field("n_hit", pa.int64()),
+         pa.field("item_ids", pa.list_(pa.int64())), pa.field("longest_match", pa.int64()),
+         pa.field("n_locations", pa.int64()),
+         pa.field("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+CARRIED = [pa.field("places", pa.list_(pa.int64())),
+           pa.field("open", pa.list_(pa.struct([("at", pa.int64()), ("length", pa.int64())])))]
 
 
 def words_of(chunk: Chunk) -> tuple[Words, np.ndarray]:
@@ -51,45 +61,42 @@ def words_of(chunk: Chunk) -> tuple[Words, np.ndarray]:
 
 
 class TestSet:
-    """All windows of a block of test items, each a row of ``window`` hashes
-    (short items: padded) with its item and its continuation for extension."""
+    """A block of test items: the hashes of their words in one flat array ``h``
+    (item i: ``first[i]:first[i + 1]``). ``resumes``: the first item goes on
+    from the block before, with its last ``window - 1`` words again;
+    ``continues``: the last item goes on in the next block."""
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[int | None, str]], window: int):
-        column = pa.array([t for _, t in items], pa.large_string())
-        ids, rows, lengths, follow = [], [], [], []
-        for c in chunks(column, 1 << 62):
-            words, h = words_of(c)
-            for i in range(c.n):
-                w = h[words.first[i]:words.first[i + 1]]
-                if len(w) == 0:
-                    continue
-                m = min(window, len(w))
-                for p in range(len(w) - m + 1):
-                    row = np.zeros(window, np.uint64)
-                    row[:m] = w[p:p + m]
-                    rows.append(row)
-                    lengths.append(m)
-                    ids.append(i)
-                    follow.append(len(w) - p - m)
-        self.item = np.array(ids, dtype=np.int64)
+    def __init__(self, items: list[tuple[int | None, np.ndarray]], window: int, resumes: bool = False,
+                 continues: bool = False):
+        self.window, self.resumes, self.continues = window, resumes, continues
         self.ids = [x for x, _ in items]
-        self.words = np.array(rows, dtype=np.uint64).reshape(len(rows), window)
-        self.length = np.array(lengths, dtype=np.int64)
-        # Continuations: the words behind each window, in one flat array.
-        self.after = np.array(follow, dtype=np.int64)
-        tails, at = [], 0
-        self.tail_at = np.zeros(len(rows), np.int64)
-        for k in range(len(rows)):
-            self.tail_at[k] = at
-            if self.after[k]:
-                # words behind window k are the last words of windows k+1, k+2, ...
-                tail = self.words[k + 1:k + 1 + self.after[k], window - 1]
-                tails.append(tail)
-                at += len(tail)
-        self.tails = np.concatenate(tails) if tails else np.zeros(0, np.uint64)
-        self.lead = min(lengths, default=0) and min(2, min(lengths))
+        self.h = np.concatenate([np.zeros(0, np.uint64), *[w for _, w in items]])
+        self.first = np.cumsum([0, *[len(w) for _, w in items]])
+
+    def windows(self) -> Windows:
+        return Windows(self)
+
+
+class Windows:
+    """The windows of a block: where each starts (``at``) in ``h``, its
+    ``length`` (short items: less than ``window``), item and item's end."""
+
+    def __init__(self, test: TestSet):
+        self.h, self.size = test.h, test.window
+        words = np.diff(test.first)
+        m = np.minimum(test.window, words)
+        n = words - m + 1
+        self.item = np.repeat(np.arange(len(words)), n)
+        self.at = ranges(test.first[:-1], n)
+        self.length, self.end = m[self.item], test.first[1:][self.item]
+        self.lead = min(2, int(m.min())) if len(m) else 0
+        self.lead_keys = None
+        if self.lead:
+            a = self.h[self.at]
+            self.lead_keys = np.unique(a if self.lead == 1 else
+                                       a * np.uint64(0x9E3779B97F4A7C15) ^ self.h[self.at + 1])
 
 
 def suffix_array(h: np.ndarray, end: np.ndarray, keep: np.ndarray, depth: int) -> np.ndarray:
@@ -117,7 +124,7 @@ def suffix_array(h: np.ndarray, end: np.ndarray, keep: np.ndarray, depth: int) -
     return order
 
 
-def search(order: np.ndarray, h: np.ndarray, end: np.ndarray, test: TestSet) -> tuple[np.ndarray, np.ndarray]:
+def search(order: np.ndarray, h: np.ndarray, end: np.ndarray, test: Windows) -> tuple[np.ndarray, np.ndarray]:
     """Slice [lo, hi) of the suffix array whose suffixes begin with each test
     window: binary search of all test suffixes at once."""
     def bound(upper: bool) -> np.ndarray:
@@ -130,13 +137,13 @@ def search(order: np.ndarray, h: np.ndarray, end: np.ndarray, test: TestSet) ->
             mid = (lo[open_] + hi[open_]) >> 1
             suffix = order[mid]
             state = np.zeros(len(open_), dtype=np.int8)   # -1 suffix smaller, 1 larger
-            for j in range(test.words.shape[1]):
+            for j in range(test.size):
                 live = (state == 0) & (j < test.length[open_])
                 if not live.any():
                     break
                 pos = suffix + j
                 word = np.where(pos < end[suffix], h[np.minimum(pos, len(h) - 1)], np.uint64(0))
-                want = test.words[open_, j]
+                want = test.h[np.minimum(test.at[open_] + j, len(test.h) - 1)]
                 state[live & (word < want)] = -1
                 state[live & (word > want)] = 1
             right = (state < 0) | ((state == 0) if upper else False)
@@ -148,16 +155,24 @@ def search(order: np.ndarray, h: np.ndarray, end: np.ndarray, test: TestSet) ->
     return bound(False), bound(True)
 
 
-def _match(test: TestSet, window: int):
-    """Task over Arrow batches of (doc_id, text)."""
-    lead_keys = None
-    if test.lead:
-        lead_keys = np.unique(test.words[:, 0] if test.lead == 1 else
-                              test.words[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ test.words[:, 1])
-
-    def shard(ids, chunk):
+def _match(block: TestSet, window: int, carry: bool = False):
+    """Task over Arrow batches of (doc_id, text) and, if the block resumes an
+    item, the ``open`` matches of the pass before. With ``carry``, rows also
+    carry ``places`` (of all locations) and ``open``: matches that reach the end
+    of an item that goes on, as (word behind the match, its length)."""
+    def resume(h, p, stop, length):
+        """Length of a match carried on in this block from the word p on, and
+        where it ends if it reaches the end of an item that goes on."""
+        lo, hi = window - 1, int(block.first[1])
+        n = min(stop - p, hi - lo)
+        differ = np.flatnonzero(h[p:p + n] != block.h[lo:lo + n])
+        n = int(differ[0]) if len(differ) else n
+        return length + n, p + n if n == hi - lo and block.continues and len(block.ids) == 1 else None
+
+    def shard(ids, chunk, test, before):
         words, h = words_of(chunk)
         hits = [None] * chunk.n
+        lead_keys = test.lead_keys
         if words.n and lead_keys is not None:
             end = np.repeat(words.first[1:], words.count)
             if test.lead == 1:
@@ -179,11 +194,9 @@ def _match(test: TestSet, window: int):
                 grow = np.arange(len(which))
                 while len(grow):                       # extend to the longest match
                     k, p, m = which[grow], place[grow], length[grow]
-                    beyond = m - test.length[k]
-                    more = (beyond < test.after[k]) & (p + m < end[p])
-                    grow, k, p, m, beyond = (x[more] for x in (grow, k, p, m, beyond))
-                    same = h[p + m] == test.tails[test.tail_at[k] + beyond] if len(grow) else np.zeros(0, bool)
-                    grow = grow[same]
+                    more = (test.at[k] + m < test.end[k]) & (p + m < end[p])
+                    grow, k, p, m = (x[more] for x in (grow, k, p, m))
+                    grow = grow[h[p + m] == test.h[test.at[k] + m]]
                     length[grow] += 1
                 row = np.searchsorted(words.first, place, side="right") - 1
                 by = np.argsort(row, kind="stable")
@@ -191,47 +204,96 @@ def _match(test: TestSet, window: int):
                 for part in np.split(by, cut):
                     hits[row[part[0]]] = (place[part], length[part], test.length[which[part]], which[part])
         for i in range(chunk.n):
-            n = int(words.count[i])
+            n, base = int(words.count[i]), int(words.first[i])
+            carried, longest = {}, 0
+            for o in (before[chunk.lo + i] or []) if before else []:
+                length, stop = resume(h, base + o["at"], base + n, o["length"])
+                longest = max(longest, length)
+                if stop is not None:
+                    carried[stop - base] = max(length, carried.get(stop - base, 0))
             if hits[i] is None:
-                yield ids[chunk.lo + i], n, 0, [], 0, 0, []
+                found = ids[chunk.lo + i], n, 0, [], longest, 0, []
+                yield (*found, [], _open(carried)) if carry else found
                 continue
             place, length, size, which = hits[i]
             flags = np.zeros(n, dtype=bool)
-            base = words.first[i]
             for s in np.unique(size):
                 flags |= covered(np.unique(place[size == s]) - base, int(s), n)
             a = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
-            items = sorted({test.ids[t] for t in test.item[which]} - {None})
+            items = sorted({block.ids[t] for t in test.item[which]} - {None})
             spans = [{"start": int(x), "end": int(y)} for x, y in zip(a[::2], a[1::2])]
-            yield ids[chunk.lo + i], n, int(flags.sum()), items, int(length.max()), len(np.unique(place)), spans
+            places = np.unique(place) - base
+            found = (ids[chunk.lo + i], n, int(flags.sum()), items, max(longest, int(length.max())), len(places), spans)
+            if not carry:
+                yield found
+                continue
+            if block.continues:
+                last = (test.item[which] == len(block.ids) - 1) & (test.at[which] + length == test.end[which])
+                for p, m in zip((place + length)[last].tolist(), length[last].tolist()):
+                    carried[p - base] = max(m, carried.get(p - base, 0))
+            yield (*found, places.tolist(), _open(carried))
+
+    schema = pa.schema([*FOUND, *CARRIED] if carry else FOUND)
 
     def task(batches):
+        test = block.windows()
         for batch in batches:
             ids = batch.column(0).to_pylist()
+            before = batch.column(2).to_pylist() if block.resumes and batch.num_columns > 2 else None
             for chunk in chunks(batch.column(1)):
-                rows = list(zip(*shard(ids, chunk)))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()),
-                    pa.array(rows[3], pa.list_(pa.int64())), pa.array(rows[4], pa.int64()),
-                    pa.array(rows[5], pa.int64()),
-                    pa.array(rows[6], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                    names=["doc_id", "n_words", "n_hit", "item_ids", "longest_match", "n_locations", "spans"])
+                rows = list(zip(*shard(ids, chunk, test, before)))
+                yield pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, schema)], schema=schema)
     return task
 
 
-def test_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES):
-    """The test set in blocks of bounded size: lists of (id, text)."""
+def _open(carried: dict[int, int]) -> list[dict[str, int]]:
+    return [{"at": p, "length": m} for p, m in sorted(carried.items())]
+
+
+def item_hashes(text: str) -> np.ndarray:
+    """Hashes of an item's words, a part of the text (cut between words) at a
+    time: numpy temporaries stay bounded."""
+    data, out, lo = np.frombuffer(text.encode(), dtype=np.uint8), [np.zeros(0, np.uint64)], 0
+    while lo < len(data):
+        hi = min(lo + CHUNK_BYTES, len(data))
+        while hi < len(data):                       # on to the next separator
+            stop = np.flatnonzero(NON_ALNUM[data[hi:hi + CHUNK_BYTES]])
+            hi = hi + int(stop[0]) if len(stop) else min(hi + CHUNK_BYTES, len(data))
+            if len(stop):
+                break
+        part = data[lo:hi]
+        out.append(words_of(Chunk(part, np.array([0, len(part)]), 0, 1))[1])
+        lo = hi
+    return np.concatenate(out)
+
+
+def test_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int = WINDOW,
+                block_bytes: int = BLOCK_BYTES):
+    """The test set in blocks of at most ``block_bytes`` of word hashes and item
+    numbers (but at least two windows)."""
     items = benchmark.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").alias("t")) \
         .where(F.col("t").isNotNull())
+    room = max(block_bytes // 8 - 2, 2 * window)     # in words; an item costs two more
     block, size = [], 0
     for r in items.toLocalIterator():
-        if block and size + len(r.t) > block_bytes:
-            yield block
+        h = item_hashes(r.t)
+        if len(h) == 0:
+            continue
+        if block and size + len(h) + 2 > room:
+            yield TestSet(block, window)
             block, size = [], 0
-        block.append((r.i, r.t))
-        size += len(r.t)
+        at = 0
+        while len(h) - at > room:
+            yield TestSet([(r.i, h[at:at + room])], window, resumes=at > 0, continues=True)
+            at += room - (window - 1)
+        if at:
+            # The last piece is a block of its own too: it alone resumes.
+            yield TestSet([(r.i, h[at:])], window, resumes=True)
+            continue
+        block.append((r.i, h))
+        size += len(h) + 2
     if block:
-        yield block
+        yield TestSet(block, window)
 
 
 test_blocks.__test__ = False
@@ -249,7 +311,7 @@ def _merge_spans(spans):
 
 def _start(test: TestSet, window: int):
     """The first pass of several: rows keep their text."""
-    match = _match(test, window)
+    match = _match(test, window, carry=True)
 
     def task(batches):
         for batch in batches:
@@ -261,20 +323,22 @@ def _start(test: TestSet, window: int):
 
 def _add(test: TestSet, window: int):
     """A further pass: what it finds is united with what the row carries."""
-    match = _match(test, window)
+    match = _match(test, window, carry=True)
 
     def task(batches):
         for batch in batches:
             old = batch.to_pylist()
-            pair = pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.num_columns - 1)],
-                                              names=["doc_id", "text"])
+            pair = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), batch.column("open")],
+                                              names=["doc_id", "text", "open"])
             new = [r for part in match(iter([pair])) for r in part.to_pylist()]
             for a, b in zip(old, new):
                 a["spans"] = _merge_spans(a["spans"] + b["spans"])
                 a["n_hit"] = sum(s["end"] - s["start"] for s in a["spans"])
                 a["item_ids"] = sorted(set(a["item_ids"]) | set(b["item_ids"]))
                 a["longest_match"] = max(a["longest_match"], b["longest_match"])
-                a["n_locations"] += b["n_locations"]
+                a["places"] = sorted(set(a["places"]) | set(b["places"]))
+                a["n_locations"] = len(a["places"])
+                a["open"] = b["open"]
             if old:
                 yield pa.RecordBatch.from_pylist(old, schema=batch.schema)
     return task
@@ -287,17 +351,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     test window), the items found, the longest verbatim match in words, the
     number of locations and the hit word spans."""
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    blocks = test_blocks(benchmark, item_col, item_text_col, block_bytes)
-    first, second = next(blocks, []), next(blocks, None)
+    blocks = test_blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    first, second = next(blocks, TestSet([], window)), next(blocks, None)
     if second is None:
-        return d.mapInArrow(_match(TestSet(first, window), window), HITS)
+        return d.mapInArrow(_match(first, window), HITS)
     # Several blocks: one pass each over the rows, which carry what the passes
     # before found; every pass ends in a written table.
-    rows = d.mapInArrow(_start(TestSet(first, window), window), f"{HITS}, text string")
+    schema = f"{HITS}, {STATE}, text string"
+    rows = d.mapInArrow(_start(first, window), schema)
     while second is not None:
-        rows = written(rows, "decontamination").mapInArrow(_add(TestSet(second, window), window), f"{HITS}, text string")
+        rows = written(rows, "decontamination").mapInArrow(_add(second, window), schema)
         second = next(blocks, None)
-    return rows.drop("text")
+    return rows.drop("places", "open", "text")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -311,13 +376,14 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
-                        text_col: str = "text") -> DataFrame:
+                        text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the documents that hold a test window (same columns).
-    The verdict is computed where the document is, so nothing is joined."""
-    blocks = [TestSet(b, window) for b in test_blocks(benchmark, "item_id", "text")]
-    out = docs
-    for test in blocks:
-        at, ids = docs.columns.index(text_col), docs.columns.index(id_col)
+    The verdict is computed where the document is, so nothing is joined. Further
+    blocks each take a pass of their own over what was kept."""
+    blocks = test_blocks(benchmark, "item_id", "text", window, block_bytes)
+    out, test = docs, next(blocks, None)
+    at, ids = docs.columns.index(text_col), docs.columns.index(id_col)
+    while test is not None:
         match = _match(test, window)
 
         def task(batches, match=match):
@@ -327,5 +393,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
                 hit = np.concatenate([np.zeros(0, np.int64)] + [
                     np.asarray(r.column(2)) for r in match(iter([pair]))])
                 yield batch.filter(pa.array(hit == 0))
-        out = map_whole_rows(out, task)
+        out, test = map_whole_rows(out, task), next(blocks, None)
+        if test is not None:
+            out = written(numbered(out)[0], "decontamination").toDF(*docs.columns)
     return out

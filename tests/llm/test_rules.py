@@ -1,6 +1,9 @@
 """Decontamination and quality rules against plain Python versions."""
 
+import random
+
 import pytest
+from pyspark import cloudpickle
 
 from shopframe.llm import decontam, quality
 from tests.llm import brute
@@ -46,6 +49,50 @@ def test_decontamination_in_blocks(spark):
     assert rows_of(one, *columns) == rows_of(many, *columns)
 
 
+def test_long_items_in_pieces(spark):
+    """Items beyond a block are cut, with the same result in every column."""
+    rng = random.Random(8)
+    w = [f"w{rng.randrange(2000)}" for _ in range(1500)]
+    loop = ["round", "and"] * 60
+    texts = [w, w[1400:] + w[:90], w[300:420], w[17:40], ["odd"], [], loop, w[700:1000] + loop]
+    items = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    rows = [(1, " ".join(w)), (2, " ".join(w[100:1300])), (3, " ".join(w[:9])), (4, None), (5, " ".join(loop[:31])),
+            (6, " ".join(w[55:65] + ["x"] + w[1390:] + w[:50])), (7, "no hit"), (8, "an odd word"),
+            *[(100 + n, " ".join(["x", *w[60:60 + n], "y"])) for n in range(8, 130, 3)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    one = decontam.find_contamination(docs, bench)
+    assert rows_of(decontam.contamination_report(docs, bench), *HIT) == ordered(brute.contamination(rows, items))
+    assert {r.doc_id: r.longest_match for r in one.collect()}[2] == 1200
+    clean = {r.doc_id for r in decontam.remove_contaminated(docs, bench).collect()}
+    assert clean and len(clean) < len(rows)
+    for size in (1000, 4000):
+        blocks = list(decontam.test_blocks(bench, "item_id", "text", block_bytes=size))
+        assert len(blocks) > 3 and any(b.resumes and b.continues for b in blocks)
+        many = decontam.find_contamination(docs, bench, block_bytes=size)
+        assert rows_of(many, *one.columns) == rows_of(one, *one.columns)
+        left = decontam.remove_contaminated(docs, bench, block_bytes=size)
+        assert {r.doc_id for r in left.collect()} == clean and left.columns == docs.columns
+
+
+def test_block_is_linear_in_its_text(spark):
+    """What a task is sent holds each word's hash once, within the bound."""
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(5000))), (2, "é" * 9000 + " tail")],
+                                  "item_id long, text string").coalesce(1)
+    whole, = decontam.test_blocks(bench, "item_id", "text")
+    assert len(cloudpickle.dumps(decontam._match(whole, decontam.WINDOW))) < 8 * 5002 + 50_000
+    parts = list(decontam.test_blocks(bench, "item_id", "text", block_bytes=8000))
+    assert all(b.h.nbytes + 16 * len(b.ids) <= 8000 for b in parts) and len(parts) == 7
+
+
+def test_item_hashes(monkeypatch):
+    text = "Ab cd, " * 50 + "é" * 300 + " x" * 40 + "--"
+    want = decontam.item_hashes(text)
+    assert len(want) == len(brute.ALNUM.findall(text.encode()))
+    monkeypatch.setattr(decontam, "CHUNK_BYTES", 16)
+    assert decontam.item_hashes(text).tolist() == want.tolist() and len(decontam.item_hashes("")) == 0
+
+
 def test_longest_match(spark):
     words = [f"w{i}" for i in range(60)]
     docs = spark.createDataFrame([(1, "x " + " ".join(words[5:42]) + " y"), (2, " ".join(words[:9]))],
