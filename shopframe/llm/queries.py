@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontam, langid, linededup, mixing, quality, sharding, simhash, substring, suffixes,
+from . import (decontam, langid, linededup, merkle, mixing, quality, sharding, simhash, substring, suffixes,
                toxicity)
 from .common import table
 
@@ -83,6 +83,15 @@ def op4_line_dedup(spark, sf_dir):
     return linededup.line_report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_merkle(spark, sf_dir):
+    """Merkle proof of every document, and the root folded from a changed one."""
+    return merkle.manifest_report(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_merkle"] = merkle.ORACLE_SQL
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
