@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontam, langid, linededup, merkle, mixing, quality, sharding, simhash, substring, suffixes,
-               toxicity)
+from . import (bitslice, decontam, langid, linededup, merkle, minhash, mixing, quality, sharding, simhash, substring,
+               suffixes, toxicity)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,21 @@ def op12_merkle(spark, sf_dir):
 ORACLE["op12_merkle"] = merkle.ORACLE_SQL
 
 
+@query
+def op13_minhash(spark, sf_dir):
+    """Shingle set size and near-duplicate class of every document."""
+    return minhash.near_duplicate_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_ranked_search(spark, sf_dir):
+    """The ten highest-scoring documents for every benchmark item."""
+    return bitslice.search_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op11_ranked_search"] = bitslice.ORACLE_SQL
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
