@@ -25,17 +25,21 @@ def catalog_lines(t, variant_cols=("price", "stock", "finish", "length_size", "w
     return v.join(p, "product_id", "inner")
 
 
-def cart_view(t, users: DataFrame | None = None) -> DataFrame:
-    """Cart lines with the live variant price and product name; a line
-    whose variant or product is gone vanishes (inner joins). ``users``
-    (a frame with ``user_id``) restricts to some users via a semi join."""
+CART_VARIANT_COLS = ("price", "stock", "finish", "length_size", "width", "thickness")
+
+
+def cart_view(t, users: DataFrame | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Cart lines with the live variant price and product name (and
+    ``extra`` columns of the variant); a line whose variant or product is gone
+    vanishes (inner joins). ``users`` (a frame with ``user_id``) restricts to
+    some users via a semi join."""
     ci = t["cart_items"]
     if users is not None:
         ci = ci.join(users.select("user_id").distinct(), "user_id", "left_semi")
     ci = ci.select(F.col("id").alias("cart_id"), "user_id", "variant_id", "quantity", "is_gift")
-    return ci.join(catalog_lines(t), "variant_id", "inner").select(
-        "user_id", "cart_id", "quantity", "is_gift", "variant_id", "price", "stock", "finish",
-        "length_size", "width", "thickness", "product_id", "name", "image1")
+    return ci.join(catalog_lines(t, (*CART_VARIANT_COLS, *extra)), "variant_id", "inner").select(
+        "user_id", "cart_id", "quantity", "is_gift", "variant_id", *CART_VARIANT_COLS, "product_id", "name", "image1",
+        *extra)
 
 
 def admin_cart_view(t) -> DataFrame:

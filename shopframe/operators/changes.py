@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .addresses import take_addresses
+
 
 def email_taken(users: DataFrame, requests: DataFrame, id_col: str = "user_id") -> DataFrame:
     """Requests whose e-mail (case-insensitive) belongs to another
@@ -229,27 +231,25 @@ def social_sign_in(users: DataFrame, logins: DataFrame, provider: str = "google"
 
 def edit_users(users: DataFrame, requests: DataFrame, admin: bool = False):
     """Profile edits (user_id, first_name, last_name, email). The
-    customer path rejects empty fields ('missing_fields') and an e-mail held
-    by another stored user, or claimed by an earlier valid request of another
-    user ('email_taken', B27); the admin path applies as given, with
-    ``is_admin`` where the request has it. With a ``seq`` column a user may
-    have several requests: each is judged by itself and the last accepted one
-    stands. An address that a user of the batch gives up stays taken until the
-    next batch. Returns ``(new_users, outcomes)``."""
+    customer path rejects empty fields ('missing_fields') and an e-mail that
+    another user holds when the request's turn comes ('email_taken', B27): an
+    address that an earlier accepted request gave up is free, one it took is
+    not (``addresses.take_addresses``). The admin path applies as given, with
+    ``is_admin`` where the request has it. Turns follow ``seq``, or ``user_id``
+    without it; a user may have several requests, and the last accepted one
+    stands. Returns ``(new_users, outcomes)``."""
     ordered = "seq" in requests.columns
     r = requests if ordered else requests.withColumn("seq", F.col("user_id"))
     if admin:
         reason = F.lit(None).cast("string")
     else:
         fields_ok = _js_truthy(F.col("first_name")) & _js_truthy(F.col("last_name")) & _js_truthy(F.col("email"))
-        taken = (email_taken(users, requests).select("user_id", F.lower("email").alias("_e")).distinct()
-                 .withColumn("_t", F.lit(True)))
-        r = r.withColumn("_e", F.when(fields_ok, F.lower("email"))).join(taken, ["user_id", "_e"], "left")
-        claims = (r.where(F.col("_e").isNotNull() & F.col("_t").isNull()).groupBy("_e")
-                  .agg(F.min_by("user_id", "seq").alias("_holder")))
-        r = r.join(claims, "_e", "left")
-        reason = (F.when(~fields_ok, "missing_fields")
-                  .when(F.col("_t").isNotNull() | (F.col("_holder") != F.col("user_id")), "email_taken"))
+        # A stored address of nothing is nobody's, as in the original's lookup.
+        held = users.select(F.col("id").alias("user_id"), F.lower("email").alias("address"))
+        turns = take_addresses(held.withColumn("address", F.coalesce("address", F.lit(""))),
+                               r.where(fields_ok).select("seq", "user_id", F.lower("email").alias("address")))
+        r = r.join(turns, "seq", "left")
+        reason = F.when(~fields_ok, "missing_fields").when(F.col("taken"), "email_taken")
     out = r.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
     flag = F.col("is_admin").cast("int") if admin and "is_admin" in requests.columns else F.lit(None).cast("int")
     acc = _last_per_key(out.where("accepted").select(

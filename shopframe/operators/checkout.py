@@ -8,10 +8,11 @@ emitted as signed deltas and applied once by ``apply_stock_deltas`` (a grouped
 sum, so a hot variant costs one partial row per map task).
 
 Concurrency: the original serialises writers with row locks. A batch has no
-locks: by default checkouts are checked against the stock at the start of
-the batch, each cart on its own; ``stock_policy='fcfs'`` serves them exactly
-first-come-first-served across users (``fcfs_stock_decisions``). Several
-requests for the same user or order are resolved first-come by ``seq``.
+locks: COD checkouts are served exactly first-come-first-served across users
+(``contention.serve_in_order``); with ``stock_policy='opening'``, and always at
+the gateway, each cart is checked on its own against the stock at the start of
+the batch. Several requests for the same user or order are resolved first-come
+by ``seq``.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from ..session import materialize
 from . import carts as K
 from . import coupons as Q
 from .changes import _first_per_key, _id_base, _js_truthy
-from .paging import number_rows, running_sums
+from .contention import serve_in_order
+from .paging import number_rows
 
 MONEY = R.MONEY
 
@@ -64,62 +66,13 @@ def _cart_check(lines: DataFrame) -> DataFrame:
         F.sum(R.line_total("price", "quantity")).cast(MONEY).alias("subtotal"))
 
 
-def fcfs_stock_decisions(lines: DataFrame, stock: DataFrame) -> DataFrame:
-    """Exact first-come-first-served stock allocation for competing requests.
-
-    ``lines``: (seq, variant_id, quantity) of each candidate request; ``stock``:
-    (variant_id, stock). Requests are served in ``seq`` order: a request is
-    accepted iff each of its lines fits the stock left by the requests
-    accepted before it (each line is checked on its own, as the original
-    checks every cart line against the stock it read). Returns (seq,
-    accepted).
-
-    Rounds: with running sums per variant over the undecided and accepted
-    requests in seq order, a pending request is surely accepted when it fits
-    even if every earlier undecided request were accepted, and surely
-    rejected when it does not fit even counting only the accepted ones
-    (acceptances never shrink a later request's competition). The earliest
-    pending request always meets one of the two, so every round decides at
-    least one request and the loop ends with the exact sequential answer;
-    each round's state is checkpointed."""
-    per = (lines.groupBy("seq", "variant_id")
-           .agg(F.max("quantity").alias("_check"), F.sum("quantity").alias("_take")))
-    # Only a variant asked for beyond its stock can turn a request down: those
-    # without such a line are accepted at once, and the rounds see no other lines.
-    short = (per.groupBy("variant_id").agg(F.sum("_take").alias("_asked"))
-             .join(stock.select("variant_id", F.col("stock").alias("_stock")), "variant_id", "left")
-             .withColumn("_stock", F.coalesce(F.col("_stock"), F.lit(0)))
-             .where(F.col("_asked") > F.col("_stock")).select("variant_id", "_stock"))
-    seqs = per.select("seq").distinct()
-    per = materialize(per.join(short, "variant_id"))
-    contested = materialize(per.select("seq").distinct())
-    free = seqs.join(contested, "seq", "left_anti").withColumn("accepted", F.lit(True))
-    if contested.isEmpty():
-        return free
-    status = contested.withColumn("_st", F.lit("pending"))
-    while True:
-        # Only variants that still have an undecided request need new sums.
-        open_variants = (per.join(status.where(F.col("_st") == "pending"), "seq")
-                         .select("variant_id").distinct())
-        live = (per.join(open_variants, "variant_id", "left_semi")
-                .join(status.where(F.col("_st") != "rejected"), "seq"))
-        live = (live.withColumn("_acc", F.when(F.col("_st") == "accepted", F.col("_take")).otherwise(F.lit(0)))
-                .withColumn("_all", F.col("_take")))
-        rs = running_sums(live, ["variant_id"], [F.col("seq").asc()], ["_acc", "_all"])
-        rs = (rs.withColumn("_all_before", F.col("_all_cum") - F.col("_all"))
-              .withColumn("_acc_before", F.col("_acc_cum") - F.col("_acc")))
-        verdict = (rs.where(F.col("_st") == "pending").groupBy("seq").agg(
-            F.bool_and(F.col("_all_before") + F.col("_check") <= F.col("_stock")).alias("_sure_ok"),
-            F.bool_or(F.col("_acc_before") + F.col("_check") > F.col("_stock")).alias("_sure_bad")))
-        status = materialize(
-            status.join(verdict, "seq", "left")
-            .withColumn("_st", F.when(F.col("_st") != "pending", F.col("_st"))
-                        .when(F.col("_sure_bad"), F.lit("rejected"))
-                        .when(F.col("_sure_ok"), F.lit("accepted")).otherwise(F.lit("pending")))
-            .select("seq", "_st"))
-        if status.where(F.col("_st") == "pending").isEmpty():
-            break
-    return free.unionByName(status.select("seq", (F.col("_st") == "accepted").alias("accepted")))
+def _given(df: DataFrame, name: str) -> Column:
+    """A request's optional text column, null where the batch has none."""
+    return F.col(name) if name in df.columns else F.lit(None).cast("string")
+
+
+def _or_null(c: Column) -> Column:
+    return F.when(_js_truthy(c), c)
 
 
 def _resolve_first(requests: DataFrame, key: str) -> DataFrame:
@@ -131,7 +84,8 @@ def checkout(t, requests: DataFrame, now: Column, mode: str = "cod",
     """G15 (``mode='cod'``) and G16 (``mode='gateway'``).
 
     ``requests``: (seq, user_id, billing_name, billing_phone, billing_city,
-    billing_state, billing_pincode[, coupon_code]). Checks: billing name and
+    billing_state, billing_pincode[, billing_email, billing_address,
+    coupon_code]). Checks: billing name and
     phone (B24, COD only), non-empty cart, every line within stock (F7).
     Per user, the earliest request that passes billing and cart checks
     meets the stock check; later requests find the cart cleared
@@ -139,7 +93,7 @@ def checkout(t, requests: DataFrame, now: Column, mode: str = "cod",
 
     ``stock_policy='fcfs'`` (the default of COD) serves the carts in ``seq``
     order against the stock the earlier accepted carts left
-    (``fcfs_stock_decisions``), as the original's row locks do, so no stock
+    (``serve_in_order``), as the original's row locks do, so no stock
     falls below 0. ``'opening'`` (the default of the gateway, which takes no
     stock) checks each cart on its own against the stock at the start of the
     batch.
@@ -155,60 +109,29 @@ def checkout(t, requests: DataFrame, now: Column, mode: str = "cod",
     stock_policy = stock_policy or ("fcfs" if mode == "cod" else "opening")
     # The requesting users' cart lines feed the checks and the new order
     # items: computed once.
-    cart = materialize(K.cart_view(t, requests.select("user_id")))
+    sku = ("sku",) if "sku" in t["product_variants"].columns else ()
+    cart = materialize(K.cart_view(t, requests.select("user_id"), sku))
     chk = _cart_check(cart)
     j = requests.join(chk, "user_id", "left")
     bill_ok = _js_truthy(F.col("billing_name")) & _js_truthy(F.col("billing_phone"))
     billing_bad = (~bill_ok) if mode == "cod" else F.lit(False)
     j = j.withColumn("_reason0", F.when(billing_bad, "invalid_billing")
                      .when(F.coalesce(F.col("_lines"), F.lit(0)) == 0, "cart_empty"))
-    # Per user, the earliest request that passes the billing and cart checks
-    # is the one that meets the stock check (a grouped min, joined back).
-    eff = (j.where(F.col("_reason0").isNull()).groupBy("user_id")
-           .agg(F.min("seq").alias("_eff_seq")))
-    j = j.join(eff, "user_id", "left")
     if stock_policy == "fcfs":
-        cand = j.where(F.col("seq") == F.col("_eff_seq")).select("seq", "user_id")
-        lines = materialize(cart.join(cand, "user_id").select("seq", "user_id", "variant_id", "quantity",
-                                                                "cart_id", "name"))
-        stock = t["product_variants"].select(F.col("id").alias("variant_id"), "stock")
-        dec = fcfs_stock_decisions(lines.select("seq", "variant_id", "quantity"), stock)
-        ok_users = lines.join(dec.where("accepted"), "seq").select("user_id").distinct()
-        # Stock-rejected users: their later passing requests fail too (stock
-        # only falls during a checkout batch); every such request names the
-        # first short line (lowest cart id) against the stock left at its
-        # turn: accepted takes and rejected lines in one seq order per
-        # variant, where a rejected line's running sum (its own value 0) is
-        # the stock taken before it.
-        bad = (j.where(F.col("_reason0").isNull() & F.col("_eff_seq").isNotNull())
-               .join(ok_users, "user_id", "left_anti").select("seq", "user_id"))
-        acc = (lines.join(dec.where("accepted").select("seq"), "seq")
-               .select("variant_id", "seq", F.lit(-1).cast("long").alias("cart_id"),
-                       F.col("quantity").cast("long").alias("_t"), F.lit(None).cast("long").alias("_q"),
-                       F.lit(None).cast("string").alias("name")))
-        rej = (cart.join(bad, "user_id")
-               .select("variant_id", "seq", F.col("cart_id").cast("long"), F.lit(0).cast("long").alias("_t"),
-                       F.col("quantity").cast("long").alias("_q"), "name"))
-        before = running_sums(acc.unionByName(rej), ["variant_id"],
-                              [F.col("seq").asc(), F.col("cart_id").asc()], ["_t"])
-        short = (before.where(F.col("_q").isNotNull())
-                 .join(stock.withColumnRenamed("stock", "_stock"), "variant_id", "left")
-                 .where(F.col("_t_cum") + F.col("_q") > F.coalesce(F.col("_stock"), F.lit(0)))
-                 .groupBy("seq").agg(F.min_by("name", "cart_id").alias("_short_name")))
-        j = (j.join(ok_users.withColumn("_user_ok", F.lit(True)), "user_id", "left")
-             .join(short, "seq", "left")
-             .withColumn("_stock_ok", F.coalesce(F.col("_user_ok"), F.lit(False))))
-        stock_reason = F.concat(F.lit("Insufficient stock for "), F.col("_short_name"))
+        passing = materialize(j.where(F.col("_reason0").isNull()).select("seq", "user_id"))
+        served = serve_in_order(passing, cart.select("user_id", "cart_id", "variant_id", "quantity", "name", "stock"))
+        j = j.join(served.select("seq", F.col("reason").alias("_served")), "seq", "left")
+        reason = F.coalesce(F.col("_reason0"), F.col("_served"))
     else:
-        j = j.withColumn("_stock_ok", F.coalesce(F.col("_stock_ok"), F.lit(True)))
-        stock_reason = F.concat(F.lit("Insufficient stock for "), F.col("_short"))
-    # A request failing billing or cart checks keeps that reason; otherwise
-    # it is the user's effective request (stock decides) or a later one.
-    # A gateway order keeps the cart, so each of the user's requests stands.
-    cleared = F.col("seq") > F.col("_eff_seq") if mode == "cod" else F.lit(False)
-    reason = (F.when(F.col("_reason0").isNotNull(), F.col("_reason0"))
-              .when(~F.col("_stock_ok"), stock_reason)
-              .when(cleared, F.lit("cart_empty")))
+        # Per user, the earliest request that passes the billing and cart
+        # checks meets the stock check (a grouped min, joined back). A gateway
+        # order keeps the cart, so each of the user's requests stands.
+        eff = j.where(F.col("_reason0").isNull()).groupBy("user_id").agg(F.min("seq").alias("_eff_seq"))
+        j = j.join(eff, "user_id", "left")
+        later = F.col("seq") > F.col("_eff_seq") if mode == "cod" else F.lit(False)
+        reason = (F.when(F.col("_reason0").isNotNull(), F.col("_reason0"))
+                  .when(~F.coalesce(F.col("_stock_ok"), F.lit(True)), F.concat(F.lit("Insufficient stock for "), F.col("_short")))
+                  .when(later, F.lit("cart_empty")))
     j = j.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
     base = _id_base(t["orders"])
     # One row per request: the decisions feed every output frame.
@@ -253,11 +176,14 @@ def checkout(t, requests: DataFrame, now: Column, mode: str = "cod",
         outcomes = j
     ok_users = orders.select("user_id", F.col("id").alias("order_id"))
     lines = cart.join(ok_users, "user_id")
+    # A gateway order's items freeze the SKU as well.
     items = lines.select("order_id", "product_id", "variant_id", F.col("name").alias("product_name"),
+                         (_given(cart, "sku") if mode == "gateway" else F.lit(None).cast("string")).alias("sku"),
                          "quantity", F.col("price").cast(MONEY).alias("price"), "is_gift")
     addresses = acc.join(orders.select(F.col("id").alias("order_id")), "order_id", "left_semi").select(
         "order_id", F.lit("billing").alias("type"), F.col("billing_name").alias("name"),
-        F.col("billing_phone").alias("phone"), F.col("billing_city").alias("city"),
+        F.col("billing_phone").alias("phone"), _given(requests, "billing_email").alias("email"),
+        _given(requests, "billing_address").alias("address_line1"), F.col("billing_city").alias("city"),
         F.col("billing_state").alias("state"), F.col("billing_pincode").alias("pincode"),
         F.lit("India").alias("country"))
     history = orders.select(F.col("id").alias("order_id"), F.col("status"),
@@ -277,6 +203,32 @@ def checkout(t, requests: DataFrame, now: Column, mode: str = "cod",
     }
 
 
+def commit_checkout(tables, requests: DataFrame, now: Column, mode: str = "cod") -> DataFrame:
+    """G15/G16 on a ``sources.tableset.TableSet``: orders, items, addresses,
+    history, stock and cart change together, or not at all. Needs the tables
+    that ``checkout`` reads and writes; returns the outcomes."""
+    at = tables.manifest()
+    t = tables.load(at)
+    res = checkout(t, requests, now, mode)
+    outcomes = materialize(res["outcomes"])
+    first = _id_base(t["order_status_history"])
+    history = res["status_history"].withColumn("id", first + F.col("order_id")).withColumn("comment", F.lit(None).cast("string"))
+
+    def like(name):
+        """The rows for a stored table, in its columns; absent ones are null."""
+        rows = history if name == "order_status_history" else res[name]
+        return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                             for f in t[name].schema.fields])
+    append = {n: like(n) for n in ("orders", "order_items", "order_addresses", "order_status_history") if n in t}
+    replace = {}
+    if mode == "cod":
+        replace["product_variants"] = apply_stock_deltas(t["product_variants"], res["stock_deltas"]).select(
+            *t["product_variants"].columns)
+        replace["cart_items"] = t["cart_items"].join(res["cleared_carts"], "user_id", "left_anti").select(*t["cart_items"].columns)
+    tables.commit(replace, append, at["version"])
+    return outcomes
+
+
 def confirm_payments(t, payments: DataFrame) -> dict[str, DataFrame]:
     """Verified gateway payments (order_id, user_id, payment_id): order
     -> paid / confirmed, stock -= the order's quantities, the payer's cart
@@ -300,10 +252,15 @@ def _order_state(t, requests: DataFrame) -> DataFrame:
     """First request per order joined to the order's current state."""
     o = t["orders"].select(F.col("id").alias("order_id"), F.col("user_id").alias("_owner"),
                            F.col("status").alias("_status"), F.col("payment_status").alias("_pay"),
-                           F.col("created_at").alias("_created"))
+                           F.col("payment_method").alias("_method"), F.col("created_at").alias("_created"))
     return _resolve_first(requests, "order_id").join(o, "order_id", "left")
 
 
+def _took_stock() -> Column:
+    """Whether an order's stock was taken: when it was paid, or placed COD."""
+    return F.coalesce((F.col("_pay") == "paid") | (F.col("_method") == "cod"), F.lit(False))
+
+
 def _apply_order_updates(orders: DataFrame, upd: DataFrame) -> DataFrame:
     """Overwrite status / payment_status of the orders named in ``upd``
     (order_id, new_status, new_payment_status; NULL = unchanged)."""
@@ -313,14 +270,14 @@ def _apply_order_updates(orders: DataFrame, upd: DataFrame) -> DataFrame:
             .drop("new_status", "new_payment_status"))
 
 
-def customer_cancel(t, requests: DataFrame, now: Column, restock_unpaid: bool = True) -> dict:
+def customer_cancel(t, requests: DataFrame, now: Column, restock: str = "all") -> dict:
     """Customer cancellations (seq, order_id, user_id): the order must be
     the user's ('not_found'), at most 3.0 days old ('window_expired') and
     pending or confirmed ('not_cancellable'). Accepted: status cancelled,
     history row by 'user', every line restocked; the original restocks even
     orders whose stock was never taken (order-create path, unpaid gateway
-    orders). ``restock_unpaid=False`` restocks only orders that took stock
-    (paid, or COD)."""
+    orders). ``restock='taken'`` restocks only orders that took stock (paid, or
+    COD), ``'paid'`` only paid ones."""
     s = _order_state(t, requests)
     reason = (F.when(F.col("_owner").isNull() | (F.col("_owner") != F.col("user_id")), "not_found")
               .when(F.col("_created") < now - F.expr(f"INTERVAL {R.CANCEL_WINDOW_DAYS} DAYS"), "window_expired")
@@ -333,20 +290,22 @@ def customer_cancel(t, requests: DataFrame, now: Column, restock_unpaid: bool =
     acc = s.where("accepted")
     upd = acc.select("order_id", F.lit("cancelled").alias("new_status"),
                      F.lit(None).cast("string").alias("new_payment_status"))
-    restock = acc if restock_unpaid else acc.where((F.col("_pay") == "paid"))
+    returned = {"all": acc, "taken": acc.where(_took_stock()), "paid": acc.where(F.col("_pay") == "paid")}[restock]
     return {
         "outcomes": s.select("seq", "order_id", "user_id", "accepted", "reason"),
         "orders": _apply_order_updates(t["orders"], upd),
         "status_history": acc.select("order_id", F.lit("cancelled").alias("status"),
                                      F.lit("user").alias("changed_by"), now.alias("created_at")),
-        "stock_deltas": _items_of_orders(t["order_items"], restock, +1),
+        "stock_deltas": _items_of_orders(t["order_items"], returned, +1),
     }
 
 
-def admin_cancel(t, requests: DataFrame, now: Column) -> dict:
+def admin_cancel(t, requests: DataFrame, now: Column, restock_cod: bool = False) -> dict:
     """Admin cancellations (seq, order_id). Already cancelled -> success
-    without change (idempotent); restock only when paid; paid -> refunded;
-    history 'Cancelled by admin'. Unknown order -> 'not_found'."""
+    without change (idempotent); restock only when paid, as the original, or
+    with ``restock_cod`` also when placed COD, whose stock was taken at
+    checkout; paid -> refunded; history 'Cancelled by admin'. Unknown order ->
+    'not_found'."""
     s = _order_state(t, requests)
     reason = F.when(F.col("_status").isNull(), "not_found")
     s = s.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
@@ -359,7 +318,8 @@ def admin_cancel(t, requests: DataFrame, now: Column) -> dict:
         "status_history": act.select("order_id", F.lit("cancelled").alias("status"),
                                      F.lit("admin").alias("changed_by"),
                                      F.lit("Cancelled by admin").alias("comment"), now.alias("created_at")),
-        "stock_deltas": _items_of_orders(t["order_items"], act.where(F.col("_pay") == "paid"), +1),
+        "stock_deltas": _items_of_orders(
+            t["order_items"], act.where(_took_stock() if restock_cod else F.col("_pay") == "paid"), +1),
     }
 
 
@@ -421,8 +381,10 @@ def create_orders(t, requests: DataFrame, items: DataFrame, now: Column) -> dict
     """API order creation with submitted items and a coupon lock.
 
     ``requests``: (seq, user_id, coupon_code, ship_name, ship_phone,
-    ship_pincode, bill_name, bill_phone, bill_pincode); ``items``: (seq,
-    product_id, variant_id, price, quantity). B23: at least one item, every
+    ship_pincode, bill_name, bill_phone, bill_pincode[, payment_method, and per
+    address email, address_line1, city, state, country]); ``items``: (seq,
+    product_id, variant_id, price, quantity[, product_name, sku]). An address
+    without a country is in India. B23: at least one item, every
     price present and quantity > 0 ('invalid_items'); both addresses need
     name, phone and pincode ('invalid_address'); the coupon is quoted under
     the 'order' policy ('invalid_coupon' / 'already_used' / 'min_order').
@@ -493,13 +455,21 @@ def create_orders(t, requests: DataFrame, items: DataFrame, now: Column) -> dict
                .withColumn("used_count", (F.col("used_count") + F.coalesce(F.col("_k"), F.lit(0))).cast("int"))
                .drop("_k"))
     lines = items.join(acc.select("seq", "order_id"), "seq").select(
-        "order_id", "product_id", "variant_id", F.col("quantity").cast("int").alias("quantity"),
-        F.col("price").cast(MONEY).alias("price"),
+        "order_id", "product_id", F.when(F.col("variant_id") != 0, F.col("variant_id")).alias("variant_id"),
+        _given(items, "product_name").alias("product_name"), _or_null(_given(items, "sku")).alias("sku"),
+        F.col("quantity").cast("int").alias("quantity"), F.col("price").cast(MONEY).alias("price"),
         R.line_total("price", "quantity").alias("total"))
-    addrs = acc.select("order_id", F.lit("shipping").alias("type"), F.col("ship_name").alias("name"),
-                       F.col("ship_phone").alias("phone"), F.col("ship_pincode").alias("pincode")).unionByName(
-        acc.select("order_id", F.lit("billing").alias("type"), F.col("bill_name").alias("name"),
-                   F.col("bill_phone").alias("phone"), F.col("bill_pincode").alias("pincode")))
+
+    def address(kind, prefix):
+        def given(name):
+            return _given(requests, f"{prefix}_{name}")
+        return acc.select(
+            "order_id", F.lit(kind).alias("type"), *[given(c).alias(c) for c in ("name", "phone")],
+            _or_null(given("email")).alias("email"),
+            *[given(c).alias(c) for c in ("address_line1", "city", "state", "pincode")],
+            F.coalesce(_or_null(given("country")), F.lit("India")).alias("country"))
+
+    addrs = address("shipping", "ship").unionByName(address("billing", "bill"))
     return {
         "outcomes": r.select("seq", "user_id", "accepted", "reason"),
         "orders": orders, "order_items": lines, "order_addresses": addrs, "coupon_usages": used,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..operators import catalog as C
+from ..operators import search_index as SI
 from .registry import register
 
 CARD_SQL = """
@@ -155,6 +156,38 @@ def search_tiered(t):
     return C.search_products(t, "an", mode="tiered")
 
 
+# One search a product: the texts typed for all of them, in one job.
+ASKED_SQL = "SELECT query_id, trim(q) AS q FROM search_requests WHERE length(trim(q)) >= 2"
+
+
+@register("search_live_many", "B8 E3", money=("price",), sql=f"""
+WITH a AS ({ASKED_SQL}),
+hit AS (SELECT a.query_id, p.id, p.name, p.image1, v.price,
+               CASE WHEN p.name ILIKE a.q || '%' THEN 1 ELSE 2 END AS search_rank
+        FROM a JOIN products p ON p.name ILIKE '%' || a.q || '%' OR p.category ILIKE '%' || a.q || '%'
+          OR p.sub_category ILIKE '%' || a.q || '%' OR p.collection_name ILIKE '%' || a.q || '%'
+        JOIN (SELECT product_id, MIN(price) AS price FROM product_variants GROUP BY product_id) v ON v.product_id = p.id)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY search_rank, id) AS INTEGER) AS position
+               FROM hit) WHERE position <= 8
+""")
+def search_live_many(t):
+    return SI.search_products_many(t, t["search_requests"], "live")
+
+
+@register("search_tiered_many", "B8 E4", sql=f"""
+WITH a AS ({ASKED_SQL}),
+hit AS (SELECT a.query_id, p.id, p.name, p.image1, p.category, p.sub_category, p.collection_name,
+               CASE WHEN name ILIKE '%' || a.q || '%' THEN 1 WHEN collection_name ILIKE '%' || a.q || '%' THEN 2
+                    WHEN category ILIKE '%' || a.q || '%' THEN 3 ELSE 4 END AS search_rank
+        FROM a JOIN products p ON p.name ILIKE '%' || a.q || '%' OR p.category ILIKE '%' || a.q || '%'
+          OR p.sub_category ILIKE '%' || a.q || '%' OR p.collection_name ILIKE '%' || a.q || '%')
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY search_rank, id) AS INTEGER) AS position
+               FROM hit) WHERE position <= 12
+""")
+def search_tiered_many(t):
+    return SI.search_products_many(t, t["search_requests"], "tiered")
+
+
 @register("related_products", "C15 E13", money=('related_price',), sql= """
 WITH cards AS (
   SELECT p.id, p.name, p.image1, p.category, MIN(v.price) AS price

@@ -268,17 +268,29 @@ def users_after_social_sign_in(t):
     return G.social_sign_in(t["users"], t["registrations"])
 
 
+# Step by step: request k meets the addresses that request k - 1 left.
 UEDIT_SQL = """
-WITH r AS (SELECT p.*, CASE WHEN coalesce(p.first_name, '') = '' OR coalesce(p.last_name, '') = ''
-                          OR coalesce(p.email, '') = '' THEN 'missing_fields'
-                        WHEN EXISTS (SELECT 1 FROM users u WHERE lower(u.email) = lower(p.email)
-                                     AND u.id <> p.user_id) THEN 'email_taken' END AS reason
-           FROM profile_updates p)
+WITH RECURSIVE req AS (
+  SELECT *, lower(email) AS e, row_number() OVER (ORDER BY seq) AS k,
+         coalesce(first_name, '') <> '' AND coalesce(last_name, '') <> '' AND coalesce(email, '') <> '' AS filled
+  FROM profile_updates),
+steps AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS reason,
+         (SELECT map(list(id ORDER BY id), list(lower(email) ORDER BY id)) FROM users) AS book
+  UNION ALL
+  SELECT k, seq, reason, CASE WHEN reason IS NULL THEN map(map_keys(book), list_transform(map_entries(book),
+           lambda x: CASE WHEN x.key = user_id THEN e ELSE x.value END)) ELSE book END
+  FROM (SELECT r.k, r.seq, r.user_id, r.e, s.book, CASE WHEN NOT r.filled THEN 'missing_fields'
+          WHEN len(list_filter(map_entries(s.book), lambda x: x.value = r.e AND x.key <> r.user_id)) > 0
+          THEN 'email_taken' END AS reason
+        FROM steps s JOIN req r ON r.k = s.k + 1) z),
+r AS (SELECT req.*, reason FROM req JOIN steps USING (k)),
+stands AS (SELECT * FROM r WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) = 1)
 """
 
 
 @register("user_edit_outcomes", "G10 B22 B27", sql=UEDIT_SQL + """
-SELECT user_id, reason IS NULL AS accepted, reason FROM r
+SELECT seq, user_id, reason IS NULL AS accepted, reason FROM r
 """)
 def user_edit_outcomes(t):
     _, out = G.edit_users(t["users"], t["profile_updates"])
@@ -289,7 +301,7 @@ def user_edit_outcomes(t):
 SELECT u.id, CASE WHEN r.user_id IS NOT NULL THEN r.first_name ELSE u.first_name END AS first_name,
        CASE WHEN r.user_id IS NOT NULL THEN r.last_name ELSE u.last_name END AS last_name,
        CASE WHEN r.user_id IS NOT NULL THEN r.email ELSE u.email END AS email, u.provider, u.is_admin
-FROM users u LEFT JOIN (SELECT * FROM r WHERE reason IS NULL) r ON r.user_id = u.id
+FROM users u LEFT JOIN stands r ON r.user_id = u.id
 WHERE u.id NOT IN (SELECT id FROM user_delete_requests)
 """)
 def users_after_edit(t):
@@ -301,7 +313,8 @@ def users_after_edit(t):
 SELECT u.id, CASE WHEN p.user_id IS NOT NULL THEN p.first_name ELSE u.first_name END AS first_name,
        CASE WHEN p.user_id IS NOT NULL THEN p.last_name ELSE u.last_name END AS last_name,
        CASE WHEN p.user_id IS NOT NULL THEN p.email ELSE u.email END AS email, u.provider, u.is_admin
-FROM users u LEFT JOIN profile_updates p ON p.user_id = u.id
+FROM users u LEFT JOIN (SELECT user_id, arg_max(first_name, seq) AS first_name, arg_max(last_name, seq) AS last_name,
+                               arg_max(email, seq) AS email FROM profile_updates GROUP BY user_id) p ON p.user_id = u.id
 """)
 def users_after_admin_edit(t):
     """G10 admin path: edits apply as given (no blank or e-mail checks)."""
@@ -476,7 +489,7 @@ def messages_after_insert(t):
 # ---------------------------------------------------------- checkout --------
 
 CART_SQL = """
-SELECT ci.user_id, ci.id AS cart_id, ci.quantity, ci.is_gift, v.id AS variant_id, v.price, v.stock,
+SELECT ci.user_id, ci.id AS cart_id, ci.quantity, ci.is_gift, v.id AS variant_id, v.price, v.stock, v.sku,
        p.id AS product_id, p.name
 FROM cart_items ci JOIN product_variants v ON v.id = ci.variant_id JOIN products p ON p.id = v.product_id
 """
@@ -569,6 +582,56 @@ def cod_checkout_orders(t):
                                                       "total", "grand_total", "n_items")
 
 
+@register("cod_checkout_items", "G15", money=("price",), sql=f"""
+SELECT (SELECT max(id) FROM shop_orders) + x.seq AS order_id, c.product_id, c.variant_id, c.name AS product_name,
+       CAST(NULL AS VARCHAR) AS sku, c.quantity, CAST(c.price AS DECIMAL(12,2)) AS price, c.is_gift
+FROM ({COD_STEPS_SQL}) x JOIN ({CART_SQL}) c ON c.user_id = x.user_id WHERE x.reason IS NULL
+""")
+def cod_checkout_items(t):
+    """Every written column of the new orders' items."""
+    return CO.checkout(t, t["checkout_requests"], _now(), "cod")["order_items"]
+
+
+ADDRESS_SQL = """
+       'billing' AS type, q.billing_name AS name, q.billing_phone AS phone, q.billing_email AS email,
+       q.billing_address AS address_line1, q.billing_city AS city, q.billing_state AS state, q.billing_pincode AS pincode,
+       'India' AS country
+"""
+
+
+@register("cod_checkout_addresses", "G15", sql=f"""
+SELECT (SELECT max(id) FROM shop_orders) + x.seq AS order_id, {ADDRESS_SQL}
+FROM ({COD_STEPS_SQL}) x JOIN checkout_requests q ON q.seq = x.seq WHERE x.reason IS NULL
+""")
+def cod_checkout_addresses(t):
+    return CO.checkout(t, t["checkout_requests"], _now(), "cod")["order_addresses"]
+
+
+GATEWAY_OK_SQL = f"""
+SELECT q.* FROM checkout_requests q JOIN (SELECT user_id, bool_and(stock >= quantity) AS ok FROM ({CART_SQL}) c
+                                          GROUP BY user_id) k ON k.user_id = q.user_id AND k.ok
+WHERE coalesce(q.coupon_code, '') = '' OR EXISTS (SELECT 1 FROM coupons c WHERE lower(c.code) = lower(trim(q.coupon_code))
+      AND c.active = 1 AND (c.usage_limit IS NULL OR c.used_count < c.usage_limit))
+"""
+
+
+@register("gateway_checkout_items", "G16", money=("price",), sql=f"""
+SELECT (SELECT max(id) FROM shop_orders) + q.seq AS order_id, c.product_id, c.variant_id, c.name AS product_name, c.sku,
+       c.quantity, CAST(c.price AS DECIMAL(12,2)) AS price, c.is_gift
+FROM ({GATEWAY_OK_SQL}) q JOIN ({CART_SQL}) c ON c.user_id = q.user_id
+""")
+def gateway_checkout_items(t):
+    """Every written column of the gateway orders' items, the SKU included."""
+    return CO.checkout(t, t["checkout_requests"], _now(), "gateway")["order_items"]
+
+
+@register("gateway_checkout_addresses", "G16", sql=f"""
+SELECT (SELECT max(id) FROM shop_orders) + q.seq AS order_id, {ADDRESS_SQL} FROM ({GATEWAY_OK_SQL}) q
+""")
+def gateway_checkout_addresses(t):
+    return CO.checkout(t, t["checkout_requests"], _now(), "gateway")["order_addresses"]
+
+
 @register("gateway_checkout_orders", "G16 F1", money=("subtotal", "discount", "grand_total"), sql=f"""
 WITH chk AS (SELECT user_id, COUNT(*) AS nl, bool_and(stock >= quantity) AS ok,
                     CAST(SUM(price * quantity) AS DECIMAL(12,2)) AS sub FROM ({CART_SQL}) c GROUP BY user_id),
@@ -656,6 +719,49 @@ def order_create_outcomes(t):
                             R.ts_literal(ORDERS_NOW))["outcomes"]
 
 
+def _created(t, table):
+    return CO.create_orders(t, t["order_requests"], t["order_request_items"], R.ts_literal(ORDERS_NOW))[table]
+
+
+@register("order_create_orders", "G18 F2", money=("subtotal",), sql=f"""
+SELECT (SELECT max(id) FROM shop_orders) + x.seq AS id, x.user_id, 'pending' AS status, 'unpaid' AS payment_status,
+       coalesce(q.payment_method, 'razorpay') AS payment_method,
+       CASE WHEN coalesce(q.coupon_code, '') <> '' THEN x.cid END AS coupon_id, i.sub AS subtotal
+FROM ({ORDER_CREATE_SQL}) x JOIN order_requests q ON q.seq = x.seq
+JOIN (SELECT seq, CAST(SUM(CAST(price * quantity AS DECIMAL(22,2))) AS DECIMAL(12,2)) AS sub FROM order_request_items
+      GROUP BY seq) i ON i.seq = x.seq WHERE x.reason IS NULL
+""")
+def order_create_orders(t):
+    return _created(t, "orders").select("id", "user_id", "status", "payment_status", "payment_method", "coupon_id", "subtotal")
+
+
+@register("order_create_items", "G18", money=("price", "total"), sql=f"""
+SELECT (SELECT max(id) FROM shop_orders) + x.seq AS order_id, i.product_id,
+       CASE WHEN i.variant_id <> 0 THEN i.variant_id END AS variant_id, i.product_name,
+       CASE WHEN i.sku <> '' THEN i.sku END AS sku, CAST(i.quantity AS INTEGER) AS quantity, i.price,
+       CAST(i.price * i.quantity AS DECIMAL(12,2)) AS total
+FROM ({ORDER_CREATE_SQL}) x JOIN order_request_items i ON i.seq = x.seq WHERE x.reason IS NULL
+""")
+def order_create_items(t):
+    """Every written column of the created orders' items."""
+    return _created(t, "order_items")
+
+
+@register("order_create_addresses", "G18", sql=f"""
+WITH ok AS (SELECT q.*, (SELECT max(id) FROM shop_orders) + q.seq AS order_id
+            FROM ({ORDER_CREATE_SQL}) x JOIN order_requests q ON q.seq = x.seq WHERE x.reason IS NULL)
+SELECT order_id, 'shipping' AS type, ship_name AS name, ship_phone AS phone, CASE WHEN ship_email <> '' THEN ship_email END AS email,
+       ship_address_line1 AS address_line1, ship_city AS city, ship_state AS state, ship_pincode AS pincode,
+       CASE WHEN ship_country <> '' THEN ship_country ELSE 'India' END AS country FROM ok
+UNION ALL
+SELECT order_id, 'billing', bill_name, bill_phone, CASE WHEN bill_email <> '' THEN bill_email END, bill_address_line1,
+       bill_city, bill_state, bill_pincode, CASE WHEN bill_country <> '' THEN bill_country ELSE 'India' END FROM ok
+""")
+def order_create_addresses(t):
+    """Every written column of both addresses."""
+    return _created(t, "order_addresses")
+
+
 @register("coupons_after_order_create", "G18", sql=f"""
 WITH k AS (SELECT cid, COUNT(*) AS n FROM ({ORDER_CREATE_SQL}) x
            WHERE reason IS NULL AND cid IS NOT NULL AND seq IN (SELECT seq FROM order_requests
@@ -704,8 +810,35 @@ SELECT v.id, CAST(v.stock + coalesce(d.q, 0) AS INTEGER) AS stock
 FROM product_variants v LEFT JOIN d ON d.variant_id = v.id
 """)
 def stock_after_customer_cancel_paid_only(t):
+    """G19 restocking paid orders only."""
+    res = CO.customer_cancel(t, t["cancel_requests"], R.ts_literal(ORDERS_NOW), restock="paid")
+    return CO.apply_stock_deltas(t["product_variants"], res["stock_deltas"]).select("id", "stock")
+
+
+@register("stock_after_customer_cancel_taken_only", "G19 G23", sql=f"""
+WITH d AS (SELECT variant_id, SUM(quantity) AS q FROM order_items
+           WHERE order_id IN (SELECT x.order_id FROM ({CANCEL_SQL}) x JOIN shop_orders o ON o.id = x.order_id
+                              WHERE x.reason IS NULL AND (o.payment_status = 'paid' OR o.payment_method = 'cod'))
+           GROUP BY variant_id)
+SELECT v.id, CAST(v.stock + coalesce(d.q, 0) AS INTEGER) AS stock
+FROM product_variants v LEFT JOIN d ON d.variant_id = v.id
+""")
+def stock_after_customer_cancel_taken_only(t):
     """G19 with the corrected restock rule: only orders that took stock."""
-    res = CO.customer_cancel(t, t["cancel_requests"], R.ts_literal(ORDERS_NOW), restock_unpaid=False)
+    res = CO.customer_cancel(t, t["cancel_requests"], R.ts_literal(ORDERS_NOW), restock="taken")
+    return CO.apply_stock_deltas(t["product_variants"], res["stock_deltas"]).select("id", "stock")
+
+
+@register("stock_after_admin_cancel_taken", "G20 G23", sql="""
+WITH d AS (SELECT variant_id, SUM(quantity) AS q FROM order_items WHERE order_id IN (
+             SELECT o.id FROM shop_orders o JOIN admin_cancel_requests q ON q.order_id = o.id
+             WHERE o.status <> 'cancelled' AND (o.payment_status = 'paid' OR o.payment_method = 'cod')) GROUP BY variant_id)
+SELECT v.id, CAST(v.stock + coalesce(d.q, 0) AS INTEGER) AS stock
+FROM product_variants v LEFT JOIN d ON d.variant_id = v.id
+""")
+def stock_after_admin_cancel_taken(t):
+    """G20 with the corrected restock rule."""
+    res = CO.admin_cancel(t, t["admin_cancel_requests"], _now(), restock_cod=True)
     return CO.apply_stock_deltas(t["product_variants"], res["stock_deltas"]).select("id", "stock")
 
 

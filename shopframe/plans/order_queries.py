@@ -104,6 +104,90 @@ def user_orders_nested(t):
         F.first(F.col("billing_address.country")).alias("billing_country"))
 
 
+# The nested lines and addresses again, element by element.
+NESTED_SQL = f"""
+SELECT row_number() OVER w AS pos, (row_number() OVER w - 1) // 1000 + 1 AS page, l.*
+FROM ({LINES_SQL}) l WINDOW w AS (PARTITION BY order_id ORDER BY product_id NULLS FIRST, variant_id NULLS FIRST,
+                                  quantity NULLS FIRST, price NULLS FIRST, is_gift NULLS FIRST)
+"""
+
+
+def _elements(pages, fields, name="items"):
+    """One row per nested element, with its order, page and position."""
+    return pages.select("id", "page", F.explode(name).alias("e")).select("id", "page", *[F.col(f"e.{f}").alias(f) for f in fields])
+
+
+ADDRESS_FIELDS = ("type", "name", "phone", "city", "state", "pincode", "country")
+
+
+@register("user_order_lines_nested", "C16 E12", money=("price",), sql=f"""
+SELECT o.id, CAST(x.page AS BIGINT) AS page, CAST(x.pos AS BIGINT) AS pos, x.product_name, x.product_image, x.variant,
+       x.quantity, x.price
+FROM ({NESTED_SQL}) x JOIN shop_orders o ON o.id = x.order_id WHERE o.user_id IS NOT NULL
+""")
+def user_order_lines_nested(t):
+    """Every field of the lines nested in C16, in their order."""
+    return _elements(O.user_orders(t, R.ts_literal(ORDERS_NOW)),
+                     ["pos", "product_name", "product_image", "variant", "quantity", "price"])
+
+
+@register("user_order_addresses_nested", "C16", sql=f"""
+SELECT o.id, a.kind, {", ".join(f"a.{c}" for c in ADDRESS_FIELDS)} FROM shop_orders o JOIN (
+  SELECT order_id, type AS kind, unnest(max(struct_pack({", ".join(f"{c} := {c}" for c in ADDRESS_FIELDS)})))
+  FROM order_addresses WHERE type IN ('billing', 'shipping') GROUP BY order_id, type) a ON a.order_id = o.id
+WHERE o.user_id IS NOT NULL
+""")
+def user_order_addresses_nested(t):
+    """Every field of the addresses nested in C16."""
+    u = O.user_orders(t, R.ts_literal(ORDERS_NOW)).where("page = 1")
+    both = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_address").alias("a")) for k in ("billing", "shipping")])
+    return u.select("id", F.explode(both).alias("e")).where("e.a IS NOT NULL").select(
+        "id", "e.kind", *[F.col(f"e.a.{c}").alias(c) for c in ADDRESS_FIELDS])
+
+
+@register("order_detail_lines_nested", "C17", money=("price", "total"), sql=f"""
+SELECT x.order_id AS id, CAST(x.page AS BIGINT) AS page, CAST(x.pos AS BIGINT) AS pos, x.product_name, x.sku, x.quantity,
+       x.price, x.is_gift, x.total
+FROM ({NESTED_SQL}) x JOIN shop_orders o ON o.id = x.order_id
+""")
+def order_detail_lines_nested(t):
+    """Every field of the lines nested in C17, in their order."""
+    return _elements(O.order_details(t).where("items IS NOT NULL"),
+                     ["pos", "product_name", "sku", "quantity", "price", "is_gift", "total"])
+
+
+@register("order_detail_billing_nested", "C17", sql=f"""
+SELECT o.id, {", ".join(f"a.{c}" for c in ADDRESS_FIELDS)} FROM shop_orders o JOIN (
+  SELECT order_id, unnest(min(struct_pack({", ".join(f"{c} := {c}" for c in ADDRESS_FIELDS)})))
+  FROM order_addresses WHERE type = 'billing' GROUP BY order_id) a ON a.order_id = o.id
+""")
+def order_detail_billing_nested(t):
+    """Every field of the billing address nested in C17."""
+    d = O.order_details(t).where("billing IS NOT NULL").where("coalesce(page, 1) = 1")
+    return d.select("id", *[F.col(f"billing.{c}").alias(c) for c in ADDRESS_FIELDS])
+
+
+@register("order_receipt_lines_nested", "C18", money=("price", "total"), sql=f"""
+SELECT x.order_id AS id, CAST(x.page AS BIGINT) AS page, CAST(x.pos AS BIGINT) AS pos, x.product_name, x.sku, x.quantity,
+       x.price, x.total
+FROM ({NESTED_SQL}) x JOIN shop_orders o ON o.id = x.order_id
+""")
+def order_receipt_lines_nested(t):
+    """Every field of the lines nested in C18, in their order."""
+    return _elements(O.order_receipts(t).where("items IS NOT NULL"), ["pos", "product_name", "sku", "quantity", "price", "total"])
+
+
+@register("order_receipt_addresses_nested", "C18", sql=f"""
+SELECT o.id, {", ".join(f"a.{c}" for c in ADDRESS_FIELDS)} FROM shop_orders o JOIN (
+  SELECT order_id, unnest(min(struct_pack({", ".join(f"{c} := {c}" for c in ADDRESS_FIELDS)})))
+  FROM order_addresses GROUP BY order_id) a ON a.order_id = o.id
+""")
+def order_receipt_addresses_nested(t):
+    """Every field of the address nested in C18."""
+    r = O.order_receipts(t).where("address IS NOT NULL").where("coalesce(page, 1) = 1")
+    return r.select("id", *[F.col(f"address.{c}").alias(c) for c in ADDRESS_FIELDS])
+
+
 @register("order_details_nested", "C17 D12 H5", money=("grand_total",), sql="""
 WITH l AS (SELECT oi.order_id, COUNT(*) AS n, bool_or(oi.is_gift = 1) AS g,
                   COUNT(*) FILTER (WHERE pv.sku IS NULL) AS nosku, CAST(SUM(length(pv.sku)) AS BIGINT) AS skl

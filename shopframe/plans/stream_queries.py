@@ -38,10 +38,14 @@ FROM order_status_history GROUP BY order_id
 """, S.latest_status_stream)
 
 _register_stream("stream_valid_cancellations", "S5 F4", """
-SELECT q.seq, q.order_id, q.user_id, q.ts, o.created_at
-FROM cancel_requests q JOIN shop_orders o ON o.id = q.order_id
+WITH asked AS (SELECT seq, order_id, user_id, ts FROM cancel_requests
+               UNION ALL SELECT seq, order_id, user_id, ts FROM cancel_repeats)
+SELECT arg_min(q.seq, (q.ts, q.seq)) AS seq, q.order_id, arg_min(q.user_id, (q.ts, q.seq)) AS user_id, min(q.ts) AS ts,
+       any_value(o.created_at) AS created_at
+FROM asked q JOIN shop_orders o ON o.id = q.order_id
 WHERE q.ts BETWEEN o.created_at AND o.created_at + INTERVAL 3 DAY
   AND o.user_id = q.user_id AND o.status IN ('pending', 'confirmed')
+GROUP BY q.order_id
 """, S.valid_cancellations_stream)
 
 _register_stream("stream_most_carted", "S6 D6", """

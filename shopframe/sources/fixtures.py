@@ -198,14 +198,25 @@ COUPON_REQUESTS = ("orders", [
     ("ts", "o_orderdate"),
 ])
 
-# Profile edits: every fifth user asks for the next user's e-mail (taken).
+# Profile edits in two rounds. Odd users' turns come after all even ones'. In
+# the first round every fifth user asks for the next user's e-mail, which some
+# have given up by then; in the second some users ask for their own first one
+# again, some for one that was free before.
 PROFILE_UPDATES = ("customer", [
+    ("seq", "CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE c_custkey + 1000000000 END"),
     ("user_id", "c_custkey"),
     ("first_name", "CASE WHEN c_custkey % 7 = 0 THEN '  ' ELSE split_part(c_name, '#', 1) END"),
     ("last_name", "'L' || CAST(c_custkey AS STRING)"),
     ("email", "CASE WHEN c_custkey % 5 = 0 THEN 'CUSTOMER.' || lpad(CAST(c_custkey + 1 AS STRING), 9, '0') "
               "|| '@example.com' ELSE 'new' || CAST(c_custkey AS STRING) || '@example.com' END"),
 ])
+PROFILE_UPDATES_AGAIN = ("c_custkey % 3 = 0", [
+    ("seq", "2000000000 + c_custkey"), ("user_id", "c_custkey"),
+    ("first_name", "CASE WHEN c_custkey % 11 = 0 THEN '' ELSE 'Again' END"),
+    ("last_name", "'M' || CAST(c_custkey AS STRING)"),
+    ("email", "CASE WHEN c_custkey % 6 = 0 THEN 'Customer.' || lpad(CAST(c_custkey AS STRING), 9, '0') || '@example.com' "
+              "ELSE 'new' || CAST(c_custkey + 1 AS STRING) || '@example.com' END"),
+])
 
 # Review edit/delete requests: every fourth names another user's review.
 REVIEW_EDIT_REQUESTS = ("events", "event_type = 'purchase'", [
@@ -232,6 +243,9 @@ CHECKOUT_REQUESTS = [
     ("user_id", "c_custkey"),
     ("billing_name", "CASE WHEN c_custkey % 9 = 0 THEN '' ELSE c_name END"),
     ("billing_phone", "CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE '98' || lpad(CAST(c_custkey AS STRING), 8, '0') END"),
+    ("billing_email", "CASE WHEN c_custkey % 8 <> 0 THEN lower(split_part(c_name, '#', 1)) || CAST(c_custkey AS STRING) "
+                      "|| '@example.com' END"),
+    ("billing_address", "CAST(c_custkey % 90 + 1 AS STRING) || ' High Street'"),
     ("billing_city", "'City ' || CAST(c_nationkey AS STRING)"),
     ("billing_state", "'State'"),
     ("billing_pincode", "lpad(CAST(c_custkey % 1000000 AS STRING), 6, '0')"),
@@ -248,6 +262,13 @@ CANCEL_REQUESTS = [
     ("user_id", "CASE WHEN o_orderkey % 13 = 0 THEN o_custkey + 1 ELSE o_custkey END"),
     ("ts", "o_orderdate + INTERVAL '1' DAY * (o_orderkey % 5)"),
 ]
+# A second request for some of the orders, a day before or after the first.
+CANCEL_REPEATS = [
+    ("seq", "o_orderkey + 2000000000"),
+    ("order_id", "o_orderkey"),
+    ("user_id", "o_custkey"),
+    ("ts", "o_orderdate + INTERVAL '1' DAY * (o_orderkey % 5 + CASE WHEN o_orderkey % 12 = 1 THEN 1 ELSE -1 END)"),
+]
 STATUS_REQUESTS = [
     ("seq", "o_orderkey"),
     ("order_id", "o_orderkey"),
@@ -270,6 +291,17 @@ ORDER_REQUESTS = [
     ("bill_name", "'Bill ' || CAST(o_custkey AS STRING)"),
     ("bill_phone", "'96' || lpad(CAST(o_custkey AS STRING), 8, '0')"),
     ("bill_pincode", "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE '400001' END"),
+    ("payment_method", "CASE WHEN o_orderkey % 20 = 3 THEN 'cod' END"),
+    ("ship_email", "CASE WHEN o_orderkey % 30 = 3 THEN '' ELSE 'u' || CAST(o_custkey AS STRING) || '@example.com' END"),
+    ("ship_address_line1", "CAST(o_custkey % 70 + 1 AS STRING) || ' Lake Road'"),
+    ("ship_city", "'City ' || CAST(o_custkey % 25 AS STRING)"),
+    ("ship_state", "CASE WHEN o_orderkey % 40 <> 13 THEN 'State ' || CAST(o_custkey % 9 AS STRING) END"),
+    ("ship_country", "CASE o_orderkey % 3 WHEN 0 THEN 'Nepal' WHEN 1 THEN '' END"),
+    ("bill_email", "CASE WHEN o_orderkey % 50 <> 3 THEN 'b' || CAST(o_custkey AS STRING) || '@example.com' END"),
+    ("bill_address_line1", "CAST(o_custkey % 50 + 1 AS STRING) || ' Hill Road'"),
+    ("bill_city", "'Town ' || CAST(o_custkey % 25 AS STRING)"),
+    ("bill_state", "'State ' || CAST(o_custkey % 7 AS STRING)"),
+    ("bill_country", "CASE WHEN o_orderkey % 60 = 3 THEN 'Bhutan' END"),
 ]
 ORDER_REQUEST_ITEMS = [
     ("seq", "l_orderkey"),
@@ -277,6 +309,17 @@ ORDER_REQUEST_ITEMS = [
     ("variant_id", "l_partkey * 10 + l_linenumber % 4"),
     ("price", "CAST(l_extendedprice AS DECIMAL(12,2))"),
     ("quantity", "CASE WHEN l_linenumber = 7 THEN 0 ELSE CAST(l_quantity AS INT) END"),
+    ("product_name", "'piece ' || CAST(l_partkey AS STRING)"),
+    ("sku", "CASE l_partkey % 9 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'SKU-' || CAST(l_partkey * 10 + l_linenumber % 4 "
+            "AS STRING) END"),
+]
+# What visitors typed: a part of the product's name, whole or cut short, its
+# category, two letters, or a text with a wildcard.
+SEARCH_REQUESTS = [
+    ("query_id", "p_partkey"),
+    ("q", "CASE p_partkey % 6 WHEN 0 THEN ' ' || upper(split_part(p_name, ' ', 1)) WHEN 1 THEN substr(p_name, 3, 6) "
+          "WHEN 2 THEN substr(p_name, 1, 2) WHEN 3 THEN substr(p_name, 2, 3) || '%' || substr(p_name, 9, 2) "
+          "WHEN 4 THEN p_name ELSE substr(p_name, 1, 1) END"),
 ]
 NEWSLETTER_REQUESTS = [
     ("seq", "c_custkey"),
@@ -293,7 +336,7 @@ REGISTRATIONS = [
 REVIEW_SUBMISSIONS = [
     ("seq", "event_id"),
     ("user_id", "user_id"),
-    ("product_id", "(event_id * 3) % 200"),
+    ("product_id", EVENT_PRODUCT),
     ("title", "'T' || CAST(event_id AS STRING)"),
     ("rating", "CAST(1 + event_id % 5 AS INT)"),
     ("comment", "'C' || CAST(event_id AS STRING)"),
@@ -438,7 +481,8 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     docs = r("documents").select("doc_id", "text")
     t["reviews"] = (purchases.join(docs, F.expr(EVENT_DOCUMENT) == F.col("doc_id"), "left")
                     .selectExpr(*_sel(REVIEWS)))
-    t["profile_updates"] = r("customer").selectExpr(*_sel(PROFILE_UPDATES[1]))
+    t["profile_updates"] = r("customer").selectExpr(*_sel(PROFILE_UPDATES[1])).unionByName(
+        r("customer").where(PROFILE_UPDATES_AGAIN[0]).selectExpr(*_sel(PROFILE_UPDATES_AGAIN[1])))
     t["review_edit_requests"] = ev.where(REVIEW_EDIT_REQUESTS[1]).selectExpr(*_sel(REVIEW_EDIT_REQUESTS[2]))
     t["variant_choices"] = ev.where(VARIANT_CHOICES[1]).selectExpr(*_sel(VARIANT_CHOICES[2]))
     cu, od, li, pa = r("customer"), r("orders"), r("lineitem"), r("part")
@@ -453,6 +497,7 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     t["payment_requests"] = od.where("o_orderkey % 6 = 1").selectExpr(*_sel(PAYMENT_REQUESTS))
     t["order_requests"] = od.where("o_orderkey % 10 = 3").selectExpr(*_sel(ORDER_REQUESTS))
     t["order_request_items"] = li.where("l_orderkey % 10 = 3").selectExpr(*_sel(ORDER_REQUEST_ITEMS))
+    t["search_requests"] = pa.selectExpr(*_sel(SEARCH_REQUESTS))
     t["newsletter_requests"] = cu.selectExpr(*_sel(NEWSLETTER_REQUESTS))
     t["registrations"] = cu.selectExpr(*_sel(REGISTRATIONS))
     t["review_submissions"] = ev.where("event_type = 'purchase'").selectExpr(*_sel(REVIEW_SUBMISSIONS))
@@ -501,7 +546,8 @@ def duckdb_ctes() -> dict[str, str]:
                           f"AS u({', '.join(COUPON_USAGE_COLUMNS)})")
     c["reviews"] = (f"SELECT {s(REVIEWS)} FROM (SELECT event_id, user_id, ts FROM events "
                     f"WHERE event_type = 'purchase') e LEFT JOIN documents ON {EVENT_DOCUMENT} = doc_id")
-    c["profile_updates"] = f"SELECT {s(PROFILE_UPDATES[1])} FROM customer"
+    c["profile_updates"] = (f"SELECT {s(PROFILE_UPDATES[1])} FROM customer UNION ALL "
+                            f"SELECT {s(PROFILE_UPDATES_AGAIN[1])} FROM customer WHERE {PROFILE_UPDATES_AGAIN[0]}")
     c["review_edit_requests"] = (f"SELECT {s(REVIEW_EDIT_REQUESTS[2])} FROM events "
                                  f"WHERE {REVIEW_EDIT_REQUESTS[1]}")
     c["variant_choices"] = f"SELECT {s(VARIANT_CHOICES[2])} FROM events WHERE {VARIANT_CHOICES[1]}"
@@ -510,10 +556,12 @@ def duckdb_ctes() -> dict[str, str]:
                               "FROM customer WHERE c_custkey % 10 = 0)")
     c["payment_confirmations"] = f"SELECT {s(PAYMENT_CONFIRMATIONS)} FROM orders WHERE o_orderkey % 5 = 1"
     c["cancel_requests"] = f"SELECT {s(CANCEL_REQUESTS)} FROM orders WHERE o_orderkey % 3 = 1"
+    c["cancel_repeats"] = f"SELECT {s(CANCEL_REPEATS)} FROM orders WHERE o_orderkey % 6 = 1"
     c["status_requests"] = f"SELECT {s(STATUS_REQUESTS)} FROM orders WHERE o_orderkey % 4 = 0"
     c["admin_cancel_requests"] = ("SELECT o_orderkey AS seq, o_orderkey AS order_id FROM orders "
                                   "WHERE o_orderkey % 5 = 2")
     c["payment_requests"] = f"SELECT {s(PAYMENT_REQUESTS)} FROM orders WHERE o_orderkey % 6 = 1"
+    c["search_requests"] = f"SELECT {s(SEARCH_REQUESTS)} FROM part"
     c["order_requests"] = f"SELECT {s(ORDER_REQUESTS)} FROM orders WHERE o_orderkey % 10 = 3"
     c["order_request_items"] = f"SELECT {s(ORDER_REQUEST_ITEMS)} FROM lineitem WHERE l_orderkey % 10 = 3"
     c["newsletter_requests"] = f"SELECT {s(NEWSLETTER_REQUESTS)} FROM customer"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -18,14 +18,20 @@ def with_total(df: DataFrame, group_cols=None, name: str = "total_products") ->
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None,
-                 mode: str = "overwrite") -> None:
+                 mode: str = "overwrite") -> int:
     """Write a result table (parquet or JSON lines), optionally
-    partitioned, plus a one-row ``_total`` table with its row count."""
-    w = df.write.mode(mode)
+    partitioned, plus a one-row ``_total`` table with its row count. The rows
+    are counted as they are written (an observed metric), so the result is
+    computed once. Returns the count."""
+    spark, path = df.sparkSession, path.rstrip("/")
+    seen = Observation()
+    w = df.observe(seen, F.count(F.lit(1)).alias("total")).write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    getattr(w, fmt)(f"{path.rstrip('/')}/rows")
-    df.agg(F.count(F.lit(1)).alias("total")).write.mode(mode).parquet(f"{path.rstrip('/')}/_total")
+    getattr(w, fmt)(f"{path}/rows")
+    total = seen.get["total"]
+    spark.range(1).select(F.lit(total).cast("long").alias("total")).write.mode(mode).parquet(f"{path}/_total")
+    return total
 
 
 def to_json_rows(df: DataFrame, col: str = "json") -> DataFrame:

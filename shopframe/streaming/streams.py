@@ -6,10 +6,10 @@ writes its result under the cluster's shared checkpoint folder
 (``spark.checkpoint.dir``), never a machine-local folder, and never into the
 driver (no memory sink). Each query keeps its streaming checkpoint with its
 output. A caller that names ``out_dir`` can restart the stream there: it
-resumes from the last committed micro-batch. ``foreachBatch`` writes are keyed
-by the batch id and a batch reads only earlier epochs, so a replayed batch
-writes what it wrote before. Without ``out_dir`` every call starts anew in a
-folder of its own.
+resumes from the last committed micro-batch. ``foreachBatch`` results are
+published under the batch id (``changelog.ChangeLog``), once however often a
+batch is replayed. Without ``out_dir`` every call starts anew in a folder of its
+own.
 
 ``run_available_now`` drives a stream over everything available and returns
 the result table as a batch DataFrame (used by the registered queries and the
@@ -23,21 +23,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cart_fold as CF
-from ..operators import changes as G
 from ..session import scratch_path
 from ..sources import fixtures as X
+from ..sources.folder import Folder
+from .cart_state import OUTCOME, CartLine
+from .changelog import COMPACT_EVERY, ChangeLog
+from .top_table import TopTable
 
 CANCEL_WINDOW = "3 days"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
-
-
 def new_run_dir(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
 
@@ -52,135 +47,69 @@ def run_available_now(stream_writer_factory, out_dir: str) -> None:
         raise RuntimeError(str(exc))
 
 
-# Every COMPACT_EVERY batches a stream writes a snapshot of its change log.
-COMPACT_EVERY = 50
-
-
-def _log_each_batch(df: DataFrame, out_dir: str, transform=None, key=None,
-                    compact_every: int = COMPACT_EVERY):
-    """Update-mode results: each micro-batch appends only the keys it changed
-    to a change log under ``epoch=<batch id>`` (overwritten on replay, so a
-    retried batch writes the same files). Readers take each key's row from
-    its latest epoch (``read_latest``); every ``compact_every`` batches the
-    log is compacted into a snapshot."""
-    spark = df.sparkSession
-
+def _log_each_batch(df: DataFrame, log: ChangeLog, transform=None):
+    """Update-mode results: each micro-batch publishes the keys it changed."""
     def write(batch: DataFrame, epoch: int):
-        out = batch if transform is None else transform(batch)
-        out.write.mode("overwrite").parquet(f"{out_dir}/log/epoch={epoch}")
-        if key and compact_every and (epoch + 1) % compact_every == 0:
-            compact_log(spark, out_dir, key, epoch)
+        log.append(batch if transform is None else transform(batch), epoch)
     return (df.writeStream.outputMode("update").foreachBatch(write)
-            .option("checkpointLocation", f"{out_dir}/_checkpoint"))
-
-
-def _latest_with_epoch(spark: SparkSession, out_dir: str, key: list[str], before: int | None = None,
-                       keys: DataFrame | None = None) -> DataFrame:
-    """Per key, the newest row of the log (with its epoch): the newest
-    snapshot plus only the log epochs after it (partition pruning on epoch).
-    ``before``: as the log stood before that epoch, which a batch that may be
-    a replay has to start from. ``keys``: those keys only, filtered before
-    anything is aggregated."""
-    log = spark.read.parquet(f"{out_dir}/log")
-    if before is not None:
-        log = log.where(F.col("epoch") < before)
-    cols = [c for c in log.columns if c not in key and c != "epoch"]
-    parts = log
-    snap_dir = f"{out_dir}/snapshot"
-    if _exists(spark, snap_dir):
-        snaps = spark.read.parquet(snap_dir)
-        if before is not None:
-            snaps = snaps.where(F.col("upto") < before)
-        upto = snaps.agg(F.coalesce(F.max("upto"), F.lit(-1))).scalar()
-        parts = (snaps.where(F.col("upto") == upto).select(*key, *cols, "epoch")
-                 .unionByName(log.where(F.col("epoch") > upto).select(*key, *cols, "epoch")))
-    if keys is not None:
-        parts = parts.join(keys, key, "left_semi")
-    latest = parts.groupBy(*key).agg(F.max_by(F.struct(*cols, "epoch"), F.col("epoch")).alias("_r"))
-    return latest.select(*key, "_r.*")
-
-
-def compact_log(spark: SparkSession, out_dir: str, key: list[str], epoch: int) -> None:
-    """Write the newest row per key as of ``epoch`` to ``snapshot/upto=<epoch>``
-    (replay-safe: the same epoch rewrites the same snapshot)."""
-    (_latest_with_epoch(spark, out_dir, key).where(F.col("epoch") <= epoch)
-     .write.mode("overwrite").parquet(f"{out_dir}/snapshot/upto={epoch}"))
-
-
-def read_latest(spark: SparkSession, out_dir: str, key: list[str], before: int | None = None,
-                keys: DataFrame | None = None) -> DataFrame:
-    """Current result table of a change log: per key, the row of the latest
-    epoch (a grouped max_by, partially aggregated)."""
-    return _latest_with_epoch(spark, out_dir, key, before, keys).drop("epoch")
-
-
-def _overwrite_each_batch(df: DataFrame, out_dir: str, mode: str = "complete"):
-    """Complete/update-mode results: each micro-batch rewrites the table."""
-    def write(batch: DataFrame, epoch: int):
-        batch.write.mode("overwrite").parquet(f"{out_dir}/result")
-    return (df.writeStream.outputMode(mode).foreachBatch(write)
-            .option("checkpointLocation", f"{out_dir}/_checkpoint"))
+            .option("checkpointLocation", f"{log.out_dir}/_checkpoint"))
+
+
+def _table(log: ChangeLog, stream: DataFrame) -> DataFrame:
+    """The log's table, empty before the first batch."""
+    rows = log.latest()
+    return log.spark.createDataFrame([], stream.schema) if rows is None else rows
 
 
 # ------------------------------------------------------------------ S1 ------
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def cart_state_stream(spark: SparkSession, sf_dir: str, t, max_files_per_trigger: int | None = None,
-                      compact_every: int = COMPACT_EVERY, out_dir: str | None = None) -> DataFrame:
+                      out_dir: str | None = None) -> DataFrame:
     """Cart lines kept current from a stream of cart commands.
 
-    Each micro-batch folds only the keys its commands touch (G1-G3 rules),
-    starting from each key's latest logged line (or the stored cart for a key
-    never logged), and appends the touched keys' new lines - quantity NULL
-    for a removed line - to a change log under ``epoch=<batch id>``. A line
-    inserted by the stream gets ``max(stored id) + seq`` like the batch
-    operator. Returns the current cart: latest logged line per key, plus the
-    stored lines of keys no command touched."""
+    The state store holds the line of each (user, variant), from the stored
+    cart on (``cart_state.CartLine``); every command's outcome is appended to
+    ``outcomes``. A line inserted by the stream gets ``max(stored id) + seq``
+    like the batch operator. Returns the current cart: the lines in the store,
+    and further stored rows of a duplicated key as they are."""
     out_dir = out_dir or new_run_dir(spark, "cart_state")
-    commands = X.project(X.raw_stream(spark, sf_dir, "events", max_files_per_trigger),
-                         X.CART_COMMANDS[2], X.CART_COMMANDS[1])
-    variants = t["product_variants"]
     key = ["user_id", "variant_id"]
+    stock = t["product_variants"].select(F.col("id").alias("variant_id"), F.col("stock").cast("long").alias("stock"))
+    commands = (X.project(X.raw_stream(spark, sf_dir, "events", max_files_per_trigger), X.CART_COMMANDS[2], X.CART_COMMANDS[1])
+                .join(stock, "variant_id", "left")
+                .select(*key, F.col("seq").cast("long"), "op", F.col("qty").cast("long"), F.col("is_gift").cast("int"), "stock"))
     # The stored cart, one line per key (the lowest id of a duplicated key).
     stored = (t["cart_items"].groupBy(*key).agg(
         F.min("id").alias("id"), F.min_by("quantity", "id").alias("quantity"),
         F.min_by("is_gift", "id").alias("is_gift"))
         .select("id", *key, F.col("quantity").cast("long"), F.col("is_gift").cast("int")))
-    base = t["cart_items"].agg(F.coalesce(F.max("id"), F.lit(0)).alias("_b")).scalar()
-    log_dir = f"{out_dir}/log"
-
-    def lines_of(keys: DataFrame, epoch: int) -> DataFrame:
-        own = stored.join(keys, key, "left_semi")
-        if epoch == 0 or not _exists(spark, log_dir):
-            return own
-        logged = read_latest(spark, out_dir, key, epoch, keys)
-        return (own.join(logged.select(*key), key, "left_anti")
-                .unionByName(logged.where(F.col("quantity").isNotNull())
-                             .select("id", *key, "quantity", "is_gift")))
-
-    def merge(batch: DataFrame, epoch: int):
-        touched = batch.select(*key).distinct()
-        prev = lines_of(touched, epoch)
-        folded = CF.fold_cart_commands(prev, batch, variants)
-        new = (folded.where(F.col("row_kind") == "state")
-               .select(*key, F.coalesce("cart_id", base + F.col("inserted_by")).alias("id"),
-                       "quantity", "is_gift"))
-        new.write.mode("overwrite").parquet(f"{log_dir}/epoch={epoch}")
-        if compact_every and (epoch + 1) % compact_every == 0:
-            compact_log(spark, out_dir, key, epoch)
+    base = t["cart_items"].agg(F.coalesce(F.max("id"), F.lit(0)).alias("b")).first().b      # one value
+    outcomes = commands.groupBy(*key).transformWithState(
+        CartLine(base), OUTCOME, "Append", "None", initialState=stored.groupBy(*key))
 
     def factory(d):
-        return (commands.writeStream.foreachBatch(merge)
+        return (outcomes.writeStream.outputMode("append").format("parquet").option("path", f"{d}/outcomes")
                 .option("checkpointLocation", f"{d}/_checkpoint"))
-    run_available_now(factory, out_dir)
-    # Further stored rows of a key are other lines: they stay as they are.
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        run_available_now(factory, out_dir)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     others = (t["cart_items"].join(stored.select("id"), "id", "left_anti")
               .select("id", *key, F.col("quantity").cast("long"), F.col("is_gift").cast("int")))
-    if not _exists(spark, log_dir):
+    if not Folder(spark, out_dir).names("_checkpoint/commits"):
         return stored.unionByName(others)
-    logged = read_latest(spark, out_dir, key)
-    untouched = stored.join(logged.select(*key), key, "left_anti")
-    return untouched.unionByName(others).unionByName(logged.where(F.col("quantity").isNotNull())
-                                 .select("id", *key, "quantity", "is_gift"))
+    return cart_lines(spark, out_dir).unionByName(others)
+
+
+def cart_lines(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The cart in the state store of the stream at ``out_dir``."""
+    line = spark.read.format("statestore").option("stateVarName", "line").load(f"{out_dir}/_checkpoint")
+    return line.select("value.id", "key.user_id", "key.variant_id", "value.quantity", "value.is_gift")
 
 
 # ------------------------------------------------------------------ S2 ------
@@ -209,8 +138,11 @@ def wishlist_state_stream(spark: SparkSession, sf_dir: str, t,
         present = F.col("id").isNotNull() != ((F.col("_n") % 2) == 1)
         return j.select(*key, F.when(present, base + F.col("_last")).alias("id"), present.alias("present"))
 
-    run_available_now(lambda d: _log_each_batch(counts, d, membership, key, compact_every), out_dir)
-    touched = read_latest(spark, out_dir, key)
+    log = ChangeLog(spark, out_dir, key, compact_every)
+    run_available_now(lambda d: _log_each_batch(counts, log, membership), out_dir)
+    touched = log.latest()
+    if touched is None:
+        return stored.select("id", *key)
     kept = stored.select("id", *key).join(touched.select(*key), key, "left_anti")
     return kept.unionByName(touched.where("present").select("id", *key))
 
@@ -230,8 +162,9 @@ def subscriber_dedup_stream(spark: SparkSession, sf_dir: str,
     firsts = subs.groupBy(F.lower("email").alias("email_key")).agg(
         F.min("id").alias("id"), F.min_by("email", "id").alias("email"),
         F.min_by("subscribed_at", "id").alias("subscribed_at"))
-    run_available_now(lambda d: _log_each_batch(firsts, d, None, ["email_key"], compact_every), out_dir)
-    return read_latest(spark, out_dir, ["email_key"])
+    log = ChangeLog(spark, out_dir, ["email_key"], compact_every)
+    run_available_now(lambda d: _log_each_batch(firsts, log), out_dir)
+    return _table(log, firsts)
 
 
 # ------------------------------------------------------------------ S4 ------
@@ -247,53 +180,101 @@ def latest_status_stream(spark: SparkSession, sf_dir: str, out_dir: str | None =
     cur = hist.groupBy("order_id").agg(
         F.max_by("status", F.struct("created_at", "id")).alias("current_status"),
         F.max("created_at").alias("status_at"))
-    run_available_now(lambda d: _log_each_batch(cur, d, None, ["order_id"]), out_dir)
-    return read_latest(spark, out_dir, ["order_id"])
+    log = ChangeLog(spark, out_dir, ["order_id"])
+    run_available_now(lambda d: _log_each_batch(cur, log), out_dir)
+    return _table(log, cur)
 
 
 # ------------------------------------------------------------------ S5 ------
 
-def valid_cancellations_stream(spark: SparkSession, sf_dir: str, out_dir: str | None = None) -> DataFrame:
+def valid_cancellations_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None,
+                               compact_every: int = COMPACT_EVERY, out_dir: str | None = None) -> DataFrame:
     """Customer cancellations that arrive within 3 days of their order,
     by the order's owner, while the order is pending or confirmed: a
     stream-stream interval join with 3-day watermarks on both sides, so the
-    join state is bounded by the window, appended to parquet."""
+    join state is bounded by the window. The first valid request cancels its
+    order, and later ones do not count: those of one micro-batch stand in order
+    of time and ``seq``, and orders cancelled by an earlier batch are looked up
+    in the log of results. Requests behind the watermark, which the join drops,
+    are kept in a table of their own (``late_cancellations``)."""
     out_dir = out_dir or new_run_dir(spark, "cancellations")
     # Watermarks need TIMESTAMP event time; the wall-clock NTZ columns are
     # mapped through the session time zone (monotone, so order is kept).
-    orders = (X.project(X.raw_stream(spark, sf_dir, "orders"), X.SHOP_ORDERS[1])
+    raw = X.raw_stream(spark, sf_dir, "orders", max_files_per_trigger)
+    orders = (X.project(raw, X.SHOP_ORDERS[1])
               .select(F.col("id").alias("o_id"), F.col("user_id").alias("owner"), "status", "created_at",
-                      F.col("created_at").cast("timestamp").alias("_o_et"))
-              .withWatermark("_o_et", CANCEL_WINDOW))
-    cancels = (X.project(X.raw_stream(spark, sf_dir, "orders"), X.CANCEL_REQUESTS, "o_orderkey % 3 = 1")
-               .withColumn("_c_et", F.col("ts").cast("timestamp"))
-               .withWatermark("_c_et", CANCEL_WINDOW))
-    joined = cancels.join(
-        orders,
+                      F.col("created_at").cast("timestamp").alias("_o_et")))
+    asked = X.project(raw, X.CANCEL_REQUESTS, "o_orderkey % 3 = 1").unionByName(
+        X.project(raw, X.CANCEL_REPEATS, "o_orderkey % 6 = 1"))
+    cancels = asked.withColumn("_c_et", F.col("ts").cast("timestamp"))
+    joined = cancels.withWatermark("_c_et", CANCEL_WINDOW).join(
+        orders.withWatermark("_o_et", CANCEL_WINDOW),
         (F.col("order_id") == F.col("o_id")) & (F.col("_c_et") >= F.col("_o_et"))
         & (F.col("_c_et") <= F.col("_o_et") + F.expr(f"INTERVAL {CANCEL_WINDOW}")),
         "inner")
     valid = (joined.where((F.col("owner") == F.col("user_id")) & F.col("status").isin("pending", "confirmed"))
              .select("seq", "order_id", "user_id", "ts", "created_at"))
-
-    def factory(d):
-        return (valid.writeStream.outputMode("append").format("parquet")
-                .option("path", f"{d}/result").option("checkpointLocation", f"{d}/_checkpoint"))
-    run_available_now(factory, out_dir)
-    return spark.read.parquet(f"{out_dir}/result")
+    log = ChangeLog(spark, out_dir, ["order_id"], compact_every)
+
+    def first_of_each(batch: DataFrame, epoch: int):
+        rest = [c for c in batch.columns if c != "order_id"]
+        first = batch.groupBy("order_id").agg(F.min_by(F.struct(*rest), F.struct("ts", "seq")).alias("r")).select("order_id", "r.*")
+        done = log.latest()
+        log.append(first if done is None else first.join(done, "order_id", "left_anti"), epoch)
+
+    late = ChangeLog(spark, f"{out_dir}/late", ["seq"], compact_every)
+    # Event times of both sides, for the watermark that the join goes by.
+    times = cancels.select("seq", "order_id", "user_id", "ts", F.lit("c").alias("side"), F.col("_c_et").alias("et")).unionByName(
+        orders.select(F.lit(None).cast("long").alias("seq"), F.col("o_id").alias("order_id"), F.col("owner").alias("user_id"),
+                      F.col("created_at").alias("ts"), F.lit("o").alias("side"), F.col("_o_et").alias("et")))
+
+    def behind(batch: DataFrame, epoch: int):
+        now = late.manifest()
+        if now and now["epoch"] >= epoch:
+            return
+        seen = dict((now or {}).get("note") or {})
+        bound = min(seen.values()) if len(seen) == 2 else None
+        limit = F.timestamp_micros(F.lit(bound)) - F.expr(f"INTERVAL {CANCEL_WINDOW}") if bound is not None else None
+        for r in batch.groupBy("side").agg(F.max(F.unix_micros("et")).alias("m")).collect():       # two rows
+            seen[r.side] = max(r.m, seen.get(r.side, r.m))
+        rows = batch.where(F.col("side") == "c").where(F.col("et") < limit if limit is not None else F.lit(False))
+        late.append(rows.select("seq", "order_id", "user_id", "ts"), epoch, seen)
+
+    run_available_now(lambda d: valid.writeStream.foreachBatch(first_of_each)
+                      .option("checkpointLocation", f"{d}/_checkpoint"), out_dir)
+    run_available_now(lambda d: times.writeStream.foreachBatch(behind)
+                      .option("checkpointLocation", f"{d}/late/_checkpoint"), out_dir)
+    return _table(log, valid)
+
+
+def late_cancellations(spark: SparkSession, out_dir: str) -> DataFrame | None:
+    """Requests of the stream at ``out_dir`` that came behind the watermark."""
+    return ChangeLog(spark, f"{out_dir}/late", ["seq"]).latest()
 
 
 # ------------------------------------------------------------------ S6 ------
 
-def most_carted_stream(spark: SparkSession, sf_dir: str, t, n: int = 5, out_dir: str | None = None) -> DataFrame:
+def most_carted_stream(spark: SparkSession, sf_dir: str, t, n: int = 5, max_files_per_trigger: int | None = None,
+                       compact_every: int = COMPACT_EVERY, out_dir: str | None = None, after_batch=None) -> DataFrame:
     """Running most-carted products: cart additions (stream) joined to
-    the catalog (static), summed per product, top ``n`` in complete mode."""
+    the catalog (static) and summed per product in update mode; every batch
+    brings the changed products into the ranking (``top_table.TopTable``),
+    whose first ``n`` are exact after it. ``after_batch(ranking, epoch)`` is
+    called then."""
     out_dir = out_dir or new_run_dir(spark, "most_carted")
-    items = X.project(X.raw_stream(spark, sf_dir, "events"), X.CART_ITEMS[2], X.CART_ITEMS[1])
+    items = X.project(X.raw_stream(spark, sf_dir, "events", max_files_per_trigger), X.CART_ITEMS[2], X.CART_ITEMS[1])
     v = t["product_variants"].select(F.col("id").alias("variant_id"), "product_id")
     p = t["products"].select(F.col("id").alias("product_id"), "name", "image1")
-    top = (items.join(v, "variant_id").join(p, "product_id")
-           .groupBy("product_id", "name", "image1").agg(F.sum("quantity").alias("total_added"))
-           .orderBy(F.col("total_added").desc(), F.col("product_id").asc()).limit(n))
-    run_available_now(lambda d: _overwrite_each_batch(top, d), out_dir)
-    return spark.read.parquet(f"{out_dir}/result").withColumnRenamed("product_id", "id")
+    sums = (items.join(v, "variant_id").join(p.select("product_id"), "product_id")
+            .groupBy("product_id").agg(F.sum("quantity").cast("long").alias("total_added")))
+    ranking = TopTable(ChangeLog(spark, out_dir, ["product_id"], compact_every), "total_added", n)
+
+    def write(batch: DataFrame, epoch: int):
+        ranking.update(batch, epoch)
+        if after_batch:
+            after_batch(ranking, epoch)
+    run_available_now(lambda d: sums.writeStream.outputMode("update").foreachBatch(write)
+                      .option("checkpointLocation", f"{d}/_checkpoint"), out_dir)
+    first = spark.createDataFrame(ranking.top(), "product_id long, total_added long")
+    return (first.join(p, "product_id").select(F.col("product_id").alias("id"), "name", "image1", "total_added")
+            .orderBy(F.desc("total_added"), "id"))
