@@ -1,44 +1,3 @@
-"""Distributed union-find: connected components of an edge table.
+"""Connected components, as the storefront has them."""
 
-Alternates two steps until nothing changes. Large star: every node links its
-larger neighbours to its smallest neighbour (or itself). Small star: every node
-links its smaller neighbours and itself to the smallest of them. Trees flatten
-into stars whose centre is the component's smallest node, in a number of rounds
-that grows with the logarithm of the component size. Each step is a grouped
-minimum (pre-aggregated, so a centre with very many neighbours costs a row per
-task) and a join back, which Spark may split where a centre is skewed. Every
-round cuts its lineage with a checkpoint in the shared folder.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import materialize
-
-
-def _star(both: DataFrame) -> DataFrame:
-    low = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.join(low, "u")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """``edges``: columns a, b of one comparable type (any direction, repeats
-    and loops allowed). Returns (node, component) for every node that has an
-    edge to another one, component being its smallest reachable node."""
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = materialize(e)
-    while True:
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).select(F.col("v").alias("u"), F.least("m", "u").alias("v"), F.col("u").alias("c")) \
-            .where("u > c AND u <> v").select("u", "v").distinct()
-        stars = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(stars, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionAll(stars.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        e = materialize(small)
-        # Done when every node has one centre and no centre has one itself.
-        n = e.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("u").alias("u")).first()
-        if n.n == n.u and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
-                e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+from ..operators.components import components  # noqa: F401

@@ -30,7 +30,7 @@ Edge cases: null, empty and blank texts have an empty set and link with nothing
 (their component is their own id); repeated rows and copies share their
 component; rows of null id take part, their component is the smallest id present
 or null; an empty table gives no row; extra columns are ignored. Sets are
-compared by 64-bit hashes of their shingles, nodes are named by 128 bits.
+compared by 64-bit hashes of their shingles, and named by 128 bits.
 """
 
 from __future__ import annotations
@@ -135,20 +135,19 @@ def _sign(width: int):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(c.lo, c.n), pa.array(count), pa.array(names, pa.binary()),
                      pa.array(keys, pa.binary()), pa.array(packed, pa.binary())],
-                    names=["doc_id", "n", "node", "keys", "z"])
+                    names=["doc_id", "n", "name", "keys", "z"])
     return task
 
 
 def _postings(batches):
-    """Rows (node, n, keys): a row (key, node, n) for each band."""
+    """Rows (node, keys): a row (key, node) for each band."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 4096):
             part = batch.slice(lo, 4096)
-            keys = part.column(2).to_pylist()
+            keys = part.column(1).to_pylist()
             row = np.repeat(np.arange(part.num_rows), [len(k) // 8 for k in keys])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(b"".join(keys), np.int64)), part.column(0).take(pa.array(row)),
-                 part.column(1).take(pa.array(row))], names=["key", "node", "n"])
+                [pa.array(np.frombuffer(b"".join(keys), np.int64)), part.column(0).take(pa.array(row))], names=["key", "node"])
 
 
 def unpacked_sets(packed: list[bytes], width: int):
@@ -190,11 +189,11 @@ def similar_to(x: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarra
     return 100 * common >= percent * (len(x) + size - common)
 
 
-PAIR = "a binary, b binary"
+PAIR = "a long, b long"
 
 
 def _pairs(found) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def _stars(width: int, percent: int):
@@ -223,7 +222,7 @@ def star_links(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> D
                                              "member")
     hubs = counts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"))
     rows = dealt.join(sets.withColumnRenamed("node", "member"), "member").select("hub", "part", "member", "z").unionByName(
-        hubs.join(sets.withColumnRenamed("node", "hub"), "hub").select("hub", "part", F.lit(None).cast("binary").alias("member"), "z"))
+        hubs.join(sets.withColumnRenamed("node", "hub"), "hub").select("hub", "part", F.lit(None).cast("long").alias("member"), "z"))
     return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("member").asc_nulls_first()).mapInArrow(
         tidy(_stars(width, percent)), PAIR)
 
@@ -304,22 +303,26 @@ def crowd_links(rest: DataFrame, sets: DataFrame, width: int, percent: int, limi
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id",
                     text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable)
-    and node (the name of its set, null where it is empty)."""
+    and name (of its set, null where it is empty)."""
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     signed = materialize(d.mapInArrow(
-        tidy(_sign(width)), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n long, node binary, keys binary, z binary"))
-    rows = signed.where("node IS NOT NULL")
-    nodes = materialize(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"),
-                                                 F.min("doc_id").alias("least")))
-    postings = nodes.select("node", "n", "keys").mapInArrow(_postings, "key long, node binary, n long")
-    buckets = materialize(postings.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("c"))
-                          .where("c > 1").select("key", "hub.node", F.col("hub.n").alias("hub_n"), "c")
-                          .withColumnRenamed("node", "hub"))
+        tidy(_sign(width)), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n long, name binary, keys binary, z binary"))
+    rows = signed.where("name IS NOT NULL")
+    # Sets are numbered once, in the written table.
+    nodes = materialize(rows.groupBy("name").agg(F.first("n").alias("n"), F.first("keys").alias("keys"),
+                                                 F.min("doc_id").alias("least"))
+                        .withColumn("node", F.monotonically_increasing_id()))
+    postings = nodes.select("node", "keys").mapInArrow(_postings, "key long, node long")
+    buckets = materialize(postings.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1"))
     met = postings.join(buckets, "key")
-    sized = f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
-    pairs = materialize(met.where("node <> hub").where(sized).select("hub", F.col("node").alias("member")).distinct())
-    shared = met.select("node").distinct()
-    sets = materialize(rows.select("node", "z").join(shared, "node", "left_semi").dropDuplicates(["node"]))
+    size = nodes.select("node", "n")
+    pairs = met.where("node <> hub").select("hub", F.col("node").alias("member")).distinct()
+    pairs = (pairs.join(size.select(F.col("node").alias("hub"), F.col("n").alias("hub_n")), "hub")
+             .join(size.select(F.col("node").alias("member"), "n"), "member")
+             .where(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select("hub", "member"))
+    pairs = materialize(pairs)
+    shared = nodes.select("node", "name").join(met.select("node").distinct(), "node", "left_semi")
+    sets = materialize(rows.select("name", "z").join(shared, "name").dropDuplicates(["node"]).select("node", "z"))
     links = materialize(star_links(pairs, sets, width, percent))
     comp = materialize(components(links))
     # Buckets that are not one component yet, beside their hub.
@@ -333,13 +336,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         more = materialize(crowd_links(member.join(mixed, "key", "left_semi"), sets, width, percent, limit))
         if not more.isEmpty():
             comp = materialize(components(links.unionByName(more)))
-    classed = materialize(nodes.select("node", "least").join(comp, "node", "left").select(
-        "node", "least", F.coalesce("component", "node").alias("class")))
+    classed = materialize(nodes.select("name", "node", "least").join(comp, "node", "left").select(
+        "name", "least", F.coalesce("component", "node").alias("class")))
     least = materialize(classed.groupBy("class").agg(F.min("least").alias("component_id")))
-    named = materialize(classed.join(least, "class").select("node", "component_id"))
-    return signed.select("doc_id", "n", "node").join(named, "node", "left").select(
+    named = materialize(classed.join(least, "class").select("name", "component_id"))
+    return signed.select("doc_id", "n", "name").join(named, "name", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
+        F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "name")
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
