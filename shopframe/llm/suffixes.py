@@ -9,13 +9,15 @@ bytes before it carries all windows it owns.
 1. Sampled suffixes whose leading ``lead`` bytes occur nowhere else match
    nothing; a shuffle of 32-bit hashes within buckets sorts them out.
 2. The others leave their document with their leading bytes. Splitters sampled
-   from the corpus range-partition them by their first eight bytes.
-3. Each range bucket is sorted locally by multikey quicksort: eight bytes a
-   digit, descending only into runs still tied. Runs tied in all ``lead``
-   leading bytes are the groups that can match. Splitters are whole eight-byte
-   digits, so a run tied in its leading bytes never crosses from one bucket to
-   the next: the suffixes on either side of a boundary differ in their first
-   digit, which is the comparison across boundaries.
+   from the corpus range-partition them by all ``lead`` leading bytes. A
+   beginning that the sample meets so often that it would fill a bucket by
+   itself is heavy: its suffixes are cut into their windows, and each window is
+   dealt by a hash of its bytes, so that equal ones still meet.
+3. Each bucket is sorted locally by multikey quicksort: eight bytes a digit,
+   descending only into runs still tied. Runs tied in all ``lead`` leading bytes
+   are the groups that can match. A splitter is a whole beginning, so a run tied
+   in its leading bytes never crosses a boundary: the suffixes on either side
+   of it differ, which is the comparison across boundaries.
 4. In a group, suffixes equal with all the bytes they carry settle by the
    smallest doc_id; where contexts differ, the windows owned are compared one
    by one (by 128 bits of hash), each by the smallest doc_id that has it.
@@ -24,7 +26,8 @@ bytes before it carries all windows it owns.
 
 Exact copies that one map task meets are settled there, so a group of very
 many copies costs a row per task and suffix. The texts are shuffled once, by
-document, and read from that shuffle twice.
+document, and read from that shuffle twice. A text is read ``SEGMENT`` windows at
+a time, so its length is not limited.
 
 Edge cases: a null or empty text has no bytes; texts shorter than ``span`` lose
 nothing; a null doc_id comes after all others; rows of equal id do not affect
@@ -47,28 +50,25 @@ from .textcore import BASES, chunks, ranges, runs_of, sliding_min, some_rows, te
 
 SPAN = 50
 LEAD = 20
-SAMPLE_DOCS = 2000      # documents whose suffixes give the splitters
+SAMPLE_DOCS = 2000      # documents, about, whose suffixes give the splitters
+SAMPLE_EACH = 500       # suffixes that one of them gives at most
+SEGMENT = 1 << 22       # windows of a text taken at once, at most 2**26
 _PLACE = np.uint64((1 << 27) - 1)
 
 
 def owners(chunk, span: int, lead: int):
-    """(window starts, the sampled suffix that owns each, hash of the leading
-    bytes at every position) of a chunk."""
-    values = chunk.data.astype(np.uint64) + np.uint64(1)
-    key = window_hash(values, lead)
-    n = len(values) - span + 1
-    if n <= 0:
-        z = np.zeros(0, np.int64)
-        return z, z, key
-    wide = span - lead + 1
-    if len(key) > int(_PLACE):
-        raise ValueError("a single text beyond 128 MB")
-    least = sliding_min((key & ~_PLACE) | np.arange(len(key), dtype=np.uint64), wide)
-    inside = np.ones(n, dtype=bool)
-    ends = chunk.offsets[1:-1]
-    inside[_before(ends, span, n)] = False
-    start = np.flatnonzero(inside)
-    return start, (least[:n][start] & _PLACE).astype(np.int64), key
+    """Segment by segment: window starts, the sampled suffix that owns each,
+    and the hash of that suffix's leading bytes."""
+    n, ends = len(chunk.data) - span + 1, chunk.offsets[1:-1]
+    for lo in range(0, max(n, 0), SEGMENT):
+        hi = min(lo + SEGMENT, n)
+        key = window_hash(chunk.data[lo:hi + span - 1].astype(np.uint64) + np.uint64(1), lead)
+        least = sliding_min((key & ~_PLACE) | np.arange(len(key), dtype=np.uint64), span - lead + 1)
+        inside = np.ones(hi - lo, dtype=bool)
+        inside[_before(ends[(ends > lo) & (ends < hi + span - 1)] - lo, span, hi - lo)] = False
+        start = np.flatnonzero(inside)
+        owner = (least[start] & _PLACE).astype(np.int64)
+        yield start + lo, owner + lo, key[owner]
 
 
 def _before(ends: np.ndarray, span: int, n: int) -> np.ndarray:
@@ -81,13 +81,26 @@ def _before(ends: np.ndarray, span: int, n: int) -> np.ndarray:
 def sampled(span: int, lead: int):
     """Postings of all sampled suffixes: every one is an index entry."""
     def anchors(chunk):
-        _, owner, key = owners(chunk, span, lead)
-        place = owner[np.append(True, owner[1:] != owner[:-1])] if len(owner) else owner
+        places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for _, owner, key in owners(chunk, span, lead):
+            new = np.append(True, owner[1:] != owner[:-1]) if len(owner) else np.zeros(0, dtype=bool)
+            places.append(owner[new])
+            hashes.append(key[new])
+        place, key = np.concatenate(places), np.concatenate(hashes)
         row = np.searchsorted(chunk.offsets, place, side="right") - 1
-        return row, place - chunk.offsets[row], key[place], np.ones(len(place), dtype=bool), key[place]
+        return row, place - chunk.offsets[row], key, np.ones(len(place), dtype=bool), key
     return anchors
 
 
+def beginnings(data: np.ndarray, at: np.ndarray, lead: int) -> np.ndarray:
+    """The ``lead`` bytes from each place, as fixed-length byte strings."""
+    out = np.empty(len(at), dtype=f"S{lead}")
+    for lo in range(0, len(at), 8192):
+        part = np.ascontiguousarray(data[at[lo:lo + 8192, None] + np.arange(lead)])
+        out[lo:lo + 8192] = part.view(f"S{lead}").ravel()
+    return out
+
+
 def digits(data: np.ndarray, at: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
     """(n, width) big-endian 8-byte digits of the strings data[at:at+length],
     zero-padded."""
@@ -149,16 +162,34 @@ def pack_spans(ids, th, start, end, buckets: int):
         if len(ids) else []
 
 
-def _suffixes(span: int, lead: int, splitters: np.ndarray):
+def _suffixes(span: int, lead: int, splitters: np.ndarray, heavy: np.ndarray):
     """Rows (id, text, pos list): suffixes whose leading bytes occur elsewhere,
-    with the bytes of the windows they own, packed by range bucket; what one
-    task settles is passed on as (id, th, spans)."""
+    with the bytes of the windows they own, packed by bucket; what one task
+    settles is passed on as (id, th, spans)."""
+    def deal(doc, start, before, length, pieces):
+        """The suffixes and their buckets, heavy ones window by window."""
+        at = np.cumsum(length) - length
+        begin = beginnings(pieces, at + before, lead)
+        bucket = np.searchsorted(splitters, begin, side="right")
+        if len(heavy) == 0:
+            return doc, start, before, length, pieces, bucket
+        many = heavy[np.minimum(np.searchsorted(heavy, begin), len(heavy) - 1)] == begin
+        k, rest = np.flatnonzero(many), np.flatnonzero(~many)
+        if len(k) == 0:
+            return doc, start, before, length, pieces, bucket
+        n = length[k] - span + 1
+        who, step = np.repeat(k, n), ranges(np.zeros(len(k), np.int64), n)
+        own = pieces[ranges(at[who] + step, np.full(len(who), span))]
+        h = window_hash(own.astype(np.uint64) + np.uint64(1), span)[np.arange(len(who)) * span]
+        return (np.append(doc[rest], doc[who]), np.append(start[rest], start[who] + step),
+                np.append(before[rest], before[who] - step), np.append(length[rest], np.full(len(who), span)),
+                np.append(pieces[ranges(at[rest], length[rest])], own),
+                np.append(bucket[rest], (h % np.uint64(len(splitters) + 1)).astype(np.int64)))
+
     def send(table, ids):
-        doc, start, before, length, pieces = gather(table)
+        doc, start, before, length, pieces, bucket = deal(*gather(table))
         ids = np.concatenate(ids)
         at = np.cumsum(length) - length
-        first8 = digits(pieces, at + before, length - before, 1)[:, 0]
-        bucket = np.searchsorted(splitters, first8, side="right")
         # Equal strings in one task: all but those of the smallest id are settled.
         width = (2 * span - lead + 7) // 8 + 1
         cols = np.column_stack([digits(pieces, at, length, width), (before * 256 + length).astype(np.uint64)])
@@ -198,31 +229,30 @@ def _suffixes(span: int, lead: int, splitters: np.ndarray):
                 if len(rows) == 0:
                     continue
                 part = some_rows(c, rows)
-                start, owner, _ = owners(part, span, lead)
-                if len(start) == 0:
-                    continue
                 hit = np.zeros(len(part.data) + 1, dtype=bool)
                 for k, i in enumerate(rows):
                     p = unpack_positions(lists[c.lo + int(i)].as_py()) + part.offsets[k]
                     hit[p[p < part.offsets[k + 1]]] = True
-                use = hit[owner]
-                start, owner = start[use], owner[use]
-                if len(start) == 0:
-                    continue
-                # Windows owned by one suffix are consecutive.
-                new = np.append(True, (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1))
-                a = np.flatnonzero(new)
-                last = start[np.append(a[1:], len(start)) - 1]
-                low, length = start[a], last + span - start[a]
-                row = np.searchsorted(part.offsets, low, side="right") - 1
-                table.append((row + base, low - part.offsets[row], owner[a] - low, length,
-                              part.data[ranges(low, length)]))
-                ids.append(np.column_stack([column[c.lo:c.hi][rows].astype(np.int64), text_hash(part)]))
+                own = np.column_stack([column[c.lo:c.hi][rows].astype(np.int64), text_hash(part)])
+                ids.append(own)
+                for start, owner, _ in owners(part, span, lead):
+                    use = hit[owner]
+                    start, owner = start[use], owner[use]
+                    if len(start) == 0:
+                        continue
+                    # Windows owned by one suffix are consecutive.
+                    new = np.append(True, (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1))
+                    a = np.flatnonzero(new)
+                    last = start[np.append(a[1:], len(start)) - 1]
+                    low, length = start[a], last + span - start[a]
+                    row = np.searchsorted(part.offsets, low, side="right") - 1
+                    table.append((row + base, low - part.offsets[row], owner[a] - low, length,
+                                  part.data[ranges(low, length)]))
+                    n += len(a)
+                    if n >= 120_000:
+                        yield from send(table, ids)
+                        table, ids, n, base = [], [own], 0, 0
                 base += part.n
-                n += len(a)
-                if n >= 120_000:
-                    yield from send(table, ids)
-                    table, ids, n, base = [], [], 0, 0
         if n:
             yield from send(table, ids)
     return task
@@ -341,9 +371,9 @@ def _cut(with_text: bool):
                         found = [np.frombuffer(p, np.uint32).astype(np.int64).reshape(-1, 2) for t, p in zip(
                             batch.column(2)[c.lo + i].as_py(), batch.column(3)[c.lo + i].as_py()) if t == own[i]]
                         if found:
-                            found = np.concatenate(found)
-                            delta = np.bincount(found[:, 0], minlength=n + 1) - np.bincount(found[:, 1], minlength=n + 1)
-                            gone = np.cumsum(delta)[:n] > 0
+                            gone = np.zeros(n, dtype=bool)
+                            for a, b in np.concatenate(found).tolist():
+                                gone[a:b] = True
                             runs = len(runs_of(gone)[0])
                             data = data[~gone]
                     kept = data.tobytes()
@@ -357,25 +387,29 @@ def _cut(with_text: bool):
     return task
 
 
-def sample_splitters(docs: DataFrame, buckets: int, span: int, lead: int) -> np.ndarray:
-    """First digits that cut the sampled suffixes of about ``SAMPLE_DOCS``
-    documents into ``buckets`` even ranges."""
-    every = max(1, docs.count() // SAMPLE_DOCS)
+def sample_splitters(docs: DataFrame, buckets: int, span: int, lead: int) -> tuple[np.ndarray, np.ndarray]:
+    """Beginnings that cut the suffixes of about ``SAMPLE_DOCS`` rows, however
+    their ids repeat, into ``buckets`` even ranges; and those that would fill
+    a range or more by themselves."""
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
 
     def task(batches):
         for batch in batches:
-            for c in chunks(batch.column(0)):
-                _, owner, _ = owners(c, span, lead)
-                place = np.unique(owner)[::8]
-                d = digits(c.data, place, len(c.data) - place, 1)[:, 0] if len(place) else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array([d.tobytes()], pa.binary())], names=["d"])
-
-    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text").mapInArrow(task, "d binary")
-    d = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r.d, np.uint64) for r in some.toLocalIterator()]])
+            for c in chunks(batch.column(0), max_rows=1):
+                place = [owner[np.append(True, owner[1:] != owner[:-1])] for _, owner, _ in owners(c, span, lead) if len(owner)]
+                place = np.unique(np.concatenate([np.zeros(0, np.int64), *place]))[::8]
+                place = place[::max(1, -(-len(place) // SAMPLE_EACH))]
+                yield pa.RecordBatch.from_arrays([pa.array([beginnings(c.data, place, lead).tobytes()], pa.binary())], names=["d"])
+
+    some = docs.where(F.rand(7) < share).select("text").mapInArrow(task, "d binary")
+    kind = f"S{lead}"
+    d = np.concatenate([np.zeros(0, kind), *[np.frombuffer(r.d, kind) for r in some.toLocalIterator()]])
     d.sort()
     if len(d) == 0 or buckets < 2:
-        return np.zeros(0, np.uint64)
-    return np.unique(d[(np.arange(1, buckets) * len(d)) // buckets])
+        return np.zeros(0, kind), np.zeros(0, kind)
+    cuts = d[(np.arange(1, buckets) * len(d)) // buckets]
+    splitters, times = np.unique(cuts, return_counts=True)
+    return splitters, splitters[times > 1]
 
 
 def remove_duplicate_spans(docs: DataFrame, span: int = SPAN, lead: int = LEAD, id_col: str = "doc_id",
@@ -384,10 +418,10 @@ def remove_duplicate_spans(docs: DataFrame, span: int = SPAN, lead: int = LEAD,
     wanted) the kept bytes."""
     d = identified(docs, id_col, text_col)
     buckets = bucket_count(d)
-    splitters = sample_splitters(d, buckets, span, lead)
+    splitters, heavy = sample_splitters(d, buckets, span, lead)
     hits = shared_positions(d, sampled(span, lead), buckets)
     sent = with_lists(d, hits, "pos").mapInArrow(
-        tidy(_suffixes(span, lead, splitters)), "bucket int, found int, data binary")
+        tidy(_suffixes(span, lead, splitters, heavy)), "bucket int, found int, data binary")
     found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
         tidy(_compare(span, lead, len(splitters) + 1)), "bucket int, data binary")
     found = by_document(found, 2, (np.uint32, np.uint32), _listed, "id long, th long, spans binary")
