@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linear import fit, sigmoid
@@ -137,10 +137,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     langs = sorted(counts)
     share = max(1, sample_rows // len(langs))
     place = {lang: i for i, lang in enumerate(langs)}
-    # A row is taken when the hash of its id falls below its language's rate.
-    rate = F.create_map(*[F.lit(v) for lang in langs for v in (lang, min(1.0, share / counts[lang]))])
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where((unit < F.element_at(rate, F.col("lang"))) & F.col("text").isNotNull())
+    # Rows whose hash falls below twice their language's rate, equal ones once,
+    # and of these the first ``share`` of each language: the bound holds however
+    # ids and texts repeat.
+    rate = F.create_map(*[F.lit(v) for lang in langs for v in (lang, min(1.0, 2 * share / counts[lang]))])
+    rows = rows.where(F.col("text").isNotNull()).withColumn("_h", F.xxhash64("doc_id", "text"))
+    unit = F.pmod("_h", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = rows.where(unit < F.element_at(rate, F.col("lang"))).groupBy("lang", "doc_id", "_h").agg(F.first("text").alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
+    sample = some.withColumn("_r", first).where(F.col("_r") <= share).select("doc_id", "text", "lang")
 
     def task(batches):
         for batch in batches:

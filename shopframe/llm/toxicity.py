@@ -193,7 +193,9 @@ def train(docs: DataFrame, labels: DataFrame, names: list[str], id_col: str = "d
     for p in parts[1:]:
         sample = sample.unionByName(p)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    rows = rows.join(F.broadcast(sample), "doc_id")     # at most sample_rows rows
+    rows = rows.join(F.broadcast(sample), "doc_id")     # at most sample_rows ids
+    # An id counts once, however many documents have it: at most sample_rows rows.
+    rows = rows.groupBy("doc_id", *cols).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def task(batches):
         for batch in batches:
