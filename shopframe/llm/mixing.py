@@ -18,7 +18,7 @@ tables stay short.
 Edge cases: a null source is a source of its own; a source without a weight,
 or with weight 0 or null, is left out; null text has size 0 and takes part (a
 source of size 0 gets rate 0); rows equal in id, source and text draw the same
-count; an empty table gives an empty mixture; extra columns are carried along.
+count, and are numbered so that each is dealt on its own; an empty table gives an empty mixture; extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from .common import materialize, numbered
 PART_RATE = 16.0            # largest mean inverted at once
 TABLE = 120                 # entries of a cumulative table (mean 16: tail < 1e-60)
 BROADCAST_SOURCES = 20_000  # rows of the rate table that may be broadcast
+EQUAL_BLOCK = 1000          # equal rows written out by one task at a time
 TEMPERATURE = 0.7
 SEED = 20260
 
@@ -90,16 +91,34 @@ def replicate(docs: DataFrame, rate: DataFrame, id_col: str = "doc_id", source_c
     if rate.count() <= BROADCAST_SOURCES:      # the size is checked
         table = F.broadcast(table)
     key = [F.col(place[id_col]), F.col(place[source_col]), F.xxhash64(F.col(place[text_col]))]
-    out = d.join(table, F.col(place[source_col]).eqNullSafe(F.col("_src")))
+    out = _number_equal(d, key).join(table, F.col(place[source_col]).eqNullSafe(F.col("_src")))
     # Number of table entries at or below the uniform number, summed over parts.
     draws = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda j: F.size(
         F.filter("_cdf", lambda c: c <= uniform(F.lit(seed), j, *key))))
     out = out.withColumn("_copies", F.aggregate(draws, F.lit(0), lambda a, x: a + x)).where(F.col("_copies") > 0)
-    out = out.select(*d.columns, "_copies", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"))
-    out = out.withColumn("_key", F.xxhash64(F.lit(seed + 1), *key, F.col("_copy")))
+    out = out.select(*d.columns, "_n", "_copies", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"))
+    deal = F.xxhash64(F.lit(seed + 1), *key, F.col("_copy"))
+    out = out.withColumn("_key", F.when(F.col("_n") == 0, deal).otherwise(F.xxhash64(deal, "_n"))).drop("_n")
     return out.repartition(F.col("_key")).sortWithinPartitions("_key").toDF(*names, "_copies", "_copy", "_key")
 
 
+def _number_equal(d: DataFrame, key: list[Column]) -> DataFrame:
+    """``d`` with ``_n``: 0, and 0, 1, ... for rows equal in everything where
+    several have one key. Equal rows are counted where they are met and written
+    out again in blocks, so no task holds all of them."""
+    own = F.xxhash64(*key)
+    twice = materialize(d.groupBy(own.alias("_h")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_h"))
+    if twice.isEmpty():
+        return d.withColumn("_n", F.lit(0).cast("long"))
+    marked = d.withColumn("_h", own)
+    once = marked.join(twice, "_h", "left_anti").select(*d.columns, F.lit(0).cast("long").alias("_n"))
+    many = marked.join(twice, "_h", "left_semi").groupBy("_h", *d.columns).agg(F.count(F.lit(1)).alias("_m"))
+    many = many.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_m - 1) div {EQUAL_BLOCK}"))))
+    many = many.repartition("_h", "_b").withColumn("_n", F.explode(F.sequence(
+        F.col("_b") * EQUAL_BLOCK, F.least(F.col("_m"), (F.col("_b") + 1) * EQUAL_BLOCK) - 1)))
+    return once.unionByName(many.select(*d.columns, "_n"))
+
+
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, temperature: float = TEMPERATURE,
                 total: float | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source",
                 text_col: str = "text") -> DataFrame:

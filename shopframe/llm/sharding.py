@@ -129,7 +129,7 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", te
     buckets = max(16, shuffle_partitions(spark))
     rows = materialize(rows.join(placed, ["key", "piece"]).select(
         "doc_id", F.col("bytes").alias("size"), F.col("crc").alias("text_crc32"), "tokens", "shard", "n",
-        F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("b")))
+        F.pmod(F.xxhash64("doc_id", "n"), F.lit(buckets)).cast("int").alias("b")))
     counts = rows.groupBy("shard", "b").agg(F.count(F.lit(1)).alias("c"))     # at most shards * buckets rows
     before = Window.partitionBy("shard").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
