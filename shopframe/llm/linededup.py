@@ -13,15 +13,14 @@ shingles are its runs of ``SHINGLE`` characters (a shorter line: itself).
    of the links is found by comparing shingle sets exactly (Jaccard of
    ``SIMILARITY`` or more); a line once reached is not compared again, so large
    groups of like lines cost about their size. Buckets of more than ``LIMIT``
-   lines are cut into blocks and every pair of blocks is searched by a task of
-   its own.
+   lines are searched in parts that are then joined (``crowds.join_parts``).
 4. Distributed union-find joins the links to components, and each component
    keeps its first line.
 
 The texts are shuffled by document twice, compressed: for the lines of the
 buckets, and for the result.
 
-Edge cases: a null text has no lines; an empty one has one blank line; a null
+Edge cases: a null or empty text has no lines; a null
 doc_id comes after all others; rows of equal id and text share their lines'
 places and are judged alike, rows equal in id only are told apart by a hash of
 their text; extra columns are ignored.
@@ -40,6 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import components
+from .crowds import join_parts, part_of
 from .postings import (GATHER, NO_ID, bucket_count, bucket_of, by_bucket, compressed, gather, identified, pack, unpack,
                        with_lists)
 from .textcore import BASES, MASK, chunks, mix, text_hash, tidy
@@ -198,27 +198,24 @@ def _texts(batch, some=None):
 
 
 def _fetch(batches):
-    """Rows (id, z, lists of th, line, sig, size): the lines' texts, once for
-    every pair of blocks they take part in."""
+    """Rows (id, z, lists of th, line, sig, i, j, side): the lines' texts, once
+    for every task they take part in."""
     for batch in batches:
         valid = np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False))
         out = [[] for _ in range(8)]
-        for i, doc, text, own in _texts(batch, valid.tolist()):
+        for r, doc, text, own in _texts(batch, valid.tolist()):
             parts = None
-            for t, n, s, m in zip(*[batch.column(k)[i].as_py() for k in range(2, 6)]):
+            for t, n, *at in zip(*[batch.column(k)[r].as_py() for k in range(2, 8)]):
                 if t != own:
                     continue
                 parts = parts or text.split(b"\n")
-                blocks = -(-m // LIMIT)
-                k = xxhash.xxh3_64_intdigest(parts[n]) % blocks
-                for o in range(blocks):
-                    for col, v in zip(out, (s, min(k, o), max(k, o), k, doc, t, n, parts[n])):
-                        col.append(v)
+                for col, v in zip(out, (*at, doc, t, n, parts[n])):
+                    col.append(v)
         if out[0]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(),
                                                       pa.int64(), pa.int32(), pa.binary()))],
-                names=["sig", "i", "j", "k", "id", "th", "line", "text"])
+                names=["sig", "i", "j", "side", "id", "th", "line", "text"])
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -284,21 +281,28 @@ def spanning(sets: list[np.ndarray], side: np.ndarray | None, similarity: float)
 
 
 def _verify(similarity: float):
-    """Rows sorted by (sig, i, j): links between lines."""
+    """Rows sorted by (sig, i, j): links between lines, with the bucket (null).
+    Every line of a part of a crowded bucket (i = j = side >= 0) is also given
+    as a link to itself, with its bucket."""
     def flush(rows):
-        if len(rows) < 2:
+        if not rows:
             return []
+        sig, i, j, side = rows[0][:4]
+        own = [(r[4:7], r[4:7], sig) for r in rows] if i == j == side else []
+        if len(rows) < 2:
+            return own
         sets = [r[8] for r in rows]
-        side = None if rows[0][1] == rows[0][2] else np.array([r[3] for r in rows])
+        sides = None if i == j else np.array([r[3] for r in rows])
         if len(rows) == 2:
-            meet = (side is None or side[0] != side[1]) and similar_pair(*sets, similarity)
-            return [(rows[0][4:7], rows[1][4:7])] if meet else []
-        return [(rows[a][4:7], rows[b][4:7]) for a, b in spanning(sets, side, similarity)]
+            meet = (sides is None or sides[0] != sides[1]) and similar_pair(*sets, similarity)
+            return own + ([(rows[0][4:7], rows[1][4:7], None)] if meet else [])
+        return own + [(rows[a][4:7], rows[b][4:7], None) for a, b in spanning(sets, sides, similarity)]
 
     def emit(found):
         place = pa.struct([("id", pa.int64()), ("th", pa.int64()), ("line", pa.int32())])
         ends = [[dict(zip(("id", "th", "line"), e[k])) for e in found] for k in (0, 1)]
-        return pa.RecordBatch.from_arrays([pa.array(v, place) for v in ends], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([*[pa.array(v, place) for v in ends], pa.array([e[2] for e in found], pa.int64())],
+                                          names=["a", "b", "sig"])
 
     def task(batches):
         key, rows, found = None, [], []
@@ -351,14 +355,32 @@ def distinct_lines(d: DataFrame) -> DataFrame:
 
 def near_lines(d: DataFrame, lines: DataFrame, buckets: int, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): links between places (id, th, line) of distinct lines."""
+    place = "struct<id:long,th:long,line:int>"
+
+    def verify(rows):
+        """``rows``: (sig, i, j, side, id, th, line)."""
+        texts = with_lists(compressed(d), rows, "th", "line", "sig", "i", "j", "side").where(F.col("th").isNotNull()).mapInArrow(
+            tidy(_fetch), "sig long, i int, j int, side int, id long, th long, line int, text binary")
+        return texts.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(
+            tidy(_verify(similarity)), f"a {place}, b {place}, sig long")
+
     met = (d.mapInArrow(tidy(_send(buckets)), "bucket int, data binary").repartition("bucket").sortWithinPartitions("bucket")
            .mapInArrow(tidy(_meet), "sig long, size int, h long").distinct())
     met = met.join(lines.select(F.col("h1").alias("h"), "id", "th", "line"), "h")
-    texts = with_lists(compressed(d), met, "th", "line", "sig", "size").where(F.col("th").isNotNull()).mapInArrow(
-        tidy(_fetch), "sig long, i int, j int, k int, id long, th long, line int, text binary")
-    place = "struct<id:long,th:long,line:int>"
-    return texts.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(
-        tidy(_verify(similarity)), f"a {place}, b {place}")
+    # A bucket is one part (0, with no side), a crowded one several.
+    part = F.when(F.col("size") > LIMIT, part_of("h", "sig", F.ceil(F.col("size") / F.lit(LIMIT)))).otherwise(0)
+    side = F.when(F.col("size") > LIMIT, part).otherwise(-1)
+    found = materialize(verify(met.select("sig", part.alias("i"), part.alias("j"), side.alias("side"), "id", "th", "line")))
+    links = found.where("sig IS NULL").select("a", "b")
+    crowd = found.where("sig IS NOT NULL").select(F.col("sig").alias("key"), F.col("a").alias("node"))
+    if crowd.isEmpty():
+        return links
+
+    def again(rows):
+        rows = rows.select(F.col("key").alias("sig"), "i", "j", F.when(F.col("i") == F.col("j"), -1).otherwise(F.col("side")).alias("side"),
+                           "node.id", "node.th", "node.line")
+        return verify(rows).where("sig IS NULL").select("a", "b")
+    return links.unionByName(join_parts(crowd, links, again, LIMIT))
 
 
 def remove_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text",

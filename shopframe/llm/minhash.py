@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import components
+from .crowds import crowd_rows
 from .textcore import LOWER, SPACE, Chunk, Words, chunks, mix, span_hash, tidy, whole_windows, window_hash
 
 WIDTH = 3
@@ -273,27 +274,6 @@ def _crowds(width: int, percent: int):
     return task
 
 
-def crowd_rows(members: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """``members``: (key, node, comp). Rows (key, i, j, side, node, comp): what
-    meets in each task. Nodes of a bucket's largest component (part numbers
-    from 0) meet the others (negative part numbers), and the others one
-    another; a bucket of at most ``limit`` nodes is one part."""
-    by = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    sizes = materialize(by.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("m")).select(
-        "key", "all", F.col("m.comp").alias("main"), F.ceil(F.col("m.c") / F.lit(limit)).cast("int").alias("big"),
-        F.greatest(F.ceil((F.col("all") - F.col("m.c")) / F.lit(limit)), F.lit(1)).cast("int").alias("rest")))
-    m = members.join(sizes, "key")
-    small = m.where(F.col("all") <= limit).select("key", *[F.lit(0).alias(c) for c in ("i", "j", "side")], "node", "comp")
-    m = m.where(F.col("all") > limit).withColumn("in_main", F.col("comp") == F.col("main")).withColumn(
-        "side", F.when(F.col("in_main"), F.pmod(F.xxhash64("node"), F.col("big")))
-        .otherwise(-1 - F.pmod(F.xxhash64("node"), F.col("rest"))).cast("int"))
-    others = F.transform(F.sequence(F.lit(1), F.col("rest")), lambda k: -k)
-    meets = F.when(F.col("in_main"), others).otherwise(F.concat(others, F.sequence(F.lit(0), F.col("big") - 1)))
-    m = m.withColumn("o", F.explode(meets)).select("key", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"),
-                                                   "side", "node", "comp")
-    return small.unionByName(m)
-
-
 def crowd_links(rest: DataFrame, sets: DataFrame, width: int, percent: int, limit: int = LIMIT) -> DataFrame:
     rows = crowd_rows(rest, limit).join(sets, "node").select("key", "i", "j", "side", "node", "comp", "z")
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(

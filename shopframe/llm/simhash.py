@@ -18,9 +18,9 @@ bit count) and the fingerprints are then verified exactly.
 Within a cell only a spanning forest of its links is emitted, found by a search
 that drops every fingerprint once reached, so a group of thousands of close
 copies costs about its size, not its square, in rows. A cell of more than
-``CELL`` fingerprints is cut into blocks, and every pair of blocks is searched
-by a task of its own. Exact copies meet only once: the search runs on distinct
-fingerprints.
+``CELL`` fingerprints is searched in parts that are then joined
+(``crowds.join_parts``). Exact copies meet only once: the search runs on
+distinct fingerprints.
 
 Edge cases: a text without words (null, empty, blank) has fingerprint 0 and is
 linked like any other; fewer words than ``shingle`` give one shingle of all
@@ -43,6 +43,7 @@ from pyspark.sql.types import LongType, StructField
 
 from .common import map_whole_rows, materialize, numbered, shuffle_partitions
 from .components import components
+from .crowds import join_parts, part_of
 from .textcore import chunks, mix
 
 SHINGLE = 4
@@ -262,12 +263,18 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, cel
     near = found.where("kind = 0").select("a", "b")
     crowd = found.where("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("f"))
     if not crowd.isEmpty():
-        sizes = crowd.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell_limit / 2)).cast("int").alias("n"))
-        part = crowd.join(sizes, "cell").withColumn("k", F.pmod(F.xxhash64("f"), F.col("n")).cast("int"))
-        part = part.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        part = part.select("cell", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "f")
-        part = part.repartition(shuffle_partitions(prints.sparkSession), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-        near = near.unionByName(part.mapInArrow(_block_links(distance), "a long, b long"))
+        limit, partitions = max(1, cell_limit // 2), shuffle_partitions(prints.sparkSession)
+
+        def verify(rows):
+            rows = rows.select(F.col("key").alias("cell"), "i", "j", "side", F.col("node").alias("f"))
+            return (rows.repartition(partitions, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+                    .mapInArrow(_block_links(distance), "a long, b long"))
+
+        members = crowd.select(F.col("cell").alias("key"), F.col("f").alias("node"))
+        sizes = materialize(members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(limit)).cast("int").alias("n")))
+        first = members.join(sizes, "key").withColumn("i", part_of("node", "key", F.col("n")))
+        near = near.unionByName(materialize(verify(first.select("key", "i", F.col("i").alias("j"), F.col("i").alias("side"), "node"))))
+        near = near.unionByName(join_parts(members, near, verify, limit))
     return near
 
 

@@ -123,3 +123,24 @@ def test_heavy_beginnings_are_dealt_window_by_window(spark, monkeypatch):
         largest[n] = max(r.b for r in by) / sum(r.b for r in by)
     assert heavy[32] > 0
     assert largest[32] < 0.6 * largest[8]
+
+
+def test_template_lines_send_few_rows(spark, monkeypatch):
+    """A template of many lines in crowded buckets: rows of text grow with the
+    lines, not with their square, and the result is that of small tasks."""
+    from shopframe.llm import linededup
+    base = "a rather long line of text that very many documents carry with a small change in it, number "
+    rows = [(i, f"{base}{i}") for i in range(3000)] + [(5000 + i, f"quite another line {i * i} of words {i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    real = linededup._fetch
+
+    def counted(batches):
+        for b in real(batches):
+            total.add(b.num_rows)
+            yield b
+    total = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(linededup, "_fetch", counted)
+    monkeypatch.setattr(linededup, "LIMIT", 100)
+    got = rows_of(linededup.line_report(docs), "doc_id", "n_lines", "n_removed", "kept_sha256")
+    assert sum(r[2] for r in got if r[0] < 5000) == 2999 and all(r[2] == 0 for r in got if r[0] >= 5000)
+    assert total.value < 12 * 3000

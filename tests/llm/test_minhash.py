@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from shopframe.llm import minhash
+from shopframe.llm import crowds, minhash
 from shopframe.llm.textcore import chunks
 from tests.llm.brute import LOWER, WS, classes, raw
 from tests.llm.conftest import SCHEMA, ordered, rows_of, words
@@ -108,7 +108,7 @@ def test_crowd_rows_are_linear_beside_a_large_component(spark):
     others once."""
     members = spark.range(10_030).selectExpr("7L as key", "cast(cast(id as string) as binary) as node",
                                              "cast(case when id < 10000 then 'm' else cast(id as string) end as binary) as comp")
-    rows = minhash.crowd_rows(members, 1000)
+    rows = crowds.crowd_rows(members, 1000)
     assert rows.count() == 10_000 + 30 * 11
 
 
