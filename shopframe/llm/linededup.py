@@ -49,6 +49,7 @@ BANDS, ROWS = 10, 4
 SIMILARITY = 0.8
 LIMIT = 1000
 BLOCK = 1 << 15         # characters hashed at once, to stay in cache
+SHIFT = 1 << 19         # added to part numbers, of which three make a long
 
 # Fixed odd multipliers: 2-, 4- and 8-character hashes from their halves.
 FACTORS = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -198,18 +199,18 @@ def _texts(batch, some=None):
 
 
 def _fetch(batches):
-    """Rows (id, z, lists of th, line, sig, i, j, side): the lines' texts, once
-    for every task they take part in."""
+    """Rows (id, z, lists of th, line, sig, at): the lines' texts, once for
+    every task they take part in."""
     for batch in batches:
         valid = np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False))
         out = [[] for _ in range(8)]
         for r, doc, text, own in _texts(batch, valid.tolist()):
             parts = None
-            for t, n, *at in zip(*[batch.column(k)[r].as_py() for k in range(2, 8)]):
+            for t, n, sig, at in zip(*[batch.column(k)[r].as_py() for k in range(2, 6)]):
                 if t != own:
                     continue
                 parts = parts or text.split(b"\n")
-                for col, v in zip(out, (*at, doc, t, n, parts[n])):
+                for col, v in zip(out, (sig, *[(at >> b & 0xFFFFF) - SHIFT for b in (40, 20, 0)], doc, t, n, parts[n])):
                     col.append(v)
         if out[0]:
             yield pa.RecordBatch.from_arrays(
@@ -359,7 +360,9 @@ def near_lines(d: DataFrame, lines: DataFrame, buckets: int, similarity: float =
 
     def verify(rows):
         """``rows``: (sig, i, j, side, id, th, line)."""
-        texts = with_lists(compressed(d), rows, "th", "line", "sig", "i", "j", "side").where(F.col("th").isNotNull()).mapInArrow(
+        at = sum((F.col(c).cast("long") + SHIFT) * (1 << b) for c, b in (("i", 40), ("j", 20), ("side", 0)))
+        rows = rows.select("id", "th", "line", "sig", at.alias("at"))
+        texts = with_lists(compressed(d), rows, "th", "line", "sig", "at").where(F.col("th").isNotNull()).mapInArrow(
             tidy(_fetch), "sig long, i int, j int, side int, id long, th long, line int, text binary")
         return texts.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(
             tidy(_verify(similarity)), f"a {place}, b {place}, sig long")
