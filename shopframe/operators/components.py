@@ -1,7 +1,8 @@
 """Connected components of an edge table.
 
 1. Every task joins the edges it holds by union-find and passes on a star for
-   each component it sees, so repeated and redundant edges end where they are.
+   each component it sees, so repeated and redundant edges end where they are
+   (edges of structs are only made distinct).
 2. Stars of at most ``small`` edges (counted) are joined in one task.
 3. More than that alternate two steps until nothing changes. Large star: every
    node links its larger neighbours to its smallest neighbour (or itself).
@@ -95,7 +96,10 @@ def components(edges: DataFrame, small: int = 0) -> DataFrame:
     its smallest reachable node."""
     kind = edges.schema["a"].dataType.simpleString()
     schema = f"u {kind}, v {kind}"
-    e = materialize(edges.where("a <> b").select("a", "b").mapInArrow(_contract(False), schema).distinct())
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    if not kind.startswith("struct"):       # rows of structs are costly to hand to Python
+        e = e.mapInArrow(_contract(False), schema)
+    e = materialize(e.distinct())
     if small and e.count() <= small:
         e = materialize(e.repartition(1).mapInArrow(_contract(True), schema))
         return _stars(e)
