@@ -252,25 +252,26 @@ def resolve_variant(t, choices: DataFrame) -> DataFrame:
     Output: one row per choice with ``variant_id`` (NULL unless exactly one
     match) and ``match_count``.
 
-    No choice is paired with a product's variants one by one: for each of the
-    eight patterns of chosen / not-chosen options, variants are counted per
-    (product, chosen option values) and each choice with that pattern joins
-    exactly one such count row (equi join)."""
-    from functools import reduce
-    v = t["product_variants"]
-    parts = []
-    for mask in range(8):
-        chosen = [pair for i, pair in enumerate(OPTION_PAIRS) if mask >> i & 1]
-        free = [pair for i, pair in enumerate(OPTION_PAIRS) if not mask >> i & 1]
-        keys = ["product_id"] + [vc for _, vc in chosen]
-        counts = (v.where(reduce(lambda a, b: a & b, [F.col(vc).isNotNull() for _, vc in chosen], F.lit(True)))
-                  .groupBy(*keys).agg(F.count(F.lit(1)).alias("match_count"), F.min("id").alias("_vid")))
-        c = choices.where(reduce(lambda a, b: a & b,
-                                 [F.col(cc).isNotNull() for cc, _ in chosen]
-                                 + [F.col(cc).isNull() for cc, _ in free], F.lit(True)))
-        c = c.select("choice_id", "product_id", *[F.col(cc).alias(vc) for cc, vc in chosen])
-        parts.append(c.join(counts, keys, "left").select("choice_id", "match_count", "_vid"))
-    m = reduce(lambda a, b: a.unionByName(b), parts)
+    No choice is paired with a product's variants one by one: of the eight
+    patterns of chosen / not-chosen options, each product's variants are counted
+    per value of the chosen ones for the patterns its choices have, and every
+    choice joins exactly one such count (equi join). Both sides grow with the
+    input, and Spark's guess of their size is far too low, so both joins are
+    merge joins: nothing is broadcast."""
+    def key(column, i, pattern):
+        """The option's value in the pattern: null if chosen and missing."""
+        return F.when(pattern.bitwiseAND(1 << i) == 0, F.lit("")).otherwise(F.col(column))
+
+    pattern = sum(F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, (c, _) in enumerate(OPTION_PAIRS))
+    names = [f"_k{i}" for i in range(len(OPTION_PAIRS))]
+    c = choices.select("choice_id", "product_id", pattern.alias("_p"),
+                       *[F.coalesce(c, F.lit("")).alias(k) for k, (c, _) in zip(names, OPTION_PAIRS)])
+    asked = c.where(F.col("product_id").isNotNull()).select("product_id", "_p").distinct()
+    v = t["product_variants"].join(asked.hint("merge"), "product_id")
+    v = v.select("product_id", "_p", "id", *[key(x, i, F.col("_p")).alias(k) for i, (k, (_, x)) in enumerate(zip(names, OPTION_PAIRS))])
+    counts = v.dropna(subset=names).groupBy("product_id", "_p", *names).agg(
+        F.count(F.lit(1)).alias("match_count"), F.min("id").alias("_vid"))
+    m = c.join(counts.hint("merge"), ["product_id", "_p", *names], "left")
     return m.select("choice_id", F.coalesce("match_count", F.lit(0)).alias("match_count"),
                     F.when(F.col("match_count") == 1, F.col("_vid")).alias("variant_id"))
 
