@@ -10,6 +10,7 @@ from shopframe.operators import cart_fold as CF
 from shopframe.operators import changes as G
 from shopframe.plans.registry import tables
 from shopframe.streaming import streams as S
+from shopframe.streaming.cart_state import page_count
 from shopframe.streaming.changelog import ChangeLog
 from tests.conftest import SF_SMALL
 
@@ -66,6 +67,24 @@ def test_removed_lines_leave_the_store(spark, batch_cart, tmp_path):
     assert all(held.get(k) == q for k, q in last.items()) and None not in held.values()
 
 
+def test_cart_lines_share_pages(spark, batch_cart, tmp_path, monkeypatch):
+    """The store holds no more values than pages; lines of one page do not mix,
+    and a restart keeps to the number of pages the stream began with."""
+    d, out, t = str(tmp_path), f"file://{tmp_path}/cart", tables(spark, SF_SMALL)
+    files = split_events(d, 2)
+    for pages, (part, path) in zip((3, 5), files):
+        pq.write_table(part, path)
+        monkeypatch.setattr(S, "page_count", lambda n: pages)
+        got = S.cart_state_stream(spark, d, t, max_files_per_trigger=1, out_dir=out)
+    assert sorted(got.select(LINE).collect()) == batch_cart[0]
+    assert outcomes_of(spark, out) == batch_cart[1]
+    assert spark.read.format("statestore").load(f"{out}/_checkpoint", stateVarName="page").count() <= 3
+
+
+def test_pages_follow_the_cart():
+    assert [page_count(n) for n in (0, 10**6, 10**8)] == [4096, 4096, 390625]
+
+
 def test_latest_status_stream_runs(spark):
     df = S.latest_status_stream(spark, SF_SMALL)
     assert df.count() == tables(spark, SF_SMALL)["orders"].count()
