@@ -4,7 +4,8 @@
    each component it sees, so repeated and redundant edges end where they are
    (edges of structs are only made distinct).
 2. Stars of at most ``small`` edges (counted) are joined in one task.
-3. More than that alternate two steps until nothing changes. Large star: every
+3. More than that alternate two steps until all edges are stars, which the
+   first step's minima and maxima show. Large star: every
    node links its larger neighbours to its smallest neighbour (or itself).
    Small star: every node links its smaller neighbours and itself to the
    smallest of them. Trees flatten into stars whose centre is the component's
@@ -105,16 +106,16 @@ def components(edges: DataFrame, small: int = 0) -> DataFrame:
         return _stars(e)
     while True:
         both = _both(e)
-        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")))
-        large = materialize(both.join(low, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"), F.col("u").alias("c"))
+        # Done when every node that has a smaller neighbour has no other one.
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("x")).select(
+            "u", "m", F.expr("m < u AND m <> x").alias("open")))
+        if low.where("open").isEmpty():
+            return _stars(e)
+        large = materialize(both.join(low.select("u", "m"), "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"), F.col("u").alias("c"))
                             .where("u > c AND u <> v").select("u", "v").distinct())
         stars = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         e = materialize(large.join(stars, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                         .unionAll(stars.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        # Done when every node has one centre, a centre having itself.
-        ends = e.unionAll(e.select(F.col("v").alias("u"), "v")).groupBy("u").agg(F.min("v").alias("a"), F.max("v").alias("b"))
-        if ends.where("a <> b").isEmpty():
-            return _stars(e)
 
 
 def _stars(e: DataFrame) -> DataFrame:
