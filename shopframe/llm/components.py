@@ -1,3 +1,3 @@
 """Connected components, as the storefront has them."""
 
-from ..operators.components import components  # noqa: F401
+from ..operators.components import FEW_EDGES, components  # noqa: F401

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .components import components
+from .components import FEW_EDGES, components
 
 
 def part_of(node: str, key: str, parts) -> F.Column:
@@ -48,22 +48,27 @@ def crowd_rows(members: DataFrame, limit: int) -> DataFrame:
     return small.unionByName(m)
 
 
-def _named(members: DataFrame, links: DataFrame) -> DataFrame:
-    comp = materialize(components(links)).withColumnRenamed("component", "comp")
-    return materialize(members.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")))
+def _named(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``members`` with their component, and the components as links: a star
+    each, in place of all the links that led to it."""
+    comp = materialize(components(links, FEW_EDGES))
+    named = members.join(comp.withColumnRenamed("component", "comp"), "node", "left")
+    return (materialize(named.select("key", "node", F.coalesce("comp", "node").alias("comp"))),
+            comp.select(F.col("node").alias("a"), F.col("component").alias("b")))
 
 
 def join_parts(members: DataFrame, links: DataFrame, verify, limit: int) -> DataFrame:
     """Steps 2 and 3: ``members`` (key, node) of crowded buckets whose parts
     were compared; ``links`` (a, b) found so far. ``verify`` takes rows as of
-    ``crowd_rows`` and gives links. Returns the further links."""
-    named = _named(members, links)
+    ``crowd_rows`` and gives links. Returns links that connect what these and
+    the further ones connect."""
+    named, links = _named(members, links)
     reps = materialize(named.groupBy("key", "comp").agg(F.min("node").alias("node")))
     few = reps.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where((F.col("c") > 1) & (F.col("c") <= limit)).select("key")
     more = materialize(verify(reps.join(few, "key", "left_semi").select(
         "key", *[F.lit(0).alias(c) for c in ("i", "j", "side")], "node", "comp")))
-    named = _named(members, links.unionByName(more))
+    named, links = _named(members, links.unionByName(more))
     mixed = materialize(named.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key"))
     if mixed.isEmpty():
-        return more
-    return more.unionByName(materialize(verify(crowd_rows(named.join(mixed, "key", "left_semi"), limit))))
+        return links
+    return links.unionByName(materialize(verify(crowd_rows(named.join(mixed, "key", "left_semi"), limit))))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .components import components
+from .components import FEW_EDGES, components
 from .crowds import join_parts, part_of
 from .postings import (GATHER, NO_ID, bucket_count, bucket_of, by_bucket, compressed, gather, identified, pack, unpack,
                        with_lists)
@@ -383,7 +383,7 @@ def near_lines(d: DataFrame, lines: DataFrame, buckets: int, similarity: float =
         rows = rows.select(F.col("key").alias("sig"), "i", "j", F.when(F.col("i") == F.col("j"), -1).otherwise(F.col("side")).alias("side"),
                            "node.id", "node.th", "node.line")
         return verify(rows).where("sig IS NULL").select("a", "b")
-    return links.unionByName(join_parts(crowd, links, again, LIMIT))
+    return join_parts(crowd, links, again, LIMIT)
 
 
 def remove_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text",
@@ -392,7 +392,7 @@ def remove_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     lines, joined by line feeds."""
     d = identified(docs, id_col, text_col)
     lines = materialize(distinct_lines(d))
-    classes = components(near_lines(d, lines, bucket_count(d), similarity))
+    classes = components(near_lines(d, lines, bucket_count(d), similarity), FEW_EDGES)
     gone = classes.where("node <> component").select("node.id", "node.th", "node.line")
     stay = lines.select("id", "th", "line").join(gone, ["id", "th", "line"], "left_anti")
     out = with_lists(compressed(d), stay, "th", "line").mapInArrow(tidy(_cut(with_text)), OUT)

@@ -274,7 +274,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, cel
         sizes = materialize(members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(limit)).cast("int").alias("n")))
         first = members.join(sizes, "key").withColumn("i", part_of("node", "key", F.col("n")))
         near = near.unionByName(materialize(verify(first.select("key", "i", F.col("i").alias("j"), F.col("i").alias("side"), "node"))))
-        near = near.unionByName(join_parts(members, near, verify, limit))
+        near = join_parts(members, near, verify, limit)
     return near
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 LOCAL_EDGES = 200_000       # edges a task holds at once
+FEW_EDGES = 50_000          # a ``small`` for callers: below it, rounds cost more than the one task
 
 
 def _key(value):

@@ -144,3 +144,23 @@ def test_template_lines_send_few_rows(spark, monkeypatch):
     got = rows_of(linededup.line_report(docs), "doc_id", "n_lines", "n_removed", "kept_sha256")
     assert sum(r[2] for r in got if r[0] < 5000) == 2999 and all(r[2] == 0 for r in got if r[0] >= 5000)
     assert total.value < 12 * 3000
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_few_links_take_no_rounds(spark, monkeypatch, few):
+    """Links of crowded buckets that one task holds are joined there; more of
+    them go through rounds, with the same result."""
+    from shopframe.llm import crowds, linededup
+    from shopframe.operators import components
+    base = "a rather long line of text that many documents carry with some small change in it "
+    rows = [(i, f"{base}{i}\n{base}{i % 7} and more") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    written, real = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df: written.append(df.columns) or real(df))
+    monkeypatch.setattr(linededup, "LIMIT", 5)
+    if not few:
+        monkeypatch.setattr(crowds, "FEW_EDGES", 0)
+        monkeypatch.setattr(linededup, "FEW_EDGES", 0)
+    got = rows_of(linededup.line_report(docs), "doc_id", "n_lines", "n_removed", "kept_sha256")
+    assert got == ordered(brute.lines(rows))
+    assert (["u", "m", "open"] not in written) == few
