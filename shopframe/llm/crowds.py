@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, materialize_alone
 from .components import FEW_EDGES, components
 
 
@@ -65,10 +65,10 @@ def join_parts(members: DataFrame, links: DataFrame, verify, limit: int) -> Data
     named, links = _named(members, links)
     reps = materialize(named.groupBy("key", "comp").agg(F.min("node").alias("node")))
     few = reps.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where((F.col("c") > 1) & (F.col("c") <= limit)).select("key")
-    more = materialize(verify(reps.join(few, "key", "left_semi").select(
+    more = materialize_alone(verify(reps.join(few, "key", "left_semi").select(
         "key", *[F.lit(0).alias(c) for c in ("i", "j", "side")], "node", "comp")))
     named, links = _named(members, links.unionByName(more))
     mixed = materialize(named.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key"))
     if mixed.isEmpty():
         return links
-    return links.unionByName(materialize(verify(crowd_rows(named.join(mixed, "key", "left_semi"), limit))))
+    return links.unionByName(materialize_alone(verify(crowd_rows(named.join(mixed, "key", "left_semi"), limit))))

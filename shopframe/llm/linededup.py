@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize_alone
 from .components import FEW_EDGES, components
 from .crowds import join_parts, part_of
 from .postings import (GATHER, NO_ID, bucket_count, bucket_of, by_bucket, compressed, gather, identified, pack, unpack,
@@ -373,7 +373,7 @@ def near_lines(d: DataFrame, lines: DataFrame, buckets: int, similarity: float =
     # A bucket is one part (0, with no side), a crowded one several.
     part = F.when(F.col("size") > LIMIT, part_of("h", "sig", F.ceil(F.col("size") / F.lit(LIMIT)))).otherwise(0)
     side = F.when(F.col("size") > LIMIT, part).otherwise(-1)
-    found = materialize(verify(met.select("sig", part.alias("i"), part.alias("j"), side.alias("side"), "id", "th", "line")))
+    found = materialize_alone(verify(met.select("sig", part.alias("i"), part.alias("j"), side.alias("side"), "id", "th", "line")))
     links = found.where("sig IS NULL").select("a", "b")
     crowd = found.where("sig IS NOT NULL").select(F.col("sig").alias("key"), F.col("a").alias("node"))
     if crowd.isEmpty():
@@ -391,7 +391,7 @@ def remove_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     """doc_id, n_lines, n_removed, kept_sha256 and (unless not wanted) the kept
     lines, joined by line feeds."""
     d = identified(docs, id_col, text_col)
-    lines = materialize(distinct_lines(d))
+    lines = materialize_alone(distinct_lines(d))
     classes = components(near_lines(d, lines, bucket_count(d), similarity), FEW_EDGES)
     gone = classes.where("node <> component").select("node.id", "node.th", "node.line")
     stay = lines.select("id", "th", "line").join(gone, ["id", "th", "line"], "left_anti")

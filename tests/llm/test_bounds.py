@@ -1,6 +1,7 @@
 """Bounds that hold however ids and rows repeat, long texts, heavy beginnings."""
 
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -164,3 +165,28 @@ def test_few_links_take_no_rounds(spark, monkeypatch, few):
     got = rows_of(linededup.line_report(docs), "doc_id", "n_lines", "n_removed", "kept_sha256")
     assert got == ordered(brute.lines(rows))
     assert (["u", "m", "open"] not in written) == few
+
+
+def test_shuffles_go_with_their_table(spark):
+    """The table's shuffle files are dropped when it is written; the setting
+    and the table stay."""
+    from pathlib import Path
+    from shopframe.llm.common import materialize, materialize_alone
+    folder = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+
+    def files():
+        return {p.name for p in folder.rglob("shuffle_*.data")}
+
+    def left(write):
+        before = files()
+        out = write(spark.range(1000).repartition(4, "id"))
+        time.sleep(2)
+        new = files() - before
+        assert out.count() == 1000
+        return new
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key)
+    assert left(materialize)
+    assert not left(materialize_alone)
+    assert spark.conf.get(key) == was
