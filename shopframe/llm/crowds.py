@@ -60,15 +60,14 @@ def _named(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
 def join_parts(members: DataFrame, links: DataFrame, verify, limit: int) -> DataFrame:
     """Steps 2 and 3: ``members`` (key, node) of crowded buckets whose parts
     were compared; ``links`` (a, b) found so far. ``verify`` takes rows as of
-    ``crowd_rows`` and gives links. Returns links that connect what these and
-    the further ones connect."""
-    named, links = _named(members, links)
+    ``crowd_rows`` and gives links. Returns the further links."""
+    named, stars = _named(members, links)
     reps = materialize(named.groupBy("key", "comp").agg(F.min("node").alias("node")))
     few = reps.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where((F.col("c") > 1) & (F.col("c") <= limit)).select("key")
     more = materialize_alone(verify(reps.join(few, "key", "left_semi").select(
         "key", *[F.lit(0).alias(c) for c in ("i", "j", "side")], "node", "comp")))
-    named, links = _named(members, links.unionByName(more))
+    named, _ = _named(members, stars.unionByName(more))
     mixed = materialize(named.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key"))
     if mixed.isEmpty():
-        return links
-    return links.unionByName(materialize_alone(verify(crowd_rows(named.join(mixed, "key", "left_semi"), limit))))
+        return more
+    return more.unionByName(materialize_alone(verify(crowd_rows(named.join(mixed, "key", "left_semi"), limit))))
